@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, sharding
+from . import chat, decontam, packing, rules, sharding, tokens, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; the executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    pieces = packing.tokenize(docs, lambda: tokens.byte_bpe(tokenizer_file("byte_bpe_50k.json")), end_id=0, capacity=2048)
+    return packing.pack(pieces, 2048)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
     ids = F.sha2(F.array_join("item_ids", ","), 256)
@@ -28,6 +41,12 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(rows, "doc_id", [1.0] * 8, grown=1.0)
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    manifest = wavelet.write_tokens(docs, lambda: tokens.word_bpe(tokenizer_file("word_bpe_49k.json")), wavelet.token_folder(spark), width=16, end_id=2)
+    return wavelet.read_tokens(manifest, digest=True)
+
+
 #: The conversation that every run formats besides the table's, to show that control strings survive.
 PLANTED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -49,7 +68,15 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rules.ledger(_read(spark, sf_dir, "documents"))
+    failed = ~rules.kept("base")
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), rules.kept("v1").alias("kept"), "failed"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_shard, op9_chat)
+    f.__name__: f for f in (op1_pack, op3_decontaminate, op5_shard, op7_tokens, op9_chat, op10_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
