@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, rules, sharding, tokens, wavelet
+from . import chat, decontam, lines, packing, rules, sharding, tokens, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_tokens(manifest, digest=True)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_read(spark, sf_dir, "documents"), min_documents=10, min_chars=1, digest=True)
+
+
 #: The conversation that every run formats besides the table's, to show that control strings survive.
 PLANTED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -77,6 +81,6 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op3_decontaminate, op5_shard, op7_tokens, op9_chat, op10_rules)
+    f.__name__: f for f in (op1_pack, op3_decontaminate, op5_shard, op7_tokens, op8_lines, op9_chat, op10_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
