@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, packing, rules, sharding, tokens, wavelet
+from . import chat, decontam, jaccard, lines, packing, quality, rules, sharding, tokens, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,12 +27,22 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 2048)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10)
     ids = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, threshold=0.7)
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = _read(spark, sf_dir, "documents").select(
@@ -81,6 +91,6 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op3_decontaminate, op5_shard, op7_tokens, op8_lines, op9_chat, op10_rules)
+    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op7_tokens, op8_lines, op9_chat, op10_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
