@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of characters that aren't ASCII separators; the first for lower-cased text, the second for any.
-WORD, ANY_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+from .store import materialise
+
+#: Runs of characters that aren't ASCII separators, in lower-cased text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words that a block of a text starts; a text's windows are made block by block.
 BLOCK = 2048
 #: Most windows that are sent to every executor; more are joined by a shuffle.
@@ -15,7 +16,15 @@ BROADCAST_WINDOWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, only A-Z lower-cased, in a form that is good for comparing.
+
+    The text's UTF-8 bytes are taken as Latin-1 characters and lower-cased, which is far quicker than
+    translate. Besides A-Z that moves the first bytes C0-DE of longer characters to E0-FE, the same way
+    for every text; how many bytes from 80 to BF follow still tells such characters apart, so that two
+    words are equal after it exactly if they are equal after A-Z are lower-cased.
+    """
+    latin = F.decode(F.coalesce(text, F.lit("")).cast("binary"), "ISO-8859-1")
+    return F.regexp_extract_all(F.lower(latin), F.lit(WORD), F.lit(0))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
@@ -27,46 +36,50 @@ def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame
     return w.select(F.concat_ws(" ", F.slice("w", F.col("at"), F.col("n"))).alias("window"), "n", "item_id").distinct()
 
 
-def _scan(docs: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
-    """keys, pos, n, hash, window for every window of the given lengths."""
-    most = max(lengths)
-    w = docs.select(*keys, words(F.col(text)).alias("w")).where(F.size("w") >= min(lengths))
-    blocks = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(BLOCK)), lambda at: F.slice("w", at, F.lit(BLOCK + most - 1)))
-    b = w.select(*keys, F.posexplode(blocks).alias("block", "w"))
-    shifted = b.select(*keys, "block", *(F.slice("w", F.lit(k + 1), F.least(F.size("w"), F.lit(BLOCK))).alias(f"w{k}") for k in range(most)))
-    zipped = shifted.select(*keys, "block", F.posexplode(F.arrays_zip(*(f"w{k}" for k in range(most)))).alias("at", "z"))
-    pos = F.col("block") * BLOCK + F.col("at")
-    rows = zipped.where(F.col("at") < BLOCK).select(*keys, pos.alias("pos"), *(F.col(f"z.w{k}").alias(f"w{k}") for k in range(most)))
-    if len(lengths) == 1:
-        rows = rows.where(F.col(f"w{most - 1}").isNotNull())
-        return rows.select(*keys, "pos", F.lit(most).alias("n"), F.xxhash64(*(f"w{k}" for k in range(most))).alias("hash"), *(f"w{k}" for k in range(most)))
-    each = [F.struct(F.lit(n).alias("n"), F.xxhash64(*(f"w{k}" for k in range(n))).alias("hash"), F.col(f"w{n - 1}").isNotNull().alias("whole")) for n in lengths]
-    rows = rows.select("*", F.explode(F.array(*each)).alias("x")).where("x.whole")
-    return rows.select(*keys, "pos", "x.n", "x.hash", *(f"w{k}" for k in range(most)))
-
-
-def find_hits(docs: DataFrame, windows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, pos, n, window: every place in docs where a window occurs.
+def scan(docs: DataFrame, windows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, n_words, pos, n, window: a row for every place where a window occurs, and one with pos null for every document.
 
-    The windows are broadcast after they are counted and found to be at most BROADCAST_WINDOWS;
-    beyond that the same join shuffles. A match of hashes only counts after the words are compared.
+    Texts are read once: each word starts a row, rows look up their windows, and only those that found
+    one, or that a document begins with, go on. The windows are broadcast after they are counted and
+    found to be at most BROADCAST_WINDOWS; beyond that the same join shuffles. A match of hashes only
+    counts after the words are compared.
     """
     known = windows.select("n", "window").distinct()
     sizes = {r["n"]: r["c"] for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row for each window length
-    if not sizes:
-        return docs.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit("").alias("window")).limit(0)
-    most = max(sizes)
+    lengths = sorted(sizes) or [1]
+    most = lengths[-1]
     parts = F.split("window", " ")
-    hashed = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(*(parts[k] for k in range(n)))) for n in sorted(sizes)))
+    hashed = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(*(parts[k] for k in range(n)))) for n in lengths))
     known = known.select(F.col("n").alias("_n"), F.col("window").alias("_window"), hashed.alias("_hash"))
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    rows = _scan(docs, keys, text, sorted(sizes))
-    joined = rows.join(known, (F.col("hash") == F.col("_hash")))
-    said = F.coalesce(*(F.when(F.col("n") == n, F.concat_ws(" ", *(f"w{k}" for k in range(n)))) for n in sorted(sizes))) if len(sizes) > 1 else F.concat_ws(" ", *(f"w{k}" for k in range(most)))
-    # Written as one expression over both sides, so that it stays a check after the join on hashes and isn't made a join key.
-    same = F.array_position(F.array(F.struct(F.col("_n"), F.col("_window"))), F.struct(F.col("n").alias("_n"), said.alias("_window"))) == 1
-    return joined.where(same).select(*keys, "pos", "n", F.col("_window").alias("window"))
+
+    w = docs.select(*keys, words(F.col(text)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda at: F.slice("w", at, F.lit(BLOCK + most - 1)))
+    b = w.select(*keys, "n_words", F.posexplode(blocks).alias("block", "w"))
+    shifted = b.select(*keys, "n_words", "block", *(F.slice("w", F.lit(k + 1), F.lit(BLOCK)).alias(f"w{k}") for k in range(most)))
+    zipped = shifted.select(*keys, "n_words", "block", F.posexplode_outer(F.arrays_zip(*(f"w{k}" for k in range(most)))).alias("at", "z"))
+    pos = F.col("block") * BLOCK + F.coalesce("at", F.lit(0))
+    rows = zipped.select(*keys, "n_words", pos.alias("pos"), *(F.col(f"z.w{k}").alias(f"w{k}") for k in range(most)))
+
+    def hash_of(n: int) -> Column:
+        return F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*(f"w{k}" for k in range(n))))
+
+    if len(lengths) == 1:
+        rows, said = rows.withColumn("n", F.lit(most)).withColumn("hash", hash_of(most)), F.concat_ws(" ", *(f"w{k}" for k in range(most)))
+    else:
+        each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), hash_of(n).alias("hash")) for n in lengths)))
+        rows = rows.select("*", each.alias("x")).select("*", "x.n", "x.hash").drop("x")
+        said = F.coalesce(*(F.when(F.col("n") == n, F.concat_ws(" ", *(f"w{k}" for k in range(n)))) for n in lengths))
+    joined = rows.join(known, F.col("hash") == F.col("_hash"), "left")
+    same = F.coalesce((F.col("_n") == F.col("n")) & (F.col("_window") == said), F.lit(False))
+    first = (F.col("pos") == 0) & (F.col("n") == lengths[0])
+    out = joined.where(first | same).select(*keys, "n_words", "pos", "n", F.when(same, F.col("_window")).alias("window"))
+    # A first word that also starts a window stands for its document and for the window.
+    both = F.array_compact(F.array(F.when(F.col("window").isNotNull(), F.col("pos")), F.when((F.col("pos") == 0) & (F.col("n") == lengths[0]), F.lit(-1))))
+    out = out.select(*keys, "n_words", F.explode(both).alias("pos"), "n", "window")
+    return out.select(*keys, "n_words", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), "n", F.when(F.col("pos") >= 0, F.col("window")).alias("window"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -82,7 +95,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("_t"))
     keys = ["doc_id", "_text"]
     windows = item_windows(items, item_id, item_text, n)
-    hits = find_hits(base, windows, keys, "_t").distinct()
+    found = materialise(scan(base, windows, keys, "_t"), "windows")
+    hits = found.where("pos is not null").select(*keys, "pos", "n", "window").distinct()
     by_pos = Window.partitionBy(*keys).orderBy("pos", "n")
     end = F.col("pos") + F.col("n")
     seen = F.max(end).over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
@@ -90,11 +104,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     marked = marked.withColumn("run", F.sum((F.col("pos") > F.col("seen")).cast("int")).over(by_pos))
     runs = marked.groupBy(*keys, "run").agg(F.sum("new").alias("new"), F.min("pos").alias("first"), (F.max(end) - 1).alias("last"))
     spans = runs.groupBy(*keys).agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    found = hits.select(*keys, "window").distinct().join(windows.where("item_id is not null").select("window", "item_id"), "window")
-    ids = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    named = hits.select(*keys, "window").distinct().join(windows.where("item_id is not null").select("window", "item_id"), "window")
+    ids = named.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     answers = spans.join(ids.withColumnsRenamed({k: f"{k}2" for k in keys}), F.col("doc_id").eqNullSafe(F.col("doc_id2")) & F.col("_text").eqNullSafe(F.col("_text2")), "left")
     answers = answers.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_text1"), "n_hit", "spans", "item_ids")
-    counted = base.select("doc_id", "_text", F.regexp_count(F.coalesce("_t", F.lit("")), F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    counted = found.where("pos is null").select(*keys, "n_words")
     out = counted.join(answers, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_text1")), "left")
     return out.select(
         "doc_id",
