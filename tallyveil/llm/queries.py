@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, packing, quality, rules, sharding, tokens, wavelet
+from . import chat, decontam, jaccard, lines, packing, quality, rules, sharding, substrings, tokens, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(rows, "doc_id", [1.0] * 8, grown=1.0)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     manifest = wavelet.write_tokens(docs, lambda: tokens.word_bpe(tokenizer_file("word_bpe_49k.json")), wavelet.token_folder(spark), width=16, end_id=2)
@@ -91,6 +95,6 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op7_tokens, op8_lines, op9_chat, op10_rules)
+    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op6_passages, op7_tokens, op8_lines, op9_chat, op10_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
