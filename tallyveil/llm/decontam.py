@@ -83,7 +83,7 @@ def scan(docs: DataFrame, windows: DataFrame, keys: list[str], text: str) -> Dat
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, spans, item_ids, contaminated.
+    """One row for each row of docs: doc_id, text_hash, n_words, n_hit, spans, item_ids, contaminated.
 
     n_words counts words, n_hit those inside any occurrence of an item's window, spans are the
     runs [first, last] of such words (by number, from 0), item_ids the items with occurring windows,
@@ -112,9 +112,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     out = counted.join(answers, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_text1")), "left")
     return out.select(
         "doc_id",
+        F.col("_text").alias("text_hash"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated."""
+    bad = decontaminate(docs, items, n, doc_id, text, **names).where("contaminated")
+    bad = materialise(bad.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_anti")

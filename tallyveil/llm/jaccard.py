@@ -74,13 +74,13 @@ def _tree_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, words: int) -> DataFrame:
-    """doc_id, cls (null without shingles), size and keys of every row."""
+    """doc_id, text_hash, cls (null without shingles), size and keys of every row."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for a, b in groups(texts):
                 sets = shingles(texts[a:b], words)
                 some = [k for k, x in enumerate(sets) if len(x)]
@@ -89,12 +89,12 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, wor
                     for k, row in zip(some, _tree_keys([sets[k] for k in some], trees, depth).view(np.int64).tolist(), strict=True):
                         keys[k] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(class_of(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "cls", "size", "keys"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(class_of(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "cls", "size", "keys"],
                 )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, cls binary, size long, keys array<long>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_hash long, cls binary, size long, keys array<long>")
 
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -211,12 +211,13 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, n_links, copy_id, n_copies.
+    """One row for each row of docs: doc_id, text_hash, class_id, class_key, n_links, copy_id, n_copies.
 
     Documents with the same set of shingles are copies and form one class of copies (copy_id its
     smallest doc_id, n_copies its rows); only classes are compared. n_links counts the other rows whose
     similarity is at least the threshold, copies among them. class_id is the smallest doc_id of all
-    documents that links connect. A text without words has no shingles and no links and is its own
+    documents that links connect; class_key tells classes apart even where different texts share an id,
+    and is null for a text without words. Such a text has no shingles and no links and is its own
     class, as are null texts; a text of fewer words than a shingle has one shingle of them all. Repeated
     rows are copies; null ids sort last; extra columns are ignored; an empty table gives none.
 
@@ -253,13 +254,27 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes")
     joined = classes.join(label, F.col("cls") == F.col("v")).select("cls", "label", "rep")
     first = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
-    linked = joined.join(first, "label").select(F.col("cls").alias("_v"), "class_id")
+    linked = joined.join(first, "label").select(F.col("cls").alias("_v"), "class_id", "label")
     info = classes.select("cls", "rep", "n_copies").join(links, F.col("cls") == F.col("_c"), "left").join(linked, F.col("cls") == F.col("_v"), "left")
     info = info.select(
-        F.col("cls").alias("_cls"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+        F.col("cls").alias("_cls"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("label", "cls").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
         F.col("rep").alias("copy_id"), "n_copies",
     )
-    out = some.select("doc_id", "cls").join(materialise(info, "info"), F.col("cls") == F.col("_cls"))
-    out = out.select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
-    alone = signed.where("cls is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long"))
+    out = some.select("doc_id", "text_hash", "cls").join(materialise(info, "info"), F.col("cls") == F.col("_cls"))
+    out = out.select("doc_id", "text_hash", "class_id", "class_key", "n_links", "copy_id", "n_copies")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    alone = signed.where("cls is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary"), none, F.col("doc_id").alias("copy_id"), one)
     return out.union(alone)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of docs that stand for their class: of each class one row of the smallest id stays, with all its columns.
+
+    Texts without words stay, but of rows with the same id and text only one does.
+    """
+    found = materialise(jaccard_join(docs, doc_id=doc_id, text=text, **how), "joined")
+    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    stay = first.union(found.where("class_key is null").select("doc_id", "text_hash").distinct())
+    stay = materialise(stay.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "stay")
+    rows = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
+    return rows.dropDuplicates([doc_id, text])

@@ -108,26 +108,41 @@ def _stay(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """Applies mark_lines: doc_id, n_lines, n_dropped, and the text that stays, or with digest its kept_sha256.
-
-    One row for each row of docs. A null or empty text is one empty line, which stays. Documents are
-    told apart by id and text, so that repeated rows count as one document and each lose the same
-    lines; a null id is an id; extra columns are ignored; an empty table gives an empty result.
-    """
-    marks = mark_lines(docs, min_documents, min_chars, keep_first, doc_id, text).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "keep")
-    base = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_body"))
-    joined = base.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.xxhash64("_body") == F.col("_t")), "left").select("_doc", "_body", "keep")
+def _applied(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, digest: bool) -> DataFrame:
+    """row (all columns of docs, with the text that stays, or only the id with digest), n_lines, n_dropped, kept_sha256 (null without digest)."""
+    marks = marks.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "keep")
+    row = F.struct(*([F.col(f"`{doc_id}`")] if digest else [F.col(f"`{c}`") for c in docs.columns]))
+    base = docs.select(row.alias("row"), F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_body"))
+    joined = base.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.xxhash64("_body") == F.col("_t")), "left").select("row", "_body", "keep")
+    place = None if digest else docs.columns.index(text)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = [_stay(t, k) for t, k in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
-            last = [hashlib.sha256(x[2]).hexdigest() if digest else x[2].decode() for x in rows]
+            raw = batch.column(1)
+            rows = [_stay(t, k) for t, k in zip(as_bytes(raw), batch.column(2).to_pylist(), strict=True)]
+            row = batch.column(0)
+            if place is not None:
+                fields = row.flatten()
+                kept = [None if null else x[2] for x, null in zip(rows, raw.is_null().to_pylist(), strict=True)]
+                fields[place] = pa.array(kept, pa.binary()).cast(pa.string())
+                row = pa.StructArray.from_arrays(fields, [f.name for f in row.type])
             counts = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(last, pa.string())], ["doc_id", "n_lines", "n_dropped", "last"])
+            codes = pa.array([hashlib.sha256(x[2]).hexdigest() if digest else None for x in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([row, *counts, codes], ["row", "n_lines", "n_dropped", "kept_sha256"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = joined.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, last string")
-    return out.withColumnsRenamed({"doc_id": doc_id, "last": "kept_sha256" if digest else text})
+    return joined.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """Applies mark_lines: docs with the text that stays; with digest doc_id, n_lines, n_dropped, kept_sha256 instead.
+
+    One row for each row of docs. A null or empty text is one empty line, which stays. Documents are
+    told apart by id and text, so that repeated rows count as one document and each lose the same
+    lines; a null id is an id; other columns are handed on as they are; an empty table gives an empty
+    result.
+    """
+    marks = mark_lines(docs, min_documents, min_chars, keep_first, doc_id, text)
+    out = _applied(docs, marks, doc_id, text, digest)
+    return out.select(f"row.`{doc_id}`", "n_lines", "n_dropped", "kept_sha256") if digest else out.select("row.*")

@@ -197,3 +197,18 @@ def classify(docs: DataFrame, model: Trees, threshold: float = 0.7, doc_id: str
     source = docs.select(doc_id, F.col(text).cast("string").alias("_text"))
     scored = source.mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, score double")
     return scored.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Trees, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least the threshold."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = as_bytes(batch.column(place))
+            for a, b in groups(texts):
+                yield batch.slice(a, b - a).filter(pa.array(shared.value.score(statistics(texts[a:b])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
