@@ -126,6 +126,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             last, seen = sizes[-1], int(ranks[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(ranks)], [*batch.schema.names, "_part", "_rank"])
 
+    pieces = materialise(pieces, "cut")  # else the range sort's sampling would tokenize everything once more
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     order = [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")]
     ordered = pieces.repartitionByRange(*order).sortWithinPartitions(*order)
