@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -11,15 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textscan import as_bytes
 
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY, DOCUMENT = ["h1", "h2"], ["_doc", "_text"]
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """Equal for lines that are equal without ASCII white space at their ends and with A-Z lower-cased.
+
+    Lower-casing the UTF-8 bytes as Latin-1 characters is quick; it moves the first bytes of longer
+    characters too, but the same way everywhere and never onto one another (see decontam.words).
+    """
+    return F.lower(F.decode(F.btrim(line, F.lit(BLANKS)).cast("binary"), "ISO-8859-1"))
 
 
 def _streamed(batches) -> Iterator:
@@ -82,8 +84,9 @@ def mark_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, kee
     """
     base = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text"), F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("lines"))
     lines = base.select(*DOCUMENT, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= max(1, min_chars))
+    lines = lines.where(F.char_length(F.btrim("line", F.lit(BLANKS))) >= max(1, min_chars)).withColumn("key", line_key(F.col("line")))
     hashes = lines.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), *DOCUMENT, "pos", "n_lines")
+    hashes = materialise(hashes, "hashes")  # else the range sort's sampling would split all texts once more
     ordered = hashes.repartitionByRange(*KEY, *DOCUMENT).sortWithinPartitions(*KEY, *DOCUMENT, "pos")
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"h1 long, h2 int, _doc {kind}, _text long, pos int, n_lines int, part int, documents long, first boolean, edge boolean"
@@ -98,41 +101,36 @@ def mark_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, kee
     return gone.mapInArrow(_bitmaps, f"_doc {kind}, _text long, n_lines int, n_dropped long, keep binary")
 
 
-def _stay(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
-    """Lines, lines dropped, and the lines that stay, joined."""
-    lines = text.split(b"\n")
-    if keep is None:
-        return len(lines), 0, text
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines)).view(bool)
-    kept = [x for x, k in zip(lines, bits.tolist(), strict=True) if k]
-    return len(lines), len(lines) - len(kept), b"\n".join(kept)
-
+def _words(batches) -> Iterator:
+    """keep as 64-bit words, the first line in the highest bit, for functions of the engine."""
+    import pyarrow as pa
 
-def _applied(docs: DataFrame, marks: DataFrame, doc_id: str, text: str, digest: bool) -> DataFrame:
-    """row (all columns of docs, with the text that stays, or only the id with digest), n_lines, n_dropped, kept_sha256 (null without digest)."""
-    marks = marks.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "keep")
-    row = F.struct(*([F.col(f"`{doc_id}`")] if digest else [F.col(f"`{c}`") for c in docs.columns]))
-    base = docs.select(row.alias("row"), F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_body"))
-    joined = base.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.xxhash64("_body") == F.col("_t")), "left").select("row", "_body", "keep")
-    place = None if digest else docs.columns.index(text)
+    for batch in batches:
+        out = []
+        for packed in batch.column(2).to_pylist():
+            raw = zlib.decompress(packed)
+            out.append(np.frombuffer(raw + bytes(-len(raw) % 8), ">i8").tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["_d", "_t", "keep"])
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            raw = batch.column(1)
-            rows = [_stay(t, k) for t, k in zip(as_bytes(raw), batch.column(2).to_pylist(), strict=True)]
-            row = batch.column(0)
-            if place is not None:
-                fields = row.flatten()
-                kept = [None if null else x[2] for x, null in zip(rows, raw.is_null().to_pylist(), strict=True)]
-                fields[place] = pa.array(kept, pa.binary()).cast(pa.string())
-                row = pa.StructArray.from_arrays(fields, [f.name for f in row.type])
-            counts = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
-            codes = pa.array([hashlib.sha256(x[2]).hexdigest() if digest else None for x in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([row, *counts, codes], ["row", "n_lines", "n_dropped", "kept_sha256"])
+def _applied(docs: DataFrame, marks: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row (all columns of docs), and of its lines n_lines, n_dropped, and kept, the text that stays (null for a null text).
 
-    return joined.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+    Texts only go through functions of the engine: none is sent to Python.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    marks = marks.select("_doc", "_text", "keep").mapInArrow(_words, f"_d {kind}, _t long, keep array<long>")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    base = docs.select(row.alias("row"), F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_body"))
+    joined = base.join(marks, F.col("_doc").eqNullSafe(F.col("_d")) & (F.xxhash64("_body") == F.col("_t")), "left")
+    split = joined.select("row", "_body", "keep", F.split(F.coalesce("_body", F.lit("")), "\n", -1).alias("lines"))
+    stay = F.expr("filter(lines, (x, i) -> (shiftrightunsigned(get(keep, cast(i div 64 as int)), 63 - i % 64) & 1) = 1)")
+    split = split.select("row", "_body", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("keep").isNotNull(), stay).alias("stay"))
+    return split.select(
+        "row", "n_lines",
+        F.when(F.col("stay").isNotNull(), F.col("n_lines") - F.size("stay")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("stay").isNotNull(), F.array_join("stay", "\n")).otherwise(F.col("_body")).alias("kept"),
+    )
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -144,5 +142,8 @@ def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, ke
     result.
     """
     marks = mark_lines(docs, min_documents, min_chars, keep_first, doc_id, text)
-    out = _applied(docs, marks, doc_id, text, digest)
-    return out.select(f"row.`{doc_id}`", "n_lines", "n_dropped", "kept_sha256") if digest else out.select("row.*")
+    if digest:
+        out = _applied(docs.select(doc_id, text), marks, doc_id, text)
+        return out.select(f"row.`{doc_id}`", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    columns = [F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns]
+    return _applied(docs, marks, doc_id, text).select(*columns)
