@@ -69,7 +69,7 @@ class WaveletMatrix:
         for shift in range(width - 1, -1, -1):
             bit = (now & now.dtype.type(1 << shift)) != 0
             planes.append(Plane(np.packbits(bit), len(now)))
-            now = np.concatenate((now[~bit], now[bit]))
+            now = np.concatenate((now.compress(~bit), now.compress(bit)))
         return cls(planes, len(values))
 
     def values(self) -> np.ndarray:
@@ -78,8 +78,8 @@ class WaveletMatrix:
         now = np.zeros(self.size, np.uint16 if width <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
             bit, back = plane.bits(), np.empty_like(now)
-            back[~bit] = now[: plane.zeros]
-            back[bit] = now[plane.zeros :] | now.dtype.type(1 << shift)
+            now[plane.zeros :] |= now.dtype.type(1 << shift)
+            back[np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit)))] = now
             now = back
         return now
 
