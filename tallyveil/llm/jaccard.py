@@ -98,7 +98,10 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, wor
 
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """The rows of wanted (rep, cls, ...) with their shingles, found again in the text of rep."""
+    """The rows of wanted (rep, cls, ...) with their shingles, found again in the text of rep.
+
+    How many texts are wanted grows with the corpus, so they are never broadcast, at any size.
+    """
     more = [c for c in wanted.columns if c != "rep"]
     at = more.index("cls") + 1
 
@@ -114,7 +117,7 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, w
                 yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([sets[k].tobytes() for k in keep], pa.binary())], [*more, "shingles"])
 
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    joined = rows.join(wanted, F.col("_doc").eqNullSafe(F.col("rep"))).select("_text", *more)
+    joined = rows.join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("rep"))).select("_text", *more)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "rep")
     return joined.mapInArrow(run, f"{schema}, shingles binary")
 
@@ -122,20 +125,30 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, w
 def components(edges: DataFrame, name: str) -> DataFrame:
     """v and label, the smallest vertex of its component, for the vertices of edges (a, b).
 
-    Labels spread to neighbours and then jump to the label's own label, so that the number of rounds
-    grows with the logarithm of a component's width; every round is written to the shared folder.
+    Every round points each vertex at its smallest neighbour, follows the pointers to their ends, and
+    contracts the edges to those: only edges between different ends go on, so that vertices at least
+    halve in a round. What a round leaves is written to the shared folder.
     """
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("label")), f"{name}-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "v").select("v", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("jump"))
-        new = materialise(spread.join(jump, "next").select("v", F.least("next", "jump").alias("label"), "label").toDF("v", "label", "was"), f"{name}-labels")
-        changed = new.where(F.col("label") != F.col("was")).limit(1).count()
-        labels = new.select("v", "label")
-        if not changed:
-            return labels
+    edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges")
+    rounds: list[DataFrame] = []
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        ends = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("end")), f"{name}-ends")
+        while True:
+            further = ends.select(F.col("v").alias("end"), F.col("end").alias("next"))
+            moved = materialise(ends.join(further, "end").select("v", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")), f"{name}-ends")
+            ends = moved.select("v", "end")
+            if not moved.where("moved").limit(1).count():
+                break
+        rounds.append(ends)
+        edges = edges.join(ends.toDF("a", "x"), "a").select("x", "b").distinct().join(ends.toDF("b", "y"), "b")
+        edges = materialise(edges.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    label = rounds[0].toDF("v", "label")
+    for ends in rounds[1:]:  # an end of one round is a vertex of the next, if it still has edges
+        label = label.join(ends.toDF("label", "end"), "label", "left").select("v", F.coalesce("end", "label").alias("label"))
+    return materialise(label, f"{name}-labels") if len(rounds) > 1 else label
 
 
 def _verify(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
@@ -238,6 +251,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     label = components(members.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
     known = classes.join(label, F.col("cls") == F.col("v")).select("cls", "rep", "n_copies", "size", "label")
     sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    sizes = materialise(sizes, "sizes")  # so that the join with it may split a label that very many classes have
     known = materialise(known.join(sizes, "label").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0)), "known")
 
     split = known.where("blocks > 1").select("cls", "label", "block")
@@ -253,7 +267,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     links = found.groupBy(F.col("cls").alias("_c")).agg(F.sum("links").alias("links"))
     label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes")
     joined = classes.join(label, F.col("cls") == F.col("v")).select("cls", "label", "rep")
-    first = joined.groupBy("label").agg(F.min("rep").alias("class_id"))
+    first = materialise(joined.groupBy("label").agg(F.min("rep").alias("class_id")), "first")
     linked = joined.join(first, "label").select(F.col("cls").alias("_v"), "class_id", "label")
     info = classes.select("cls", "rep", "n_copies").join(links, F.col("cls") == F.col("_c"), "left").join(linked, F.col("cls") == F.col("_v"), "left")
     info = info.select(
