@@ -23,7 +23,7 @@ def chunk(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the places of its cuts, from 0 to its length.
 
     A place is a cut if the gear hash of the 16 bytes up to it is larger than those of the 24 places
-    before and not smaller than those of the 24 after. So chunks have more than 24 bytes (but a text's
+    before and not smaller than those of the 24 after. So chunks have more than 24 bytes (but a text's first and
     last), about 50 on average, and cuts depend on at most 40 bytes to the left and 24 to the right: a
     repeated passage is cut alike wherever it stands. A run of one byte has no cuts and is one chunk.
     """
