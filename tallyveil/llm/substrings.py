@@ -62,7 +62,13 @@ def _chunked(batches) -> Iterator:
             for text, cuts in zip(texts[a:b], chunk(texts[a:b]), strict=True):
                 ends = cuts.tolist()
                 view = memoryview(text)
-                codes = np.fromiter((digest(view[x:y]) for x, y in zip(ends, ends[1:])), np.uint64, len(ends) - 1).view(np.int64)
+                spans = list(zip(ends, ends[1:], strict=False))
+                if len(spans) > 1:  # a short first or last chunk says little: it counts together with its neighbour
+                    if spans[0][1] <= REACH:
+                        spans[0] = (0, ends[2])
+                    if spans[-1][1] - spans[-1][0] <= REACH:
+                        spans[-1] = (ends[-3], ends[-1])
+                codes = np.fromiter((digest(view[x:y]) for x, y in spans), np.uint64, len(spans)).view(np.int64)
                 space = SPACES[np.frombuffer(text, np.uint8)]
                 word = ~space & np.concatenate(([True], space))[: len(space)]
                 counts = np.add.reduceat(word, cuts[:-1], dtype=np.int32) if len(text) else np.zeros(0, np.int32)
