@@ -53,11 +53,16 @@ def exact_quantiles(df: DataFrame, column: Column, shares: Sequence[float]) -> l
     return out
 
 
+def interior_shares(bins: int) -> list[float]:
+    """Multiples of 1 / bins as an evenly spaced grid has them, to the last digit: 0.6 is 6 * 0.1, a little more than 0.6."""
+    return [i * (1 / bins) for i in range(1, bins)]
+
+
 def quantile_edges(df: DataFrame, column: Column, bins: int = 10, zero_aware: bool = False) -> list[float]:
     """Different interior quantiles; zero-aware drops values up to 0 first."""
     if zero_aware:
         df = df.where(column > 0)
-    return sorted(set(exact_quantiles(df, column, [i / bins for i in range(1, bins)])))
+    return sorted(set(exact_quantiles(df, column, interior_shares(bins))))
 
 
 def count_edges(x: Column, edges: Sequence[float]) -> Column:
@@ -97,7 +102,7 @@ class Deciles:
             df = df.where(column != 0)
         elif zero == "offset":
             df = df.where(column > 0)
-        return cls(tuple(sorted(set(exact_quantiles(df, column, [i / bins for i in range(1, bins)])))), zero)
+        return cls(tuple(sorted(set(exact_quantiles(df, column, interior_shares(bins))))), zero)
 
     def code(self, column: Column) -> Column:
         found = count_edges(column.cast("double"), self.edges)

@@ -81,8 +81,8 @@ def average_rank(value: str) -> Column:
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation of average ranks, 0 for constant columns. Meant for tables of candidates, which one task ranks."""
     r = rows.select(average_rank(a).alias("x"), average_rank(b).alias("y"))
-    both = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return r.agg(F.when(both, F.corr("x", "y")).otherwise(F.lit(0.0)).alias("spearman"))
+    scale = F.stddev_pop("x") * F.stddev_pop("y")
+    return r.agg(F.coalesce(F.try_divide(F.covar_pop("x", "y"), scale), F.lit(0.0)).alias("spearman"))
 
 
 def recall_by_size(truth: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ COLUMNS = range(8)
 
 
 def edges(column: str, table: str, where: str = "true", bins: int = 10) -> str:
-    shares = ", ".join(f"{i}/{bins}.0::double" for i in range(1, bins))
+    shares = ", ".join(f"{i * (1 / bins)!r}::double" for i in range(1, bins))
     return f"(select list_sort(list_distinct(quantile_cont({column}::double, [{shares}]))) from {table} where {where})"
 
 

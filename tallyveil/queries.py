@@ -15,6 +15,7 @@ from .oracle import laplace, name, on_orders, splitmix, tag, uniform
 from .plans import config, protocol
 from .sources import files, views
 from .sources.views import read
+from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1163,3 +1164,37 @@ def _(spark, d):
 @query("cr11_hashed_rows", on_orders("select tid, sha256('secret|' || tid) htid from ord"))
 def _(spark, d):
     return _orders(spark, d).select("tid", F.sha2(F.concat_ws("|", F.lit("secret"), F.col("tid").cast("string")), 256).alias("htid"))
+
+
+# Streams
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+_EVENTS = "with e as (select event_id tid, (dense_rank() over (order by event_type) - 1)::bigint a0, (user_id % 8)::bigint a1 from events)"
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events")
+    code = encode.Categories.fit(events, F.col("event_type")).code(F.col("event_type"))
+    rows = incremental.source(spark, events, f"{d}/events*.parquet")
+    return rows.select(F.col("event_id").alias("tid"), code.cast("bigint").alias("a0"), (F.col("user_id") % 8).cast("bigint").alias("a1"))
+
+
+@query("st1_stream_histogram", f"{_EVENTS} select 0 attr, a0 as value, count(*) n from e group by a0 union all select 1, a1, count(*) from e group by a1")
+def _(spark, d):
+    return incremental.run_to_table(incremental.histogram(_event_stream(spark, d)), _stream_folder(spark))
+
+
+_EVENT_RANKS = f"{_EVENTS}, k as materialized (select j, {splitmix(f'j::uhugeint + {SEED}::uhugeint')} s from range(8) t(j)), h as materialized (select tid, a0, a1, j, {splitmix('xor(tid::ubigint, s)')} h from e, k), rk as (select *, least(greatest(ceil(-ln(1 - ((h >> 11)::double + 0.5) / 9007199254740992.0) / ln(2.0)), 1), 65535)::int r from h)"
+
+
+@query("st2_stream_sketch", f"{_EVENT_RANKS} select 'a0=1' as key, j::int j, max(r) as \"rank\" from rk where a0 = 1 group by j union all select 'both', j::int, max(r) from rk where a0 = 1 and a1 = 2 group by j")
+def _(spark, d):
+    members = {"a0=1": counts.matches(((0, 1),)), "both": counts.matches(((0, 1), (1, 2)))}
+    return incremental.run_to_table(incremental.sketch(_event_stream(spark, d), members, 8, SEED), _stream_folder(spark))
