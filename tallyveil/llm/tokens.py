@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Texts that take the library's own way: other scripts, characters of disputed class, special strings.
-_OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fİɐ-\U0010ffff]|<\\|")
+_OTHER = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f²³¹¼½¾İɐ-\U0010ffff]|<\\|")
+#: Bytes of Latin letters, spaces, newlines, commas and dots: a text of these alone, which is quick to tell, is none of the above.
+_LETTERS = bytes([*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ,.\n", *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+
+
+def _other(text: str) -> bool:
+    return bool(text.encode().translate(None, _LETTERS) or "İ" in text) and bool(_OTHER.search(text))
 
 
 def _library(path: str):
@@ -24,8 +30,11 @@ def _library(path: str):
     return found
 
 
-def _packed(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
 
 
 def _ranks(path: str, special, end: bytes = b"") -> dict[bytes, int]:
@@ -67,52 +76,41 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         return [
-            _packed(self.library.encode(t, add_special_tokens=False).ids) if _OTHER.search(t) else self.quick.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes()
+            _packed(self.library.encode(t, add_special_tokens=False).ids if _other(t) else self.quick.encode_ordinary(t))
             for t in texts
         ]
 
 
 class WordBpe:
-    """A BPE file whose words are cut at white space and lower-cased: ids are kept by word.
+    """A BPE file whose text is lower-cased and cut into runs of letters, single digits and runs of marks.
 
-    At most `most` words are kept; then all are dropped and found again as they come.
+    Plain texts are written with a space after every piece, which then stands for the end of a word in
+    the ranks: one pass of tiktoken merges the whole text.
     """
 
-    MARK = "\x01"
-    TAILS = ".,;:!?#$%&*|()[]<>\"/+=-"
+    #: The file's pieces, for texts of the quick way: contractions, letters, a digit, other marks.
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    #: What a text of _LETTERS must not have to be letters and single commas and dots.
+    MARKS = ("×", "÷", "İ", ",,", "..", ",.", ".,")
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.library, self.most, self.known = _library(path), most, {}
-        ranks = _ranks(path, {t.content for t in self.library.get_added_tokens_decoder().values()}, self.MARK.encode())
-        self.quick = _merger(f"[^{self.MARK}]+{self.MARK}", ranks)
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)
-        self.ends[[i for word, i in ranks.items() if len(word) > 1 and word.endswith(self.MARK.encode())]] = True
-
-    def _learn(self, words: list[str]) -> None:
-        """Words of letters only: each is one piece to the file's pattern."""
-        if words:
-            ids = self.quick.encode_to_numpy(self.MARK.join(words) + self.MARK, disallowed_special=()).astype("<u4")
-            cut, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()], ids.tobytes()
-            self.known.update(zip(words, (raw[a:b] for a, b in zip(cut, cut[1:])), strict=True))
+    def __init__(self, path: str):
+        self.library = _library(path)
+        ranks = _ranks(path, {t.content for t in self.library.get_added_tokens_decoder().values()}, b" ")
+        self.quick = _merger("[^ ]+ ", ranks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, words = self.known, [None if _OTHER.search(t) else t.lower().split() for t in texts]
-        new = {w for some in words if some for w in some if w not in known}
-        letters, tailed = {w for w in new if w.isalpha()}, []
-        for w in new - letters:  # letters and then a run of marks: two pieces
-            stem = w.rstrip(self.TAILS)
-            if stem and stem.isalpha():
-                letters.add(stem)
-                tailed.append((w, stem, w[len(stem) :]))
-        rest = new - letters - {w for w, _, _ in tailed} | {tail for _, _, tail in tailed}
-        self._learn([w for w in letters if w not in known])
-        rest = [w for w in rest if w not in known]
-        known.update(zip(rest, (_packed(e.ids) for e in self.library.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        known.update((w, known[stem] + known[tail]) for w, stem, tail in tailed)
-        return [_packed(self.library.encode(t, add_special_tokens=False).ids) if some is None else b"".join([known[w] for w in some]) for t, some in zip(texts, words, strict=True)]
+        out = []
+        for t in texts:
+            if t.encode().translate(None, _LETTERS) or any(x in t for x in self.MARKS):
+                if _OTHER.search(t):
+                    out.append(_packed(self.library.encode(t, add_special_tokens=False).ids))
+                    continue
+                spaced = " ".join(self.PIECE.findall(t.lower()))
+            else:
+                spaced = t.lower().replace(".", " . ").replace(",", " , ").replace("\n", " ")
+            out.append(_packed(self.quick.encode_ordinary(spaced + " ")))
+        return out
 
 
 @lru_cache(4)

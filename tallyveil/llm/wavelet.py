@@ -19,6 +19,8 @@ MAGIC = b"TVWM1\n"
 STEP = 512
 #: Tokens that a shard holds before it is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 19
+#: Files that a task reads, while that doesn't need more tasks than MOST_TASKS.
+FILES_PER_TASK, MOST_TASKS = 8, 20_000
 
 
 class Plane:
@@ -236,8 +238,10 @@ def read_tokens(manifest: DataFrame, id_type: str = "long", digest: bool = False
                 what = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(starts + start), pa.array(lengths), what], ["doc_id", "start", "n_tokens", last.split()[0]])
 
-    files = manifest.select("path", "start")
-    return files.repartition(F.col("path")).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, {last}")
+    # By number, as a few paths are so small that they would be put together in one task otherwise.
+    tasks = max(1, min(-(-manifest.count() // FILES_PER_TASK), MOST_TASKS))
+    files = manifest.select("path", "start").repartition(tasks)
+    return files.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, {last}")
 
 
 def token_folder(spark) -> str:
