@@ -36,6 +36,13 @@ def circuit_supports(wide: DataFrame, items: Sequence[Item], itemsets: Sequence[
     )
 
 
+def packed_operations(rows: int, itemset: Itemset, owner: Mapping[int, int], items: Mapping[int, int]) -> tuple[int, int, int, int]:
+    """NOT, OR, AND and XOR gates for one candidate where only the owners of its items test, each over all its public items, and their bits are joined."""
+    involved = {owner[a] for a, _ in itemset}
+    width, tests = max(1, math.ceil(math.log2(rows + 1))), sum(items[c] for c in involved)
+    return rows * tests, rows * tests, rows * (tests + len(involved) - 1 + width), rows * width
+
+
 def subset_circuit(query: Sequence[int], row: Sequence[int]) -> int:
     """1 where every asked bit is set: AND over all places of (NOT q) OR t."""
     if len(query) != len(row):

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import OTHER, Item, Itemset
@@ -95,6 +95,16 @@ def mutual_information(wide: DataFrame, base2: bool = False) -> DataFrame:
     return both.select("left", "right", nmi.alias("nmi"), "mi", "hx", "hy")
 
 
+def group_report(wide: DataFrame, groups: Sequence[int]) -> DataFrame:
+    """One row: mean entropy in bits, mean mutual information within and across groups of columns, mean share of the most frequent value."""
+    of = F.array(*(F.lit(g) for g in groups))
+    pairs = mutual_information(wide, base2=True).withColumn("within", F.get(of, F.col("left")) == F.get(of, F.col("right")))
+    nmi = pairs.agg(F.avg(F.when(F.col("within"), F.col("nmi"))).alias("within_nmi"), F.avg(F.when(~F.col("within"), F.col("nmi"))).alias("across_nmi"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("attr"))
+    each = histogram(wide).withColumn("p", share).groupBy("attr").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.max("p").alias("top"))
+    return each.agg(F.avg("h").alias("entropy_bits"), F.avg("top").alias("top_share")).crossJoin(nmi)
+
+
 def _order(pair: tuple[Itemset, int]) -> tuple:
     return (-pair[1], pair[0])
 
@@ -131,14 +141,12 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
         rows = _collapsed(wide, items)
         level: list[tuple[int, ...]] = [(j,) for j in range(len(items))]
         for size in range(2, max_size + 1):
-            ahead = {j: j for j in range(len(items))}
             # An itemset is tried if its parts of one item less are all frequent.
             frequent = set(level)
             tried = [
                 s + (j,) for s in level for j in range(s[-1] + 1, len(items))
                 if all(items[j][0] != items[i][0] for i in s) and (size == 2 or all(s[:d] + s[d + 1 :] + (j,) in frequent for d in range(size - 1)))
             ]
-            del ahead
             visited += len(tried)
             level = []
             for at in range(0, len(tried), TRIED):
@@ -147,7 +155,6 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
                 if size >= min_size:
                     keep([(tuple(sorted(items[j] for j in s)), n) for s, n in counted if n >= floor()])
                 level += [s for s, n in counted if n >= floor() and n]
-            level = [s for s in level]
             if not level:
                 break
     cutoff = found[-1][1] if found else None

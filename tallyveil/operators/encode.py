@@ -86,11 +86,11 @@ class Categories:
 
 @dataclass(frozen=True)
 class Deciles:
-    """Codes by the number of edges not above a value. zero says how zeros are coded.
+    """Codes by the number of edges not above a value.
 
-    "none": by the edges alone, as for constant columns code 0; "own": zeros are 0 and everything else
-    moves up by one, with edges of nonzero values; "offset": zeros and below are 0 likewise, with edges
-    of positive values.
+    "none": edges are the different quantiles without the smallest and the largest value, so that a
+    constant column is coded 0. "own" and "offset": zeros are 0 and everything else moves up by one;
+    edges are the different interior quantiles of the values other than 0, or over 0.
     """
 
     edges: tuple[float, ...]
@@ -98,19 +98,14 @@ class Deciles:
 
     @classmethod
     def fit(cls, df: DataFrame, column: Column, bins: int = 10, zero: str = "none") -> Deciles:
-        if zero == "own":
-            df = df.where(column != 0)
-        elif zero == "offset":
-            df = df.where(column > 0)
+        if zero == "none":
+            return cls(tuple(sorted(set(exact_quantiles(df, column, [0.0, *interior_shares(bins), 1.0])))[1:-1]), zero)
+        df = df.where(column != 0 if zero == "own" else column > 0)
         return cls(tuple(sorted(set(exact_quantiles(df, column, interior_shares(bins))))), zero)
 
     def code(self, column: Column) -> Column:
         found = count_edges(column.cast("double"), self.edges)
-        if self.zero == "own":
-            return F.when(column == 0, F.lit(0).cast("bigint")).otherwise(found + 1)
-        if self.zero == "offset":
-            return F.when(column <= 0, F.lit(0).cast("bigint")).otherwise(found + 1)
-        return found
+        return found if self.zero == "none" else F.when(column == 0, F.lit(0).cast("bigint")).otherwise(found + 1)
 
 
 def category_table(df: DataFrame, column: str, code: str = "code") -> DataFrame:

@@ -94,10 +94,13 @@ def recall_by_size(truth: DataFrame, candidates: DataFrame, k: int) -> DataFrame
 
 
 def tie_recall(truth: DataFrame, predicted: DataFrame, k: int) -> DataFrame:
-    """Recall that counts any itemset with the cutoff's support as good as those that were chosen."""
-    top = truth.orderBy(F.desc("support"), "itemset").limit(k).agg(F.min("support").alias("cutoff"), F.count(F.lit(1)).alias("top"))
-    hit = predicted.join(truth, "itemset").crossJoin(F.broadcast(top)).where("support >= cutoff").agg(F.count(F.lit(1)).alias("hits"))
-    return hit.crossJoin(top).select(_ratio(F.least("hits", "top"), F.col("top")).alias("tie_recall"))
+    """Recall that takes any itemset with the cutoff's support for one of those chosen at it, as many as were chosen."""
+    top = truth.orderBy(F.desc("support"), "itemset").limit(k)
+    cut = top.agg(F.min("support").alias("cutoff"), F.count(F.lit(1)).alias("top"))
+    slots = top.crossJoin(F.broadcast(cut)).agg(F.count_if(F.col("support") == F.col("cutoff")).alias("slots"))
+    hit = predicted.select("itemset").distinct().join(truth, "itemset").crossJoin(F.broadcast(cut))
+    hits = hit.agg(F.count_if(F.col("support") > F.col("cutoff")).alias("sure"), F.count_if(F.col("support") == F.col("cutoff")).alias("tied"))
+    return hits.crossJoin(slots).crossJoin(cut).select(_ratio(F.col("sure") + F.least("tied", "slots"), F.col("top")).alias("tie_recall"))
 
 
 def sweep_k(truth: DataFrame, estimates: DataFrame, ks: list[int]) -> DataFrame:

@@ -10,6 +10,12 @@ def edges(column: str, table: str, where: str = "true", bins: int = 10) -> str:
     return f"(select list_sort(list_distinct(quantile_cont({column}::double, [{shares}]))) from {table} where {where})"
 
 
+def inner_edges(column: str, table: str, bins: int = 10) -> str:
+    """Different quantiles without the least and the greatest value."""
+    shares = ", ".join(f"{i * (1 / bins)!r}::double" for i in range(bins)) + ", 1.0::double"
+    return f"(select list_sort(list_distinct(quantile_cont({column}::double, [{shares}])))[2:-2] from {table})"
+
+
 def below(column: str, list_sql: str) -> str:
     return f"len(list_filter({list_sql}, lambda e: e <= {column}))"
 
@@ -18,7 +24,7 @@ def below(column: str, list_sql: str) -> str:
 ORDERS = f"""
 raw as (select o_orderkey tid, o_orderstatus, o_orderpriority, c_mktsegment, n_regionkey, o_orderdate, o_totalprice, c_acctbal
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
-price as (select {edges("o_totalprice", "orders")} e), balance as (select {edges("c_acctbal", "raw", "c_acctbal <> 0")} e),
+price as (select {inner_edges("o_totalprice", "orders")} e), balance as (select {edges("c_acctbal", "raw", "c_acctbal <> 0")} e),
 ord as materialized (select tid, (dense_rank() over (order by o_orderstatus) - 1)::bigint a0, (dense_rank() over (order by o_orderpriority) - 1)::bigint a1,
         (dense_rank() over (order by c_mktsegment) - 1)::bigint a2, (dense_rank() over (order by n_regionkey) - 1)::bigint a3,
         (year(o_orderdate) - 1992)::bigint a4, (quarter(o_orderdate) - 1)::bigint a5, {below("o_totalprice", "price.e")}::bigint a6,

@@ -63,6 +63,27 @@ def generate(spark: SparkSession, rows: int, columns: int, domain: int, group: i
     return spark.range(rows).withColumnRenamed("id", "tid").select("tid", *(cells[a].alias(f"a{k}") for k, a in enumerate(order)))
 
 
+def suite() -> dict[str, dict]:
+    """The generated tables of the sweeps, by name; 50,000 rows, 24 columns in groups of 4."""
+    base = {"rows": 50_000, "columns": 24, "domain": 8, "group": 4, "correlation": 0.75, "exponent": 0.0}
+    out = {name: base | {"correlation": c, "seed": 3101} for name, c in (("independent_uniform", 0.0), ("weakcorr_uniform", 0.25), ("mediumcorr_uniform", 0.5), ("correlated_uniform", 0.75), ("highcorr_uniform", 0.9))}
+    out |= {f"correlated_zipf_{layout}": base | {"exponent": 1.2, "seed": 3201, "interleaved": layout == "interleaved"} for layout in ("grouped", "interleaved")}
+    out["highcorr_zipf_grouped"] = base | {"correlation": 0.9, "exponent": 1.5, "seed": 3202}
+    out |= {f"tail_zipf_{e:g}".replace(".", "_"): base | {"exponent": e, "seed": 3301} for e in (0.0, 0.6, 1.2, 1.8)}
+    return out | {f"domain_{d}": base | {"domain": d, "exponent": 1.2, "seed": 3401} for d in (4, 8, 16, 32)}
+
+
+def write_suite(spark: SparkSession, folder: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Writes the suite's tables as coded CSV; returns name, rows and digest of each."""
+    rows = []
+    for name in names or suite():
+        wide = generate(spark, **suite()[name])
+        write_coded(wide, f"{folder}/{name}")
+        found = table_digest(wide.drop("tid")).first()
+        rows.append((name, found["rows"], found["digest"]))
+    return spark.createDataFrame(rows, "name string, rows bigint, digest string")
+
+
 def toy(spark: SparkSession, rows: int = 1200, seed: int = 2026) -> DataFrame:
     """Eight bits: four latent ones twice, each copy flipped with chance 0.08."""
     cells = []

@@ -82,7 +82,9 @@ def test_coders(spark):
     want = np.where(x == 0, 0, 1 + np.searchsorted(edges, x, side="right"))
     assert [r[0] for r in df.select(encode.Deciles.fit(df, F.col("x"), zero="own").code(F.col("x"))).collect()] == want.tolist()
     same = spark.createDataFrame([(5.0,)] * 4, "x double")
-    assert {r[0] for r in same.select(encode.Deciles.fit(same, F.col("x")).code(F.col("x"))).collect()} == {1}
+    assert {r[0] for r in same.select(encode.Deciles.fit(same, F.col("x")).code(F.col("x"))).collect()} == {0}
+    inner = np.unique(np.quantile(x, np.linspace(0, 1, 11)))[1:-1]
+    assert [r[0] for r in df.select(encode.Deciles.fit(df, F.col("x")).code(F.col("x"))).collect()] == np.searchsorted(inner, x, side="right").tolist()
     with pytest.raises(ValueError):
         encode.clean_row(df, 3, "s")
 
@@ -216,3 +218,11 @@ def test_files(spark, tmp_path):
     assert toy.count() == 1200 and len(toy.columns) == 9
     made = files.generate(spark, 2000, 4, 3, 2, 1.0, 0.0, 1)
     assert made.where("a0 <> a1").count() == 0 and made.where("a0 <> a2").count() > 0
+
+
+def test_suite(spark, tmp_path):
+    assert len(files.suite()) == 16
+    done = files.write_suite(spark, str(tmp_path), ["domain_4"]).first()
+    assert done.rows == 50_000 and files.read_coded(spark, str(tmp_path / "domain_4"), 24).count() == 50_000
+    report = counts.group_report(files.generate(spark, 3000, 8, 4, 4, 0.9, 0.0, 5), [a // 4 for a in range(8)]).first()
+    assert report.within_nmi > 0.3 > 0.05 > report.across_nmi and report.entropy_bits > 1.9

@@ -321,3 +321,18 @@ def test_registry():
 
     known, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(known) and len(known) > 100
+
+
+def test_command_line(spark, tmp_path):
+    from tallyveil import cli
+
+    assert cli.main(["prepare", "--output", str(tmp_path)], spark) == 0
+    common = ["--csv", str(tmp_path / "toy"), "--width", "8", "--k", "3", "--m", "16", "--epsilon", "30", "--clients", "2", "--max-size", "2"]
+    assert cli.main(["run", *common, "--methods", "First-round", "FO", "--output", str(tmp_path / "r")], spark) == 0
+    assert spark.read.csv(str(tmp_path / "r" / "aggregated"), header=True).count() == 2
+    assert cli.main(["suite", *common, "--methods", "First-round", "--experiments", "3", "--output", str(tmp_path / "s")], spark) == 0
+    assert cli.main(["crypto", *common, "--max-rows", "40", "--bits", "256", "--output", str(tmp_path)], spark) == 0
+    (tmp_path / "c.json").write_text(json.dumps({"data": {"path": "toy", "clients": 2}, "protocol": {"k": 3, "m": 16, "epsilon": 30.0, "max_size": 2}}))
+    assert cli.main(["configured", "--config", str(tmp_path / "c.json"), "--width", "8", "--output", str(tmp_path / "c")], spark) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["run", *common, "--methods", "FO", "FO", "--output", str(tmp_path)], spark)
