@@ -14,43 +14,64 @@ from ..functions.prf import uniform, uniform_value
 INLINE_DOMAIN = 256
 
 
-def exact_quantiles(df: DataFrame, column: Column, shares: Sequence[float]) -> list[float]:
-    """Exact quantiles with linear interpolation; [] for no rows.
+#: Slices that an approximate pass cuts a column's values into.
+SLICES = 64
+
+
+def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]], sets: Sequence[Column] = ()) -> tuple[list[list[float]], list[list]]:
+    """Exact quantiles with linear interpolation of several columns ([] without values), and the sorted different values of others.
 
-    Values are counted first. An approximate pass cuts them into slices of about equal weight; slices
-    are summed (a row each), and only those that hold a wanted rank are sorted. So neither all values
-    nor a whole count table meet in one task, as they would in percentile().
+    Three passes for all columns together. An approximate one cuts each column into slices of about
+    equal weight (and collects the sets, which are public domains); rows are counted by slice; only the
+    slices that hold a wanted rank have their values counted and sorted. So neither all values nor a
+    whole table of their counts meet in one task, as they would in percentile().
     """
-    values = df.select(column.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    cuts = df.select(F.percentile_approx(column.cast("double"), F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(2000)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    piece = sum(((F.col("x") > c).cast("int") for c in cuts), F.lit(0))
-    values = values.withColumn("slice", piece)
-    slices = {r["slice"]: r["n"] for r in values.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
-    total = sum(slices.values())
-    if not total:
-        return []
-    base, at = {}, 0
-    for k in sorted(slices):
-        base[k] = at
-        at += slices[k]
-    ranks = [(int(s * (total - 1)), s * (total - 1)) for s in shares]
-    wanted = sorted({min(r + d, total - 1) for r, _ in ranks for d in (0, 1)})
-    holders = [k for k in slices if any(base[k] <= r < base[k] + slices[k] for r in wanted)]
-    inside = Window.partitionBy("slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.create_map(*(F.lit(v) for k in holders for v in (k, base[k])))
-    ends = values.where(F.col("slice").isin(holders)).withColumn("end", F.sum("n").over(inside) + offset[F.col("slice")])
-    hit = F.exists(F.array(*(F.lit(r) for r in wanted)), lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))
-    found = [(r["end"] - r["n"], r["end"], r["x"]) for r in ends.where(hit).select("end", "n", "x").collect()]
-
-    def value(rank: int) -> float:
-        return next(x for a, b, x in found if a <= rank < b)
+    marks = F.array(*(F.lit(i / SLICES) for i in range(1, SLICES)))
+    base = df.select(*(c.cast("double").alias(f"x{k}") for k, (c, _) in enumerate(wanted)), *(c.alias(f"s{k}") for k, c in enumerate(sets)))
+    aggs = [F.percentile_approx(f"x{k}", marks, F.lit(2000)).alias(f"c{k}") for k in range(len(wanted))] + [F.array_sort(F.collect_set(f"s{k}")).alias(f"v{k}") for k in range(len(sets))]
+    first = base.agg(*aggs).first()
+    values = [list(first[f"v{k}"]) for k in range(len(sets))]
+    if not wanted:
+        return [], values
+    cells = []
+    for k in range(len(wanted)):
+        cuts = sorted(set(first[f"c{k}"] or []))
+        cells.append(F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), sum(((F.col(f"x{k}") > c).cast("int") for c in cuts), F.lit(0)).alias("slice")))
+    cells = base.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null")
+    sizes = {(r["k"], r["slice"]): r["count"] for r in cells.groupBy("k", "slice").count().collect()}
+    totals = [sum(n for (j, _), n in sizes.items() if j == k) for k in range(len(wanted))]
+    base_of, at = {}, [0] * len(wanted)
+    for k, piece in sorted(sizes):
+        base_of[k, piece] = at[k]
+        at[k] += sizes[k, piece]
+    ranks = [[(int(s * (n - 1)), s * (n - 1)) for s in shares] if n else [] for (_, shares), n in zip(wanted, totals, strict=True)]
+    needed = [{min(r + d, n - 1) for r, _ in some for d in (0, 1)} for some, n in zip(ranks, totals, strict=True)]
+    holders = [key for key in sizes if any(base_of[key] <= r < base_of[key] + sizes[key] for r in needed[key[0]])]
+    if not holders:
+        return [[] for _ in wanted], values
+    code = F.col("k") * (SLICES + 1) + F.col("slice")
+    start = F.create_map(*(F.lit(x) for k, piece in holders for x in (k * (SLICES + 1) + piece, base_of[k, piece])))
+    inside = Window.partitionBy("code").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cells.withColumn("code", code).where(F.col("code").isin([k * (SLICES + 1) + piece for k, piece in holders])).groupBy("k", "code", "x").agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.withColumn("end", F.sum("n").over(inside) + start[F.col("code")])
+    hit = F.lit(False)
+    for k, some in enumerate(needed):
+        if some:
+            hit = hit | ((F.col("k") == k) & F.exists(F.array(*(F.lit(r) for r in sorted(some))), lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end"))))
+    found = [(r["k"], r["end"] - r["n"], r["end"], r["x"]) for r in ends.where(hit).select("k", "end", "n", "x").collect()]
+
+    def value(k: int, rank: int) -> float:
+        return next(x for j, a, b, x in found if j == k and a <= rank < b)
 
     out = []
-    for low, place in ranks:
-        a, b = value(low), value(min(low + 1, total - 1))
-        out.append(a + (b - a) * (place - low))
-    return out
+    for k, some in enumerate(ranks):
+        pairs = [(value(k, low), value(k, min(low + 1, totals[k] - 1)), place - low) for low, place in some]
+        out.append([a + (b - a) * t for a, b, t in pairs])
+    return out, values
+
+
+def exact_quantiles(df: DataFrame, column: Column, shares: Sequence[float]) -> list[float]:
+    return exact_quantiles_of(df, [(column, shares)])[0][0]
 
 
 def interior_shares(bins: int) -> list[float]:
@@ -98,16 +119,24 @@ class Deciles:
 
     @classmethod
     def fit(cls, df: DataFrame, column: Column, bins: int = 10, zero: str = "none") -> Deciles:
-        if zero == "none":
-            return cls(tuple(sorted(set(exact_quantiles(df, column, [0.0, *interior_shares(bins), 1.0])))[1:-1]), zero)
-        df = df.where(column != 0 if zero == "own" else column > 0)
-        return cls(tuple(sorted(set(exact_quantiles(df, column, interior_shares(bins))))), zero)
+        return fit_coders(df, [], [(column, zero)], bins)[1][0]
 
     def code(self, column: Column) -> Column:
         found = count_edges(column.cast("double"), self.edges)
         return found if self.zero == "none" else F.when(column == 0, F.lit(0).cast("bigint")).otherwise(found + 1)
 
 
+def fit_coders(df: DataFrame, categories: Sequence[Column], numbers: Sequence[tuple[Column, str]], bins: int = 10) -> tuple[list[Categories], list[Deciles]]:
+    """Coders of several columns of a table; numbers are (column, zero) as in Deciles."""
+    shares = {"none": [0.0, *interior_shares(bins), 1.0]}
+    kept = {"none": lambda c: c, "own": lambda c: F.when(c != 0, c), "offset": lambda c: F.when(c > 0, c)}
+    wanted = [(kept[zero](c), shares.get(zero, interior_shares(bins))) for c, zero in numbers]
+    found, values = exact_quantiles_of(df, wanted, categories)
+    edges = [tuple(sorted(set(e))) for e in found]
+    deciles = [Deciles(e[1:-1] if zero == "none" else e, zero) for e, (_, zero) in zip(edges, numbers, strict=True)]
+    return [Categories(tuple(v)) for v in values], deciles
+
+
 def category_table(df: DataFrame, column: str, code: str = "code") -> DataFrame:
     """value and code of a domain too large for an expression; to be joined."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()

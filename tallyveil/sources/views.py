@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.encode import Categories, Deciles
+from ..operators.encode import fit_coders
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -36,22 +36,18 @@ def orders_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 def orders_view(spark: SparkSession, folder: str) -> DataFrame:
     """Status, priority, segment, region, year, quarter, price decile, balance decile."""
-    raw, categories = orders_raw(spark, folder), ("o_orderstatus", "o_orderpriority", "c_mktsegment", "n_regionkey")
-    cells = [Categories.fit(_source(spark, folder, c), F.col(c)).code(F.col(c)) for c in categories]
-    price = Deciles.fit(read(spark, folder, "orders"), F.col("o_totalprice"))
-    balance = Deciles.fit(raw, F.col("c_acctbal"), zero="own")
+    raw, names = orders_raw(spark, folder), ("o_orderstatus", "o_orderpriority", "c_mktsegment", "n_regionkey")
+    categories, (price, balance) = fit_coders(raw, [F.col(c) for c in names], [(F.col("o_totalprice"), "none"), (F.col("c_acctbal"), "own")])
+    cells = [c.code(F.col(name)) for c, name in zip(categories, names, strict=True)]
     year = F.year("o_orderdate") - F.lit(1992)
     return View(raw, F.col("o_orderkey"), (*cells, year, F.quarter("o_orderdate") - 1, price.code(F.col("o_totalprice")), balance.code(F.col("c_acctbal")))).wide()
 
 
-def _source(spark: SparkSession, folder: str, column: str) -> DataFrame:
-    return read(spark, folder, {"o": "orders", "c": "customer", "n": "nation"}[column[0]])
-
-
 def lineitem_view(spark: SparkSession, folder: str) -> DataFrame:
     """Return flag, status, line number, discount, tax, quantity band, year, quarter. tid is a hash of the row, for counting only."""
     raw = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity", "l_shipdate", "l_extendedprice")
-    flag, status = (Categories.fit(raw, F.col(c)).code(F.col(c)) for c in ("l_returnflag", "l_linestatus"))
+    (flags, states), _ = fit_coders(raw, [F.col("l_returnflag"), F.col("l_linestatus")], [])
+    flag, status = flags.code(F.col("l_returnflag")), states.code(F.col("l_linestatus"))
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     cells = (flag, status, F.col("l_linenumber"), cents("l_discount"), cents("l_tax"), F.floor(F.col("l_quantity") / 10), F.year("l_shipdate") - 1992, F.quarter("l_shipdate") - 1)
     return View(raw, F.xxhash64(*raw.columns), cells).wide()
@@ -60,7 +56,6 @@ def lineitem_view(spark: SparkSession, folder: str) -> DataFrame:
 def events_view(spark: SparkSession, folder: str) -> DataFrame:
     """Type, six-hour slot, weekday, user modulo 8, value decile."""
     raw = read(spark, folder, "events").select("event_id", "event_type", "ts", "user_id", "value")
-    kind = Categories.fit(raw, F.col("event_type")).code(F.col("event_type"))
-    value = Deciles.fit(raw, F.col("value"))
-    cells = (kind, F.floor(F.hour("ts") / 6), F.weekday("ts"), F.col("user_id") % 8, value.code(F.col("value")))
+    (kinds,), (value,) = fit_coders(raw, [F.col("event_type")], [(F.col("value"), "none")])
+    cells = (kinds.code(F.col("event_type")), F.floor(F.hour("ts") / 6), F.weekday("ts"), F.col("user_id") % 8, value.code(F.col("value")))
     return View(raw, F.col("event_id"), cells).wide()
