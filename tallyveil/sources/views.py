@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.encode import fit_coders
+from ..operators.encode import Categories, Deciles, fit_coders
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -26,6 +26,17 @@ class View:
         return self.raw.select(self.tid.cast("bigint").alias("tid"), *(c.cast("bigint").alias(f"a{k}") for k, c in enumerate(self.coded)))
 
 
+#: Coders that were fitted in a session, by application, folder and view: public tables are coded once.
+_fitted: dict[tuple[str, str, str], tuple[list[Categories], list[Deciles]]] = {}
+
+
+def _coders(raw: DataFrame, folder: str, view: str, categories: list[Column], numbers: list[tuple[Column, str]]) -> tuple[list[Categories], list[Deciles]]:
+    key = (raw.sparkSession.sparkContext.applicationId, folder, view)
+    if key not in _fitted:
+        _fitted[key] = fit_coders(raw, categories, numbers)
+    return _fitted[key]
+
+
 def orders_raw(spark: SparkSession, folder: str) -> DataFrame:
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
     customers = read(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
@@ -37,7 +48,7 @@ def orders_raw(spark: SparkSession, folder: str) -> DataFrame:
 def orders_view(spark: SparkSession, folder: str) -> DataFrame:
     """Status, priority, segment, region, year, quarter, price decile, balance decile."""
     raw, names = orders_raw(spark, folder), ("o_orderstatus", "o_orderpriority", "c_mktsegment", "n_regionkey")
-    categories, (price, balance) = fit_coders(raw, [F.col(c) for c in names], [(F.col("o_totalprice"), "none"), (F.col("c_acctbal"), "own")])
+    categories, (price, balance) = _coders(raw, folder, "orders", [F.col(c) for c in names], [(F.col("o_totalprice"), "none"), (F.col("c_acctbal"), "own")])
     cells = [c.code(F.col(name)) for c, name in zip(categories, names, strict=True)]
     year = F.year("o_orderdate") - F.lit(1992)
     return View(raw, F.col("o_orderkey"), (*cells, year, F.quarter("o_orderdate") - 1, price.code(F.col("o_totalprice")), balance.code(F.col("c_acctbal")))).wide()
@@ -46,7 +57,7 @@ def orders_view(spark: SparkSession, folder: str) -> DataFrame:
 def lineitem_view(spark: SparkSession, folder: str) -> DataFrame:
     """Return flag, status, line number, discount, tax, quantity band, year, quarter. tid is a hash of the row, for counting only."""
     raw = read(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity", "l_shipdate", "l_extendedprice")
-    (flags, states), _ = fit_coders(raw, [F.col("l_returnflag"), F.col("l_linestatus")], [])
+    (flags, states), _ = _coders(raw, folder, "lineitem", [F.col("l_returnflag"), F.col("l_linestatus")], [])
     flag, status = flags.code(F.col("l_returnflag")), states.code(F.col("l_linestatus"))
     cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
     cells = (flag, status, F.col("l_linenumber"), cents("l_discount"), cents("l_tax"), F.floor(F.col("l_quantity") / 10), F.year("l_shipdate") - 1992, F.quarter("l_shipdate") - 1)
@@ -56,6 +67,6 @@ def lineitem_view(spark: SparkSession, folder: str) -> DataFrame:
 def events_view(spark: SparkSession, folder: str) -> DataFrame:
     """Type, six-hour slot, weekday, user modulo 8, value decile."""
     raw = read(spark, folder, "events").select("event_id", "event_type", "ts", "user_id", "value")
-    (kinds,), (value,) = fit_coders(raw, [F.col("event_type")], [(F.col("value"), "none")])
+    (kinds,), (value,) = _coders(raw, folder, "events", [F.col("event_type")], [(F.col("value"), "none")])
     cells = (kinds.code(F.col("event_type")), F.floor(F.hour("ts") / 6), F.weekday("ts"), F.col("user_id") % 8, value.code(F.col("value")))
     return View(raw, F.col("event_id"), cells).wide()
