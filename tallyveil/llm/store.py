@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local master without that setting gets one of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -14,7 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    own = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
