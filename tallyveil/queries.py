@@ -1208,3 +1208,112 @@ _EVENT_RANKS = f"{_EVENTS}, k as materialized (select j, {splitmix(f'j::uhugeint
 def _(spark, d):
     members = {"a0=1": counts.matches(((0, 1),)), "both": counts.matches(((0, 1), (1, 2)))}
     return incremental.run_to_table(incremental.sketch(_event_stream(spark, d), members, 8, SEED), _stream_folder(spark))
+
+
+# Single supports, bits, probabilities and checks
+
+
+@query("a1_support", on_orders("select count(*) support from ord where a0 = 2 and a3 = 1 and a5 = 3"))
+def _(spark, d):
+    return _orders(spark, d).agg(F.count_if(counts.matches(((0, 2), (3, 1), (5, 3)))).alias("support"))
+
+
+def _bit_sql(truth: str, epsilon: float, *parts: str) -> str:
+    p, q = randomizer.parameters(epsilon)
+    return f"({uniform(tag(*parts))} < case when {truth} then {p!r}::double else {q!r}::double end)::int"
+
+
+@query("n9_unary_bits", on_orders(f"select tid, val::int as value, {_bit_sql('a3 = val', 1.5, '6', chr(39) + 'oue' + chr(39), '3', 'val', 'tid')} bit from ord, range(5) t(val)"))
+def _(spark, d):
+    cells = _orders(spark, d).select("tid", "a3", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("value"))
+    return cells.select("tid", "value", randomizer.bit(F.col("a3") == F.col("value"), 1.5, 6, "oue", 3, F.col("value"), F.col("tid")).alias("bit"))
+
+
+@query("n11_membership_bits", on_orders(f"select tid, {_bit_sql('a0 = 2 and a5 = 3', 2.0, '6', chr(39) + 'pair' + chr(39), 'tid')} bit from ord"))
+def _(spark, d):
+    return _orders(spark, d).select("tid", randomizer.bit(counts.matches(((0, 2), (5, 3))), 2.0, 6, "pair", F.col("tid")).alias("bit"))
+
+
+#: Observed ranks and intersection sizes at which probabilities are shown; sets of 60 and 50, 9 phantoms each, floor 2.
+_SEEN, _SIZES, _SETS, _GHOSTS, _LOW = range(3, 9), (5.0, 20.0, 45.0), (60.0, 50.0), 9.0, 2.0
+
+
+def _corner_sql(three: bool) -> str:
+    f = lambda x: f"ln(1 - power(2.0, -greatest({x}, 1)))"
+    corners = "(select * from (values (0), (1)) a(p), (values (0), (1)) b(q)" + (", (values (0), (1)) c(r)" if three else "") + ")"
+    limits = ["x - p", "y - q"] + (["z - r"] if three else [])
+    lowest = f"least({', '.join(limits)})"
+    base = f"{_SETS[0] + _GHOSTS} * {f('x - p')} + {_SETS[1] + _GHOSTS} * {f('y - q')}" + (f" + {_GHOSTS} * {f('z - r')}" if three else "")
+    term = f"{base} + s * ({f(lowest)} - {f('x - p')} - {f('y - q')})"
+    legal = " and ".join(f"{x} >= {_LOW}" for x in limits)
+    sign = "(case when (p + q" + (" + r" if three else "") + ") % 2 = 1 then -1 else 1 end)"
+    names = "x, y" + (", z" if three else "")
+    seen = "(select x, y" + (", z" if three else "") + f" from range({_SEEN[0]}, {_SEEN[-1] + 1}) a(x), range({_SEEN[0]}, {_SEEN[-1] + 1}) b(y)" + (f", range({_SEEN[0]}, {_SEEN[-1] + 1}) c(z)" if three else "") + ")"
+    return f"""with t as (select {names}, s, {sign} sg, {term} v from {seen}, (values (5.0::double), (20.0), (45.0)) d(s), {corners} where {legal}), m as (select {names}, s, max(v) top from t group by all)
+        select {", ".join(f"{n}::int {n}" for n in names.split(", "))}, s size, round_even(any_value(top) + ln(greatest(sum(sg * exp(v - top)), 2.2250738585072014e-308)), 5)::double log_p from t join m using ({names}, s) group by {names}, s
+        having sum(sg * exp(v - top)) > 1e-9"""
+
+
+def _corners(spark: SparkSession, three: bool) -> DataFrame:
+    import itertools
+
+    import numpy as np
+
+    seen = np.array(list(itertools.product(_SEEN, repeat=3 if three else 2)), float)
+    weights = np.array([_SETS[0] + _GHOSTS, _SETS[1] + _GHOSTS] + ([_GHOSTS] if three else []))
+    found = sketch._differences(seen, np.full(seen.shape[1], _LOW), 1.0, lambda each: each @ weights, lambda each, common: common - each[:, :, 0] - each[:, :, 1], np.array(_SIZES))
+    rows = [(*map(int, o), s, float(v)) for o, some in zip(seen, found, strict=True) for s, v in zip(_SIZES, some, strict=True) if v > -300]
+    names = "x int, y int" + (", z int" if three else "")
+    return spark.createDataFrame(rows, f"{names}, size double, log_p double").withColumn("log_p", _round("log_p", 5))
+
+
+@query("e11_joint_probability", _corner_sql(False))
+def _(spark, d):
+    return _corners(spark, False)
+
+
+@query("e15_nested_probability")
+def _(spark, d):
+    return _corners(spark, True)
+
+
+@query("w4_audited_run")
+def _(spark, d):
+    row = protocol.run_case(_orders(spark, d), config.Config(protocol=_RUN), "MAP-S")
+    return spark.createDataFrame([(k, str(v)) for k, v in row.items()], "field string, value string")
+
+
+@query("v7_encrypted_supports_match", "select true as matches")
+def _(spark, d):
+    wide, best = _some_candidates(spark, d, 2, 4)
+    some = [c.itemset for c in candidates.collect_candidates(best)]
+    found, _ = circuits.encrypted_mining(wide, some, partition.owner_map(PARTS), 100, bits=256)
+    return spark.createDataFrame([(found == counts.supports(wide, some),)], "matches boolean")
+
+
+@query("cr6_blinded_comparisons", "select n_nationkey, (n_nationkey > n_regionkey)::int greater from nation")
+def _(spark, d):
+    public, private = circuits.key_pair(256)
+    compare = circuits.Comparison(public, private, 1000, 64)
+    rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()  # a fixed table of 25 rows
+    out = [(r["n_nationkey"], private.decrypt(compare.greater(public.encrypt(r["n_nationkey"]), public.encrypt(r["n_regionkey"])))) for r in rows]
+    return spark.createDataFrame(out, "n_nationkey int, greater int")
+
+
+@query("cr7_border_checks", "select i::int as owner, true as passed, 6 as required, 0 as missing from range(4) t(i)")
+def _(spark, d):
+    import itertools
+
+    rows = []
+    for owner in range(CLIENTS):
+        good, bad, made = circuits.check_pattern(owner, 3)
+        sets = {frozenset(s) for p in good | bad for n in range(1, len(p) + 1) for s in itertools.combinations(sorted(p), n)}
+        found = circuits.check_answer(good, bad, {s for s in sets if sum(s <= r for r in made) > 3})
+        rows.append((owner, found["passed"], found["required"], found["missing"]))
+    return spark.createDataFrame(rows, "owner int, passed boolean, required int, missing int")
+
+
+@query("cr12_publication_gate", "select * from (values ('all', true), ('one missing', false), ('none', false)) t(requirements, publishable)")
+def _(spark, d):
+    rows = [("all", circuits.publishable({"a": True, "b": True})), ("one missing", circuits.publishable({"a": True, "b": False})), ("none", circuits.publishable({}))]
+    return spark.createDataFrame(rows, "requirements string, publishable boolean")
