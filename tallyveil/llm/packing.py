@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textscan import groups
+from .textscan import groups, slices
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -28,7 +28,7 @@ def tokenize(docs: DataFrame, encoder, end_id: int, capacity: int, doc_id: str =
         import pyarrow as pa
 
         words, tail = encoder(), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = [x or "" for x in batch.column(1).to_pylist()], batch.column(0)
             for a, b in groups(texts):
                 of, rows = [], []

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import PUNCTUATION, SPACES, Scan, as_bytes, groups, mix
+from .textscan import PUNCTUATION, SPACES, Scan, as_bytes, groups, mix, slices
 
 #: Most labelled rows that a model is fitted on, taken in the order of a hash of their ids.
 FIT_ROWS = 30_000
@@ -153,7 +153,7 @@ def _measured(rows: DataFrame, extra: str, kind: str) -> DataFrame:
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             for a, b in groups(texts):
                 x = statistics(texts[a:b])
@@ -189,7 +189,7 @@ def classify(docs: DataFrame, model: Trees, threshold: float = 0.7, doc_id: str
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(1))
             for a, b in groups(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(shared.value.score(statistics(texts[a:b])))], [doc_id, "score"])
@@ -206,7 +206,7 @@ def accepted(docs: DataFrame, model: Trees, threshold: float = 0.7, text: str =
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(place))
             for a, b in groups(texts):
                 yield batch.slice(a, b - a).filter(pa.array(shared.value.score(statistics(texts[a:b])) >= threshold))

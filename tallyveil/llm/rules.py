@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import SPACES, Scan, as_bytes, groups
+from .textscan import SPACES, Scan, as_bytes, groups, slices
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_as_last", "n_letters", "n_upper")
 #: Name and condition of failure; a rule's bit is its place here. Rules are only ever appended.
@@ -87,7 +87,7 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = as_bytes(batch.column(1)), batch.column(0)
             for a, b in groups(texts):
                 found = measure(texts[a:b])

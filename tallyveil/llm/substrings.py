@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textscan import BYTE, SPACES, as_bytes, groups
+from .textscan import BYTE, SPACES, as_bytes, groups, slices
 
 #: Bytes that the rolling hash covers, and bytes at either side among which a cut's hash is the largest.
 COVER, REACH = 16, 24
@@ -55,7 +55,7 @@ def _chunked(batches) -> Iterator:
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in slices(batches):
         texts = as_bytes(batch.column(2))
         for a, b in groups(texts):
             lists: tuple[list, list, list] = ([], [], [])
@@ -104,7 +104,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, words, found = (batch.column(k).to_pylist() for k in range(4))
             out = []
             for doc, size, word, hits in zip(ids, sizes, words, found, strict=True):

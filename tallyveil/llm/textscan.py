@@ -109,6 +109,17 @@ class Scan:
         return mix(total)[at], at
 
 
+def slices(batches, rows: int = 512) -> Iterator:
+    """The batches in pieces of a few rows, so that only those are Python objects at a time; what a batch took is then given back."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def as_bytes(column) -> list[bytes]:
     """The texts of an Arrow column; null counts as empty."""
     import pyarrow as pa

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialise, new_path
-from .textscan import groups
+from .textscan import groups, slices
 
 MAGIC = b"TVWM1\n"
 #: Bits between two counts of the rank directory.
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, encoder, folder: str, width: int, end_id: int,
             held.clear()
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for a, b in groups([t for t in texts], 1 << 18):
                 for key, x in zip(keys[a:b], words.encode(texts[a:b]), strict=True):
