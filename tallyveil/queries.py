@@ -1071,7 +1071,7 @@ def _(spark, d):
     return metrics.spearman(truth.join(estimates, "itemset"), "guess", "support").select(_round("spearman").alias("spearman"))
 
 
-@query("v4_recall_by_size", on_orders("select size::int size, count(*) true_top_count, count_if(g <= 20) recalled, round_even(count_if(g <= 20) / count(*), 6)::double recall from rk where p <= 15 group by size", *_JUDGED))
+@query("v4_recall_by_size", on_orders("select size::int size, count(*) true_top_count, count_if(g <= 20)::bigint recalled, round_even(count_if(g <= 20) / count(*), 6)::double recall from rk where p <= 15 group by size", *_JUDGED))
 def _(spark, d):
     truth, estimates = _judged(spark, d)
     some = estimates.orderBy(F.desc("estimate"), "itemset").limit(20)
