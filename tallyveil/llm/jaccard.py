@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .textscan import BASE, PUNCTUATION, Scan, as_bytes, groups, mix
+from .textscan import BASE, PUNCTUATION, Scan, as_bytes, groups, mix, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -79,7 +79,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, wor
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column(2))
             for a, b in groups(texts):
                 sets = shingles(texts[a:b], words)
@@ -108,7 +108,7 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, w
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, cls = as_bytes(batch.column(0)), batch.column(at).to_pylist()
             for a, b in groups(texts):
                 sets = shingles(texts[a:b], words)
@@ -122,33 +122,34 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, w
     return joined.mapInArrow(run, f"{schema}, shingles binary")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, rows: int) -> DataFrame:
     """v and label, the smallest vertex of its component, for the vertices of edges (a, b).
 
     Every round points each vertex at its smallest neighbour, follows the pointers to their ends, and
     contracts the edges to those: only edges between different ends go on, so that vertices at least
-    halve in a round. What a round leaves is written to the shared folder.
+    halve in a round. What a round leaves is written to the shared folder, in files by `rows`, the most
+    edges there may be.
     """
-    edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges")
+    edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges", rows)
     rounds: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        ends = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("end")), f"{name}-ends")
+        ends = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("end")), f"{name}-ends", rows)
         while True:
             further = ends.select(F.col("v").alias("end"), F.col("end").alias("next"))
-            moved = materialise(ends.join(further, "end").select("v", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")), f"{name}-ends")
+            moved = materialise(ends.join(further, "end").select("v", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")), f"{name}-ends", rows)
             ends = moved.select("v", "end")
             if not moved.where("moved").limit(1).count():
                 break
         rounds.append(ends)
         edges = edges.join(ends.toDF("a", "x"), "a").select("x", "b").distinct().join(ends.toDF("b", "y"), "b")
-        edges = materialise(edges.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges")
+        edges = materialise(edges.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges", rows)
     if not rounds:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
     label = rounds[0].toDF("v", "label")
     for ends in rounds[1:]:  # an end of one round is a vertex of the next, if it still has edges
         label = label.join(ends.toDF("label", "end"), "label", "left").select("v", F.coalesce("end", "label").alias("label"))
-    return materialise(label, f"{name}-labels") if len(rounds) > 1 else label
+    return materialise(label, f"{name}-labels", rows) if len(rounds) > 1 else label
 
 
 def _verify(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
@@ -205,7 +206,7 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "links", "hub"])
 
         out: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for label, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, i, j) != key:
                     if len(held) > 1:
@@ -248,11 +249,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     tries = classes.select("cls", F.explode("keys").alias("node"))
     nodes = tries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("hub")).where("n > 1").select("node", "hub")
     members = materialise(tries.join(materialise(nodes, "nodes"), "node"), "members")
-    label = components(members.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
+    most = members.count()  # of the candidates: bounds the small tables below
+    label = components(members.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "candidates", most)
     known = classes.join(label, F.col("cls") == F.col("v")).select("cls", "rep", "n_copies", "size", "label")
     sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    sizes = materialise(sizes, "sizes")  # so that the join with it may split a label that very many classes have
-    known = materialise(known.join(sizes, "label").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0)), "known")
+    sizes = materialise(sizes, "sizes", most)  # so that the join with it may split a label that very many classes have
+    known = materialise(known.join(sizes, "label").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0)), "known", most)
 
     split = known.where("blocks > 1").select("cls", "label", "block")
     shared = members.join(split, "cls").select("node", "label", "block").distinct()
@@ -260,14 +262,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     pairs = pairs.select("label", "i", "j").union(sizes.where("blocks = 1").select("label", F.lit(0).cast("long"), F.lit(0).cast("long"))).distinct()
     sides = pairs.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     full = materialise(_with_shingles(docs, known.select("rep", "cls", "n_copies", "label", "block"), doc_id, text, words), "shingles")
-    work = full.join(materialise(sides, "pairs"), ["label", "block"]).select("label", "i", "j", "cls", "block", "n_copies", "shingles")
+    work = full.join(materialise(sides, "pairs", most), ["label", "block"]).select("label", "i", "j", "cls", "block", "n_copies", "shingles")
     work = work.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     found = materialise(_blocks(work, threshold), "links")
 
     links = found.groupBy(F.col("cls").alias("_c")).agg(F.sum("links").alias("links"))
-    label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes")
+    label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes", most)
     joined = classes.join(label, F.col("cls") == F.col("v")).select("cls", "label", "rep")
-    first = materialise(joined.groupBy("label").agg(F.min("rep").alias("class_id")), "first")
+    first = materialise(joined.groupBy("label").agg(F.min("rep").alias("class_id")), "first", most)
     linked = joined.join(first, "label").select(F.col("cls").alias("_v"), "class_id", "label")
     info = classes.select("cls", "rep", "n_copies").join(links, F.col("cls") == F.col("_c"), "left").join(linked, F.col("cls") == F.col("_v"), "left")
     info = info.select(
@@ -287,8 +289,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     Texts without words stay, but of rows with the same id and text only one does.
     """
     found = materialise(jaccard_join(docs, doc_id=doc_id, text=text, **how), "joined")
-    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    first = first.select("x.doc_id", "x.text_hash")
     stay = first.union(found.where("class_key is null").select("doc_id", "text_hash").distinct())
-    stay = materialise(stay.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "stay")
-    rows = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
-    return rows.dropDuplicates([doc_id, text])
+    counted = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).toDF("d", "h", "rows")
+    stay = stay.join(counted, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")))
+    stay = materialise(stay.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.col("rows") > 1).alias("many")), "stay")
+
+    def of(some: DataFrame) -> DataFrame:
+        return docs.join(some, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
+
+    rows, repeated = of(stay.where("not many")), stay.where("many")
+    # Only rows that are there more than once, which is rare, are compared with one another as a whole.
+    return rows.union(of(repeated).dropDuplicates([doc_id, text])) if repeated.limit(1).count() else rows

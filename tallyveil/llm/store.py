@@ -30,8 +30,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors cost only a reread."""
+#: Rows of a small table that go to one file.
+ROWS_PER_FILE = 250_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage is cut, and lost executors cost only a reread.
+
+    rows, where it is known, is an upper bound of df's rows: a small table isn't written in as many
+    files as there are shuffle partitions.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
