@@ -167,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
     Labels other than 0 and 1, null ids and ids without a document are left out. The sample is the
     first rows by a hash of the id, the same at every size of the corpus; only it is sent to the
-    executors (as a broadcast, bounded by `most`) and only its statistics come to the driver.
+    executors (as a broadcast, bounded by `most`) and only its statistics come to the driver: at most
+    4 * most rows, should many of the sample's ids be there several times.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
