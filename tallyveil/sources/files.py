@@ -8,7 +8,7 @@ import os
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,13 +19,19 @@ from ..operators.encode import attributes
 def read_coded(spark: SparkSession, path: str, width: int) -> DataFrame:
     """tid and a0, a1, ... of CSV files with the heading 0, 1, ..., width - 1; anything else is an error.
 
-    The position of a row in its file is its identity (the reader gives it, in file order, by path and
-    block), so that every owner's columns stay aligned.
+    A row's identity is its position: over the files by path, from 0, whatever pieces they are read
+    in, so that every owner's columns stay aligned. Pieces are counted (a row for each piece of a file)
+    and a row's place in its piece is added to what the pieces before it hold.
     """
     schema = T.StructType([T.StructField(str(k), T.LongType()) for k in range(width)])
     rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
-    numbered = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-    return numbered.select(F.xxhash64("_at.file_path", "_at.col3").alias("tid"), *(F.col(f"`{k}`").alias(f"a{k}") for k in range(width)))
+    cells = [F.col(f"`{k}`").alias(f"a{k}") for k in range(width)]
+    placed = rows.select(*cells, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    pieces = placed.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = placed.join(F.broadcast(pieces), ["_path", "_start"])
+    return joined.select((F.col("_base") + F.col("_id") - F.col("_first")).alias("tid"), *(f"a{k}" for k in range(width)))
 
 
 def write_coded(wide: DataFrame, path: str) -> None:

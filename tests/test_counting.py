@@ -204,7 +204,16 @@ def test_files(spark, tmp_path):
     files.write_coded(wide.coalesce(1), str(tmp_path / "t"))
     back = files.read_coded(spark, str(tmp_path / "t"), 2)
     assert sorted((r.a0, r.a1) for r in back.collect()) == [(1, 2), (1, 2), (3, 4)]
-    assert back.select("tid").distinct().count() == 3
+    assert [(r.tid, r.a0) for r in back.orderBy("tid").collect()] == [(0, 1), (1, 3), (2, 1)]
+    (tmp_path / "long.csv").write_text("0,1\n" + "".join(f"{k},{k % 7}\n" for k in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        many = files.read_coded(spark, str(tmp_path / "long.csv"), 2)
+        assert many.rdd.getNumPartitions() > 5 and many.where("tid <> a0").count() == 0 and many.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_coded(spark, str(tmp_path / "long.csv"), 3).collect()
     who = {"a": 1}
     assert files.reuse(tmp_path / "r.json", who) is None
     files.store(tmp_path / "r.json", who, {"f1": 0.5})
