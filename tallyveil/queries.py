@@ -477,7 +477,8 @@ def _intersection_sql() -> str:
 @query("n12_unary_intersection", _intersection_sql())
 def _(spark, d):
     blocks = [(counts.matches(((0, 2),)), 6.0, "x"), (counts.matches(((5, 3),)), 6.0, "y")]
-    return _orders(spark, d).agg(_round(randomizer.intersection(None, blocks, 15000, 8)).alias("estimate"))
+    wide = _orders(spark, d)
+    return wide.agg(_round(randomizer.intersection(None, blocks, wide.count(), 8)).alias("estimate"))
 
 
 @query("n13_unary_first_round")
@@ -490,7 +491,7 @@ def _(spark, d):
 def _(spark, d):
     wide, best = _some_candidates(spark, d)
     found = candidates.collect_candidates(best)
-    noisy = randomizer.central_estimates(counts.support_table(wide, [c.itemset for c in found]), 0.5, len(found), 15000.0, SEED)
+    noisy = randomizer.central_estimates(counts.support_table(wide, [c.itemset for c in found]), 0.5, len(found), float(wide.count()), SEED)
     names = spark.createDataFrame([(k, itemsets.text(c.itemset)) for k, c in enumerate(found)], "candidate int, itemset string")
     return noisy.join(names, "candidate").select("itemset", "estimate")
 
@@ -865,6 +866,10 @@ def _private(spark, d) -> DataFrame:
     return sketch.private_table(_sketches(spark, d), 8.0, 1e-5, _SMALL, SEED)
 
 
+def _rows(spark, d) -> int:
+    return _orders(spark, d).count()
+
+
 @query("n7_phantom_ranks", on_orders(f"select key, j, {_NOISE}::bigint noise from sk", _RANKS))
 def _(spark, d):
     return _sketches(spark, d).select("key", "j", sketch.phantom_max(F.lit(_P), 1.0, SEED, F.col("key"), F.col("j")).alias("noise"))
@@ -891,21 +896,22 @@ _SCORES = f"""scores as (select key, place, size, round_even(sum(times * case wh
 
 @query("e4_marginal_map", on_orders("select key, size estimate from (select *, row_number() over (partition by key order by score desc, place) r from scores) where r = 1", _RANKS, _PRIVATE, _GRID, _SCORES))
 def _(spark, d):
-    return sketch.marginal_map_table(_private(spark, d), 15000.0, _P, _FLOOR, 50, 1500)
+    return sketch.marginal_map_table(_private(spark, d), float(_rows(spark, d)), _P, _FLOOR, 50, 1500)
 
 
 @query("a9_likelihood", on_orders("select key, round_even(max(score), 4)::double best from scores group by key", _RANKS, _PRIVATE, _GRID, _SCORES))
 def _(spark, d):
     rows = _private(spark, d)
-    return rows.groupBy("key").applyInPandas(_best_score, "key string, best double")
+    sizes = sketch.grid(float(_rows(spark, d)), 50, 1500)
+    return rows.groupBy("key").applyInPandas(lambda pdf: _best_score(pdf, sizes), "key string, best double")
 
 
-def _best_score(pdf):
+def _best_score(pdf, sizes):
     import numpy as np
     import pandas as pd
 
     seen, times = np.unique(pdf["alpha"].to_numpy(), return_counts=True)
-    total = sketch.grid(15000.0, 50, 1500) + _P
+    total = sizes + _P
     high = sketch.log_cdf(seen, 1.0)[:, None] * total
     low = sketch.log_cdf(seen - 1, 1.0)[:, None] * total
     one = np.where((seen <= _FLOOR)[:, None], high, high + np.log1p(-np.minimum(np.exp(np.minimum(0.0, low - high)), 1 - 1e-15)))
@@ -928,14 +934,15 @@ def _(spark, d):
     items = best.where(F.size("itemset") > 1).select(itemsets.text_column(F.col("itemset")).alias("candidate"), F.explode("itemset").alias("x"))
     h = counts.histogram(wide)
     sizes = items.join(h, (F.col("x.attr") == h["attr"]) & (F.col("x.value") == h["value"])).select("candidate", F.col("n").alias("size"))
-    return sketch.bounds_table(sizes, 15000.0).withColumnRenamed("candidate", "itemset")
+    return sketch.bounds_table(sizes, float(wide.count())).withColumnRenamed("candidate", "itemset")
 
 
 @query("e8_complement_inverse", on_orders(f"select round_even(least(greatest(15000 - ({_SMALL} * 0.7213 / (1 + 1.079 / {_SMALL}) / sum(power(2.0, -alpha)) - {2 * _P}), 0), 15000), 6)::double estimate from (select j, max(alpha) alpha from pv where key in ('a0=2', 'a5=3') group by j)", _RANKS, _PRIVATE))
 def _(spark, d):
     merged = _private(spark, d).where(F.col("key").isin("a0=2", "a5=3")).groupBy("j").agg(F.max("alpha").alias("alpha")).withColumn("key", F.lit("union"))
     union = sketch.cardinality_table(merged, _SMALL, 2 * _P)
-    return union.select(_round(F.least(F.greatest(F.lit(15000.0) - F.col("estimate"), F.lit(0.0)), F.lit(15000.0))).alias("estimate"))
+    n = F.lit(float(_rows(spark, d)))
+    return union.select(_round(F.least(F.greatest(n - F.col("estimate"), F.lit(0.0)), n)).alias("estimate"))
 
 
 def _reports(spark, d, m: int = 256, epsilon: float = 50.0) -> list[sketch.Report]:
@@ -948,14 +955,15 @@ def _reports(spark, d, m: int = 256, epsilon: float = 50.0) -> list[sketch.Repor
 @query("e14_joint_map")
 def _(spark, d):
     a, b, _, c = _reports(spark, d)
-    rows = [("two", sketch.joint_map([a, b], 15000, 1.0, 5, 1500)), ("three", sketch.joint_map([a, b, c], 15000, 1.0, 5, 1500)), ("dense", sketch.joint_map([a, b], 15000, 1.0, 5, 1500, adaptive=False))]
+    n = _rows(spark, d)
+    rows = [("two", sketch.joint_map([a, b], n, 1.0, 5, 1500)), ("three", sketch.joint_map([a, b, c], n, 1.0, 5, 1500)), ("dense", sketch.joint_map([a, b], n, 1.0, 5, 1500, adaptive=False))]
     return spark.createDataFrame(rows, "blocks string, estimate double")
 
 
 @query("e16_nested_map")
 def _(spark, d):
     a, b, both, _ = _reports(spark, d)
-    return spark.createDataFrame([(sketch.nested_map(a, b, both, 15000, 1.0, 5, 1500),)], "estimate double")
+    return spark.createDataFrame([(sketch.nested_map(a, b, both, _rows(spark, d), 1.0, 5, 1500),)], "estimate double")
 
 
 @query("e7_complement_map")
@@ -964,7 +972,8 @@ def _(spark, d):
     some = [((0, 2),), ((5, 3),)]
     clean = sketch.clean_sketches(wide, [~counts.matches(s) for s in some], 256, SEED)
     reports = [sketch.release(0, s, c, 50.0, 1e-5, 1.0, SEED + k, complement=True) for k, (s, c) in enumerate(zip(some, clean, strict=True))]
-    return spark.createDataFrame([(sketch.complement_map(reports, 15000, 1.0, 5, 1500), sketch.complement_inverse(reports, 15000, 1.0))], "map double, inverse double")
+    n = wide.count()
+    return spark.createDataFrame([(sketch.complement_map(reports, n, 1.0, 5, 1500), sketch.complement_inverse(reports, n, 1.0))], "map double, inverse double")
 
 
 @query("e9_category_inverse")
@@ -973,7 +982,8 @@ def _(spark, d):
     others = [((0, 0),), ((0, 1),), ((5, 0),), ((5, 1),), ((5, 2),)]
     clean = sketch.clean_sketches(wide, [counts.matches(s) for s in others], 256, SEED)
     reports = [sketch.release(0, s, c, 50.0, 1e-5, 1.0, SEED + k) for k, (s, c) in enumerate(zip(others, clean, strict=True))]
-    return spark.createDataFrame([(sketch.category_inverse(reports, 15000, 1.0), sketch.category_inverse([], 15000, 1.0))], "estimate double, without double")
+    n = wide.count()
+    return spark.createDataFrame([(sketch.category_inverse(reports, n, 1.0), sketch.category_inverse([], n, 1.0))], "estimate double, without double")
 
 
 # Whole methods
@@ -1050,7 +1060,7 @@ _R = lambda e, a: f"round_even({e}, 6)::double {a}"
 
 @query("v1_ranking_metrics", on_orders(f"select {_R('b / 15', 'f1')}, {_R('b / (30.0 - b)', 'jaccard')}, {_R('(b * 16 - s) / 120.0', 'ncr')}, {_R('mae', 'mae')}, {_R('rmse', 'rmse')}, {_R('rmse / 15000', 'nrmse')} from (select count_if(p <= 15 and g <= 15)::double b, sum(p) filter (p <= 15 and g <= 15) s, avg(abs(estimate - support)) mae, sqrt(avg(power(estimate - support, 2))) rmse from rk)", *_JUDGED))
 def _(spark, d):
-    out = metrics.evaluate(*_judged(spark, d), 15, 15000)
+    out = metrics.evaluate(*_judged(spark, d), 15, _rows(spark, d))
     return out.select(*(_round(c).alias(c) for c in ("f1", "jaccard", "ncr", "mae", "rmse", "nrmse")))
 
 
@@ -1061,7 +1071,7 @@ def _(spark, d):
 
 @query("v3_errors_by_band", on_orders(f"select band, count(*) as \"count\", {_R('avg(abs(estimate - support))', 'mae')}, {_R('sqrt(avg(power(estimate - support, 2)))', 'rmse')} from (select *, case when support / 15000.0 < 0.01 then '0-1%' when support / 15000.0 < 0.05 then '1-5%' when support / 15000.0 < 0.2 then '5-20%' else '20-100%' end band from rk) group by band", *_JUDGED))
 def _(spark, d):
-    out = metrics.by_band(*_judged(spark, d), 15000)
+    out = metrics.by_band(*_judged(spark, d), _rows(spark, d))
     return out.select("band", "count", _round("mae").alias("mae"), _round("rmse").alias("rmse"))
 
 
