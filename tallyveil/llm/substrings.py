@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ COVER, REACH = 16, 24
 #: Words that neighbouring repeated chunks must have together to be reported: what is sure to lie in
 #: whole chunks of a passage of 50 words is less than the passage.
 LEAST_WORDS = 15
+#: In hex, what a cut leaves of a character at the start or the end of a piece.
+HALF = "^(?:[89AB].){1,3}|(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$"
 GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 
 
@@ -81,10 +84,11 @@ def _chunked(batches) -> Iterator:
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each repeated passage of each document: doc_id, start, end, n_words, first_doc_id, is_first.
 
-    start and end are bytes of the UTF-8 text. A passage is a longest run of neighbouring chunks that
-    other documents have too, with at least least_words words. Its first document is the smallest id that
-    has one of the chunks; is_first says that this is so for all chunks of it here, and then the passage
-    stays when repeats are removed. Repeats within one document alone don't count. Documents are told
+    start and end are bytes of the UTF-8 text. A run is a longest one of neighbouring chunks that other
+    documents have too, with at least least_words words together. It is given as one passage for each
+    stretch of chunks with the same first document, the smallest id that has them, so a passage may have
+    fewer words; is_first says that this is the document itself, and then the passage stays when
+    repeats are removed. Repeats within one document alone don't count. Documents are told
     apart by id and text, so that a repeated row is one document, whose passages come with each row; a
     null id is last; null and empty texts have no passages; extra columns are ignored.
 
@@ -116,8 +120,9 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
                     if k == len(at) or at[k] != at[k - 1] + 1:
                         run, total = at[begin:k], sum(word[i] for i in at[begin:k])
                         if total >= least_words:
-                            owners = [first[i] for i in run if first[i] is not None]
-                            out.append((doc, ends[run[0]] - size[run[0]], ends[run[-1]], total, min(owners, default=None), all(first[i] == doc for i in run)))
+                            for owner, part in groupby(run, first.get):
+                                some = list(part)
+                                out.append((doc, ends[some[0]] - size[some[0]], ends[some[-1]], sum(word[i] for i in some), owner, owner == doc))
                         begin = k
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.bool_()]
@@ -134,5 +139,5 @@ def remove_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id"
     raw = F.col(text).cast("binary")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_gone", lambda x: x["end"]))
     ends = F.concat(F.transform("_gone", lambda x: x["start"]), F.array(F.octet_length(raw).cast("long")))
-    kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.try_validate_utf8(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string")))
+    kept = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.unhex(F.regexp_replace(F.hex(F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), HALF, "")).cast("string"))
     return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))).drop("_d", "_gone")

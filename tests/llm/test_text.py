@@ -275,6 +275,25 @@ def test_repeated_passages(spark, texts):
     assert substrings.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefgh", "жщюяфцчш", "漢字仮名交文書"])
+def test_a_passage_after_a_hot_line_keeps_one_copy(spark, letters):
+    rng = random.Random(8)
+    make = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    hot, passage = make(60), make(60)
+    by = {1: make(30) + " " + hot, 5: make(30) + " " + hot + " " + passage, 9: make(30) + " " + hot + " " + passage}
+    df = spark.createDataFrame(list(by.items()), "doc_id long, text string")
+    found = substrings.repeated_passages(df)
+    rows = found.collect()
+    assert {(r.doc_id, r.first_doc_id) for r in rows} == {(1, 1), (5, 1), (5, 5), (9, 1), (9, 5)}
+    for r in rows:
+        assert r.is_first == (r.doc_id == r.first_doc_id)
+        assert by[r.doc_id].encode()[r.start : r.end] in by[r.first_doc_id].encode()
+    left = {r.doc_id: r.text for r in substrings.remove_passages(df, found).collect()}
+    for words in (hot, passage):
+        core = " ".join(words.split()[20:40])
+        assert [k for k, t in left.items() if core in t] == [1 if words is hot else 5]
+
+
 # token files
 
 
