@@ -329,7 +329,7 @@ def _(spark, d):
 
 @query("j10_tid_intersections", on_orders("select labels, n support from (select 'c' || attr || ':' || value labels, count(*) n from cells where attr < 3 group by 1 union all select 'c' || a.attr || ':' || a.value || ' c' || b.attr || ':' || b.value, count(*) from cells a join cells b on a.tid = b.tid and a.attr < b.attr where b.attr < 3 group by 1)"))
 def _(spark, d):
-    long = encode.to_long(_orders(spark, d).select("tid", "a0", "a1", "a2")).select("tid", F.concat(F.lit("c"), "attr", F.lit(":"), "value").alias("label"))
+    long = encode.to_long(_orders(spark, d)).select("tid", F.concat(F.lit("c"), "attr", F.lit(":"), "value").alias("label"))
     return circuits.tid_intersections(long, 2, 100_000).select(F.array_join("labels", " ").alias("labels"), "support")
 
 
@@ -639,7 +639,7 @@ def _(spark, d):
 
 @query("c6_public_universe", on_orders(" union all ".join(f"select {name([f'c{k}.attr' for k in range(s)], [f'c{k}.value' for k in range(s)])} as itemset from (select * from histogram where attr < 4) c0" + "".join(f" join (select * from histogram where attr < 4) c{k} on c{k}.attr > c{k - 1}.attr" for k in range(1, s)) for s in (1, 2))))
 def _(spark, d):
-    domain = {a: v for a, v in encode.domain_map(_orders(spark, d)).items() if a < 4}
+    domain = encode.domain_map(_orders(spark, d))
     return spark.createDataFrame([(itemsets.text(s),) for s in counts.universe(domain, 2, 10_000)], "itemset string")
 
 
@@ -1169,7 +1169,7 @@ def _(spark, d):
 
 @query("cr8_padding_rows", on_orders("select level, count(*) items from (select unnest(range(deficit)) level from (select max(frequency) over (partition by class) - frequency deficit from (select item, frequency, least((row_number() over (order by frequency desc, item) - 1) // 4, greatest(count(*) over () // 4 - 1, 0)) class from (select 'item:' || attr || ':' || value item, n frequency from histogram where attr < 4)))) group by level"))
 def _(spark, d):
-    h = counts.histogram(_orders(spark, d)).where("attr < 4").select(F.concat_ws(":", F.lit("item"), "attr", "value").alias("item"), F.col("n").alias("frequency"))
+    h = counts.histogram(_orders(spark, d)).select(F.concat_ws(":", F.lit("item"), "attr", "value").alias("item"), F.col("n").alias("frequency"))
     return circuits.padding_rows(circuits.padding_table(h, 4)).select("level", F.size("items").cast("bigint").alias("items"))
 
 

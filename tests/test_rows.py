@@ -1,4 +1,4 @@
-"""Queries that take the number of rows from the table, against their SQL with its row number set to the table's."""
+"""Queries over the whole table, against their SQL with its row number set to the table's or without its attribute filter."""
 
 import re
 
@@ -34,3 +34,10 @@ def test_more_rows_than_15000_are_not_cut(spark, monkeypatch):
     wide = spark.range(40_000, numPartitions=4).selectExpr("id tid", "2L a0", "3L a5")
     monkeypatch.setattr(queries, "_orders", lambda *_: wide)
     assert queries.QUERIES["n12_unary_intersection"](spark, "").first().estimate == pytest.approx(40_000, rel=0.01)
+
+
+@pytest.mark.parametrize("key", ["c6_public_universe", "cr8_padding_rows", "j10_tid_intersections"])
+def test_all_attributes_are_covered(spark, sf, key):
+    sql = re.sub(r" where (b\.)?attr < \d", "", queries.ORACLE_SQL[key])
+    assert sql != queries.ORACLE_SQL[key]
+    same(spark, key, sql, sf)
