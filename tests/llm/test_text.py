@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyveil.llm import chat, decontam, jaccard, lines, packing, quality, queries, rules, sharding, substrings, textscan, tokens, wavelet
 
@@ -370,20 +371,45 @@ def test_chat_round_trip(spark):
         turns = sorted(((t is not None, t or 0, ro or "", x or "") for i, t, ro, x in rows if i == c))
         assert [(t.role, t.text) for t in back[c].turns] == [(ro, x) for _, _, ro, x in turns]
         assert list(back[c].loss) == [x for _, _, ro, x in turns if ro == "assistant"]
-    bodies = {r.conv_id: r.body for r in made.collect()}
+    bodies = {r.conv_id: bytes(r.body) for r in made.collect()}
+    assert {r.conv_id: r.chars for r in made.collect()} == {c: len(b.decode()) for c, b in bodies.items()}
     for e in chat.render(made, examples).collect():
         assert bodies[e.conv_id].startswith(e.text)
     shown = defaultdict(list)
     for e in sorted(examples.collect(), key=lambda e: (e.conv_id is None, e.conv_id or 0, e.example)):
         shown[e.conv_id].append(e)
         if e.target is not None:
-            assert bodies[e.conv_id][e.loss_end : e.chars] == chat.END
+            assert bodies[e.conv_id][e.loss_end : e.size] == chat.END.encode()
+            assert bodies[e.conv_id][: e.loss_start].endswith(b"### assistant: ")
         else:
-            assert e.loss_start == e.loss_end == e.chars
+            assert e.loss_start == e.loss_end == e.size
+        assert e.chars == len(bodies[e.conv_id][: e.size].decode())
     assert len(shown[2]) == 1 and len(shown[3]) == 2 and len(shown[1]) == 6
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("side", ["loss_start", "loss_end"])
+def test_a_shifted_mask_shows(spark, side):
+    """The loss is read through the masks: one that is off by a character gives another text."""
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "abc"), (1, 2, "user", "r"), (1, 3, "assistant", "de")], "conv_id long, turn long, role string, text string")
+    made, examples = chat.write(df)
+    assert chat.read_back(made, examples).first().loss == ["abc", "de"]
+    shifted = examples.withColumn(side, F.when(F.col("target") == 3, F.col(side) - 1).otherwise(F.col(side)))
+    assert chat.read_back(made, shifted).first().loss == (["abc", " de"] if side == "loss_start" else ["abc", "d"])
+
+
+def test_chat_odd_tables(spark):
+    """Extra columns of clashing names, a very long text, one conversation with very many turns, repeated rows, nulls everywhere."""
+    long = "é### x </turn> \\\\ " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "z"), (None, None, None, None), (None, None, None, None)]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
+    df = spark.createDataFrame([(*r, b"x", 5, "s") for r in rows], "conv_id long, turn long, role string, text string, body binary, chars int, turns string")
+    back = {r.conv_id: r for r in chat.read_back(*chat.write(df)).collect()}
+    assert [t.text for t in back[1].turns] == [long, long + "z"] and back[1].loss == [long + "z"]
+    assert [(t.role, t.text) for t in back[None].turns] == [("", "")] * 2 and back[None].loss == []
+    assert back[2].loss == [f"t{k}" for k in range(1, 3000, 2)]
+
+
 # rules
 
 
