@@ -5,35 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, fresh, materialise
 from .textscan import BASE, PUNCTUATION, Scan, as_bytes, groups, mix, slices
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Trees of the forest, mins of a signature that a tree has at most, and the recall at the threshold.
-TREES, LONGEST, RECALL = 20, 8, 0.9999
-#: Classes and shingles that one side of a block pair has, about.
-BLOCK_CLASSES, BLOCK_SHINGLES = 384, 1_000_000
-#: Shingles that are counted at once in a block pair.
+#: Trees of the forest, and mins of a signature in each (8 at most: 16 bits of each fill two words).
+TREES, LONGEST = 20, 8
+#: Mins by which matched prefixes are shortened at once, and the share of the links that must be found.
+STEP, RECALL = 2, 0.9999
+#: Classes and shingles that a cell has, about; a unit of work is a cell or two.
+CELL_CLASSES, CELL_SHINGLES = 384, 1_000_000
+#: Members up to which a node brings only these to the units of its cells, and not the whole cells.
+SMALL = 64
+#: Shingles that are counted at once in a unit.
 COLUMNS = 4096
 
 
-def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """How many mins of a tree's signature two sets must share to become candidates.
+def meeting(similarity, depth: int, trees: int = TREES):
+    """The chance that two sets share the first `depth` mins in some tree: each tree's are equal with chance similarity ** depth."""
+    return 1 - (1 - similarity**depth) ** trees
 
-    A prefix of d mins is shared with chance similarity ** d in each tree. Matched prefixes are
-    shortened from the longest until sets at the threshold meet in some tree with the target recall;
-    more similar ones meet more often.
-    """
+
+def prefix_length(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
+    """The longest prefix at which sets at the threshold, and so all that are more similar, meet with the target recall."""
     for d in range(longest, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+        if meeting(threshold, d, trees) >= recall:
             return d
     raise ValueError("too few trees for this recall")
 
 
+def levels(threshold: float, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, step: int = STEP) -> list[int]:
+    """Prefix lengths that are tried, from the longest to the one that suits even sets at the threshold."""
+    floor = prefix_length(threshold, trees, longest, recall)
+    return [*range(longest, floor, -step), floor]
+
+
 def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct hashes of every `words` words in a row; of all words where there are fewer, but not none.
 
@@ -58,23 +68,30 @@ def class_of(sets: list[np.ndarray]) -> list[bytes | None]:
     return [b"".join(int(mix(x ^ seed).sum(dtype=np.uint64)).to_bytes(8, "big") for seed in seeds) if len(x) else None for x in sets]
 
 
-def _tree_keys(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """For each nonempty set and tree, 64 bits of the tree and its first `depth` mins."""
+def _signatures(sets: list[np.ndarray], trees: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each nonempty set and tree two words: 16 bits of each of the tree's mins, the first in the highest bits."""
+    if not 1 <= longest <= 8:
+        raise ValueError("a tree has 1 to 8 mins")
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    seeds = mix(np.arange(1, 2 * trees * depth + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+    seeds = mix(np.arange(1, 2 * trees * longest + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     turn, factor = (seeds[::2] >> np.uint64(32)).astype(np.uint32), seeds[1::2].astype(np.uint32) | np.uint32(1)
-    out = np.empty((len(sets), trees), np.uint64)
+    words = np.zeros((2, len(sets), trees), np.uint64)
     for tree in range(trees):
-        key = np.full(len(sets), tree + 1, np.uint64)
-        for k in range(tree * depth, tree * depth + depth):
-            key = mix(key * np.uint64(BASE) + np.minimum.reduceat((flat ^ turn[k]) * factor[k], starts))
-        out[:, tree] = key
-    return out
+        for k in range(longest):
+            least = np.minimum.reduceat((flat ^ turn[tree * longest + k]) * factor[tree * longest + k], starts)
+            words[k // 4, :, tree] |= (least & np.uint32(0xFFFF)).astype(np.uint64) << np.uint64(48 - 16 * (k % 4))
+    return words[0], words[1]
+
 
+def _masks(depth: int) -> tuple[int, int]:
+    """Bits of a signature's two words that hold the first `depth` mins."""
+    first, second = min(depth, 4), max(depth - 4, 0)
+    return ((1 << 16 * first) - 1) << (64 - 16 * first), ((1 << 16 * second) - 1) << (64 - 16 * second)
 
-def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, words: int) -> DataFrame:
-    """doc_id, text_hash, cls (null without shingles), size and keys of every row."""
+
+def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, longest: int, words: int) -> DataFrame:
+    """doc_id, text_hash, cls (null without shingles), size and the trees' signatures of every row."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -84,76 +101,118 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, depth: int, wor
             for a, b in groups(texts):
                 sets = shingles(texts[a:b], words)
                 some = [k for k, x in enumerate(sets) if len(x)]
-                keys: list = [None] * (b - a)
+                sides: list[list] = [[None] * (b - a), [None] * (b - a)]
                 if some:
-                    for k, row in zip(some, _tree_keys([sets[k] for k in some], trees, depth).view(np.int64).tolist(), strict=True):
-                        keys[k] = row
+                    for side, words_of in zip(sides, _signatures([sets[k] for k in some], trees, longest), strict=True):
+                        for k, row in zip(some, words_of.view(np.int64).tolist(), strict=True):
+                            side[k] = row
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(class_of(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "cls", "size", "keys"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(class_of(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in sides)],
+                    ["doc_id", "text_hash", "cls", "size", "hi", "lo"],
                 )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_hash long, cls binary, size long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_hash long, cls binary, size long, hi array<long>, lo array<long>")
 
 
 def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """The rows of wanted (rep, cls, ...) with their shingles, found again in the text of rep.
+    """The rows of wanted (rep_id, rep_hash, cls, ...) with their shingles, found again in the text of that id and hash.
 
-    How many texts are wanted grows with the corpus, so they are never broadcast, at any size.
+    How many texts are wanted grows with the corpus, so they are never broadcast, at any size. A text
+    that is there many times is one row: its repeats follow one another.
     """
-    more = [c for c in wanted.columns if c != "rep"]
+    more = [c for c in wanted.columns if c not in ("rep_id", "rep_hash")]
     at = more.index("cls") + 1
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        last = None
         for batch in slices(batches):
             texts, cls = as_bytes(batch.column(0)), batch.column(at).to_pylist()
-            for a, b in groups(texts):
-                sets = shingles(texts[a:b], words)
-                keep = [k for k, c in enumerate(class_of(sets)) if c == cls[a + k]]  # another text may have the same id
-                rows = pa.array([a + k for k in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([sets[k].tobytes() for k in keep], pa.binary())], [*more, "shingles"])
-
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text"))
-    joined = rows.join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("rep"))).select("_text", *more)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "rep")
+            new = [k for k, c in enumerate(cls) if c != (cls[k - 1] if k else last)]
+            last = cls[-1]
+            for a, b in groups([texts[k] for k in new]):
+                sets = shingles([texts[k] for k in new[a:b]], words)
+                rows = pa.array(new[a:b], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([x.tobytes() for x in sets], pa.binary())], [*more, "shingles"])
+
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).cast("string").alias("_text"))
+    joined = rows.join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash"))).select("_text", *more)
+    schema = ", ".join(f"{wanted.schema[c].name} {wanted.schema[c].dataType.simpleString()}" for c in more)
     return joined.mapInArrow(run, f"{schema}, shingles binary")
 
 
+def _matched(batches, floor: int, longest: int) -> Iterator:
+    """Goes over a sorted part of the tries: keeps the entries that share `floor` mins or more with a neighbour, with how many.
+
+    An entry's longest match in its tree is with the one before or after it. The first and the last
+    entry of a part may match in another part: they stay.
+    """
+    import pyarrow as pa
+
+    def with_depth(rows, depth: np.ndarray):
+        at = np.flatnonzero(depth >= floor)
+        rows = rows.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(depth[at].astype(np.int32))], [*rows.schema.names, "depth"])
+
+    last, before = None, longest
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        tree, hi, lo = (rows.column(k).to_numpy() for k in range(3))
+        x, y = (np.bitwise_xor(w[1:], w[:-1]).view(np.uint64) for w in (hi, lo))
+        near = sum((x >> np.uint64(48 - 16 * k) == 0).astype(np.int64) for k in range(4))
+        near += (x == 0) * sum((y >> np.uint64(48 - 16 * k) == 0).astype(np.int64) for k in range(4))
+        near = np.where(tree[1:] == tree[:-1], np.minimum(near, longest), 0)
+        depth = np.maximum(np.concatenate(([before], near)), np.concatenate((near, [0])))
+        yield with_depth(rows.slice(0, rows.num_rows - 1), depth[:-1])
+        last, before = rows.slice(rows.num_rows - 1), int(near[-1]) if len(near) else before
+    if last is not None:
+        yield with_depth(last, np.array([longest]))
+
+
 def components(edges: DataFrame, name: str, rows: int) -> DataFrame:
     """v and label, the smallest vertex of its component, for the vertices of edges (a, b).
 
     Every round points each vertex at its smallest neighbour, follows the pointers to their ends, and
     contracts the edges to those: only edges between different ends go on, so that vertices at least
-    halve in a round. What a round leaves is written to the shared folder, in files by `rows`, the most
-    edges there may be.
+    halve in a round. Pointers are followed eight at a time before a table is written. rows is the most
+    edges there may be. The tables that a round leaves are written to the shared folder and deleted at
+    the end.
     """
-    edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges", rows)
+    spark, scratch = edges.sparkSession, []
+    edges = materialise(edges.select("a", "b").where("a != b").distinct(), f"{name}-edges", rows, scratch)
     rounds: list[DataFrame] = []
     while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        ends = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("end")), f"{name}-ends", rows)
-        while True:
-            further = ends.select(F.col("v").alias("end"), F.col("end").alias("next"))
-            moved = materialise(ends.join(further, "end").select("v", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")), f"{name}-ends", rows)
-            ends = moved.select("v", "end")
-            if not moved.where("moved").limit(1).count():
-                break
+        ends = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("b")).select("v", F.least("v", "b").alias("end"))
+        moved = True
+        while moved:
+            ends = materialise(ends, f"{name}-ends", rows, scratch).select("v", "end")
+            for _ in range(3):
+                further = ends.select(F.col("v").alias("end"), F.col("end").alias("next"))
+                ends = ends.join(further, "end").select("v", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved"))
+            ends = materialise(ends, f"{name}-ends", rows, scratch)
+            moved = bool(ends.where("moved").limit(1).count())
+            ends = ends.select("v", "end")
         rounds.append(ends)
         edges = edges.join(ends.toDF("a", "x"), "a").select("x", "b").distinct().join(ends.toDF("b", "y"), "b")
-        edges = materialise(edges.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges", rows)
+        edges = materialise(edges.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges", rows, scratch)
     if not rounds:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
-    label = rounds[0].toDF("v", "label")
-    for ends in rounds[1:]:  # an end of one round is a vertex of the next, if it still has edges
-        label = label.join(ends.toDF("label", "end"), "label", "left").select("v", F.coalesce("end", "label").alias("label"))
-    return materialise(label, f"{name}-labels", rows) if len(rounds) > 1 else label
-
-
-def _verify(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: float) -> np.ndarray:
-    """Which sets are linked: a symmetric matrix. With cross only sets of different sides are compared."""
+        label = edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    else:
+        label = rounds[0].toDF("v", "label")
+        for ends in rounds[1:]:  # an end of one round is a vertex of the next, if it still has edges
+            label = label.join(ends.toDF("label", "end"), "label", "left").select("v", F.coalesce("end", "label").alias("label"))
+    label = materialise(label, f"{name}-labels", rows)
+    discard(spark, scratch)
+    return label
+
+
+def _similarity(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of every two sets: exact counts of common shingles by matrix products."""
     m = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     members, who = np.concatenate(sets), np.repeat(np.arange(m), sizes)
@@ -170,10 +229,17 @@ def _verify(sets: list[np.ndarray], side: np.ndarray, cross: bool, threshold: fl
         part = np.zeros((m, COLUMNS), np.float32)
         part[who[a:b], number[a:b] - first] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    linked = common >= threshold * union - 1e-9
-    np.fill_diagonal(linked, False)
-    return linked & (side[:, None] != side[None, :]) if cross else linked
+    return common / (sizes[:, None] + sizes[None, :] - common)
+
+
+def _meet(hi: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
+    """Which sets share their first `depth` mins in some tree."""
+    first, second = (np.uint64(x) for x in _masks(depth))
+    a, b = hi & first, lo & second
+    out = np.zeros((len(hi), len(hi)), bool)
+    for tree in range(hi.shape[1]):
+        out |= (a[:, tree, None] == a[None, :, tree]) & (b[:, tree, None] == b[None, :, tree])
+    return out
 
 
 def _local(linked: np.ndarray) -> np.ndarray:
@@ -187,41 +253,101 @@ def _local(linked: np.ndarray) -> np.ndarray:
         label = near
 
 
-def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """cls, links (documents of linked classes) and hub, a class it is connected to, from rows sorted by block pair."""
+def _solve(held: list[tuple], cross: bool, depth: int, before: int | None, tried: list[int], threshold: float) -> list[tuple]:
+    """Rows for the classes of a unit that have links: cls, links, hub, pairs, lost (see _units).
 
-    def solve(held: list[tuple], cross: bool) -> list[tuple]:
-        held = sorted({x[0]: x for x in held}.values())
-        linked = _verify([np.frombuffer(x[3], np.uint64) for x in held], np.array([x[1] for x in held]), cross, threshold)
-        links, hub = linked @ np.array([x[2] for x in held], np.int64), _local(linked)
-        return [(held[i][0], int(links[i]), held[hub[i]][0]) for i in np.flatnonzero(links).tolist()]
+    held has (cls, cell, n_copies, hi, lo, shingles). A pair counts in the one unit of its two cells, and
+    in the round in which its matched prefix is first short enough.
+    """
+    held = sorted({x[0]: x for x in held}.values())
+    side, copies = np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64)
+    hi, lo = (np.array([x[k] for x in held], np.int64).view(np.uint64) for k in (3, 4))
+    due = _meet(hi, lo, depth)
+    if before is not None:
+        due &= ~_meet(hi, lo, before)
+    if cross:
+        due &= side[:, None] != side[None, :]
+    np.fill_diagonal(due, False)
+    if not due.any():
+        return []
+    similarity = _similarity([np.frombuffer(x[5], np.uint64) for x in held])
+    linked = due & (similarity >= threshold - 1e-9)
+    links, hub = linked @ copies, _local(linked)
+    lost = np.stack([np.where(linked, 1 / meeting(similarity, d, hi.shape[1]).clip(1e-9) - 1, 0.0).sum(1) for d in tried], 1)
+    pairs = linked.sum(1)
+    return [(held[i][0], int(links[i]), held[hub[i]][0], int(pairs[i]), lost[i].tolist()) for i in np.flatnonzero(pairs).tolist()]
+
+
+def _units(rows: DataFrame, depth: int, before: int | None, tried: list[int], threshold: float) -> DataFrame:
+    """From rows sorted by unit: cls, links (documents of linked classes), hub (a class it is connected to), pairs, lost.
+
+    pairs is the number of linked classes, and lost, for each prefix length of `tried`, how many more of
+    such similarity are to be expected for every one that is found.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         key, held = None, []
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64()))
 
         def batch_of(rows: list[tuple]):
-            kinds = (pa.binary(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "links", "hub"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "links", "hub", "pairs", "lost"])
 
         out: list[tuple] = []
         for batch in slices(batches):
-            for label, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, i, j) != key:
+            for i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (i, j) != key:
                     if len(held) > 1:
-                        out += solve(held, key[1] != key[2])
-                    key, held = (label, i, j), []
+                        out += _solve(held, key[0] != key[1], depth, before, tried, threshold)
+                    key, held = (i, j), []
                 held.append(tuple(row))
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
         if len(held) > 1:
-            out += solve(held, key[1] != key[2])
+            out += _solve(held, key[0] != key[1], depth, before, tried, threshold)
         if out:
             yield batch_of(out)
 
-    return rows.mapInArrow(run, "cls binary, links long, hub binary")
+    return rows.mapInArrow(run, "cls binary, links long, hub binary, pairs long, lost array<double>")
+
+
+def _node(depth: int) -> Column:
+    """A number for an entry's node of the trie: its tree and first `depth` mins."""
+    signed = [x - (1 << 64) if x >> 63 else x for x in _masks(depth)]
+    return F.xxhash64("tree", *(F.col(c).bitwiseAND(F.lit(x)) for c, x in zip(("hi", "lo"), signed, strict=True)))
+
+
+def _work(trie: DataFrame, depth: int, before: int | None, most: int, scratch: list[str]) -> DataFrame:
+    """i, j, cell, cls: the classes of each unit of work, for the nodes that prefixes of length `depth` make.
+
+    Nodes that shortening from `before` has not widened are done. A class is at home in the largest of
+    its nodes; a home is cut into cells of bounded size, which part the classes. Two cells (or one with
+    itself) are a unit if a node has members in both, so that every two classes that share a node meet
+    in one unit, and a chain of documents of which only neighbours are similar makes units of
+    neighbours: their number grows with the chain. Large nodes bring their whole cells, small ones only
+    their own members, so that a cell of a very large home isn't repeated for every outsider.
+    """
+    entries = trie.where(F.col("depth") >= depth).select(_node(depth).alias("node"), (_node(before) if before else F.lit(None)).alias("child"), "cls", "size")
+    nodes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("a"), F.max("child").alias("b")).where("n > 1")
+    nodes = (nodes.where("a != b") if before else nodes).select("node", "n")
+    members = materialise(entries.join(nodes, "node").select("node", "n", "cls", "size"), "members", scratch=scratch)
+    homes = members.groupBy("cls").agg(F.max(F.struct("n", "node")).alias("home"), F.first("size").alias("size"))
+    homes = homes.select("cls", F.col("home.node").alias("home"), "size")
+    cells = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_CLASSES), F.ceil(F.sum("size") / CELL_SHINGLES))
+    sizes = materialise(homes.groupBy("home").agg(cells.alias("cells")), "homes", most, scratch)  # so that the join with it may split a large home
+    cell = F.xxhash64("home", F.pmod(F.xxhash64("cls"), "cells"))
+    cells = materialise(homes.join(sizes, "home").select("cls", cell.alias("cell")), "cells", most, scratch)
+    placed = materialise(members.select("node", "n", "cls").join(cells, "cls"), "placed", scratch=scratch)
+    met = placed.groupBy("node", "n", "cell").agg(F.count(F.lit(1)).alias("here"))
+    other = met.select("node", F.col("cell").alias("other"), F.col("here").alias("there"))
+    apart = (F.col("cell") != F.col("other")) | (F.col("there") > 1)
+    unit = (F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"))
+    small = placed.where(F.col("n") <= SMALL).join(other, "node").where(apart).select(*unit, "cell", "cls")
+    large = met.where(F.col("n") > SMALL).join(other, "node").where(apart & (F.col("cell") <= F.col("other"))).select(*unit).distinct()
+    large = large.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell")).join(cells, "cell").select("i", "j", "cell", "cls")
+    return materialise(small.union(large).distinct(), "units", scratch=scratch)
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, doc_id: str = "doc_id", text: str = "text", trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -232,51 +358,62 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     similarity is at least the threshold, copies among them. class_id is the smallest doc_id of all
     documents that links connect; class_key tells classes apart even where different texts share an id,
     and is null for a text without words. Such a text has no shingles and no links and is its own
-    class, as are null texts; a text of fewer words than a shingle has one shingle of them all. Repeated
-    rows are copies; null ids sort last; extra columns are ignored; an empty table gives none.
-
-    Candidates share a node of the forest (see prefix_length). Classes that nodes connect are dealt to
-    blocks of bounded size, and each pair of blocks that share a node is one piece of work: their
-    common shingles are counted with matrix products, so that a large group of near copies neither
-    meets in one task nor is written out as pairs. What leaves a piece is a row for each class.
+    class, as are null texts; a text of fewer words than a shingle has one shingle of them all; a very
+    long text is compared whole. Repeated rows are copies; null ids sort last; extra columns are
+    ignored, whatever their names; an empty table gives none.
+
+    A class's signature in each tree is a path of a trie: signatures are range-sorted, and the matched
+    prefix of one is what it shares with its neighbours. Candidates share a node. The first round takes
+    nodes at the longest prefixes; their pairs are verified by exact counts; and prefixes are shortened
+    until the links found, each weighed by the chance that it was found, say that the target recall is
+    reached, or at the latest where even pairs at the threshold reach it. A link's worth of doubt is
+    added, so that few links decide nothing.
     """
-    depth = prefix_length(threshold, trees, recall=recall)
-    signed = materialise(_signed(docs, doc_id, text, trees, depth, words), "signed")
+    spark, scratch = docs.sparkSession, []
+    tried = levels(threshold, trees, recall=recall)
+    signed = materialise(_signed(docs, doc_id, text, trees, LONGEST, words), "signed")
     some = signed.where("cls is not null")
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    classes = materialise(classes, "classes")
-
-    tries = classes.select("cls", F.explode("keys").alias("node"))
-    nodes = tries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("hub")).where("n > 1").select("node", "hub")
-    members = materialise(tries.join(materialise(nodes, "nodes"), "node"), "members")
-    most = members.count()  # of the candidates: bounds the small tables below
-    label = components(members.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct(), "candidates", most)
-    known = classes.join(label, F.col("cls") == F.col("v")).select("cls", "rep", "n_copies", "size", "label")
-    sizes = known.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    sizes = materialise(sizes, "sizes", most)  # so that the join with it may split a label that very many classes have
-    known = materialise(known.join(sizes, "label").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), "blocks")).otherwise(0)), "known", most)
-
-    split = known.where("blocks > 1").select("cls", "label", "block")
-    shared = members.join(split, "cls").select("node", "label", "block").distinct()
-    pairs = shared.select("node", "label", F.col("block").alias("i")).join(shared.select("node", F.col("block").alias("j")), "node").where("i <= j")
-    pairs = pairs.select("label", "i", "j").union(sizes.where("blocks = 1").select("label", F.lit(0).cast("long"), F.lit(0).cast("long"))).distinct()
-    sides = pairs.select("label", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    full = materialise(_with_shingles(docs, known.select("rep", "cls", "n_copies", "label", "block"), doc_id, text, words), "shingles")
-    work = full.join(materialise(sides, "pairs", most), ["label", "block"]).select("label", "i", "j", "cls", "block", "n_copies", "shingles")
-    work = work.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    found = materialise(_blocks(work, threshold), "links")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
+    classes = some.groupBy("cls").agg(rep, F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("hi").alias("hi"), F.first("lo").alias("lo"))
+    classes = classes.select("cls", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n_copies", "size", "hi", "lo")
+    classes = materialise(classes, "classes", scratch=scratch)
+
+    entries = classes.select("cls", "size", F.posexplode(F.arrays_zip("hi", "lo")).alias("tree", "x")).select("tree", "x.hi", "x.lo", "cls", "size")
+    order = ["tree", "hi", "lo", "cls"]
+    floor = tried[-1]
+    trie = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    trie = materialise(trie.mapInArrow(lambda batches: _matched(batches, floor, LONGEST), "tree int, hi long, lo long, cls binary, size long, depth int"), "trie", scratch=scratch)
+    matched = trie.select("cls").distinct()
+    full = classes.join(matched, "cls").select("rep_id", "rep_hash", "cls", "n_copies", "hi", "lo")
+    full = materialise(_with_shingles(docs, full, doc_id, text, words), "shingles", scratch=scratch)
+    most = full.select("cls").count()  # of the classes with candidates: bounds the small tables below
+
+    found, pairs, lost = None, 0.0, [0.0] * len(tried)
+    for k, depth in enumerate(tried):
+        before = tried[k - 1] if k else None
+        units = _work(trie, depth, before, most, scratch)
+        work = units.join(full, "cls").select("i", "j", "cls", "cell", "n_copies", "hi", "lo", "shingles")
+        work = work.repartition("i", "j").sortWithinPartitions("i", "j")
+        links = materialise(_units(work, depth, before, tried, threshold), "links", scratch=scratch)
+        found = links if found is None else found.union(links)
+        told = links.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *(F.coalesce(F.sum(F.col("lost")[i]), F.lit(0.0)) for i in range(len(tried)))).first()
+        pairs, lost = pairs + told[0], [x + y for x, y in zip(lost, told[1:], strict=True)]
+        if lost[k] + 2 * (1 / meeting(threshold, depth, trees) - 1) <= (1 - recall) * pairs:
+            break
 
     links = found.groupBy(F.col("cls").alias("_c")).agg(F.sum("links").alias("links"))
-    label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes", most)
-    joined = classes.join(label, F.col("cls") == F.col("v")).select("cls", "label", "rep")
-    first = materialise(joined.groupBy("label").agg(F.min("rep").alias("class_id")), "first", most)
+    label = components(found.where("cls != hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), "classes", max(1, found.count()))
+    joined = classes.join(label, F.col("cls") == F.col("v")).select("cls", "label", "rep_id")
+    first = materialise(joined.groupBy("label").agg(F.min("rep_id").alias("class_id")), "first", most, scratch)
     linked = joined.join(first, "label").select(F.col("cls").alias("_v"), "class_id", "label")
-    info = classes.select("cls", "rep", "n_copies").join(links, F.col("cls") == F.col("_c"), "left").join(linked, F.col("cls") == F.col("_v"), "left")
+    info = classes.select("cls", "rep_id", "n_copies").join(links, F.col("cls") == F.col("_c"), "left").join(linked, F.col("cls") == F.col("_v"), "left")
     info = info.select(
-        F.col("cls").alias("_cls"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("label", "cls").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
-        F.col("rep").alias("copy_id"), "n_copies",
+        F.col("cls").alias("_cls"), F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("label", "cls").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+        F.col("rep_id").alias("copy_id"), "n_copies",
     )
-    out = some.select("doc_id", "text_hash", "cls").join(materialise(info, "info"), F.col("cls") == F.col("_cls"))
+    info = materialise(info, "info")
+    discard(spark, scratch)
+    out = some.select("doc_id", "text_hash", "cls").join(info, F.col("cls") == F.col("_cls"))
     out = out.select("doc_id", "text_hash", "class_id", "class_key", "n_links", "copy_id", "n_copies")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     alone = signed.where("cls is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary"), none, F.col("doc_id").alias("copy_id"), one)
@@ -286,18 +423,20 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs that stand for their class: of each class one row of the smallest id stays, with all its columns.
 
-    Texts without words stay, but of rows with the same id and text only one does.
+    Of equal texts without words one stays too; a null text and an empty one are different texts.
     """
     found = materialise(jaccard_join(docs, doc_id=doc_id, text=text, **how), "joined")
-    first = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
-    first = first.select("x.doc_id", "x.text_hash")
-    stay = first.union(found.where("class_key is null").select("doc_id", "text_hash").distinct())
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")
+    classes = found.where("class_key is not null").groupBy("class_key").agg(best)
+    wordless = found.where("class_key is null").groupBy("text_hash").agg(best)
+    stay = classes.select("x.doc_id", "x.text_hash").union(wordless.select("x.doc_id", "x.text_hash"))
     counted = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")).toDF("d", "h", "rows")
     stay = stay.join(counted, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")))
-    stay = materialise(stay.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.col("rows") > 1).alias("many")), "stay")
+    d, h = fresh(docs.columns, "_d", "_h")
+    stay = materialise(stay.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), (F.col("rows") > 1).alias("many")), "stay")
 
     def of(some: DataFrame) -> DataFrame:
-        return docs.join(some, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
+        return docs.join(some.select(d, h), docs[doc_id].eqNullSafe(some[d]) & (F.xxhash64(docs[text]) == some[h]), "left_semi")
 
     rows, repeated = of(stay.where("not many")), stay.where("many")
     # Only rows that are there more than once, which is rare, are compared with one another as a whole.

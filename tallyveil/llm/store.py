@@ -34,14 +34,36 @@ def new_path(spark: SparkSession, name: str) -> str:
 ROWS_PER_FILE = 250_000
 
 
-def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None, scratch: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and lost executors cost only a reread.
 
     rows, where it is known, is an upper bound of df's rows: a small table isn't written in as many
-    files as there are shuffle partitions.
+    files as there are shuffle partitions. scratch gets the path, for `discard`.
     """
     path = new_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in scratch:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    scratch.clear()
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

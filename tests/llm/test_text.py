@@ -211,7 +211,7 @@ def links_of(docs):
 
 
 def test_jaccard_join(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 20)
+    monkeypatch.setattr(jaccard, "CELL_CLASSES", 20)
     rng = random.Random(3)
     base = [f"w{rng.randrange(3000)}" for _ in range(120)]
     docs = [(k, " ".join([*base[: k % 9 * 3], f"x{k % 41}", *base[k % 9 * 3 + 1 :]])) for k in range(400)]
@@ -243,6 +243,75 @@ def test_prefixes_are_shortened_to_the_recall():
     assert miss(d) <= 1e-4 < miss(d + 1)
 
 
+def test_levels_end_where_the_threshold_is_safe():
+    assert jaccard.levels(0.8) == [8, 6, 4] and jaccard.levels(0.8, step=1) == [8, 7, 6, 5, 4] and jaccard.levels(0.99) == [8]
+    assert jaccard.meeting(0.8, jaccard.levels(0.8)[-1]) >= jaccard.RECALL
+    with pytest.raises(ValueError, match="too few trees"):
+        jaccard.levels(0.2)
+
+
+def test_a_chain_makes_linear_work(spark, monkeypatch):
+    """Documents of which only neighbours are similar, in one component: twice as many make about twice the work."""
+    rng = random.Random(4)
+    work = []
+    whole = jaccard._work
+
+    def counted(*args):
+        out = whole(*args)
+        work[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "_work", counted)
+    for n in (150, 300):
+        work.append(0)
+        stream = [f"c{rng.randrange(10**6)}" for _ in range(10 * n + 130)]
+        rows = [(k, " ".join(stream[10 * k : 10 * k + 120])) for k in range(n)]
+        found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(r.n_links for r in found) == sum(x[2] for x in links_of(rows)) == 2 * (n - 1) and {r.class_id for r in found} == {0}
+    assert work[1] < 2.6 * work[0] and work[1] < 60 * 300
+
+
+def test_prefixes_stop_early_where_links_are_close(spark, monkeypatch):
+    """Many links of high similarity say that the longest prefixes have found them: shorter ones aren't tried, and none is lost."""
+    rng = random.Random(6)
+    tried = []
+    whole = jaccard._work
+    monkeypatch.setattr(jaccard, "_work", lambda trie, depth, *more: (tried.append(depth), whole(trie, depth, *more))[1])
+    base = [f"n{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(k, " ".join([*base[:-1], f"end{k}"])) for k in range(60)]
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert tried == [8] and {r.n_links for r in found} == {59}
+
+
+def test_tries_keep_what_matches():
+    """Every entry that shares a prefix with another one stays, with at least the length of the longest one it shares."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    mins = rng.integers(0, 3, (400, 8))
+    words = np.zeros((2, 400), np.uint64)
+    for k in range(8):
+        words[k // 4] |= mins[:, k].astype(np.uint64) << np.uint64(48 - 16 * (k % 4))
+    tree = rng.integers(0, 2, 400)
+    order = np.lexsort((words[1], words[0], tree))
+    tree, mins, words = tree[order].astype(np.int32), mins[order], words[:, order].view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(tree), pa.array(words[0]), pa.array(words[1]), pa.array(range(400))], ["tree", "hi", "lo", "cls"])
+    kept = {}
+    for out in jaccard._matched([batch.slice(a, 37) for a in range(0, 400, 37)], 3, 8):
+        kept |= dict(zip(out.column(3).to_pylist(), out.column(4).to_pylist(), strict=True))
+    for i in range(400):
+        same = [int((np.cumprod(mins[i] == mins[j]).sum())) for j in range(400) if j != i and tree[j] == tree[i]]
+        assert kept.get(i, 0) == (8 if i in (0, 399) else max(same) if max(same) >= 3 else 0)
+
+
+def test_equal_wordless_texts_and_odd_columns(spark):
+    rows = [(3, "", 1, 1), (2, "", 1, 1), (5, None, 1, 1), (4, None, 1, 1), (6, "?!", 1, 1), (6, "?!", 1, 1), (7, "one word", 1, 1), (None, "one word", 1, 1), (None, "other", 1, 1), (None, "third", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d int, _h int")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, "null" if r.text is None else r.text) for r in kept.collect()) == [(0, "other"), (0, "third"), (2, ""), (4, "null"), (6, "?!"), (7, "one word")]
+
+
 # substrings
 
 
