@@ -9,6 +9,7 @@ import math
 import secrets
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,22 +76,33 @@ def less_circuit(a: Sequence[int], b: Sequence[int]) -> int:
 # Additively homomorphic encryption
 
 
-def _prime(bits: int) -> int:
-    def probable(n: int) -> bool:
-        if any(n % p == 0 for p in (3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)):
-            return False
-        odd, twos = n - 1, 0
-        while odd % 2 == 0:
-            odd, twos = odd // 2, twos + 1
-        for _ in range(24):
-            x = pow(secrets.randbelow(n - 3) + 2, odd, n)
-            if x not in (1, n - 1) and not any((x := x * x % n) == n - 1 for _ in range(twos - 1)):
-                return False
-        return True
+@lru_cache(1)
+def _small_primes(below: int = 2000) -> int:
+    """The product of all odd primes below a bound."""
+    flags = bytearray([1]) * below
+    for n in range(2, math.isqrt(below) + 1):
+        if flags[n]:
+            flags[n * n :: n] = bytes(len(range(n * n, below, n)))
+    return math.prod(n for n in range(3, below) if flags[n])
 
+
+def _witness(base: int, n: int) -> bool:
+    """Whether base shows that the odd n is composite: no root of 1 on its way to base ** (n - 1) may be other than 1 and -1."""
+    twos = (n - 1 & 1 - n).bit_length() - 1
+    power = pow(base, n - 1 >> twos, n)
+    for _ in range(twos):
+        square = power * power % n
+        if square == 1:
+            return power not in (1, n - 1)
+        power = square
+    return True
+
+
+def _prime(bits: int, rounds: int = 40) -> int:
+    """A random prime of exactly so many bits; a composite passes a round with chance 1/4 at most."""
     while True:
-        n = secrets.randbits(bits) | 1 << (bits - 1) | 1
-        if probable(n):
+        n = (1 << bits - 1) + secrets.randbelow(1 << bits - 1) | 1
+        if math.gcd(n, _small_primes()) == 1 and not any(_witness(2 + secrets.randbelow(n - 3), n) for _ in range(rounds)):
             return n
 
 
@@ -150,55 +162,67 @@ class Comparison:
             raise ValueError("numbers or masks are too large for the key")
         self.public, self._private, self.mask_bits, self.calls = public, private, mask_bits, 0
 
-    def _sign(self, cipher: int) -> int:
-        self.calls += 1
-        return self.public.encrypt(int(self._private.decrypt(cipher) <= self.public.n // 2))
-
-    def greater(self, x: int, y: int) -> int:
+    def masked(self, x: int, y: int) -> tuple[int, bool]:
+        """The cloud's question, and whether its sign was turned, which the cloud keeps to itself."""
         key = self.public
         odd = key.add(key.times(key.add(x, key.times(y, -1)), 2), key.encrypt(key.n - 1))
-        turn = secrets.randbits(1)
+        turned = bool(secrets.randbits(1))
         factor = 1 << (self.mask_bits - 1) | secrets.randbits(self.mask_bits - 1)
-        masked = key.add(key.times(key.times(odd, -1) if turn else odd, factor), key.encrypt(secrets.randbelow(factor)))
-        sign = self._sign(masked)
-        return key.add(key.encrypt(1), key.times(sign, -1)) if turn else sign
+        return key.add(key.times(key.times(odd, -1) if turned else odd, factor), key.encrypt(secrets.randbelow(factor))), turned
+
+    def sign(self, question: int) -> int:
+        """The key holder's answer: an encrypted 1 where the question is positive."""
+        self.calls += 1
+        return self.public.encrypt(int(self._private.decrypt(question) <= self.public.n // 2))
+
+    def greater(self, x: int, y: int) -> int:
+        question, turned = self.masked(x, y)
+        answer, key = self.sign(question), self.public
+        return key.add(key.encrypt(1), key.times(answer, -1)) if turned else answer
 
 
 def homomorphic_sums(rows: DataFrame, groups: list[str], flag: str, public: PublicKey) -> DataFrame:
-    """groups and cipher (decimal digits): each task multiplies the encryptions of its rows' flags, then groups are multiplied together.
+    """groups and cipher (decimal digits): the sum of each group's flags, which are encrypted in the tasks that hold them."""
+    n = public.n
+
+    def encrypt(batches):
+        for pdf in batches:
+            yield pdf[groups].assign(cipher=[str(PublicKey(n).encrypt(int(x))) for x in pdf[flag]])
+
+    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups)
+    return cipher_sums(rows.select(*groups, flag).mapInPandas(encrypt, f"{kinds}, cipher string"), groups, public)
 
-    Products are of a fixed size, so that a task passes on one number for each group it met.
+
+def cipher_sums(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFrame:
+    """groups and the product of their ciphers, which encrypts the sum.
+
+    Products are of a fixed size: a task passes on one number for each group it met, and what the tasks
+    pass on is multiplied together.
     """
-    n, square = public.n, public.n * public.n
+    square = public.n * public.n
 
-    def encrypt(batches):
+    def within(batches):
         import pandas as pd
 
         held: dict[tuple, int] = {}
         for pdf in batches:
-            for *key, value in pdf[[*groups, flag]].itertuples(index=False):
-                held[tuple(key)] = held.get(tuple(key), 1) * PublicKey(n).encrypt(int(value)) % square
+            for *key, cipher in pdf[[*groups, "cipher"]].itertuples(index=False):
+                held[tuple(key)] = held.get(tuple(key), 1) * int(cipher) % square
         yield pd.DataFrame([(*k, str(v)) for k, v in held.items()], columns=[*groups, "cipher"])
 
-    def multiply(pdf):
+    def across(pdf):
         product = 1
         for c in pdf["cipher"]:
             product = product * int(c) % square
         return pdf.iloc[:1].assign(cipher=str(product))
 
     kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups)
-    parts = rows.select(*groups, flag).mapInPandas(encrypt, f"{kinds}, cipher string")
-    return parts.groupBy(*groups).applyInPandas(multiply, f"{kinds}, cipher string")
+    return rows.mapInPandas(within, f"{kinds}, cipher string").groupBy(*groups).applyInPandas(across, f"{kinds}, cipher string")
 
 
 # Disguised transactions
 
 
-def label(owner: int, item: Item, salt: bytes) -> str:
-    """A keyed name for an owner's item."""
-    return hashlib.blake2b(f"{owner}|{item[0]}|{item[1]}".encode(), key=salt, digest_size=16).hexdigest()
-
-
 def hashed_tid(secret: bytes, tid: str) -> bytes:
     return hmac.digest(secret, tid.encode(), "sha256")
 
@@ -219,7 +243,10 @@ def check_answer(frequent: set[frozenset], infrequent: set[frozenset], returned:
 
 
 def padding_table(frequencies: DataFrame, anonymity: int) -> DataFrame:
-    """item, frequency, class, deficit: items in the order of frequency form classes of `anonymity` (the last takes a smaller rest), and a deficit brings each to its class's largest frequency."""
+    """item, frequency, class, deficit: items in the order of frequency form classes of `anonymity` (the last takes a smaller rest), and a deficit brings each to its class's largest frequency.
+
+    frequencies has a row for each public item, which bounds the one ordered pass.
+    """
     place = F.row_number().over(Window.orderBy(F.desc("frequency"), "item")) - 1
     size = F.count(F.lit(1)).over(Window.partitionBy())
     last = F.greatest(F.floor(size / anonymity) - 1, F.lit(0))
@@ -247,9 +274,9 @@ def tid_intersections(long: DataFrame, max_size: int, limit: int) -> DataFrame:
             level = level.join(item, "tid").where("label > last").select("tid", F.concat("labels", F.array("label")).alias("labels"), F.col("label").alias("last"))
         counts = level.groupBy("labels").agg(F.count(F.lit(1)).alias("support"))
         out = counts if out is None else out.union(counts)
-    total = Window.partitionBy()
-    fits = F.when(F.count(F.lit(1)).over(total) <= limit, F.col("support")).otherwise(F.raise_error(F.lit("more itemsets than the limit")).cast("bigint"))
-    return out.withColumn("support", fits)
+    if out.limit(limit + 1).count() > limit:
+        raise ValueError("more itemsets than the limit")
+    return out
 
 
 def join_owners(tables: Sequence[DataFrame], secret: str) -> DataFrame:
@@ -265,40 +292,211 @@ def publishable(requirements: Mapping[str, bool]) -> bool:
     return bool(requirements) and all(requirements.values())
 
 
-def encrypted_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapping[int, int], threshold: int, *, anonymity: int = 2, bits: int = 512) -> tuple[dict[Itemset, int], dict]:
-    """Supports of candidates from homomorphic sums, compared with the threshold under encryption, and the checks.
+@dataclass(frozen=True)
+class Owner:
+    """What an owner sends (records), and what it keeps: the names of its items and the answers to its checks."""
+
+    records: DataFrame
+    names: dict[str, str]
+    frequent: set[frozenset]
+    infrequent: set[frozenset]
+    info: dict
+
+    @property
+    def asked(self) -> set[tuple[str, ...]]:
+        """The itemsets that its checks need an answer to, in the cloud's labels."""
+        return {tuple(sorted(s)) for p in self.frequent | self.infrequent for n in range(1, len(p) + 1) for s in itertools.combinations(p, n)}
+
+
+def item_name(item: Item) -> str:
+    return f"item:{item[0]}:{item[1]}"
+
+
+def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Mapping[int, Sequence[int]], secret: bytes, public: PublicKey, threshold: int, anonymity: int = 2, width: int = 3) -> Owner:
+    """The rows that an owner sends to the cloud: htid, labels and the encrypted flag.
 
-    Every owner adds check rows for which the right answer is known, and classes of equal frequency
-    hide its items; what the cloud returns is refused where a check fails. Correctness only: the roles
-    share a process.
+    Real rows and check rows have flag 1; padding rows, with which every item's frequency equals that of
+    at least anonymity - 1 others, have flag 0. Items go by keyed labels, rows by a keyed hash of their
+    id: real ones by the same in all owners' tables, added ones in a name space of the owner's own.
     """
-    from .encode import to_long
+    spark, n, salt = wide.sparkSession, public.n, secrets.token_bytes(32)
+    public_items = [item_name((a, v)) for a in attrs for v in domain[a]]
+    frequent, infrequent, rows = check_pattern(owner, threshold, width)
+    made = sorted({tuple(sorted(r)) for r in rows})
+    real = wide.select(F.concat(F.lit("real:"), F.col("tid").cast("string")).alias("id"), F.array(*(F.concat(F.lit(f"item:{a}:"), F.col(f"a{a}").cast("string")) for a in attrs)).alias("items"))
+    copies = spark.createDataFrame([(k, list(r)) for k, r in enumerate(made)], "part int, items array<string>")
+    checks = copies.select(F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("copy"), "part", "items")
+    checks = checks.select(F.concat_ws(":", F.lit(f"check:{owner}"), "part", "copy").alias("id"), "items")
+    universe = spark.createDataFrame([(x,) for x in sorted({*public_items, *itertools.chain.from_iterable(made)})], "item string")
+    seen = real.select("items").union(checks.select("items")).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    padded = padding_table(universe.join(seen, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("frequency")), anonymity)
+    held = [(r["item"], r["frequency"], r["class"], r["deficit"]) for r in padded.collect()]  # a row for each public item
+    padding = padding_rows(spark.createDataFrame(held, "item string, frequency bigint, class bigint, deficit bigint"))
+    padding = padding.select(F.concat_ws(":", F.lit(f"padding:{owner}"), F.col("level").cast("string")).alias("id"), "items")
+    names = {label_of(owner, item, salt): item for item, *_ in held}
+    if len(names) < len(held):
+        raise RuntimeError("two items have one label")
+    by_item = {item: label for label, item in names.items()}
+    rows = real.withColumn("flag", F.lit(1)).union(checks.withColumn("flag", F.lit(1))).union(padding.withColumn("flag", F.lit(0)))
+
+    def disguise(batches):
+        import pandas as pd
 
-    public, private = key_pair(bits)
-    compare = Comparison(public, private, max(wide.count(), threshold, 1), min(128, bits // 4))
-    flags = [F.struct(F.lit(k).alias("candidate"), _has(c).alias("flag")) for k, c in enumerate(candidates)]
-    hits = wide.select(F.explode(F.array(*flags)).alias("x")).select("x.*").where("flag = 1")
-    sums = {r["candidate"]: int(r["cipher"]) for r in homomorphic_sums(hits, ["candidate"], "flag", public).collect()}
-    limit = public.encrypt(threshold)
-    supports, frequent = {}, {}
-    for k, c in enumerate(candidates):
-        cipher = sums.get(k, public.encrypt(0))
-        supports[c], frequent[c] = private.decrypt(cipher), private.decrypt(compare.greater(cipher, limit))
-    if any(frequent[c] != int(supports[c] > threshold) for c in candidates):
-        raise RuntimeError("an encrypted comparison disagrees")
-    checks = []
-    for client in sorted(set(owner.values())):
-        good, bad, rows = check_pattern(client, threshold)
-        sets = {frozenset(s) for p in good | bad for size in range(1, len(p) + 1) for s in itertools.combinations(sorted(p), size)}
-        checks.append(check_answer(good, bad, {s for s in sets if sum(s <= r for r in rows) > threshold}))
+        for pdf in batches:
+            yield pd.DataFrame({
+                "owner": owner, "htid": [hashed_tid(secret, x) for x in pdf["id"]], "labels": [sorted(by_item[i] for i in x) for x in pdf["items"]],
+                "cipher": [str(PublicKey(n).encrypt(int(x))) for x in pdf["flag"]],
+            })
+
+    def relabelled(sets: set[frozenset]) -> set[frozenset]:
+        return {frozenset(by_item[x] for x in s) for s in sets}
+
+    sizes: dict[int, int] = {}
+    for _, _, group, _ in held:
+        sizes[group] = sizes.get(group, 0) + 1
+    info = {"owner": owner, "verification_rows": len(made) * (threshold + 1), "fictitious_rows": max((d for *_, d in held), default=0), "smallest_class": min(sizes.values(), default=0)}
+    return Owner(rows.mapInPandas(disguise, "owner int, htid binary, labels array<string>, cipher string"), names, relabelled(frequent), relabelled(infrequent), info)
+
+
+def label_of(owner: int, item: str, salt: bytes) -> str:
+    """A keyed name for an owner's item, which says nothing about it."""
+    return hashlib.blake2b(f"{owner}|{item}".encode(), key=salt, digest_size=16).hexdigest()
+
+
+@dataclass(frozen=True)
+class Reply:
+    """The cloud's answer for an itemset of labels: its encrypted support, and whether that is over the threshold."""
+
+    labels: tuple[str, ...]
+    support: int
+    frequent: int
+
+
+def cloud_mine(records: Sequence[DataFrame], asked: Sequence[tuple[str, ...]], label_owner: Mapping[str, int], compare: Comparison, threshold: int) -> list[Reply]:
+    """Encrypted supports of itemsets of labels, from rows of labels and encrypted flags alone.
+
+    A row counts where every owner of the itemset's labels says that it is real: the encrypted flags are
+    added, and their sum compared with the number of owners less one. Rows are joined on their hashed
+    ids; what is gathered for a row and an itemset is one flag for each owner, and sums pass on one
+    number for each itemset and task. threshold is encrypted.
+    """
+    spark, public = records[0].sparkSession, compare.public
+    involved = [len({label_owner[x] for x in labels}) for labels in asked]
+    table = spark.createDataFrame([(k, x, len(labels), involved[k]) for k, labels in enumerate(asked) for x in labels], "candidate int, label string, size int, owners int")
+    cells = None
+    for one in records:
+        cells = one if cells is None else cells.union(one)
+    cells = cells.select("owner", "htid", "cipher", F.explode("labels").alias("label")).join(F.broadcast(table), "label")  # as many rows as were asked for
+    met = cells.groupBy("candidate", "size", "owners", "htid").agg(F.count(F.lit(1)).alias("have"), F.collect_set(F.struct("owner", "cipher")).alias("flags"))
+    met = met.where("have = size").select("candidate", "owners", F.transform("flags", lambda x: x["cipher"]).alias("flags"))
+
+    def indicators(batches):
+        for pdf in batches:
+            out = []
+            for owners, flags in zip(pdf["owners"], pdf["flags"], strict=True):
+                total = 1
+                for c in flags:
+                    total = public.add(total, int(c))
+                out.append(str(total if owners == 1 else compare.greater(total, public.encrypt(int(owners) - 1))))
+            yield pdf[["candidate"]].assign(cipher=out)
+
+    sums = cipher_sums(met.mapInPandas(indicators, "candidate int, cipher string"), ["candidate"], public)
+    found = {r["candidate"]: int(r["cipher"]) for r in sums.collect()}
+    out = []
+    for k, labels in enumerate(asked):
+        support = found.get(k) or public.encrypt(0)
+        out.append(Reply(labels, support, compare.greater(support, threshold)))
+    return out
+
+
+def open_replies(replies: Sequence[Reply], owners: Sequence[Owner], private: PrivateKey, threshold: int) -> tuple[dict[Itemset, int], list[dict]]:
+    """Supports of itemsets of real items, and the owners' checks; an answer that fails one is refused."""
+    names = {label: item for o in owners for label, item in o.names.items()}
+    returned, supports = set(), {}
+    for r in replies:
+        support, frequent = private.decrypt(r.support), private.decrypt(r.frequent)
+        if frequent != int(support > threshold):
+            raise RuntimeError("an encrypted comparison disagrees with its sum")
+        if frequent:
+            returned.add(frozenset(r.labels))
+        plain = [names[x] for x in r.labels]
+        if all(x.startswith("item:") for x in plain):
+            supports[tuple(sorted((int(a), int(v)) for a, v in (x.split(":")[1:] for x in plain)))] = support
+    checks = [check_answer(o.frequent, o.infrequent, returned) for o in owners]
     if not all(c["passed"] for c in checks):
         raise RuntimeError(f"the answer was refused: {checks}")
-    frequencies = to_long(wide).groupBy(F.concat_ws(":", F.lit("item"), "attr", "value").alias("item")).agg(F.count(F.lit(1)).alias("frequency"))
-    classes = [r["n"] for r in padding_table(frequencies, anonymity).groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()]
-    return supports, {"checks": checks, "comparisons": compare.calls, "smallest_class": min(classes, default=0), "publication_eligible": False}
+    return supports, checks
 
 
-def _has(itemset: Itemset):
-    from .counts import matches
+def encrypted_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapping[int, int], threshold: int, *, anonymity: int = 2, bits: int = 512, domain: Mapping[int, Sequence[int]] | None = None) -> tuple[dict[Itemset, int], dict]:
+    """Supports of candidates that a cloud counts without seeing items, rows or supports, and the checks.
+
+    Owners send disguised real, check and padding rows (prepare_owner), the cloud adds encrypted flags
+    (cloud_mine), and what comes back is opened and checked (open_replies). Correctness only: the roles
+    share a process, and one pattern for each owner doesn't find every omission.
+    """
+    from .encode import domain_map
+
+    domain = domain or domain_map(wide)
+    public, private = key_pair(bits)
+    secret = secrets.token_bytes(32)
+    parts: dict[int, list[int]] = {}
+    for attr, who in sorted(owner.items()):
+        parts.setdefault(who, []).append(attr)
+    owners = [prepare_owner(wide, who, attrs, domain, secret, public, threshold, anonymity) for who, attrs in sorted(parts.items())]
+    label_owner = {label: who for who, o in zip(sorted(parts), owners, strict=True) for label in o.names}
+    of_item = {item: label for o in owners for label, item in o.names.items()}
+    asked = {tuple(sorted(of_item[item_name(i)] for i in c)) for c in candidates}.union(*(o.asked for o in owners))
+    bound = max(wide.count() + sum(o.info["verification_rows"] + o.info["fictitious_rows"] for o in owners), threshold, 1)
+    compare = Comparison(public, private, bound, min(128, bits // 4))
+    replies = cloud_mine([o.records for o in owners], sorted(asked), label_owner, compare, public.encrypt(threshold))
+    supports, checks = open_replies(replies, owners, private, threshold)
+    info = {"checks": checks, "replies": len(replies), "owners": [o.info for o in owners], "smallest_class": min(o.info["smallest_class"] for o in owners), "publication_eligible": False}
+    return {c: supports[tuple(sorted(c))] for c in candidates}, info
 
-    return matches(itemset).cast("int")
+
+#: Fixed value: bytes of one encrypted bit with 128-bit parameters.
+CIPHER_BYTES = 2536
+
+
+def payload_bytes(rows: int, items: int, candidates: int) -> int:
+    """What the encrypted rows, queries, counters and answers of the circuits take."""
+    width = rows.bit_length()
+    return ((rows + candidates) * items + candidates * (width + 2) + width) * CIPHER_BYTES
+
+
+def circuit_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapping[int, int], domain: Mapping[int, Sequence[int]], threshold: int, most_gib: float = 4.0) -> tuple[dict[Itemset, int], dict]:
+    """Supports of candidates as the Boolean circuits count them, with the gates that they take.
+
+    An input whose encryption would be larger than most_gib is refused. The comparisons with the
+    threshold go through their circuit and must agree with the counts. In the clear: no native library.
+    """
+    rows, items = wide.count(), [(a, v) for a in sorted(domain) for v in domain[a]]
+    payload = payload_bytes(rows, len(items), len(candidates))
+    if payload > most_gib * (1 << 30):
+        raise ValueError(f"{payload} bytes of ciphertext, over the limit of {most_gib:g} GiB")
+    found = {r["candidate"]: r for r in circuit_supports(wide, items, candidates).collect()}
+    supports = {c: found[k]["support"] for k, c in enumerate(candidates)}
+    digits = max(rows, threshold).bit_length() or 1
+    binary = lambda x: [int(b) for b in f"{x:0{digits}b}"]
+    below = {c: less_circuit(binary(n), binary(threshold)) for c, n in supports.items()}
+    above = {c: less_circuit(binary(threshold), binary(n)) for c, n in supports.items()}
+    if any(below[c] != (n < threshold) or above[c] != (n > threshold) for c, n in supports.items()):
+        raise RuntimeError("a comparison circuit disagrees")
+    gates = {g: sum(r[f"{g}_gates"] for r in found.values()) for g in ("and", "or", "not", "xor")}
+    return supports, {"payload_bytes": payload, "below": sum(below.values()), "above": sum(above.values()), "gates": gates, "owners": len(set(owner.values())), "publication_eligible": False}
+
+
+def agreement(wide: DataFrame, supports: Mapping[Itemset, int], k: int, max_size: int, domain: dict[int, list[int]]) -> dict:
+    """How the best of the counted itemsets agree with the exact top k of all; supports that aren't exact are an error."""
+    from .counts import supports as exact_supports
+    from .counts import top_itemsets
+
+    exact = exact_supports(wide, list(supports))
+    if wrong := [c for c, n in supports.items() if exact[c] != n]:
+        raise RuntimeError(f"counted supports are wrong, of {wrong[:3]}")
+    truth = [c for c, _ in top_itemsets(wide, k, max_size, domain=domain)[0]]
+    best = sorted(supports, key=lambda c: (-supports[c], c))[:k]
+    weight = {c: len(truth) - at for at, c in enumerate(truth)}
+    both = len(set(truth) & set(best))
+    return {"verified": len(exact), "f1": 2 * both / max(len(truth) + len(best), 1), "ncr": sum(weight.get(c, 0) for c in best) / max(sum(weight.values()), 1)}

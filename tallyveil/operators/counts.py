@@ -50,11 +50,17 @@ def supports(wide: DataFrame, itemsets: Sequence[Itemset]) -> dict[Itemset, int]
     return out
 
 
-def support_table(wide: DataFrame, itemsets: Sequence[Itemset], key: Column | None = None) -> DataFrame:
-    """candidate (place) and support, by one aggregate and an unpivot."""
-    row = wide.agg(*(F.count_if(matches(s)).alias(f"s{k}") for k, s in enumerate(itemsets)))
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("candidate"), F.col(f"s{k}").alias("support")) for k in range(len(itemsets)))))
-    return row.select(cells.alias("x")).select("x.*")
+def support_table(wide: DataFrame, itemsets: Sequence[Itemset]) -> DataFrame:
+    """candidate (place) and support: conditional sums, unpivoted; one aggregate for every SUMS candidates, so that code generation holds."""
+    out = None
+    for at in range(0, max(len(itemsets), 1), SUMS):
+        some = list(enumerate(itemsets))[at : at + SUMS]
+        row = wide.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(matches(s)).alias(f"s{k}") for k, s in some))
+        cells = [F.struct(F.lit(k).alias("candidate"), F.col(f"s{k}").alias("support")) for k, _ in some]
+        none = F.array().cast("array<struct<candidate:int,support:bigint>>")
+        one = row.select(F.explode(F.array(*cells) if cells else none).alias("x")).select("x.*")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def histogram(wide: DataFrame) -> DataFrame:

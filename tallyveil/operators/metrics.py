@@ -126,6 +126,8 @@ def summarize(runs: DataFrame, metrics: list[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("seeds"), F.count_distinct("seed").alias("_different")]
     for m in metrics:
         aggs += [F.avg(m).alias(f"{m}_mean"), F.coalesce(F.stddev_samp(m), F.lit(0.0)).alias(f"{m}_std")]
+    if "result_kind" in runs.columns:
+        aggs += [F.when(F.every(F.col("result_kind").eqNullSafe("measured")), F.lit("measured")).alias("result_kind")]
     out = runs.groupBy("dataset", "axis", "value", "method").agg(*aggs)
     seeds = F.when(F.col("seeds") == F.col("_different"), F.col("seeds")).otherwise(F.raise_error(F.lit("a seed occurs twice in a group")).cast("bigint"))
     return out.withColumn("seeds", seeds).drop("_different")
@@ -142,3 +144,20 @@ def aggregate_rows(runs: DataFrame, groups: list[str], metrics: list[str]) -> Da
         std = F.coalesce(F.stddev_samp(x), F.lit(0.0))
         aggs += [F.avg(x).alias(f"{m}_mean"), std.alias(f"{m}_std"), F.when(n > 1, point * std / F.sqrt(n.cast("double"))).otherwise(F.lit(0.0)).alias(f"{m}_ci95")]
     return runs.groupBy(*groups).agg(*aggs)
+
+
+#: What is summarised and drawn of runs, with the unit that a plot divides by.
+SHOWN = {"f1": 1.0, "ncr": 1.0, "total_seconds": 1.0, "communication_bytes": float(1 << 20), "mse": 1.0, "frequency_mse": 1.0}
+
+
+def plot_series(aggregated: DataFrame) -> DataFrame:
+    """dataset, axis, metric, method, value, mean, deviation: the points of each line or bar, in the plots' units.
+
+    Only measured rows may be drawn: a table without rows, or with a row that doesn't say so, is an error.
+    """
+    told = aggregated.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result_kind").eqNullSafe("measured")).alias("good")).first()
+    if not told["n"] or told["good"] < told["n"]:
+        raise ValueError("only tables of measured rows can be drawn")
+    have = [m for m in SHOWN if f"{m}_mean" in aggregated.columns]
+    points = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(f"{m}_mean") / SHOWN[m]).alias("mean"), (F.col(f"{m}_std") / SHOWN[m]).alias("deviation")) for m in have)))
+    return aggregated.select("dataset", "axis", "method", F.col("value").cast("double").alias("value"), points.alias("x")).select("dataset", "axis", "x.metric", "method", "value", "x.mean", "x.deviation")

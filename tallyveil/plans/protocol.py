@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import time
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -267,29 +268,56 @@ def run_case(wide: DataFrame, config: Config, method: str, *, dataset: str = "cu
     owned = prepare(wide, config)
     owned = replace(owned, wide=owned.wide.persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        began = time.perf_counter()
         found, info = run_method(owned, p, method)
+        seconds = time.perf_counter() - began
         scores = audit(owned, found, p)
     finally:
         owned.wide.unpersist()
     flat = {k: v for k, v in info.items() if not isinstance(v, (dict, bool))}
-    return {"dataset": dataset, "axis": axis, "value": float(value), "seed": p.seed, "method": method, "k": p.k, "epsilon": float(p.epsilon), "clients": len(owned.parts), **scores, **flat}
-
-
-def sweep(wide: DataFrame, base: Config, numbers: Sequence[int], methods: Sequence[str], seeds: Sequence[int] = (2026,), folder: str | None = None, dataset: str = "custom") -> list[dict]:
-    """Runs the sweeps' cases; with a folder, a case that was run before with the same identity is read back, and one of another identity is an error."""
-    from ..sources.files import reuse, store
-    from .config import cases, identity
-
-    rows = []
-    for axis, value, seed, config in cases(base, tuple(numbers), tuple(seeds)):
-        for method in methods:
-            who, place = identity(config, method, axis, value, dataset), f"{folder}/{axis}/value_{value:g}/seed_{seed}/{method}.json"
+    return {
+        "dataset": dataset, "axis": axis, "value": float(value), "seed": p.seed, "method": method, "k": p.k, "epsilon": float(p.epsilon),
+        "clients": len(owned.parts), "total_seconds": seconds, "result_kind": "measured", "evaluation_scope": "global_exact", **scores, **flat,
+    }
+
+
+def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Sequence[int], methods: Sequence[str] | None = None, seeds: Sequence[int] = (2026,), folder: str | None = None, dataset: str = "custom", names: Sequence[str] | None = None, values: Sequence[float] | None = None) -> list[dict]:
+    """Runs every point of the numbered sweeps and returns their rows.
+
+    tables is one table, called dataset, or several by name; of those an axis takes names, or its own.
+    A configuration that several axes share is run once and counts for each of them. With a folder, each
+    row is kept under its axis, table, value, seed and method: one that was run before with the same
+    identity is read back, and one of another identity there is an error. status.json says of each axis
+    that it is complete, and with how many rows.
+    """
+    from ..sources.files import reuse, store, write_json
+    from .config import identity, points
+
+    if isinstance(tables, DataFrame):
+        tables, names = {dataset: tables}, [dataset]
+    todo = points(base, numbers, seeds, names, values, methods)
+    if missing := {x.table for x in todo} - set(tables):
+        raise KeyError(f"tables that the sweeps need and that aren't given: {sorted(missing)}")
+    rows: list[dict] = []
+    ran: dict[tuple[str, str, Config], dict] = {}
+    written: dict[str, int] = {}
+    for x in todo:
+        home = f"experiment{x.number:02d}_{x.axis}"
+        for method in x.methods:
+            who = identity(x.config, method, x.axis, x.value, x.table)
+            place = f"{folder}/{home}/{x.table}/value_{x.value:g}/seed_{x.seed}/{method}.json"
             row = reuse(place, who) if folder else None
             if row is None:
-                row = run_case(wide, config, method, dataset=dataset, axis=axis, value=value)
+                key = (x.table, method, x.config)
+                if key not in ran:
+                    ran[key] = run_case(tables[x.table], x.config, method, dataset=x.table)
+                row = ran[key] | {"axis": x.axis, "value": x.value}
                 if folder:
                     store(place, who, row)
             rows.append(row)
+            written[home] = written.get(home, 0) + 1
+    for home, n in written.items() if folder else ():
+        write_json(f"{folder}/{home}/status.json", {"status": "complete", "runs": n, "datasets": sorted({x.table for x in todo if home.endswith(x.axis)})})
     return rows
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .functions import itemsets, prf
-from .operators import binning, budget, candidates, circuits, counts, encode, keys, metrics, partition, randomizer, sketch, wire
+from .operators import binning, budget, candidates, circuits, counts, encode, estimate, keys, metrics, partition, randomizer, sketch, wire
 from .oracle import laplace, name, on_orders, splitmix, tag, uniform
 from .plans import config, protocol
 from .sources import files, views
@@ -96,9 +97,12 @@ def _(spark, d):
     return files.toy(spark)
 
 
-@query("s15_table_rows", "select count(*) as rows from lineitem")
+_LINE_TEXT = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query("s15_table_rows", "select count(*) as rows, sum(('0x' || substr(sha256(" + " || '|' || ".join(f"coalesce({c}::varchar, '\\N')" for c in _LINE_TEXT) + "), 1, 13))::bigint)::varchar as digest from lineitem")
 def _(spark, d):
-    return files.table_digest(read(spark, d, "lineitem")).select("rows")
+    return files.table_digest(read(spark, d, "lineitem").select(*_LINE_TEXT))
 
 
 @query("t1_categories", "select event_type as value, (row_number() over (order by event_type) - 1)::bigint code from (select distinct event_type from events where event_type is not null)")
@@ -319,15 +323,15 @@ def _(spark, d):
 def _(spark, d):
     _, best = _some_candidates(spark, d)
     parts = keys.projections(best, _owners(spark))
-    reported = parts.groupBy("part", "client").agg(F.max("guess").alias("g")).orderBy(F.desc("g"), "part").limit(3).select("part", F.lit(True).alias("whole"))
-    rows = parts.join(F.broadcast(reported.dropDuplicates(["part"])), "part", "left").withColumn("whole", F.coalesce("whole", F.lit(False)) | (F.size("part") == 1))
-    single = F.array_join(F.transform("part", lambda x: itemsets.text_column(F.array(x))), " ")
-    shown = F.when(F.col("whole"), itemsets.text_column(F.col("part"))).otherwise(single)
-    listed = rows.groupBy("itemset").agg(F.array_sort(F.collect_list(F.struct("client", shown.alias("s")))).alias("b"))
-    return listed.select(itemsets.text_column(F.col("itemset")).alias("itemset"), F.array_join(F.transform("b", lambda x: x["s"]), " ").alias("blocks"))
+    reported = parts.groupBy("part", "client").agg(F.max("guess").alias("g")).orderBy(F.desc("g"), "part").limit(3).collect()
+    found, owner = candidates.collect_candidates(best), partition.owner_map(PARTS)
+    known = {(r["client"], itemsets.canonical(map(tuple, r["part"]))) for r in reported} | {(owner[i[0]], (i,)) for c in found for i in c.itemset}
+    blocks = [(itemsets.text(c.itemset), owner, estimate.blocks_of(c.itemset, owner, keys.MIXED, known)) for c in found]
+    rows = [(t, " ".join(sorted(map(itemsets.text, b), key=lambda x: (owner[int(x[2 : x.index("=")])], x)))) for t, owner, b in blocks]
+    return spark.createDataFrame(rows, "itemset string, blocks string")
 
 
-@query("j10_tid_intersections", on_orders("select labels, n support from (select 'c' || attr || ':' || value labels, count(*) n from cells where attr < 3 group by 1 union all select 'c' || a.attr || ':' || a.value || ' c' || b.attr || ':' || b.value, count(*) from cells a join cells b on a.tid = b.tid and a.attr < b.attr where b.attr < 3 group by 1)"))
+@query("j10_tid_intersections", on_orders("select labels, n support from (select 'c' || attr || ':' || value labels, count(*) n from cells group by 1 union all select 'c' || a.attr || ':' || a.value || ' c' || b.attr || ':' || b.value, count(*) from cells a join cells b on a.tid = b.tid and a.attr < b.attr group by 1)"))
 def _(spark, d):
     long = encode.to_long(_orders(spark, d)).select("tid", F.concat(F.lit("c"), "attr", F.lit(":"), "value").alias("label"))
     return circuits.tid_intersections(long, 2, 100_000).select(F.array_join("labels", " ").alias("labels"), "support")
@@ -471,7 +475,7 @@ def _intersection_sql() -> str:
         p, q = randomizer.parameters(eps)
         u = uniform(tag("8", f"'{n}'", "tid"))
         parts.append(f"((({u} < case when a{a} = {v} then {p!r}::double else {q!r}::double end)::int - {q!r}::double) / {p - q!r}::double)")
-    return on_orders(f"select round_even(least(greatest(sum({' * '.join(parts)}), 0), 15000), 6)::double estimate from ord")
+    return on_orders(f"select round_even(least(greatest(sum({' * '.join(parts)}), 0), count(*)), 6)::double estimate from ord")
 
 
 @query("n12_unary_intersection", _intersection_sql())
@@ -481,13 +485,22 @@ def _(spark, d):
     return wide.agg(_round(randomizer.intersection(None, blocks, wide.count(), 8)).alias("estimate"))
 
 
-@query("n13_unary_first_round")
+def _unary_first_sql() -> str:
+    share = 2.0 / CLIENTS / 2
+    p, q = randomizer.parameters(share)
+    bit = f"({uniform(tag(str(SEED), chr(39) + 'oue' + chr(39), 'h.attr', 'h.value', 'tid'))} < case when c.value = h.value then {p!r}::double else {q!r}::double end)::int"
+    sums = f"select h.attr, h.value, least(greatest((sum({bit}) - count(*) * {q!r}::double) / {p - q!r}::double, 0), count(*)) x from cells c join histogram h on h.attr = c.attr group by h.attr, h.value"
+    return on_orders(f"select client::int client, attr, value, round_even(x, 6)::double noisy from (select attr // 2 client, attr, value, x, row_number() over (partition by attr // 2 order by x desc, attr, value) r from ({sums})) where r <= 15")
+
+
+@query("n13_unary_first_round", _unary_first_sql())
 def _(spark, d):
     wide = _orders(spark, d)
-    return randomizer.first_round(wide, encode.domain_map(wide), _owners(spark), 2.0, CLIENTS, wide.count(), SEED, 15)
+    found = randomizer.first_round(wide, encode.domain_map(wide), _owners(spark), 2.0, CLIENTS, wide.count(), SEED, 15)
+    return found.withColumn("noisy", _round("noisy"))
 
 
-@query("n15_central_supports", on_orders(f"select t as itemset, least(greatest(round_even(n + {laplace('40 / 0.5', tag('2026', chr(39) + 'central' + chr(39), 'c'))}, 9), 0), 15000)::double estimate from (select b.t, coalesce(s.n, 0) n, row_number() over (order by b.score desc, b.k) - 1 c from best b left join sets s on s.t = b.t)", *_candidate_ctes(), oracle.itemset_counts(3, "pool")))
+@query("n15_central_supports", on_orders(f"select t as itemset, least(greatest(round_even(n + {laplace('40 / 0.5', tag('2026', chr(39) + 'central' + chr(39), 'c'))}, 9), 0), (select count(*) from ord))::double estimate from (select b.t, coalesce(s.n, 0) n, row_number() over (order by b.score desc, b.k) - 1 c from best b left join sets s on s.t = b.t)", *_candidate_ctes(), oracle.itemset_counts(3, "pool")))
 def _(spark, d):
     wide, best = _some_candidates(spark, d)
     found = candidates.collect_candidates(best)
@@ -568,7 +581,10 @@ def _(spark, d):
     return _top_table(spark, counts.top_itemsets(views.lineitem_view(spark, d), 15, 2)[0])
 
 
-@query("k3_exact_topk_events")
+_EVENT_CELLS = "with ev as materialized (select event_id tid, (dense_rank() over (order by event_type) - 1)::bigint a0, hour(ts) // 6 a1, isodow(ts) - 1 a2, user_id % 8 a3, " + oracle.below("value", "edge.e") + f"::bigint a4 from events, (select {oracle.inner_edges('value', 'events')} e) edge), cells as materialized (" + " union all ".join(f"select tid, {k} attr, a{k} as value from ev" for k in range(5)) + "), histogram as (select attr, value, count(*) n from cells group by all), "
+
+
+@query("k3_exact_topk_events", _EVENT_CELLS + oracle.itemset_counts(4, "histogram") + " select t as itemset, n support from sets order by n desc, k limit 15")
 def _(spark, d):
     return _top_table(spark, counts.top_itemsets(views.events_view(spark, d), 15, 4)[0])
 
@@ -637,7 +653,7 @@ def _(spark, d):
     return spark.createDataFrame([(k + 1, itemsets.text(c.itemset)) for k, c in enumerate(found)], "place int, itemset string")
 
 
-@query("c6_public_universe", on_orders(" union all ".join(f"select {name([f'c{k}.attr' for k in range(s)], [f'c{k}.value' for k in range(s)])} as itemset from (select * from histogram where attr < 4) c0" + "".join(f" join (select * from histogram where attr < 4) c{k} on c{k}.attr > c{k - 1}.attr" for k in range(1, s)) for s in (1, 2))))
+@query("c6_public_universe", on_orders(" union all ".join(f"select {name([f'c{k}.attr' for k in range(s)], [f'c{k}.value' for k in range(s)])} as itemset from histogram c0" + "".join(f" join histogram c{k} on c{k}.attr > c{k - 1}.attr" for k in range(1, s)) for s in (1, 2))))
 def _(spark, d):
     domain = encode.domain_map(_orders(spark, d))
     return spark.createDataFrame([(itemsets.text(s),) for s in counts.universe(domain, 2, 10_000)], "itemset string")
@@ -690,9 +706,26 @@ def _key_query(mode: str, **how) -> Query:
     return run
 
 
-query("r3_top_joint_keys")(_key_query(keys.LOCAL_TOP, top=3))
+query(
+    "r3_top_joint_keys",
+    on_orders(
+        f"with j as (select client, part, sum(greatest(guess, 0)) * (len(part) - 1) gain, max(score) best from owned where len(part) > 1 group by client, part), "
+        f"c as (select client, part from (select *, row_number() over (partition by client order by round_even(gain, 6) desc, greatest(best, 0) desc, part) r from j) where r <= 3), "
+        f"k as (select client, part from c union select o.client, [x] from (select client, part, unnest(part) x from owned) o left join c on c.client = o.client and c.part = o.part where c.client is null) "
+        f"select client::int client, {_TEXT('part')} as key from k",
+        *_KEYS,
+    ),
+)(_key_query(keys.LOCAL_TOP, top=3))
 query("r4_raw_single_keys", on_orders("select client::int client, '{a' || attr || '=' || value || '}' as key from (select client, h.attr, h.value, row_number() over (partition by client order by h.n desc, h.attr, h.value) r from (select distinct client, x.attr, x.value from (select client, unnest(part) x from owned)) u join histogram h on h.attr = u.attr and h.value = u.value) where r <= 3", *_KEYS))(_key_query(keys.RAW_SINGLE, limit=3))
-query("r5_raw_part_keys")(_key_query(keys.RAW_PARTS, limit=3))
+query(
+    "r5_raw_part_keys",
+    on_orders(
+        f"with u as (select distinct client, part from owned), n as (select u.client, u.part, coalesce(s.n, 0) n from u left join sets s on s.t = {_TEXT('u.part')}), "
+        f"b as (select client, unnest(part) x from (select *, row_number() over (partition by client order by n desc, part) r from n) where r <= 3) "
+        f"select distinct client::int client, '{{a' || x.attr || '=' || x.value || '}}' as key from b",
+        *_KEYS, oracle.itemset_counts(2, "pool"),
+    ),
+)(_key_query(keys.RAW_PARTS, limit=3))
 query("r6_mixed_keys", on_orders(f"select client::int client, {_TEXT('k')} as key from mixed where r <= 6", *_KEYS, _MIXED))(_key_query(keys.MIXED, limit=6))
 query("r7_cover_keys")(_key_query(keys.COVER, limit=6))
 
@@ -705,10 +738,10 @@ def _(spark, d):
     return spark.createDataFrame(rows, "client int, key string")
 
 
-@query("r9_public_keys", on_orders("select c::int client, n::bigint n from (select attr // 2 c, sum(s) + product(s) n from (select attr, count(*) s from histogram group by attr) group by attr // 2)"))
+@query("r9_public_keys", on_orders("with h as (select attr // 2 client, attr, value from histogram) select client::int client, '{a' || attr || '=' || value || '}' as key from h union all select a.client::int, '{a' || a.attr || '=' || a.value || ', a' || b.attr || '=' || b.value || '}' from h a join h b on a.client = b.client and a.attr < b.attr"))
 def _(spark, d):
     domain = encode.domain_map(_orders(spark, d))
-    return spark.createDataFrame([(c, len(keys.public_keys(domain, attrs))) for c, attrs in enumerate(PARTS)], "client int, n bigint")
+    return spark.createDataFrame([(c, itemsets.text(k)) for c, attrs in enumerate(PARTS) for k in keys.public_keys(domain, attrs)], "client int, key string")
 
 
 @query("b2_weighted_budget", on_orders(f"select client::int client, {_TEXT('part')} as key, round_even(0.125 * w / sum(w) over (partition by client), 9)::double epsilon from (select distinct client, part, case when len(part) > 1 then 4.0 else 1.0 end w from owned)", *_KEYS))
@@ -773,11 +806,18 @@ def _(spark, d):
     return spark.createDataFrame(rows, "client int, bound bigint, groups bigint")
 
 
-@query("b10_certificate", "select true as within")
+_SPENDING = [(e, c, split, share) for e in (0.25, 1.0, 4.0) for c in (2, 4, 8) for split in (0.1, 0.5, 0.9) for share in (0.9, 1.0, 1.1)]
+
+
+@query("b10_certificate", "select epsilon::double epsilon, clients::int clients, split::double split, share::double share, share <= 1 as within from (values " + ", ".join(map(str, _SPENDING)) + ") t(epsilon, clients, split, share)")
 def _(spark, d):
-    p = budget.phases(1.0, 1e-5, 4, 0.5, 0.1)
-    spent = {k: 4 * v for k, v in p.items() if k.startswith("epsilon")}
-    return spark.createDataFrame([(budget.certificate(spent, 1.0),)], "within boolean")
+    """Whether what clients really spend, a share of what their phases allow, stays in the budget."""
+    rows = []
+    for e, c, split, share in _SPENDING:
+        allowed = budget.phases(e, 1e-5, c, split, 0.1)
+        spent = {k: c * v * share for k, v in allowed.items() if k.startswith("epsilon")}
+        rows.append((e, c, split, share, budget.certificate(spent, e)))
+    return spark.createDataFrame(rows, "epsilon double, clients int, split double, share double, within boolean")
 
 
 # Bins
@@ -889,7 +929,7 @@ def _cdf(x: str) -> str:
     return f"ln(1 - power(2.0, -({x})))"
 
 
-_GRID = "grid as (select (row_number() over (order by size) - 1) place, size from (select least(i * 50.0, 15000.0)::double size from range(301) t(i)))"
+_GRID = "rows as (select count(*)::double n, greatest(50, ceil(count(*) / 1500.0)) w from ord), grid as (select (row_number() over (order by size) - 1) place, size from (select distinct least(i * w, n)::double size from (select n, w, unnest(range(0, ceil(n / w)::bigint + 1)) i from rows)))"
 _SCORES = f"""scores as (select key, place, size, round_even(sum(times * case when alpha <= {_FLOOR} then high else high + ln(1 - least(exp(least(0.0, coalesce(low - high, '-inf'::double))), 1.0 - 1e-15)) end), 6) score from (select key, alpha, times, place, size, (size + {_P}) * {_cdf('alpha')} high,
     case when alpha > 1 then (size + {_P}) * {_cdf('alpha - 1')} end low from (select key, alpha, count(*) times from pv group by key, alpha), grid) group by key, place, size)"""
 
@@ -901,21 +941,15 @@ def _(spark, d):
 
 @query("a9_likelihood", on_orders("select key, round_even(max(score), 4)::double best from scores group by key", _RANKS, _PRIVATE, _GRID, _SCORES))
 def _(spark, d):
-    rows = _private(spark, d)
     sizes = sketch.grid(float(_rows(spark, d)), 50, 1500)
-    return rows.groupBy("key").applyInPandas(lambda pdf: _best_score(pdf, sizes), "key string, best double")
 
+    def best(pdf):
+        import pandas as pd
 
-def _best_score(pdf, sizes):
-    import numpy as np
-    import pandas as pd
+        scores = sketch.likelihood(pdf["alpha"].to_numpy(), _P, _FLOOR, sizes, 1.0)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "best": [round(float(scores.max()), 4)]})
 
-    seen, times = np.unique(pdf["alpha"].to_numpy(), return_counts=True)
-    total = sizes + _P
-    high = sketch.log_cdf(seen, 1.0)[:, None] * total
-    low = sketch.log_cdf(seen - 1, 1.0)[:, None] * total
-    one = np.where((seen <= _FLOOR)[:, None], high, high + np.log1p(-np.minimum(np.exp(np.minimum(0.0, low - high)), 1 - 1e-15)))
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "best": [round(float((times @ one).max()), 4)]})
+    return _private(spark, d).groupBy("key").applyInPandas(best, "key string, best double")
 
 
 @query("e3_log_cdf", f"select x::int x, round_even({_cdf('x')}, 9)::double log_cdf from range(1, 21) t(x)")
@@ -928,7 +962,7 @@ def _(spark, d):
     return spark.createDataFrame([(float(x),) for x in sketch.grid(14998.0, 5, 1500)], "size double")
 
 
-@query("e6_bounds", on_orders("with s as (select t, unnest(k) x from best where size > 1), c as (select t, n::double n from s join histogram h on h.attr = x.attr and h.value = x.value) select t as itemset, least(ceil(greatest(0, sum(n) - (count(*) - 1) * 15000.0)), floor(min(n)))::bigint lower, floor(min(n))::bigint as upper from c group by t", *_candidate_ctes()))
+@query("e6_bounds", on_orders("with s as (select t, unnest(k) x from best where size > 1), c as (select t, n::double n from s join histogram h on h.attr = x.attr and h.value = x.value) select t as itemset, least(ceil(greatest(0, sum(n) - (count(*) - 1) * (select count(*)::double from ord))), floor(min(n)))::bigint lower, floor(min(n))::bigint as upper from c group by t", *_candidate_ctes()))
 def _(spark, d):
     wide, best = _some_candidates(spark, d)
     items = best.where(F.size("itemset") > 1).select(itemsets.text_column(F.col("itemset")).alias("candidate"), F.explode("itemset").alias("x"))
@@ -937,7 +971,7 @@ def _(spark, d):
     return sketch.bounds_table(sizes, float(wide.count())).withColumnRenamed("candidate", "itemset")
 
 
-@query("e8_complement_inverse", on_orders(f"select round_even(least(greatest(15000 - ({_SMALL} * 0.7213 / (1 + 1.079 / {_SMALL}) / sum(power(2.0, -alpha)) - {2 * _P}), 0), 15000), 6)::double estimate from (select j, max(alpha) alpha from pv where key in ('a0=2', 'a5=3') group by j)", _RANKS, _PRIVATE))
+@query("e8_complement_inverse", on_orders(f"select round_even(least(greatest((select count(*) from ord) - ({_SMALL} * 0.7213 / (1 + 1.079 / {_SMALL}) / sum(power(2.0, -alpha)) - {2 * _P}), 0), (select count(*) from ord)), 6)::double estimate from (select j, max(alpha) alpha from pv where key in ('a0=2', 'a5=3') group by j)", _RANKS, _PRIVATE))
 def _(spark, d):
     merged = _private(spark, d).where(F.col("key").isin("a0=2", "a5=3")).groupBy("j").agg(F.max("alpha").alias("alpha")).withColumn("key", F.lit("union"))
     union = sketch.cardinality_table(merged, _SMALL, 2 * _P)
@@ -966,24 +1000,51 @@ def _(spark, d):
     return spark.createDataFrame([(sketch.nested_map(a, b, both, _rows(spark, d), 1.0, 5, 1500),)], "estimate double")
 
 
-@query("e7_complement_map")
+_M, _BUDGET = 64, 50.0
+_P256, _FLOOR256 = sketch.parameters(_BUDGET, 1e-5, _M)
+
+
+def _released(members: dict[str, str]) -> list[str]:
+    """alpha by j: the merged released sketches of keys, each with the SQL of its members and phantoms of its own seed."""
+    ranks = f"kk as materialized (select j, {splitmix(f'j::uhugeint + {SEED}::uhugeint')} s from range({_M}) t(j)), hh as materialized (select a0, a5, j, {splitmix('xor(tid::ubigint, s)')} h from ord, kk), rr as materialized (select a0, a5, j, least(greatest(ceil(-ln(1 - ((h >> 11)::double + 0.5) / 9007199254740992.0) / ln(2.0)), 1), 65535)::int r from hh)"
+    each = []
+    for k, condition in enumerate(members.values()):
+        noise = f"ceil(-ln(1 - exp(ln({uniform(tag(str(SEED + k), chr(39) + 'phantom' + chr(39), 'j'))}) / {_P256})) / ln(2.0))"
+        each.append(f"select j, greatest(coalesce(max(case when {condition} then r end), 0)::double, any_value({noise}), {_FLOOR256}) alpha from rr group by j")
+    return [ranks, "mg as materialized (select j, max(alpha)::double alpha from (" + " union all ".join(each) + ") group by j)"]
+
+
+def _inverse_sql(keys: int) -> str:
+    """The size of the union of so many keys by the inverse of the sketch."""
+    return f"({_M} * 0.7213 / (1 + 1.079 / {_M}) / sum(power(2.0, -alpha)) - {keys * _P256})"
+
+
+_WIDTH = "greatest(5, ceil(n / 1500))"
+_UNION_MAP = f"""nn as (select count(*)::double n from ord), gr as (select distinct least(i * w, n)::double size from (select n, {_WIDTH} w, unnest(range(0, ceil(n / {_WIDTH})::bigint + 1)) i from nn)),
+    sc as (select size, sum(times * case when alpha <= {_FLOOR256} then high else high + ln(1 - least(exp(least(0.0, coalesce(low - high, '-inf'::double))), 1.0 - 1e-15)) end) score from (select size, alpha, times, (size + {2 * _P256}) * ln(1 - power(2.0, -alpha)) high, case when alpha > 1 then (size + {2 * _P256}) * ln(1 - power(2.0, 1 - alpha)) end low
+    from (select alpha, count(*) times from mg group by alpha), gr) group by size)"""
+
+
+@query("e7_complement_map", on_orders(f"select n - (select size from sc order by score desc, size limit 1) map, round_even(least(greatest(n - (select {_inverse_sql(2)} from mg), 0), n), 6)::double inverse from nn", *_released({"a0=2": "a0 <> 2", "a5=3": "a5 <> 3"}), _UNION_MAP))
 def _(spark, d):
     wide = _orders(spark, d)
     some = [((0, 2),), ((5, 3),)]
-    clean = sketch.clean_sketches(wide, [~counts.matches(s) for s in some], 256, SEED)
-    reports = [sketch.release(0, s, c, 50.0, 1e-5, 1.0, SEED + k, complement=True) for k, (s, c) in enumerate(zip(some, clean, strict=True))]
+    clean = sketch.clean_sketches(wide, [~counts.matches(s) for s in some], _M, SEED)
+    reports = [sketch.release(0, s, c, _BUDGET, 1e-5, 1.0, SEED + k, complement=True) for k, (s, c) in enumerate(zip(some, clean, strict=True))]
     n = wide.count()
-    return spark.createDataFrame([(sketch.complement_map(reports, n, 1.0, 5, 1500), sketch.complement_inverse(reports, n, 1.0))], "map double, inverse double")
+    return spark.createDataFrame([(sketch.complement_map(reports, n, 1.0, 5, 1500), round(sketch.complement_inverse(reports, n, 1.0), 6))], "map double, inverse double")
+
+
+_OTHERS = [((0, 0),), ((0, 1),), ((5, 0),), ((5, 1),), ((5, 2),)]
 
 
-@query("e9_category_inverse")
+@query("e9_category_inverse", on_orders(f"select round_even(least(greatest(n - (select {_inverse_sql(len(_OTHERS))} from mg), 0), n), 6)::double estimate, n \"without\" from (select count(*)::double n from ord)", *_released({str(s): f"a{s[0][0]} = {s[0][1]}" for s in _OTHERS})))
 def _(spark, d):
     wide = _orders(spark, d)
-    others = [((0, 0),), ((0, 1),), ((5, 0),), ((5, 1),), ((5, 2),)]
-    clean = sketch.clean_sketches(wide, [counts.matches(s) for s in others], 256, SEED)
-    reports = [sketch.release(0, s, c, 50.0, 1e-5, 1.0, SEED + k) for k, (s, c) in enumerate(zip(others, clean, strict=True))]
+    clean = sketch.clean_sketches(wide, [counts.matches(s) for s in _OTHERS], _M, SEED)
+    reports = [sketch.release(0, s, c, _BUDGET, 1e-5, 1.0, SEED + k) for k, (s, c) in enumerate(zip(_OTHERS, clean, strict=True))]
     n = wide.count()
-    return spark.createDataFrame([(sketch.category_inverse(reports, n, 1.0), sketch.category_inverse([], n, 1.0))], "estimate double, without double")
+    return spark.createDataFrame([(round(sketch.category_inverse(reports, n, 1.0), 6), sketch.category_inverse([], n, 1.0))], "estimate double, without double")
 
 
 # Whole methods
@@ -999,8 +1060,25 @@ def _method(method: str) -> Query:
     return run
 
 
+def _first_ctes(epsilon: float, epsilon_n: float) -> list[str]:
+    """The first round's noisy counts and row number at a client's epsilons, and its candidates."""
+    q = lambda x: f"'{x}'"
+    client = "'client_' || (attr // 2)"
+    noisy = f"first as materialized (select attr, value, greatest(round_even(n + {laplace(f'2 / {epsilon!r}', tag(str(SEED), client, q('round1'), 'attr', 'value'))}, 9), 0)::double n from histogram)"
+    each = f"round_even((select count(*) from ord) + {laplace(repr(1.0 / epsilon_n), tag(str(SEED), q('client_') + ' || c', q('noisy_n')))}, 9)::double"
+    return [noisy, f"guessed as materialized (select greatest(1.0, avg(x))::double n from (select {each} x from range({CLIENTS}) t(c)))", *_candidate_ctes(4, 30, "first", "n from guessed, (select 1", 15)]
+
+
+def _first_sql() -> list[str]:
+    return [x.replace("total as (select n from guessed, (select 1 total)", "total as (select n total from guessed)") for x in _first_ctes(_RUN.epsilon * 0.9 / CLIENTS, _RUN.epsilon * 0.1 / CLIENTS)]
+
+
+_RANKED = "select (row_number() over (order by estimate desc, k))::int as \"rank\", t as itemset, round_even(estimate, 6)::double estimate, round_even(guess, 6)::double guess from "
+_CENTRAL = [x.replace("total as (select n from guessed, (select 1 total)", "total as (select n total from guessed)") for x in _first_ctes(_RUN.epsilon * 0.5 * 0.9 / CLIENTS, _RUN.epsilon * 0.5 * 0.1 / CLIENTS)]
+_METHOD_SQL = {"First-round": on_orders(_RANKED + "(select *, guess estimate from best)", *_first_sql())}
+
 for _name, _key in (("MAP-M", "m1_map_m"), ("MAP-S", "m1_map_s"), ("MAP-L", "m1_map_l"), ("IE-Full", "m1_ie_full"), ("IE-Other", "m1_ie_other"), ("FO", "m2_fo"), ("First-round", "m3_first_round"), ("Second-round", "m4_second_round"), ("Items-only", "m4_items_only")):
-    query(_key)(_method(_name))
+    query(_key, _METHOD_SQL.get(_name))(_method(_name))
 
 
 def _mode(mode: str, **more) -> Query:
@@ -1023,22 +1101,68 @@ query("m5_bounds_only")(_mode(keys.SINGLE, estimator="map_bounds_only"))
 query("m5_no_lower_bound")(_mode(keys.SINGLE, estimator="map_no_frechet"))
 
 
-@query("m6_central")
+_CENTRAL_NOISE = laplace(f"30 / {_RUN.epsilon * 0.5!r}", tag(str(SEED), "'central'", "c"))
+
+
+@query("m6_central", on_orders(_RANKED + f"(select k, t, guess, least(greatest(round_even(n + {_CENTRAL_NOISE}, 9), 0), (select total from total))::double estimate from (select b.*, coalesce(s.n, 0) n, row_number() over (order by b.score desc, b.k) - 1 c from best b left join sets s on s.t = b.t))", *_CENTRAL, oracle.itemset_counts(4, "pool")))
 def _(spark, d):
     owned = protocol.prepare(_orders(spark, d), config.Config(protocol=_RUN))
     return protocol.as_table(spark, protocol.central(owned, _RUN))
 
 
-@query("v5_audit")
+def _audit_sql() -> str:
+    """Metrics of the first round's candidates against the exact top 15 of all itemsets."""
+    every = oracle.itemset_counts(4, "histogram")
+    judged = f"""est as (select t, guess estimate, k from best), tops as (select t, k, n from sets order by n desc, k limit 15),
+    truth as (select t, k, n from tops union select s.t, s.k, s.n from sets s join est using (t) union select e.t, e.k, 0 from est e left join sets s using (t) where s.t is null),
+    rk as (select coalesce(a.t, b.t) t, a.n support, b.estimate, p, g from (select *, row_number() over (order by n desc, k) p from truth) a full join (select *, row_number() over (order by estimate desc, k) g from est) b on a.t = b.t),
+    sums as (select 15.0::double top, least(15, count(g))::double predicted, count_if(p <= 15 and g <= 15)::double hit, count_if(p <= 15 and g is not null)::double covered, coalesce(sum(p) filter (p <= 15 and g <= 15), 0)::double places, avg(abs(estimate - support)) mae, sqrt(avg(power(estimate - support, 2))) rmse, (select count(*) from ord)::double total from rk)"""
+    out = {
+        "precision": "hit / predicted", "recall": "hit / top", "f1": "2 * hit / (top + predicted)", "jaccard": "hit / (top + predicted - hit)", "ncr": "(hit * (top + 1) - places) / (top * (top + 1) / 2)",
+        "mae": "mae", "rmse": "rmse", "nmae": "mae / total", "nrmse": "rmse / total", "candidate_recall": "covered / top", "mse": "rmse * rmse", "frequency_mse": "rmse * rmse / (total * total)",
+    }
+    return on_orders("with " + judged + " " + " union all ".join(f"select '{m}' metric, round_even({e}, 6)::double as value from sums" for m, e in out.items()), *_first_sql(), every)
+
+
+@query("v5_audit", _audit_sql())
 def _(spark, d):
     owned = protocol.prepare(_orders(spark, d), config.Config(protocol=_RUN))
     scores = protocol.audit(owned, protocol.run_method(owned, _RUN, "First-round")[0], _RUN)
-    return spark.createDataFrame([(k, float(v)) for k, v in scores.items()], "metric string, value double")
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in scores.items()], "metric string, value double")
+
+
+_SWEPT = {
+    "epsilon": "[0.25, 0.5, 1, 2, 4]", "k": "[5, 10, 15, 20, 25]", "clients": "[2, 4, 8]", "sample_ratio": "[0.2, 0.4, 0.6, 0.8, 1]", "feature_ratio": "[0.2, 0.4, 0.6, 0.8, 1]",
+    "domain_ratio": "[0.2, 0.4, 0.6, 0.8, 1]", "first_stage_pool": "[0.5, 0.75, 1, 1.5, 2]", "second_stage_pool": "[0.5, 0.75, 1, 1.5, 2]", "candidate_pool": "[1, 1.5, 2, 2.5, 5]",
+    "budget_split": "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]", "mechanism": "[1]",
+}
 
 
-@query("w3_sweep_cases")
+def _sweep_sql() -> str:
+    points = " union all ".join(f"select {n} experiment, '{axis}' axis, unnest({values}::double[]) as value" for n, (axis, values) in enumerate(_SWEPT.items(), 1))
+    of = lambda axis, kind, other: f"case when axis = '{axis}' then value::{kind} else {other} end"
+    pool = lambda axis: f"case when axis = '{axis}' then greatest(1, round_even(15 * value, 0))::int else {of('k', 'int', '15')} end"
+    return f"""select experiment, axis, value, seed::int seed, {of('k', 'int', '15')} k, {of('epsilon', 'double', '1.0::double')} epsilon, {of('clients', 'int', '4')} clients, {of('candidate_pool', 'double', '2.0::double')} multiplier,
+    {of('budget_split', 'double', '0.5::double')} phase1_ratio, {of('sample_ratio', 'double', 'null')} sample_ratio, {of('feature_ratio', 'double', 'null')} feature_ratio, {of('domain_ratio', 'double', 'null')} domain_ratio,
+    {pool('first_stage_pool')} report_limit, {pool('second_stage_pool')} upload_limit, seed::int sampling_seed, seed::int transform_seed,
+    case when axis = 'mechanism' then 'First-round Second-round MAP-M' else 'MAP-M IE-Full IE-Other FO' end methods from ({points}), (values (2026), (2027)) s(seed)"""
+
+
+@query("w3_sweep_cases", _sweep_sql())
 def _(spark, d):
-    return spark.createDataFrame([(axis, float(value), seed) for axis, value, seed, _ in config.cases(config.Config())], "axis string, value double, seed int")
+    rows = []
+    for x in config.points(config.Config(), seeds=(2026, 2027), tables=("custom",)):
+        p, t = x.config.protocol, x.config.data
+        rows.append((x.number, x.axis, x.value, x.seed, p.k, p.epsilon, t.clients, p.multiplier, p.phase1_ratio, t.sample_ratio, t.feature_ratio, t.domain_ratio, p.report_limit, p.upload_limit, t.sampling_seed, t.transform_seed, " ".join(x.methods)))
+    kinds = "experiment int, axis string, value double, seed int, k int, epsilon double, clients int, multiplier double, phase1_ratio double, sample_ratio double, feature_ratio double, domain_ratio double, report_limit int, upload_limit int, sampling_seed int, transform_seed int, methods string"
+    return spark.createDataFrame(rows, kinds)
+
+
+@query("w5_grid_cases")
+def _(spark, d):
+    """The cases of the large grid, with all axes that each belongs to, and the denser values."""
+    rows = [(c.table, c.seed, "+".join(c.axes), dense, files.signature({"config": repr(c.config)})[:16]) for dense in (False, True) for c in config.grid_cases(config.Config(), dense=dense)]
+    return spark.createDataFrame(rows, "dataset string, seed int, axes string, dense boolean, config string")
 
 
 # Metrics and message sizes
@@ -1058,7 +1182,7 @@ _JUDGED = [*_candidate_ctes(), oracle.itemset_counts(3, "pool"), f"tr as materia
 _R = lambda e, a: f"round_even({e}, 6)::double {a}"
 
 
-@query("v1_ranking_metrics", on_orders(f"select {_R('b / 15', 'f1')}, {_R('b / (30.0 - b)', 'jaccard')}, {_R('(b * 16 - s) / 120.0', 'ncr')}, {_R('mae', 'mae')}, {_R('rmse', 'rmse')}, {_R('rmse / 15000', 'nrmse')} from (select count_if(p <= 15 and g <= 15)::double b, sum(p) filter (p <= 15 and g <= 15) s, avg(abs(estimate - support)) mae, sqrt(avg(power(estimate - support, 2))) rmse from rk)", *_JUDGED))
+@query("v1_ranking_metrics", on_orders(f"select {_R('b / 15', 'f1')}, {_R('b / (30.0 - b)', 'jaccard')}, {_R('(b * 16 - s) / 120.0', 'ncr')}, {_R('mae', 'mae')}, {_R('rmse', 'rmse')}, {_R('rmse / (select count(*) from ord)', 'nrmse')} from (select count_if(p <= 15 and g <= 15)::double b, sum(p) filter (p <= 15 and g <= 15) s, avg(abs(estimate - support)) mae, sqrt(avg(power(estimate - support, 2))) rmse from rk)", *_JUDGED))
 def _(spark, d):
     out = metrics.evaluate(*_judged(spark, d), 15, _rows(spark, d))
     return out.select(*(_round(c).alias(c) for c in ("f1", "jaccard", "ncr", "mae", "rmse", "nrmse")))
@@ -1066,10 +1190,10 @@ def _(spark, d):
 
 @query("v2_metrics_by_size", on_orders(f"select size::int size, {_R('2 * b / (least(5, n) * 2)', 'f1')}, {_R('mae', 'mae')} from (select size, count(*) n, count_if(p <= 5 and g <= 5)::double b, avg(abs(estimate - support)) mae from (select *, row_number() over (partition by size order by support desc, k) p, row_number() over (partition by size order by estimate desc, k) g from es) group by size)", *_JUDGED).replace("rk as materialized (select *, row_number() over (order by support desc, k) p, row_number() over (order by estimate desc, k) g from es)", "rk as (select 1)"))
 def _(spark, d):
-    return metrics.by_size(*_judged(spark, d), 5, 15000).select("size", _round("f1").alias("f1"), _round("mae").alias("mae"))
+    return metrics.by_size(*_judged(spark, d), 5, _rows(spark, d)).select("size", _round("f1").alias("f1"), _round("mae").alias("mae"))
 
 
-@query("v3_errors_by_band", on_orders(f"select band, count(*) as \"count\", {_R('avg(abs(estimate - support))', 'mae')}, {_R('sqrt(avg(power(estimate - support, 2)))', 'rmse')} from (select *, case when support / 15000.0 < 0.01 then '0-1%' when support / 15000.0 < 0.05 then '1-5%' when support / 15000.0 < 0.2 then '5-20%' else '20-100%' end band from rk) group by band", *_JUDGED))
+@query("v3_errors_by_band", on_orders(f"select band, count(*) as \"count\", {_R('avg(abs(estimate - support))', 'mae')}, {_R('sqrt(avg(power(estimate - support, 2)))', 'rmse')} from (select *, case when support / total < 0.01 then '0-1%' when support / total < 0.05 then '1-5%' when support / total < 0.2 then '5-20%' else '20-100%' end band from rk, total) group by band", *_JUDGED))
 def _(spark, d):
     out = metrics.by_band(*_judged(spark, d), _rows(spark, d))
     return out.select("band", "count", _round("mae").alias("mae"), _round("rmse").alias("rmse"))
@@ -1147,10 +1271,24 @@ def _(spark, d):
     return spark.createDataFrame(rows, "itemset string, not_gates bigint, or_gates bigint, and_gates bigint, xor_gates bigint")
 
 
-@query("a8_group_report")
+def _group_report_sql() -> str:
+    def draw(*parts: str) -> str:
+        u = uniform(tag("5", *parts, "tid"))
+        return "(" + " + ".join(f"({u} >= {e}::double)::bigint" for e in (0.25, 0.5, 0.75)) + ")"
+
+    cells = [f"case when {uniform(tag('5', chr(39) + 'use' + chr(39), str(a), 'tid'))} < 0.75 then {draw(chr(39) + 'latent' + chr(39), str(a // 4))} else {draw(chr(39) + 'own' + chr(39), str(a))} end" for a in range(8)]
+    return f"""with cells as materialized (select tid, a, v from (select tid, unnest(range(8)) a, unnest([{', '.join(cells)}]) v from range(5000) t(tid))),
+    h as (select a, v, count(*) / 5000.0 p from cells group by a, v), e as (select a, -sum(p * log2(p)) h, max(p) top from h group by a),
+    j as (select l.a x, r.a y, l.v, r.v w, count(*) / 5000.0 p from cells l join cells r on l.tid = r.tid and l.a < r.a group by all),
+    mi as (select x, y, sum(j.p * log2(j.p / (hx.p * hy.p))) / sqrt(any_value(ex.h) * any_value(ey.h)) nmi from j join h hx on hx.a = x and hx.v = j.v join h hy on hy.a = y and hy.v = w join e ex on ex.a = x join e ey on ey.a = y group by x, y)
+    select round_even((select avg(h) from e), 6)::double entropy_bits, round_even((select avg(top) from e), 6)::double top_share, round_even(avg(nmi) filter (x // 4 = y // 4), 6)::double within_nmi, round_even(avg(nmi) filter (x // 4 <> y // 4), 6)::double across_nmi from mi"""
+
+
+@query("a8_group_report", _group_report_sql())
 def _(spark, d):
     wide = files.generate(spark, 5000, 8, 4, 4, 0.75, 0.0, 5)
-    return counts.group_report(wide, [a // 4 for a in range(8)])
+    found = counts.group_report(wide, [a // 4 for a in range(8)])
+    return found.select(*(_round(c).alias(c) for c in ("entropy_bits", "top_share", "within_nmi", "across_nmi")))
 
 
 @query("cr5_homomorphic_sums", "select r_name region, count(*) n from region join nation on n_regionkey = r_regionkey group by r_name")
@@ -1167,7 +1305,7 @@ def _(spark, d):
     return circuits.padding_table(h, 4)
 
 
-@query("cr8_padding_rows", on_orders("select level, count(*) items from (select unnest(range(deficit)) level from (select max(frequency) over (partition by class) - frequency deficit from (select item, frequency, least((row_number() over (order by frequency desc, item) - 1) // 4, greatest(count(*) over () // 4 - 1, 0)) class from (select 'item:' || attr || ':' || value item, n frequency from histogram where attr < 4)))) group by level"))
+@query("cr8_padding_rows", on_orders("select level, count(*) items from (select unnest(range(deficit)) level from (select max(frequency) over (partition by class) - frequency deficit from (select item, frequency, least((row_number() over (order by frequency desc, item) - 1) // 4, greatest(count(*) over () // 4 - 1, 0)) class from (select 'item:' || attr || ':' || value item, n frequency from histogram)))) group by level"))
 def _(spark, d):
     h = counts.histogram(_orders(spark, d)).select(F.concat_ws(":", F.lit("item"), "attr", "value").alias("item"), F.col("n").alias("frequency"))
     return circuits.padding_rows(circuits.padding_table(h, 4)).select("level", F.size("items").cast("bigint").alias("items"))
@@ -1293,12 +1431,17 @@ def _(spark, d):
     return spark.createDataFrame([(k, str(v)) for k, v in row.items()], "field string, value string")
 
 
-@query("v7_encrypted_supports_match", "select true as matches")
+_ENCRYPTED = on_orders("select b.t as itemset, coalesce(s.n, 0) support from best b left join sets s on s.t = b.t", *_candidate_ctes(2, 8), oracle.itemset_counts(2, "pool"))
+
+
+@query("v7_encrypted_supports_match", _ENCRYPTED)
 def _(spark, d):
-    wide, best = _some_candidates(spark, d, 2, 4)
+    wide, best = _some_candidates(spark, d, 2, 8)
     some = [c.itemset for c in candidates.collect_candidates(best)]
-    found, _ = circuits.encrypted_mining(wide, some, partition.owner_map(PARTS), 100, bits=256)
-    return spark.createDataFrame([(found == counts.supports(wide, some),)], "matches boolean")
+    domain = encode.domain_map(wide)
+    found, _ = circuits.circuit_mining(wide, some, partition.owner_map(PARTS), domain, 100)
+    told = circuits.agreement(wide, found, 8, 2, domain)  # an error where a support isn't exact
+    return _top_table(spark, found.items() if told["verified"] == len(some) else [])
 
 
 @query("cr6_blinded_comparisons", "select n_nationkey, (n_nationkey > n_regionkey)::int greater from nation")
@@ -1310,17 +1453,18 @@ def _(spark, d):
     return spark.createDataFrame(out, "n_nationkey int, greater int")
 
 
-@query("cr7_border_checks", "select i::int as owner, true as passed, 6 as required, 0 as missing from range(4) t(i)")
+@query("cr7_border_checks", "select c as answer, i::int as owner, c = 'whole' as passed, 6 as required, (c = 'one missing')::int missing, (c = 'one too many')::int inserted from range(4) t(i), (values ('whole'), ('one missing'), ('one too many')) u(c)")
 def _(spark, d):
-    import itertools
-
+    """What an owner says of the cloud's answer: as it is, without an itemset that is frequent, and with one that isn't."""
     rows = []
     for owner in range(CLIENTS):
         good, bad, made = circuits.check_pattern(owner, 3)
         sets = {frozenset(s) for p in good | bad for n in range(1, len(p) + 1) for s in itertools.combinations(sorted(p), n)}
-        found = circuits.check_answer(good, bad, {s for s in sets if sum(s <= r for r in made) > 3})
-        rows.append((owner, found["passed"], found["required"], found["missing"]))
-    return spark.createDataFrame(rows, "owner int, passed boolean, required int, missing int")
+        whole = {s for s in sets if sum(s <= r for r in made) > 3}
+        for answer, returned in (("whole", whole), ("one missing", whole - {min(good, key=sorted)}), ("one too many", whole | bad)):
+            found = circuits.check_answer(good, bad, returned)
+            rows.append((answer, owner, found["passed"], found["required"], found["missing"], found["inserted"]))
+    return spark.createDataFrame(rows, "answer string, owner int, passed boolean, required int, missing int, inserted int")
 
 
 @query("cr12_publication_gate", "select * from (values ('all', true), ('one missing', false), ('none', false)) t(requirements, publishable)")

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -171,6 +172,8 @@ def test_encrypted_mining_and_tampering(spark):
     some = counts.universe({0: [0], 1: [0, 1], 2: [0, 1]}, 2, 100)
     supports, info = circuits.encrypted_mining(wide, some, {0: 0, 1: 1, 2: 1}, 1, bits=256)
     assert supports == counts.supports(wide, some) and info["smallest_class"] >= 2
+    assert all(c["passed"] and c["required"] == 6 for c in info["checks"]) and len(info["checks"]) == 2
+    assert all(o["verification_rows"] == 6 and o["smallest_class"] >= 2 for o in info["owners"])
     good, bad, rows = circuits.check_pattern(0, 2)
     sets = {frozenset(s) for g in good for n in (1, 2) for s in itertools.combinations(sorted(g), n)}
     assert circuits.check_answer(good, bad, sets)["passed"]
@@ -180,6 +183,56 @@ def test_encrypted_mining_and_tampering(spark):
     assert not circuits.publishable({}) and not circuits.publishable({"a": True, "b": False})
 
 
+def test_a_tampered_answer_is_refused(spark):
+    """Rows go to the cloud disguised; a changed sum, a changed comparison, a dropped itemset and an invented one are all found."""
+    wide = table(spark, [[0, 0, 0], [0, 0, 1], [0, 1, 1], [0, 1, 1]])
+    public, private = circuits.key_pair(256)
+    domain = {0: [0], 1: [0, 1], 2: [0, 1]}
+    owners = [circuits.prepare_owner(wide, who, attrs, domain, b"secret", public, 1) for who, attrs in ((0, [0]), (1, [1, 2]))]
+    rows = [o.records.collect() for o in owners]
+    assert not any("item" in x or "check" in x for some in rows for r in some for x in r.labels)
+    aligned = [{bytes(r.htid) for r in some} for some in rows]
+    assert len(aligned[0] & aligned[1]) == 4 and [len(x) for x in aligned] == [o.info["verification_rows"] + o.info["fictitious_rows"] + 4 for o in owners]
+    flags = Counter(private.decrypt(int(r.cipher)) for r in rows[1])
+    assert flags == {1: 4 + owners[1].info["verification_rows"], 0: owners[1].info["fictitious_rows"]}
+    label = {item: x for o in owners for x, item in o.names.items()}
+    real = {tuple(sorted(label[f"item:{a}:{v}"] for a, v in s)): s for s in (((0, 0), (2, 1)), ((1, 1), (2, 1)), ((1, 0),))}
+    asked = sorted(set(real) | owners[0].asked | owners[1].asked)
+    compare = circuits.Comparison(public, private, 100, 64)
+    whose = {x: k for k, o in enumerate(owners) for x in o.names}
+    sent = [spark.createDataFrame(some, "owner int, htid binary, labels array<string>, cipher string") for some in rows]
+    replies = circuits.cloud_mine(sent, asked, whose, compare, public.encrypt(1))
+    supports, _ = circuits.open_replies(replies, owners, private, 1)
+    assert supports == counts.supports(wide, list(real.values()))
+    at = next(k for k, r in enumerate(replies) if r.labels in real)
+    more = replace(replies[at], support=public.add(replies[at].support, public.encrypt(5)), frequent=public.encrypt(0))
+    dropped = [r for r in replies if frozenset(r.labels) not in owners[1].frequent]
+    invented = [replace(r, support=public.encrypt(9), frequent=public.encrypt(1)) if frozenset(r.labels) in owners[0].infrequent else r for r in replies]
+    for wrong in ([*replies[:at], more, *replies[at + 1 :]], dropped, invented):
+        with pytest.raises(RuntimeError):
+            circuits.open_replies(wrong, owners, private, 1)
+
+
+def test_circuits_guard_their_payload(spark):
+    wide = table(spark, [[0, 0, 0], [0, 0, 1], [0, 1, 1], [0, 1, 1]])
+    domain, owner = {0: [0], 1: [0, 1], 2: [0, 1]}, {0: 0, 1: 1, 2: 1}
+    some = counts.universe(domain, 2, 100)
+    supports, info = circuits.circuit_mining(wide, some, owner, domain, 2)
+    assert supports == counts.supports(wide, some) and info["below"] == sum(n < 2 for n in supports.values()) and info["above"] == sum(n > 2 for n in supports.values())
+    assert circuits.agreement(wide, supports, 3, 2, domain) == {"verified": len(some), "f1": 1.0, "ncr": 1.0}
+    with pytest.raises(RuntimeError, match="wrong"):
+        circuits.agreement(wide, supports | {some[0]: 1}, 3, 2, domain)
+    with pytest.raises(ValueError, match="over the limit"):
+        circuits.circuit_mining(wide, some, owner, domain, 2, most_gib=1e-6)
+    assert circuits.payload_bytes(10, 3, 2) == ((10 + 2) * 3 + 2 * 6 + 4) * 2536
+
+
+def test_primes():
+    small = [n for n in range(3, 4000, 2) if all(n % d for d in range(3, int(n**0.5) + 1, 2))]
+    assert [n for n in range(3, 4000, 2) if not any(circuits._witness(b, n) for b in range(2, min(n - 1, 40)))] == small
+    assert circuits._prime(64).bit_length() == 64
+
+
 def test_padding(spark):
     f = spark.createDataFrame([(c, n) for c, n in zip("abcdefg", (9, 7, 7, 5, 3, 2, 1), strict=True)], "item string, frequency long")
     padded = circuits.padding_table(f, 3)

@@ -2,6 +2,7 @@
 
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -169,6 +170,10 @@ def test_adaptive_search_equals_dense():
     users = np.arange(600)
     reports = released([users < 400, (users >= 120) & (users < 470), (users >= 220) & (users < 520)], 512, 50.0)
     assert sketch.joint_map(reports, 600, 1.0, 1, 1500) == sketch.joint_map(reports, 600, 1.0, 1, 1500, adaptive=False)
+    sizes, asked = np.arange(0, 10_000, 3.0), []
+    hill = lambda x: (asked.append(len(x)), -np.abs(x - 6204.0) - np.where(x > 6204, x / 7, 0))[1]
+    assert sketch._first_max(sizes, hill) == 6204.0 and sum(asked) < 120
+    assert sketch._first_max(sizes, lambda x: -x) == 0.0 and sketch._first_max(sizes, lambda x: x) == sizes[-1] and sketch._first_max(sizes[:1], lambda x: x) == 0.0
 
 
 def test_bounds_and_grids():
@@ -290,18 +295,86 @@ def test_configuration(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"data": {"path": "x.csv", "attribute_ratios": [1, 1, 1, 1]}, "protocol": {"modes": [keys.SINGLE]}}))
     found = config.load(tmp_path / "c.json")
     assert found.data.path == str((tmp_path / "x.csv").resolve()) and found.protocol.modes == (keys.SINGLE,)
-    assert len(config.cases(config.Config(), (1, 2))) == 9  # the default epsilon and k are one configuration
-    assert config.case(config.Config(), "second_stage_pool", 0.5).protocol.upload_limit == 8
+    for name, value in (("k", 1), ("epsilon", 0.0), ("m", 4), ("pruning", "some"), ("modes", ("other",)), ("phase1_ratio", 1.0), ("multiplier", math.inf), ("min_size", 5)):
+        assert config.Config(protocol=replace(config.Protocol(), **{name: value})).faults()
+    assert config.Config().faults() == [] and len(config.Config(config.Data(clients=0, sample_ratio=2.0)).faults()) == 2
+
+
+def test_points_of_sweeps():
+    """Each axis in full, its default point among them; what must be run is less, and says all axes that it is for."""
+    base = config.Config()
+    every = config.points(base, tables=("custom",))
+    assert len(every) == 53 and {x.axis for x in every} == {a.name for a in config.SWEEPS.values()}
+    assert [x.config.protocol.k for x in every if x.axis == "k"] == [5, 10, 15, 20, 25]
+    found = config.cases(base)
+    assert len(found) < 53 and sum(len(c.axes) for c in found) == 53
+    shared = next(c for c in found if len(c.axes) > 1)
+    assert {"epsilon", "k", "clients", "mechanism"} <= set(shared.axes)
+    assert {x.table for x in config.points(base, [4])} == {"Bank", "DefaultCredit"} and len(config.points(base, [1], seeds=(1, 2), values=(3.0,))) == 4
+    assert every[-1].methods == ("First-round", "Second-round", "MAP-M")
+    assert config.at(base, "second_stage_pool", 0.5).protocol.upload_limit == 8 and config.at(base, "second_stage_pool", 0.5).protocol.report_limit == 15
+    with pytest.raises(ValueError, match="exclude"):
+        config.at(config.Config(config.Data(max_rows=5)), "sample_ratio", 0.5)
+    with pytest.raises(ValueError, match="unknown axis"):
+        config.at(base, "colour", 1)
+
+
+def test_large_grid():
+    found = config.grid_cases(config.Config(), seeds=(1,))
+    assert {a for c in found for a in c.axes} == set(config.GRID_AXES) and len(config.GRID_AXES) == 20
+    default = [c for c in found if c.table == "Retail" and {"k", "epsilon", "dataset"} <= set(c.axes)]
+    assert len(default) == 1 and {"m", "clients", "budget_split", "pruning"} <= set(default[0].axes)
+    assert sum("attribute_ratio" in c.axes for c in found) == 10
+    dense = config.grid_cases(config.Config(), seeds=(1,), dense=True)
+    assert {a for c in dense for a in c.axes} == set(config.DENSE) and sum("k" in c.axes for c in dense) == 5
+    assert len(config.grid_cases(config.Config(), ["k"], (1, 2), ("A", "B"), ks=(3, 7, 3))) == 8
+    for wrong in (dict(axes=["colour"]), dict(axes=["clients"], dense=True), dict(ks=(1,))):
+        with pytest.raises(ValueError):
+            config.grid_cases(config.Config(), **wrong)
+
+
+def test_seeds_draw_different_samples(spark):
+    wide = files.toy(spark, 200)
+    base = config.Config(config.Data(clients=2))
 
+    def drawn(axis, value, seed):
+        owned = protocol.prepare(wide, config.at(base, axis, value, seed))
+        return sorted(map(tuple, owned.wide.collect()))
 
-def test_sweeps_resume(spark, tmp_path):
+    for axis, value in (("sample_ratio", 0.3), ("feature_ratio", 0.5)):
+        assert drawn(axis, value, 1) == drawn(axis, value, 1) != drawn(axis, value, 2)
+
+
+def test_sweeps_resume(spark, tmp_path, monkeypatch):
     wide = files.toy(spark, 300)
     base = config.Config(config.Data(clients=2), config.Protocol(k=2, m=16, epsilon=30.0, max_size=2))
-    run = lambda: protocol.sweep(wide, base, [3], ["First-round"], folder=str(tmp_path))
+    ran = []
+    whole = protocol.run_case
+    monkeypatch.setattr(protocol, "run_case", lambda *a, **k: (ran.append(a), whole(*a, **k))[1])
+    run = lambda **how: protocol.sweep(wide, base, [3, 11], ["First-round"], folder=str(tmp_path), **how)
     first = run()
-    assert len(first) == 3 and run() == first
-    with pytest.raises(ValueError):
-        protocol.sweep(wide, base, [3], ["First-round"], folder=str(tmp_path), dataset="other")
+    assert [(r["axis"], r["value"]) for r in first] == [("clients", 2.0), ("clients", 4.0), ("clients", 8.0), ("mechanism", 1.0)]
+    assert len(ran) == 3 and run() == first and len(ran) == 3  # two clients are the default of the mechanism axis too
+    status = json.loads((tmp_path / "experiment03_clients" / "status.json").read_text())
+    assert status == {"status": "complete", "runs": 3, "datasets": ["custom"]}
+    place = tmp_path / "experiment03_clients" / "custom" / "value_2" / "seed_2026" / "First-round.json"
+    place.write_text(place.read_text().replace('"signature": "', '"signature": "0'))
+    with pytest.raises(ValueError, match="another configuration"):
+        run()
+    with pytest.raises(KeyError, match="Bank"):
+        protocol.sweep({"A": wide}, base, [4])
+    rows = protocol.sweep({"A": wide, "B": wide}, base, [1], ["First-round"], names=["A", "B"], values=[30.0])
+    assert {r["dataset"] for r in rows} == {"A", "B"} and len(rows) == 2
+
+
+def test_only_measured_rows_are_drawn(spark):
+    runs = spark.createDataFrame([("d", "k", 5.0, "m", s, 0.5 + s / 10, 2.0**20, "measured") for s in (1, 2)], "dataset string, axis string, value double, method string, seed int, f1 double, communication_bytes double, result_kind string")
+    found = metrics.plot_series(metrics.summarize(runs, ["f1", "communication_bytes"]))
+    assert {r["metric"]: round(r["mean"], 6) for r in found.collect()} == {"f1": 0.65, "communication_bytes": 1.0}
+    planned = runs.withColumn("result_kind", F.when(F.col("seed") == 1, F.lit("planned")).otherwise(F.col("result_kind")))
+    for wrong in (planned, runs.limit(0)):
+        with pytest.raises(ValueError, match="measured"):
+            metrics.plot_series(metrics.summarize(wrong, ["f1"]))
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -331,8 +404,15 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["run", *common, "--methods", "First-round", "FO", "--output", str(tmp_path / "r")], spark) == 0
     assert spark.read.csv(str(tmp_path / "r" / "aggregated"), header=True).count() == 2
     assert cli.main(["suite", *common, "--methods", "First-round", "--experiments", "3", "--output", str(tmp_path / "s")], spark) == 0
-    assert cli.main(["crypto", *common, "--max-rows", "40", "--bits", "256", "--output", str(tmp_path)], spark) == 0
+    assert cli.main(["crypto", *common, "--max-rows", "40", "--bits", "256", "--output", str(tmp_path / "e")], spark) == 0
+    told = json.loads((tmp_path / "e" / "custom.json").read_text())
+    assert told["circuit"]["top"] == told["homomorphic"]["top"] and told["circuit"]["verified"] > 0
+    assert cli.main(["crypto", *common, "--methods", "circuit", "--candidates", "public", "--output", str(tmp_path / "p")], spark) == 0
+    assert json.loads((tmp_path / "p" / "custom.json").read_text())["circuit"]["f1"] == 1.0
+    assert cli.main(["plot", "--input", str(tmp_path / "s" / "aggregated"), "--output", str(tmp_path / "plot")], spark) == 0
+    assert spark.read.csv(str(tmp_path / "plot"), header=True).where("metric = 'f1'").count() == 3
     (tmp_path / "c.json").write_text(json.dumps({"data": {"path": "toy", "clients": 2}, "protocol": {"k": 3, "m": 16, "epsilon": 30.0, "max_size": 2}}))
     assert cli.main(["configured", "--config", str(tmp_path / "c.json"), "--width", "8", "--output", str(tmp_path / "c")], spark) == 0
-    with pytest.raises(SystemExit):
-        cli.main(["run", *common, "--methods", "FO", "FO", "--output", str(tmp_path)], spark)
+    for wrong in (["--methods", "FO", "FO"], ["--max-rows", "0"], ["--seeds", "1", "1"]):
+        with pytest.raises(SystemExit):
+            cli.main(["run", *common, *wrong, "--output", str(tmp_path)], spark)
