@@ -1,5 +1,6 @@
 """Text operators against brute force, round trips and held-out labels."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -62,31 +63,69 @@ def test_word_ids_of_awkward_texts():
 # packing
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_sweep_is_best_fit(seed):
-    rng = np.random.default_rng(seed)
-    capacity = int(rng.integers(5, 60))
-    sizes = rng.integers(1, int(rng.integers(2, capacity + 2)), int(rng.integers(1, 300))).tolist()
-    placements, opened = packing.sweep(Counter(sizes), capacity)
-    held, seen = defaultdict(list), Counter()
-    for size, a, b, first, per, offset in placements.tolist():
-        for r in range(a, b):
-            held[first + (r - a) // per].append((offset + size * ((r - a) % per), size))
-            seen[size] += 1
-    assert seen == Counter(sizes) and len(held) == opened
+def best_fit(sizes, capacity):
+    """Sequences of sequential best-fit decreasing."""
+    gaps, opened = [], 0
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        if at < len(gaps):
+            g = gaps.pop(at)
+        else:
+            g, opened = capacity, opened + 1
+        if g > s:
+            bisect.insort(gaps, g - s)
+    return opened
+
+
+def packed(spark, sizes, capacity):
+    """Sequences of the rounds, whose placements are checked; and the number of tables that they wrote."""
+    table = spark.createDataFrame(list(Counter(sizes).items()), "length int, n long")
+    tables = packing.rounds(table, capacity)
+    held, seen = defaultdict(list), defaultdict(set)
+    for one in tables:
+        for r in one.where("kind = 2").collect():
+            assert not seen[r.value] & set(range(r.first, r.first + r.n))
+            seen[r.value] |= set(range(r.first, r.first + r.n))
+            for k in range(r.n):
+                held[r.seq + k // r.per].append((r.offset + r.value * (k % r.per), r.value))
+    assert {s: len(x) for s, x in seen.items()} == Counter(sizes) and all(max(x) == len(x) - 1 for x in seen.values())
     for some in held.values():
         at = 0
         for offset, size in sorted(some):
             assert offset == at
             at += size
         assert at <= capacity
-    gaps = []
-    for s in sorted(sizes, reverse=True):
-        fits = [g for g in gaps if g >= s]
-        if fits:
-            gaps.remove(min(fits))
-        gaps.append((min(fits) if fits else capacity) - s)
-    assert opened == len(gaps)
+    return len(held), len(tables)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_pack_as_best_fit(spark, monkeypatch, seed):
+    """Few rounds, about as many sequences as one document after the other, and the same whatever parts the table has."""
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(40, 200))
+    sizes = rng.integers(1, int(rng.integers(2, capacity + 2)), int(rng.integers(50, 1500))).tolist()
+    want = best_fit(sizes, capacity)
+    found, tables = packed(spark, sizes, capacity)
+    assert found <= max(want + 1, 1.01 * want) and tables < 40
+    if seed < 3:
+        monkeypatch.setattr(packing, "PART_RUNS", 16)
+        found, _ = packed(spark, sizes, capacity)
+        assert found <= max(want + 2, 1.03 * want)
+
+
+def test_parts_deal_free_gaps_by_rank():
+    assert packing.assign([(0, 5, 0), (1, 2, 1), (2, 0, 6), (3, 4, 9)]) == [(1, 0, 0, 0, 1), (2, 0, 1, 0, 2), (2, 2, 0, 1, 4)]
+    assert packing.assign([(0, 0, 3), (1, 4, 0)]) == []
+
+
+def test_rounds_of_the_corpus(spark, texts):
+    """The corpus, and a million times as many documents of its lengths, in as many rounds: no more sequences than best fit."""
+    coder = tokens.ByteBpe(queries.tokenizer_file("byte_bpe_50k.json"))
+    sizes = [x for t in texts.values() for x in packing.cut(len(coder.encode([t or ""])[0]) // 4 + 1, 2048)]
+    found, tables = packed(spark, sizes, 2048)
+    assert found <= best_fit(sizes, 2048) + 1
+    many = packing.rounds(spark.createDataFrame([(s, n * 10**6) for s, n in Counter(sizes).items()], "length int, n long"), 2048)
+    assert len(many) <= 2 * tables and sum(r.rows for one in many for r in one.where("kind = 2").groupBy().agg(F.count(F.lit(1)).alias("rows")).collect()) < 6000
 
 
 def test_packing_places_every_piece(spark, texts):
@@ -283,6 +322,16 @@ def test_prefixes_stop_early_where_links_are_close(spark, monkeypatch):
     assert tried == [8] and {r.n_links for r in found} == {59}
 
 
+def test_the_filter_lets_every_wanted_row_through(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id a", "hash(id) h", "'t' text").union(spark.sql("select cast(null as long), 5, 'n'"))
+    wanted = rows.where("a % 97 = 0 or a is null").select(F.col("a").alias("x"), F.col("h").alias("y"))
+    for bits in (jaccard.FILTER_BITS, 40_000):
+        monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+        found = jaccard._maybe(rows, [F.col("a"), F.col("h")], wanted, [F.col("x"), F.col("y")])
+        assert found.columns == rows.columns and found.where("a % 97 = 0 or a is null").count() == wanted.count()
+        assert wanted.count() <= found.count() < 4000
+
+
 def test_tries_keep_what_matches():
     """Every entry that shares a prefix with another one stays, with at least the length of the longest one it shares."""
     import pyarrow as pa
