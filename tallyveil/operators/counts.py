@@ -120,9 +120,10 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
 
     One pass counts items. Only items at or above the support of the k-th itemset found so far can be
     part of the answer (those at it stay, for ties), so the next pass maps each row to the bits of its
-    frequent items and counts equal rows: with partial sums that leaves a few thousand rows whatever
-    the table's size. Larger itemsets are counted on those, level by level, each level keeping only
-    what reaches the floor, which rises as the answer fills.
+    frequent items and counts equal rows with partial sums; how many are left depends on how many
+    combinations of frequent items occur. Larger itemsets are counted on those, level by level, each
+    level keeping only what reaches the floor, which rises as the answer fills. A row meets a candidate
+    by an equal join on a frequent itemset that it has, one item shorter, and a test of one bit.
     """
     spark = wide.sparkSession
     counts: dict[Item, int] = {(a, v): 0 for a, vs in (domain or {}).items() for v in vs}
@@ -146,6 +147,7 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
     if max_size > 1 and items:
         rows = _collapsed(wide, items)
         level: list[tuple[int, ...]] = [(j,) for j in range(len(items))]
+        held = _holders(rows, len(items))
         for size in range(2, max_size + 1):
             # An itemset is tried if its parts of one item less are all frequent.
             frequent = set(level)
@@ -154,15 +156,19 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
                 if all(items[j][0] != items[i][0] for i in s) and (size == 2 or all(s[:d] + s[d + 1 :] + (j,) in frequent for d in range(size - 1)))
             ]
             visited += len(tried)
+            before = {s: c for c, s in enumerate(level)}
             level = []
             for at in range(0, len(tried), TRIED):
                 some = tried[at : at + TRIED]
-                counted = [(some[c], n) for c, n in _count_masks(spark, rows, some)]
+                counted = [(some[c], n) for c, n in _count(held, _extensions(spark, some, before))]
                 if size >= min_size:
                     keep([(tuple(sorted(items[j] for j in s)), n) for s, n in counted if n >= floor()])
                 level += [s for s, n in counted if n >= floor() and n]
             if not level:
                 break
+            if size < max_size:
+                held = _extended(held, _extensions(spark, level, before))
+        rows.unpersist()
     cutoff = found[-1][1] if found else None
     return found, {
         "exact": True, "returned_count": len(found), "singleton_count": len(counts), "initial_support_floor": first_floor,
@@ -181,18 +187,31 @@ def _collapsed(wide: DataFrame, items: Sequence[Item]) -> DataFrame:
     return wide.select(*words).groupBy(*(f"mask{k}" for k in range(len(words)))).agg(F.count(F.lit(1)).alias("n")).cache()
 
 
-def _count_masks(spark: SparkSession, rows: DataFrame, tried: Sequence[tuple[int, ...]]) -> list[tuple[int, int]]:
-    """(candidate, support) for candidates with support. Candidates are broadcast: TRIED at most."""
-    words = [c for c in rows.columns if c != "n"]
+def _holders(rows: DataFrame, items: int) -> DataFrame:
+    """masks, n and c: a row for each frequent item c of a collapsed row."""
+    masks = F.array(*(c for c in rows.columns if c != "n"))
+    return rows.select(masks.alias("masks"), "n", F.explode(F.sequence(F.lit(0), F.lit(items - 1))).alias("c")).where(_bit(F.floor(F.col("c") / 60).cast("int"), F.col("c") % 60))
 
-    def masks(s: tuple[int, ...]) -> list[int]:
-        return [sum(1 << (j - 60 * w) for j in s if j // 60 == w) for w in range(len(words))]
 
-    table = spark.createDataFrame([(c, *masks(s)) for c, s in enumerate(tried)], "c int, " + ", ".join(f"{w}_c bigint" for w in words))
-    same = F.lit(True)
-    for w in words:
-        same = same & (F.col(w).bitwiseAND(F.col(f"{w}_c")) == F.col(f"{w}_c"))
-    sums = rows.join(F.broadcast(table), same).groupBy("c").agg(F.sum("n").alias("n"))
+def _bit(word: Column, bit: Column) -> Column:
+    """Whether a row has the item of this place."""
+    return F.call_function("getbit", F.get("masks", word), bit.cast("int")) == 1
+
+
+def _extensions(spark: SparkSession, sets: Sequence[tuple[int, ...]], before: dict[tuple[int, ...], int]) -> DataFrame:
+    """p, word, bit, c: each itemset's number, that of the one without its last item, and where that item's bit is."""
+    return spark.createDataFrame([(before[s[:-1]], s[-1] // 60, s[-1] % 60, c) for c, s in enumerate(sets)], "p int, word int, bit int, c int")
+
+
+def _extended(held: DataFrame, more: DataFrame) -> DataFrame:
+    """masks, n and c for the itemsets of more. They are broadcast: as many as a level keeps, or TRIED."""
+    rows = held.select("masks", "n", F.col("c").alias("p"))
+    return rows.join(F.broadcast(more), "p").where(_bit(F.col("word"), F.col("bit"))).select("masks", "n", "c")
+
+
+def _count(held: DataFrame, tried: DataFrame) -> list[tuple[int, int]]:
+    """(candidate, support) for candidates with support."""
+    sums = _extended(held, tried).groupBy("c").agg(F.sum("n").alias("n"))
     return [(r["c"], r["n"]) for r in sums.collect()]
 
 

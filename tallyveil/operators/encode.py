@@ -216,17 +216,32 @@ def merge_groups(count: int, ratio: float, clients: int, seed: int) -> list[list
     return [order[k::target] for k in range(target)]
 
 
-def merge_features(wide: DataFrame, groups: Sequence[Sequence[int]]) -> DataFrame:
-    """One column for each group of attributes: the rank of the row's values among the different tuples.
+def tuple_ranks(wide: DataFrame, cells: Sequence[str], rank: str) -> DataFrame:
+    """cells and rank: the place of every tuple that occurs among them in order, from 0.
 
-    Tuples are distinct first; their number bounds the single ordered pass that ranks them.
+    Tuples are ranked as in a tree: a prefix starts where its parent does, plus the tuples under the
+    siblings before it. So a window never holds more than one column's domain, however many tuples occur.
     """
+    levels = [wide.select(*cells).distinct().withColumn("_n", F.lit(1).cast("bigint"))]
+    for k in range(len(cells) - 1, 0, -1):
+        levels.append(levels[-1].groupBy(*cells[:k]).agg(F.sum("_n").alias("_n")))
+    start = None
+    for k, level in enumerate(reversed(levels), 1):
+        parent = cells[: k - 1]
+        siblings = (Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))).orderBy(cells[k - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("_before", F.coalesce(F.sum("_n").over(siblings), F.lit(0))).drop("_n")
+        if start is not None:
+            level = level.join(start, parent).withColumn("_before", F.col("_before") + F.col("_start")).drop("_start")
+        start = level.withColumnRenamed("_before", "_start")
+    return start.withColumnRenamed("_start", rank)
+
+
+def merge_features(wide: DataFrame, groups: Sequence[Sequence[int]]) -> DataFrame:
+    """One column for each group of attributes: the rank of the row's values among the different tuples."""
     out = wide
     for g, members in enumerate(groups):
         cells = [f"a{a}" for a in members]
-        different = wide.select(*cells).distinct()
-        ranked = different.withColumn(f"m{g}", (F.row_number().over(Window.orderBy(*cells)) - 1).cast("bigint"))
-        out = out.join(ranked, cells)
+        out = out.join(tuple_ranks(wide, cells, f"m{g}"), cells)
     return out.select("tid", *(F.col(f"m{g}").alias(f"a{g}") for g in range(len(groups))))
 
 
@@ -235,10 +250,29 @@ def one_hot(wide: DataFrame, items: Sequence[tuple[int, int]]) -> DataFrame:
     return wide.select("tid", *((F.col(f"a{a}") == v).cast("int").alias(f"a{a}_{v}") for a, v in items))
 
 
+#: Slices of the hashes among which the last one that a sample takes is found.
+SAMPLE_SLICES = 1 << 16
+
+
 def sample_rows(wide: DataFrame, n: int, seed: int | None) -> DataFrame:
-    """n rows, uniformly by a keyed hash of tid; without a seed the first n by tid."""
-    order = [F.col("tid")] if seed is None else [uniform(seed, "row", F.col("tid")), F.col("tid")]
-    return wide.orderBy(*order).limit(n)
+    """n rows, uniformly by a keyed hash of tid; without a seed the first n by tid.
+
+    Rows are counted by slices of the hash: all slices before the one where the n-th row lies are
+    taken as they are, and only that one is ordered.
+    """
+    if seed is None:
+        return wide.orderBy("tid").limit(n)
+    u = uniform(seed, "row", F.col("tid"))
+    piece = F.floor(u * SAMPLE_SLICES)
+    sizes = sorted((r["piece"], r["count"]) for r in wide.select(piece.alias("piece")).groupBy("piece").count().collect())  # a row for each slice
+    left = n
+    for last, size in sizes:
+        if size > left:
+            break
+        left -= size
+    else:
+        return wide
+    return wide.where(piece < last).union(wide.where(piece == last).orderBy(u, "tid").limit(left))
 
 
 def sample_share(wide: DataFrame, ratio: float, seed: int | None) -> DataFrame:

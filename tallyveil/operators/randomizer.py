@@ -30,14 +30,23 @@ def debiased(total: Column, rows: Column, epsilon: float) -> Column:
     return (total - rows * F.lit(q)) / F.lit(p - q)
 
 
-def column_sums(wide: DataFrame, domain: Mapping[int, Sequence[int]], epsilon: float, seed: int) -> DataFrame:
-    """attr, value, ones, rows: sums of every row's bits over each attribute's public values; bits are made in the sum and never stored."""
+#: Sums of one aggregate; more go to the next one, so that code generation holds.
+SUMS = 200
+
+
+def column_sums(wide: DataFrame, domain: Mapping[int, Sequence[int]], epsilon: float | Mapping[int, float], seed: int) -> DataFrame:
+    """attr, value, ones, rows: sums of every row's bits over each attribute's public values; bits are made in the sum and never stored.
+
+    One pass over the rows makes SUMS of them, whatever attributes they are of. epsilon may differ by attribute.
+    """
+    cells = [(a, v) for a in attributes(wide) for v in domain[a]]
+    budget = epsilon if isinstance(epsilon, Mapping) else dict.fromkeys(domain, epsilon)
     out = None
-    for a in attributes(wide):
-        values = list(domain[a])
-        sums = wide.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(bit(F.col(f"a{a}") == v, epsilon, seed, "oue", a, v, F.col("tid"))).alias(f"s{k}") for k, v in enumerate(values)))
-        cells = F.explode(F.array(*(F.struct(F.lit(v).cast("bigint").alias("value"), F.coalesce(f"s{k}", F.lit(0)).alias("ones")) for k, v in enumerate(values))))
-        one = sums.select(F.lit(a).alias("attr"), cells.alias("x"), "rows").select("attr", "x.value", "x.ones", "rows")
+    for at in range(0, len(cells), SUMS):
+        some = cells[at : at + SUMS]
+        sums = wide.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(bit(F.col(f"a{a}") == v, budget[a], seed, "oue", a, v, F.col("tid"))).alias(f"s{k}") for k, (a, v) in enumerate(some)))
+        each = (F.struct(F.lit(a).alias("attr"), F.lit(v).cast("bigint").alias("value"), F.coalesce(f"s{k}", F.lit(0)).alias("ones")) for k, (a, v) in enumerate(some))
+        one = sums.select(F.explode(F.array(*each)).alias("x"), "rows").select("x.*", "rows")
         out = one if out is None else out.union(one)
     return out
 
@@ -47,14 +56,16 @@ def first_round(wide: DataFrame, domain: Mapping[int, Sequence[int]], owners: Da
     held: dict[int, list[int]] = {}
     for r in owners.collect():  # a row for each attribute
         held.setdefault(r["owner"], []).append(r["attr"])
-    out = None
-    for client, attrs in sorted(held.items()):
-        share = epsilon / clients / len(attrs)
-        mine = wide.select("tid", *(f"a{a}" for a in attrs))
-        sums = column_sums(mine, domain, share, seed)
-        value = F.least(F.greatest(debiased(F.col("ones"), F.col("rows"), share), F.lit(0.0)), F.lit(float(n)))
-        one = sums.select(F.lit(client).alias("client"), "attr", "value", value.alias("noisy"))
-        out = one if out is None else out.union(one)
+    share = {a: epsilon / clients / len(attrs) for attrs in held.values() for a in attrs}
+    client = {a: c for c, attrs in held.items() for a in attrs}
+    sums = column_sums(wide.select("tid", *(f"a{a}" for a in sorted(share))), domain, share, seed)
+
+    def of(values: Mapping[int, float]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))[F.col("attr")]
+
+    q = {a: parameters(e)[1] for a, e in share.items()}
+    value = (F.col("ones") - F.col("rows") * of(q)) / of({a: parameters(e)[0] - q[a] for a, e in share.items()})
+    out = sums.select(of(client).alias("client"), "attr", "value", F.least(F.greatest(value, F.lit(0.0)), F.lit(float(n))).alias("noisy"))
     if limit is None:
         return out
     place = F.row_number().over(Window.partitionBy("client").orderBy(F.desc("noisy"), "attr", "value"))
