@@ -18,9 +18,11 @@ TREES, LONGEST = 20, 8
 #: Mins by which matched prefixes are shortened at once, and the share of the links that must be found.
 STEP, RECALL = 2, 0.9999
 #: Classes and shingles that a cell has, about; a unit of work is a cell or two.
-CELL_CLASSES, CELL_SHINGLES = 384, 1_000_000
+CELL_CLASSES, CELL_SHINGLES = 512, 1_000_000
 #: Members up to which a node brings only these to the units of its cells, and not the whole cells.
 SMALL = 64
+#: Most bits of a filter that is broadcast (64 MB).
+FILTER_BITS = 1 << 29
 #: Shingles that are counted at once in a unit.
 COLUMNS = 4096
 
@@ -115,6 +117,26 @@ def _signed(docs: DataFrame, doc_id: str, text: str, trees: int, longest: int, w
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text_hash long, cls binary, size long, hi array<long>, lo array<long>")
 
 
+def _maybe(rows: DataFrame, key: list[Column], wanted: DataFrame, of: list[Column]) -> DataFrame:
+    """The rows whose key may be among wanted's: most others are left out before they are shuffled.
+
+    Each wanted key sets one bit of a filter, and rows look up theirs. The filter is broadcast; its size
+    is bounded by FILTER_BITS, whatever is wanted: beyond that it lets more rows through.
+    """
+    page = 1 << 15  # bits of a bitmap of the engine
+    bits = min(max(16 * wanted.count(), page), FILTER_BITS)
+
+    def place(columns: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+
+    pages = wanted.select(place(of).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    with_place = rows.withColumn("_p", place(key))
+    found = with_place.join(F.broadcast(pages), F.bitmap_bucket_number("_p") == F.col("_page"))
+    return found.where(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """The rows of wanted (rep_id, rep_hash, cls, ...) with their shingles, found again in the text of that id and hash.
 
@@ -138,6 +160,7 @@ def _with_shingles(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, w
                 yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([x.tobytes() for x in sets], pa.binary())], [*more, "shingles"])
 
     rows = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).cast("string").alias("_text"))
+    rows = _maybe(rows, [F.col("_doc"), F.col("_hash")], wanted, [F.col("rep_id"), F.col("rep_hash")])
     joined = rows.join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash"))).select("_text", *more)
     schema = ", ".join(f"{wanted.schema[c].name} {wanted.schema[c].dataType.simpleString()}" for c in more)
     return joined.mapInArrow(run, f"{schema}, shingles binary")
@@ -253,64 +276,86 @@ def _local(linked: np.ndarray) -> np.ndarray:
         label = near
 
 
-def _solve(held: list[tuple], cross: bool, depth: int, before: int | None, tried: list[int], threshold: float) -> list[tuple]:
-    """Rows for the classes of a unit that have links: cls, links, hub, pairs, lost (see _units).
+def _pairs(held: list[tuple], cross: bool, depth: int, before: int | None) -> np.ndarray:
+    """Which classes of a unit, rows (cls, cell, hi, lo, ...), are to be compared in this round: a symmetric matrix.
 
-    held has (cls, cell, n_copies, hi, lo, shingles). A pair counts in the one unit of its two cells, and
-    in the round in which its matched prefix is first short enough.
+    A pair counts in the one unit of its two cells, and in the round in which its matched prefix is
+    first short enough.
     """
-    held = sorted({x[0]: x for x in held}.values())
-    side, copies = np.array([x[1] for x in held]), np.array([x[2] for x in held], np.int64)
-    hi, lo = (np.array([x[k] for x in held], np.int64).view(np.uint64) for k in (3, 4))
+    hi, lo = (np.array([x[k] for x in held], np.int64).view(np.uint64) for k in (2, 3))
     due = _meet(hi, lo, depth)
     if before is not None:
         due &= ~_meet(hi, lo, before)
     if cross:
+        side = np.array([x[1] for x in held])
         due &= side[:, None] != side[None, :]
     np.fill_diagonal(due, False)
-    if not due.any():
-        return []
-    similarity = _similarity([np.frombuffer(x[5], np.uint64) for x in held])
-    linked = due & (similarity >= threshold - 1e-9)
-    links, hub = linked @ copies, _local(linked)
-    lost = np.stack([np.where(linked, 1 / meeting(similarity, d, hi.shape[1]).clip(1e-9) - 1, 0.0).sum(1) for d in tried], 1)
-    pairs = linked.sum(1)
-    return [(held[i][0], int(links[i]), held[hub[i]][0], int(pairs[i]), lost[i].tolist()) for i in np.flatnonzero(pairs).tolist()]
-
+    return due
 
-def _units(rows: DataFrame, depth: int, before: int | None, tried: list[int], threshold: float) -> DataFrame:
-    """From rows sorted by unit: cls, links (documents of linked classes), hub (a class it is connected to), pairs, lost.
 
-    pairs is the number of linked classes, and lost, for each prefix length of `tried`, how many more of
-    such similarity are to be expected for every one that is found.
-    """
+def _by_unit(rows: DataFrame, names: list[str], kinds: list[str], solve) -> DataFrame:
+    """Rows (i, j, cls, ...) sorted by unit go to solve(unit, distinct classes), and what it returns comes out."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        key, held = None, []
-        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.float64()))
+        types = {"binary": pa.binary(), "long": pa.int64(), "array<double>": pa.list_(pa.float64())}
+        key, held, out = None, [], []
 
         def batch_of(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["cls", "links", "hub", "pairs", "lost"])
+            return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        def done() -> None:
+            if len(held) > 1:
+                out.extend(solve(key, sorted({x[0]: x for x in held}.values(), key=lambda x: x[0])))
 
-        out: list[tuple] = []
         for batch in slices(batches):
             for i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (i, j) != key:
-                    if len(held) > 1:
-                        out += _solve(held, key[0] != key[1], depth, before, tried, threshold)
+                    done()
                     key, held = (i, j), []
                 held.append(tuple(row))
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
-        if len(held) > 1:
-            out += _solve(held, key[0] != key[1], depth, before, tried, threshold)
+        done()
         if out:
             yield batch_of(out)
 
-    return rows.mapInArrow(run, "cls binary, links long, hub binary, pairs long, lost array<double>")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def _due(rows: DataFrame, depth: int, before: int) -> DataFrame:
+    """Of rows (i, j, cls, cell, hi, lo) those of classes that have a pair to compare, without the signatures."""
+
+    def solve(unit: tuple, held: list[tuple]) -> list[tuple]:
+        return [(*unit, *held[k][:2]) for k in np.flatnonzero(_pairs(held, unit[0] != unit[1], depth, before).any(1)).tolist()]
+
+    return _by_unit(rows, ["i", "j", "cls", "cell"], ["long", "long", "binary", "long"], solve)
+
+
+def _links(rows: DataFrame, depth: int, before: int | None, tried: list[int], threshold: float) -> DataFrame:
+    """From rows (i, j, cls, cell, hi, lo, n_copies, shingles): cls, links (documents of linked classes), hub, pairs, lost.
+
+    hub is a class that it is connected to, pairs the number of linked classes, and lost says, for each
+    prefix length of `tried`, how many more links of such similarity are to be expected for those found.
+    """
+
+    def solve(unit: tuple, held: list[tuple]) -> list[tuple]:
+        due = _pairs(held, unit[0] != unit[1], depth, before)
+        some = np.flatnonzero(due.any(1))
+        if not len(some):
+            return []
+        due, held = due[np.ix_(some, some)], [held[k] for k in some.tolist()]
+        similarity = _similarity([np.frombuffer(x[5], np.uint64) for x in held])
+        linked = due & (similarity >= threshold - 1e-9)
+        links, hub = linked @ np.array([x[4] for x in held], np.int64), _local(linked)
+        trees = len(held[0][2])
+        lost = np.stack([np.where(linked, 1 / meeting(similarity, d, trees).clip(1e-9) - 1, 0.0).sum(1) for d in tried], 1)
+        pairs = linked.sum(1)
+        return [(held[k][0], int(links[k]), held[hub[k]][0], int(pairs[k]), lost[k].tolist()) for k in np.flatnonzero(pairs).tolist()]
+
+    return _by_unit(rows, ["cls", "links", "hub", "pairs", "lost"], ["binary", "long", "binary", "long", "array<double>"], solve)
 
 
 def _node(depth: int) -> Column:
@@ -320,33 +365,37 @@ def _node(depth: int) -> Column:
 
 
 def _work(trie: DataFrame, depth: int, before: int | None, most: int, scratch: list[str]) -> DataFrame:
-    """i, j, cell, cls: the classes of each unit of work, for the nodes that prefixes of length `depth` make.
+    """i, j, cls, cell: the classes of each unit of work, for the nodes that prefixes of length `depth` make.
 
     Nodes that shortening from `before` has not widened are done. A class is at home in the largest of
-    its nodes; a home is cut into cells of bounded size, which part the classes. Two cells (or one with
-    itself) are a unit if a node has members in both, so that every two classes that share a node meet
-    in one unit, and a chain of documents of which only neighbours are similar makes units of
-    neighbours: their number grows with the chain. Large nodes bring their whole cells, small ones only
-    their own members, so that a cell of a very large home isn't repeated for every outsider.
+    its nodes, and gathers round the largest home of any class that it shares a node with; those of one
+    centre are dealt to cells of bounded size, which part the classes. Two cells (or one with itself)
+    are a unit if a node has members in both, so that every two classes that share a node meet in one
+    unit. What gathers round a centre lies within two steps of it: in a chain of documents of which only
+    neighbours are similar, units are of neighbours and their number grows with the chain. Large nodes
+    bring their whole cells, small ones only their own members.
     """
     entries = trie.where(F.col("depth") >= depth).select(_node(depth).alias("node"), (_node(before) if before else F.lit(None)).alias("child"), "cls", "size")
     nodes = entries.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("a"), F.max("child").alias("b")).where("n > 1")
     nodes = (nodes.where("a != b") if before else nodes).select("node", "n")
     members = materialise(entries.join(nodes, "node").select("node", "n", "cls", "size"), "members", scratch=scratch)
-    homes = members.groupBy("cls").agg(F.max(F.struct("n", "node")).alias("home"), F.first("size").alias("size"))
-    homes = homes.select("cls", F.col("home.node").alias("home"), "size")
+    homes = members.groupBy("cls").agg(F.max(F.struct("n", "node")).alias("home"))
+    tops = members.select("node", "cls").join(homes, "cls").groupBy("node").agg(F.max("home").alias("top"))
+    centres = members.join(materialise(tops, "tops", scratch=scratch), "node").groupBy("cls").agg(F.max("top").alias("top"), F.first("size").alias("size"))
+    centres = centres.select("cls", F.col("top.node").alias("centre"), "size")
     cells = F.greatest(F.ceil(F.count(F.lit(1)) / CELL_CLASSES), F.ceil(F.sum("size") / CELL_SHINGLES))
-    sizes = materialise(homes.groupBy("home").agg(cells.alias("cells")), "homes", most, scratch)  # so that the join with it may split a large home
-    cell = F.xxhash64("home", F.pmod(F.xxhash64("cls"), "cells"))
-    cells = materialise(homes.join(sizes, "home").select("cls", cell.alias("cell")), "cells", most, scratch)
-    placed = materialise(members.select("node", "n", "cls").join(cells, "cls"), "placed", scratch=scratch)
+    sizes = materialise(centres.groupBy("centre").agg(cells.alias("cells")), "centres", most, scratch)  # so that the join with it may split a large one
+    cell = F.xxhash64("centre", F.pmod(F.xxhash64("cls"), "cells"))
+    cells = materialise(centres.join(sizes, "centre").select("cls", cell.alias("cell")), "cells", most, scratch)
+    placed = members.select("node", "n", "cls").join(cells, "cls")
     met = placed.groupBy("node", "n", "cell").agg(F.count(F.lit(1)).alias("here"))
+    met = materialise(met, "met", scratch=scratch)
     other = met.select("node", F.col("cell").alias("other"), F.col("here").alias("there"))
     apart = (F.col("cell") != F.col("other")) | (F.col("there") > 1)
     unit = (F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"))
-    small = placed.where(F.col("n") <= SMALL).join(other, "node").where(apart).select(*unit, "cell", "cls")
+    small = placed.where(F.col("n") <= SMALL).join(other, "node").where(apart).select(*unit, "cls", "cell")
     large = met.where(F.col("n") > SMALL).join(other, "node").where(apart & (F.col("cell") <= F.col("other"))).select(*unit).distinct()
-    large = large.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell")).join(cells, "cell").select("i", "j", "cell", "cls")
+    large = large.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell")).join(cells, "cell").select("i", "j", "cls", "cell")
     return materialise(small.union(large).distinct(), "units", scratch=scratch)
 
 
@@ -392,9 +441,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     for k, depth in enumerate(tried):
         before = tried[k - 1] if k else None
         units = _work(trie, depth, before, most, scratch)
-        work = units.join(full, "cls").select("i", "j", "cls", "cell", "n_copies", "hi", "lo", "shingles")
-        work = work.repartition("i", "j").sortWithinPartitions("i", "j")
-        links = materialise(_units(work, depth, before, tried, threshold), "links", scratch=scratch)
+        if before is not None:  # most pairs were compared before, as the signatures say: only what is left is sent shingles
+            signs = full.select("cls", "hi", "lo")
+            units = materialise(_due(units.join(signs, "cls").select("i", "j", "cls", "cell", "hi", "lo"), depth, before), "due", scratch=scratch)
+        work = units.join(full, "cls").select("i", "j", "cls", "cell", "hi", "lo", "n_copies", "shingles")
+        links = materialise(_links(work, depth, before, tried, threshold), "links", scratch=scratch)
         found = links if found is None else found.union(links)
         told = links.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *(F.coalesce(F.sum(F.col("lost")[i]), F.lit(0.0)) for i in range(len(tried)))).first()
         pairs, lost = pairs + told[0], [x + y for x, y in zip(lost, told[1:], strict=True)]
