@@ -1,4 +1,4 @@
-"""Command line: prepare, run, configured, suite, crypto and plot."""
+"""Command line: prepare, run, configured, suite, crypto, export and plot."""
 
 from __future__ import annotations
 
@@ -76,6 +76,11 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     _several(configured, "--methods", choices=config.METHODS, default=["MAP-M"])
     configured.add_argument("--output", required=True)
 
+    export = commands.add_parser("export", help="f1 and ncr for several k from a stored run of crypto")
+    export.add_argument("--input", required=True)
+    _several(export, "--ks", type=positive, required=True)
+    export.add_argument("--output", required=True)
+
     plot = commands.add_parser("plot", help="write the series behind the plots of aggregated runs")
     plot.add_argument("--input", required=True)
     plot.add_argument("--output", required=True)
@@ -125,7 +130,8 @@ def _encrypted(wide: DataFrame, args: argparse.Namespace) -> dict:
         else:
             supports, info = circuits.encrypted_mining(owned.wide, candidates, owned.owner, args.threshold, bits=args.bits)
         best = sorted(supports.items(), key=lambda x: (-x[1], x[0]))[: args.k]
-        out[method] = {"top": [[list(map(list, s)), n] for s, n in best], **circuits.agreement(owned.wide, supports, args.k, args.max_size, owned.domain), **info}
+        everything = [[list(map(list, s)), n] for s, n in sorted(supports.items())]
+        out[method] = {"supports": everything, "top": [[list(map(list, s)), n] for s, n in best], **circuits.agreement(owned.wide, supports, args.k, args.max_size, owned.domain), **info}
     return out
 
 
@@ -136,6 +142,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         for name in args.tables:
             files.write_coded(files.toy(spark) if name == "toy" else files.generate(spark, **files.suite()[name]), f"{args.output}/{name}")
         return 0
+    if args.command == "export":
+        files.write_json(args.output, {"rows": protocol.k_sweep(args.input, args.ks)})
+        return 0
     if args.command == "plot":
         aggregated = spark.read.csv(args.input, header=True, inferSchema=True)
         metrics.plot_series(aggregated).coalesce(1).write.mode("overwrite").csv(args.output, header=True)
@@ -150,7 +159,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         for name, wide in tables.items():
             found = _encrypted(wide, args)
             files.write_json(f"{args.output}/{name}.json", found)
-            print(json.dumps({name: found}))
+            print(json.dumps({name: {method: told["top"] for method, told in found.items()}}))
         return 0
     base = _base(args)
     if args.command == "suite":

@@ -499,4 +499,4 @@ def agreement(wide: DataFrame, supports: Mapping[Itemset, int], k: int, max_size
     best = sorted(supports, key=lambda c: (-supports[c], c))[:k]
     weight = {c: len(truth) - at for at, c in enumerate(truth)}
     both = len(set(truth) & set(best))
-    return {"verified": len(exact), "f1": 2 * both / max(len(truth) + len(best), 1), "ncr": sum(weight.get(c, 0) for c in best) / max(sum(weight.values()), 1)}
+    return {"verified": len(exact), "truth": [[list(i) for i in c] for c in truth], "f1": 2 * both / max(len(truth) + len(best), 1), "ncr": sum(weight.get(c, 0) for c in best) / max(sum(weight.values()), 1)}

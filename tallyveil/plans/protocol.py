@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from pathlib import Path
 
 import numpy as np
 from pyspark import StorageLevel
@@ -321,6 +323,32 @@ def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Se
     return rows
 
 
+def k_sweep(path: str, ks: Sequence[int]) -> list[dict]:
+    """f1 and ncr for several k from one stored run of counting under encryption, which isn't run again.
+
+    The run must say that all its supports were verified, and must hold as many true itemsets as the
+    largest k asks for.
+    """
+    from ..sources.files import digest
+
+    held, rows = json.loads(Path(path).read_text()), []
+    for method, told in held.items():
+        supports = {tuple(map(tuple, s)): n for s, n in told["supports"]}
+        truth = [tuple(map(tuple, s)) for s in told["truth"]]
+        if told["publication_eligible"] or told["verified"] != len(supports):
+            raise ValueError(f"{path}: {method} isn't a verified run")
+        if max(ks) > len(truth):
+            raise ValueError(f"{path}: {method} holds the top {len(truth)} only")
+        ranked = sorted(supports, key=lambda s: (-supports[s], s))
+        for k in ks:
+            best, exact = set(ranked[:k]), {s: k - place for place, s in enumerate(truth[:k])}
+            rows.append({
+                "dataset": Path(path).stem, "method": method, "k": k, "f1": 2 * len(best & set(exact)) / (len(best) + len(exact)), "ncr": sum(exact.get(s, 0) for s in best) / sum(exact.values()),
+                "candidate_count": len(supports), "source_sha256": digest(path), "time_reused_from_run": True, "publication_eligible": False,
+            })
+    return rows
+
+
 def as_table(spark: SparkSession, found: Sequence[Estimate]) -> DataFrame:
     """rank, itemset (text), estimate, guess."""
     from ..functions.itemsets import text

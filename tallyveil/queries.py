@@ -178,7 +178,16 @@ def _(spark, d):
     return encode.merge_features(_orders(spark, d), encode.merge_groups(8, 0.5, 4, 9))
 
 
-@query("t11_transform_chain")
+def _chain_sql() -> str:
+    """Half of the rows, every domain halved, then attributes merged: the seed is that of the sample."""
+    domains = [f"m{a} as (select v, ((row_number() over (order by u, v) - 1) * greatest(1, round_even(count(*) over () * 0.5, 0))::bigint // count(*) over ())::bigint code from (select distinct a{a} v, {uniform(tag(str(SEED), chr(39) + 'domain' + chr(39), str(a), f'a{a}'))} u from half))" for a in range(8)]
+    half = f"half as materialized (select * exclude (r, c) from (select *, row_number() over (order by substr(sha256({tag(str(SEED), chr(39) + 'row' + chr(39), 'tid')}), 1, 13), tid) r, count(*) over () c from ord) where r <= greatest(1, round_even(c * 0.5, 0)))"
+    reduced = "less as (select tid, " + ", ".join(f"m{a}.code a{a}" for a in range(8)) + " from half " + " ".join(f"join m{a} on half.a{a} = m{a}.v" for a in range(8)) + ")"
+    groups = encode.merge_groups(8, 0.5, CLIENTS, SEED + 7919)
+    return on_orders("select tid, " + ", ".join(f"(dense_rank() over (order by {', '.join(f'a{a}' for a in g)}) - 1)::bigint a{k}" for k, g in enumerate(groups)) + " from less", half, *domains, reduced)
+
+
+@query("t11_transform_chain", _chain_sql())
 def _(spark, d):
     data = config.Data(domain_ratio=0.5, feature_ratio=0.5, sample_ratio=0.5)
     return protocol.prepare(_orders(spark, d), config.Config(data)).wide

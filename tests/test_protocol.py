@@ -331,6 +331,10 @@ def test_large_grid():
     for wrong in (dict(axes=["colour"]), dict(axes=["clients"], dense=True), dict(ks=(1,))):
         with pytest.raises(ValueError):
             config.grid_cases(config.Config(), **wrong)
+    local = config.randomizer_cases(config.Config(), ("A", "B"), (1,))
+    assert {c.table for c in local} == {"A", "B"} and {a for c in local for a in c.axes} == set(config.RANDOMIZER_AXES)
+    with pytest.raises(ValueError, match="randomizer"):
+        config.randomizer_cases(config.Config(), ("A",), axes=["m"])
 
 
 def test_seeds_draw_different_samples(spark):
@@ -409,6 +413,11 @@ def test_command_line(spark, tmp_path):
     assert told["circuit"]["top"] == told["homomorphic"]["top"] and told["circuit"]["verified"] > 0
     assert cli.main(["crypto", *common, "--methods", "circuit", "--candidates", "public", "--output", str(tmp_path / "p")], spark) == 0
     assert json.loads((tmp_path / "p" / "custom.json").read_text())["circuit"]["f1"] == 1.0
+    assert cli.main(["export", "--input", str(tmp_path / "p" / "custom.json"), "--ks", "1", "3", "--output", str(tmp_path / "k.json")], spark) == 0
+    exported = json.loads((tmp_path / "k.json").read_text())["rows"]
+    assert [(r["method"], r["k"], r["f1"], r["ncr"]) for r in exported] == [("circuit", 1, 1.0, 1.0), ("circuit", 3, 1.0, 1.0)]
+    with pytest.raises(ValueError, match="top 3 only"):
+        protocol.k_sweep(str(tmp_path / "p" / "custom.json"), [4])
     assert cli.main(["plot", "--input", str(tmp_path / "s" / "aggregated"), "--output", str(tmp_path / "plot")], spark) == 0
     assert spark.read.csv(str(tmp_path / "plot"), header=True).where("metric = 'f1'").count() == 3
     (tmp_path / "c.json").write_text(json.dumps({"data": {"path": "toy", "clients": 2}, "protocol": {"k": 3, "m": 16, "epsilon": 30.0, "max_size": 2}}))
