@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import fresh, materialise
 
 #: Runs of characters that aren't ASCII separators, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,7 +122,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The rows of docs, with all their columns, that aren't contaminated."""
+    """The rows of docs, with all their columns, that aren't contaminated; columns may have any names."""
     bad = decontaminate(docs, items, n, doc_id, text, **names).where("contaminated")
-    bad = materialise(bad.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    d, h = fresh(docs.columns, "_d", "_h")
+    bad = materialise(bad.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "contaminated")
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left_anti")

@@ -21,7 +21,12 @@ def cut(length: int, capacity: int) -> list[int]:
 
 
 def tokenize(docs: DataFrame, encoder, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for every piece of every document; a null text counts as empty."""
+    """doc_id, piece, start, length, ids_crc32 for every piece of every document.
+
+    A null text counts as empty and is one piece of the end id; a text of any length is encoded whole and
+    only then cut; repeated rows and null ids each get their pieces; other columns are left out, whatever
+    their names; an empty table gives none.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa

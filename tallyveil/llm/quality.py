@@ -182,8 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 def classify(docs: DataFrame, model: Trees, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted (1 if score >= threshold).
 
-    Scores come from statistics of the whole text alone. A null text counts as empty; a null id isn't
-    held out; repeated rows each keep a row; extra columns are ignored; an empty table gives none.
+    Scores come from statistics of the whole text alone, however long it is: a very long text is scanned
+    alone. A null text counts as empty; a null id isn't held out; repeated rows each keep a row and get
+    the same score; extra columns are ignored, whatever their names; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

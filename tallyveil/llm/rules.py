@@ -81,7 +81,9 @@ def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     Words are runs of characters other than ASCII white space; n_repeat_words counts words inside any
     window of 8 words that is found twice or more in the text. A null text counts as empty: no words,
-    no lines, and so too few words. Repeated rows each keep a row; extra columns are ignored.
+    no lines, and so too few words. A very long text is measured whole. Repeated rows and null ids each
+    keep a row; extra columns are ignored, whatever their names; an empty table gives none. The id
+    itself may not be called failed or as a measurement is.
     """
 
     def run(batches) -> Iterator:

@@ -90,7 +90,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     fewer words; is_first says that this is the document itself, and then the passage stays when
     repeats are removed. Repeats within one document alone don't count. Documents are told
     apart by id and text, so that a repeated row is one document, whose passages come with each row; a
-    null id is last; null and empty texts have no passages; extra columns are ignored.
+    null id is last; null and empty texts have no passages; a very long text is chunked whole; extra
+    columns are ignored, whatever their names; an empty table gives none.
 
     Texts are chunked once; a row with its chunks' digests is written for each document. Digests are
     counted with partial sums; those of several documents are written and joined back to the chunks,
@@ -133,7 +134,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the passages that aren't first here. Ids must be different; a cut may leave half a character, which is dropped."""
+    """docs without the passages that aren't first here. Ids must be different: spans are found again by id alone. A cut may leave half a character, which is dropped. A column of docs may not be called _d or _gone."""
     gone = passages.where("not is_first").groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
     joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_d")), "left")
     raw = F.col(text).cast("binary")

@@ -161,7 +161,10 @@ def write_tokens(docs: DataFrame, encoder, folder: str, width: int, end_id: int,
 
     encoder() gives an object whose encode() turns texts into packed unsigned 32-bit ids; end_id is
     appended to each document. Null texts count as empty, null ids come first, documents with the
-    same id are ordered by a hash of their texts, repeated rows all stay; extra columns are ignored.
+    same id are ordered by a hash of their texts, repeated rows all stay; extra columns are ignored,
+    whatever their names. Ids are whole numbers or strings. A very long text is encoded whole, and is a
+    file of its own where it has more than SHARD_TOKENS ids. An empty table makes no file and gives an
+    empty manifest.
     Files are written under a name of their task's try and then moved, so that a task may run twice.
     The manifest (part, shard, path, docs, tokens, start) is written too; start counts the ids of all
     files before.
