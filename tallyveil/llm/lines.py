@@ -24,36 +24,75 @@ def line_key(line: Column) -> Column:
     return F.lower(F.decode(F.btrim(line, F.lit(BLANKS)).cast("binary"), "ISO-8859-1"))
 
 
-def _streamed(batches) -> Iterator:
-    """Goes over a sorted partition and adds: part; documents, how many of them have the row's key here;
-    first, whether the row is its key's first here; edge, whether the key is the partition's first or last."""
-    import pyarrow as pa
+def _doc_changes(ids, text: np.ndarray) -> np.ndarray:
+    """Whether a row's document is another than that of the row before; the first row is left False."""
     import pyarrow.compute as pc
-    from pyspark import TaskContext
 
-    table = pa.Table.from_batches(list(batches))
-    n = table.num_rows
-    if not n:
-        return
-    table = table.combine_chunks()
-    a, b, text = (table.column(c).to_numpy() for c in (*KEY, "_text"))
-    ids = table.column("_doc")
+    out = np.zeros(len(ids), bool)
     if len(ids) > 1:
-        x, y = ids.slice(1), ids.slice(0, n - 1)
-        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy()
-    else:
-        same = np.zeros(0, bool)
-    new_key = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    new_doc = new_key | np.concatenate(([True], ~same.astype(bool) | (text[1:] != text[:-1])))
-    run = np.flatnonzero(new_key)
-    sizes = np.diff(np.append(run, n))
-    documents = np.repeat(np.add.reduceat(new_doc.astype(np.int64), run), sizes)
-    edge = np.zeros(n, bool)
-    edge[: sizes[0]] = edge[n - sizes[-1] :] = True
-    part = np.full(n, TaskContext.get().partitionId(), np.int32)
-    for name, values in (("part", part), ("documents", documents), ("first", new_key), ("edge", edge)):
-        table = table.append_column(name, pa.array(values))
-    yield from table.to_batches(max_chunksize=65536)
+        x, y = ids.slice(1), ids.slice(0, len(ids) - 1)
+        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+        out[1:] = ~same.astype(bool) | (text[1:] != text[:-1])
+    return out
+
+
+def _streamed(batches, least: int) -> Iterator:
+    """Goes over a sorted partition, batch by batch, and adds: part; hot, whether `least` documents or more have
+    the row's key here; first, whether the row is its key's first here; documents, null.
+
+    Only the rows of a key that fewer documents have had so far are held back. The partition's first and
+    last key get a row each with pos -1 and their number of documents here.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    held, begun, ends = None, None, []  # rows held back; the key that was begun: key, documents, last one; counts of edges
+
+    def passed_on(table, hot: np.ndarray, first: np.ndarray) -> Iterator:
+        n = table.num_rows
+        columns = (("part", pa.array(np.full(n, part, np.int32))), ("hot", pa.array(hot)), ("first", pa.array(first)), ("documents", pa.nulls(n, pa.int64())))
+        for name, values in columns:
+            table = table.append_column(name, values)
+        yield from table.to_batches(max_chunksize=65536)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        a, b, text = (table.column(c).to_numpy() for c in (*KEY, "_text"))
+        ids, n = table.column("_doc").combine_chunks(), table.num_rows
+        new_key = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        new_doc = new_key | _doc_changes(ids, text)
+        goes_on = begun is not None and begun[0] == (a[0], b[0])
+        if goes_on:
+            new_key[0], new_doc[0] = False, begun[2] != (ids[0].as_py(), text[0])
+        run = np.flatnonzero(np.concatenate(([True], new_key[1:])))
+        documents = np.add.reduceat(new_doc.astype(np.int64), run)
+        if goes_on:
+            documents[0] += begun[1]
+        if not ends:
+            ends.append([(a[0], b[0]), 0])
+        if ends[0][0] == (a[0], b[0]):
+            ends[0][1] = int(documents[0])
+        last = ((a[-1], b[-1]), int(documents[-1]))
+        hot = documents >= least
+        settled = n if hot[-1] else int(run[-1])
+        if settled:
+            yield from passed_on(table.slice(0, settled), np.repeat(hot, np.diff(np.append(run, n)))[:settled], new_key[:settled])
+        held = table.slice(settled) if settled < n else None
+        begun = (last[0], last[1], (ids[-1].as_py(), text[-1])) if held is None else None
+    if held is not None:
+        first = np.zeros(held.num_rows, bool)
+        first[0] = True
+        yield from passed_on(held, np.zeros(held.num_rows, bool), first)
+    if ends:
+        ends = dict([ends[0], last])
+        rows = [(*key, None, 0, -1, 0, part, False, False, n) for key, n in ends.items()]
+        schema = batch.schema
+        kinds = [*schema.types, pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x.item() if hasattr(x, "item") else x for x in c], k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*schema.names, "part", "hot", "first", "documents"])
 
 
 def _bitmaps(batches) -> Iterator:
@@ -89,12 +128,11 @@ def mark_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, kee
     hashes = materialise(hashes, "hashes")  # else the range sort's sampling would split all texts once more
     ordered = hashes.repartitionByRange(*KEY, *DOCUMENT).sortWithinPartitions(*KEY, *DOCUMENT, "pos")
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"h1 long, h2 int, _doc {kind}, _text long, pos int, n_lines int, part int, documents long, first boolean, edge boolean"
-    rows = materialise(ordered.mapInArrow(_streamed, schema), "lines")
-    edges = rows.where("edge").groupBy("part", *KEY).agg(F.max("documents").alias("n"))
-    edges = edges.groupBy(*KEY).agg(F.sum("n").alias("total"), F.min("part").alias("begins"))
-    marked = rows.join(F.broadcast(edges), KEY, "left")  # two rows for each partition at most
-    drop = F.coalesce("total", "documents") >= min_documents
+    schema = f"h1 long, h2 int, _doc {kind}, _text long, pos int, n_lines int, part int, hot boolean, first boolean, documents long"
+    rows = materialise(ordered.mapInArrow(lambda batches: _streamed(batches, min_documents), schema), "lines")
+    edges = rows.where("pos < 0").groupBy(*KEY).agg(F.sum("documents").alias("total"), F.min("part").alias("begins"))
+    marked = rows.where("pos >= 0").join(F.broadcast(edges), KEY, "left")  # two rows for each partition at most
+    drop = F.when(F.col("total").isNotNull(), F.col("total") >= min_documents).otherwise(F.col("hot"))
     if keep_first:
         drop = drop & ~(F.col("first") & (F.col("part") == F.coalesce("begins", "part")))
     gone = marked.where(drop).groupBy(*DOCUMENT).agg(F.max("n_lines").alias("n_lines"), F.collect_list("pos").alias("dropped"))

@@ -118,6 +118,21 @@ def test_parts_deal_free_gaps_by_rank():
     assert packing.assign([(0, 0, 3), (1, 4, 0)]) == []
 
 
+def test_packing_keeps_clashing_columns(spark):
+    rows = [(k if k % 3 else None, 0, 1 + k % 7, 5, "6", "7", 8) for k in range(40)] + [(1, 0, 2, 5, "6", "7", 8)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, _part int, _rank string, sequence_id string, offset int")
+    out = packing.pack(df, 8)
+    assert set(out.columns) == set(df.columns) and out.count() == 43 and {(r["_part"], r["_rank"]) for r in out.collect()} == {(5, "6")}
+    held = defaultdict(list)
+    for r in out.collect():
+        held[r.sequence_id].append((r.offset, r.length))
+    for some in held.values():
+        assert [a for a, _ in sorted(some)] == [sum(n for _, n in sorted(some)[:k]) for k in range(len(some))] and sum(n for _, n in some) <= 8
+    for wrong in (0, 9):
+        with pytest.raises(ValueError, match="1 to capacity"):
+            packing.pack(spark.createDataFrame([(1, 0, wrong)], "doc_id long, piece int, length long"), 8)
+
+
 def test_rounds_of_the_corpus(spark, texts):
     """The corpus, and a million times as many documents of its lengths, in as many rounds: no more sequences than best fit."""
     coder = tokens.ByteBpe(queries.tokenizer_file("byte_bpe_50k.json"))
@@ -187,6 +202,14 @@ def test_decontamination(spark):
     assert clean == {x for x, h in zip(docs, [hits_of([x], items)[0] for x in docs], strict=True) if not h[4]}
 
 
+def test_clean_documents_of_any_columns(spark):
+    rows = [(1, "alpha beta gamma", 1, 1), (2, "other words", 1, 1), (None, None, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _d int, _h int")
+    items = spark.createDataFrame([(1, "Beta")], "item_id long, text string")
+    found = decontam.clean_documents(df, items)
+    assert found.columns == df.columns and {r.doc_id for r in found.collect()} == {2, None}
+
+
 def test_decontamination_without_broadcast(spark, corpus, sf, monkeypatch):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     read = lambda: sorted((r.doc_id, r.n_hit, r.item_ids) for r in decontam.decontaminate(corpus, items).collect())
@@ -224,6 +247,33 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0), 2).count() == 0
 
 
+def test_line_stream_in_batches(monkeypatch):
+    """Any batches give the same rows, a key's documents are counted over them, and little is held back."""
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        partitionId = staticmethod(lambda: 7)
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: Task))
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = sorted((rng.randrange(4), rng.randrange(2), rng.choice([-1, 1, 2, 3, 4, 5]), rng.randrange(2), k) for k in range(rng.randrange(0, 40)))
+        rows = [(a, b, None if i < 0 else i, t, k, 9) for a, b, i, t, k in rows]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["h1", "h2", "_doc", "_text", "pos", "n_lines"])
+        size, least = rng.randrange(1, 12), rng.randrange(1, 6)
+        out = [r for x in lines._streamed([whole.slice(k, size) for k in range(0, len(rows), size)], least) for r in x.to_pylist()]
+        have = defaultdict(set)
+        for a, b, i, t, _, _ in rows:
+            have[a, b].add((i, t))
+        real = [r for r in out if r["pos"] >= 0]
+        assert [(r["h1"], r["h2"], r["_doc"], r["_text"], r["pos"]) for r in real] == [r[:5] for r in rows]
+        assert [r["hot"] for r in real] == [len(have[r[:2]]) >= least for r in rows]
+        assert [r["first"] for r in real] == [k == 0 or rows[k - 1][:2] != r[:2] for k, r in enumerate(rows)]
+        assert {(r["h1"], r["h2"]): r["documents"] for r in out if r["pos"] < 0} == {k: len(have[k]) for k in ({rows[0][:2], rows[-1][:2]} if rows else ())}
+
+
 # n-gram Jaccard join
 
 
