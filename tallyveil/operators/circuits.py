@@ -465,16 +465,27 @@ def payload_bytes(rows: int, items: int, candidates: int) -> int:
     return ((rows + candidates) * items + candidates * (width + 2) + width) * CIPHER_BYTES
 
 
+def block_rows(rows: int, items: int, candidates: int, most: int) -> int:
+    """How many of the rows can be encrypted at once in so many bytes, with queries, counters (as wide as all rows need) and answers."""
+    width = rows.bit_length()
+    rest = most // CIPHER_BYTES - candidates * items - candidates * (width + 2) - width
+    return max(0, min(rows, rest // items if items else rest))
+
+
 def circuit_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapping[int, int], domain: Mapping[int, Sequence[int]], threshold: int, most_gib: float = 4.0) -> tuple[dict[Itemset, int], dict]:
     """Supports of candidates as the Boolean circuits count them, with the gates that they take.
 
-    An input whose encryption would be larger than most_gib is refused. The comparisons with the
-    threshold go through their circuit and must agree with the counts. In the clear: no native library.
+    Rows are encrypted block by block, as many at once as most_gib holds beside the queries and the
+    counters, which go on from block to block; it is refused where not even one row fits. payload_bytes
+    is that of all rows, block_bytes what is held at once. The comparisons with the threshold go
+    through their circuit and must agree with the counts. In the clear (no native library) blocks are
+    a part of the account only: no gate depends on them, and all rows are counted in one pass.
     """
     rows, items = wide.count(), [(a, v) for a in sorted(domain) for v in domain[a]]
     payload = payload_bytes(rows, len(items), len(candidates))
-    if payload > most_gib * (1 << 30):
-        raise ValueError(f"{payload} bytes of ciphertext, over the limit of {most_gib:g} GiB")
+    block = block_rows(rows, len(items), len(candidates), int(most_gib * (1 << 30)))
+    if rows and not block:
+        raise ValueError(f"{payload} bytes of ciphertext, and with one row at a time still over the limit of {most_gib:g} GiB")
     found = {r["candidate"]: r for r in circuit_supports(wide, items, candidates).collect()}
     supports = {c: found[k]["support"] for k, c in enumerate(candidates)}
     digits = max(rows, threshold).bit_length() or 1
@@ -484,7 +495,8 @@ def circuit_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mappin
     if any(below[c] != (n < threshold) or above[c] != (n > threshold) for c, n in supports.items()):
         raise RuntimeError("a comparison circuit disagrees")
     gates = {g: sum(r[f"{g}_gates"] for r in found.values()) for g in ("and", "or", "not", "xor")}
-    return supports, {"payload_bytes": payload, "below": sum(below.values()), "above": sum(above.values()), "gates": gates, "owners": len(set(owner.values())), "publication_eligible": False}
+    held = payload - (rows - block) * len(items) * CIPHER_BYTES
+    return supports, {"payload_bytes": payload, "blocks": -(-rows // block) if rows else 0, "block_bytes": held, "below": sum(below.values()), "above": sum(above.values()), "gates": gates, "owners": len(set(owner.values())), "publication_eligible": False}
 
 
 def agreement(wide: DataFrame, supports: Mapping[Itemset, int], k: int, max_size: int, domain: dict[int, list[int]]) -> dict:

@@ -228,6 +228,21 @@ def test_circuits_guard_their_payload(spark):
     assert circuits.payload_bytes(10, 3, 2) == ((10 + 2) * 3 + 2 * 6 + 4) * 2536
 
 
+def test_circuits_take_rows_block_by_block(spark):
+    """More rows than the limit holds at once are counted in full; the limit is refused only where one row is too many."""
+    wide = table(spark, [[0, 0, 0], [0, 0, 1], [0, 1, 1], [0, 1, 1]])
+    domain, owner = {0: [0], 1: [0, 1], 2: [0, 1]}, {0: 0, 1: 1, 2: 1}
+    some = counts.universe(domain, 2, 100)
+    whole = circuits.payload_bytes(4, 5, len(some))
+    for less, blocks in ((0, 1), (5, 2), (15, 4)):
+        limit = whole - less * circuits.CIPHER_BYTES
+        supports, info = circuits.circuit_mining(wide, some, owner, domain, 2, most_gib=limit / (1 << 30))
+        assert supports == counts.supports(wide, some)
+        assert (info["blocks"], info["payload_bytes"]) == (blocks, whole) and info["block_bytes"] <= limit
+    with pytest.raises(ValueError, match="over the limit"):
+        circuits.circuit_mining(wide, some, owner, domain, 2, most_gib=(whole - 16 * circuits.CIPHER_BYTES) / (1 << 30))
+
+
 def test_primes():
     small = [n for n in range(3, 4000, 2) if all(n % d for d in range(3, int(n**0.5) + 1, 2))]
     assert [n for n in range(3, 4000, 2) if not any(circuits._witness(b, n) for b in range(2, min(n - 1, 40)))] == small
