@@ -7,11 +7,13 @@ import hmac
 import itertools
 import math
 import secrets
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import Item, Itemset
@@ -99,9 +101,9 @@ def _witness(base: int, n: int) -> bool:
 
 
 def _prime(bits: int, rounds: int = 40) -> int:
-    """A random prime of exactly so many bits; a composite passes a round with chance 1/4 at most."""
+    """A random prime of exactly so many bits, 3 modulo 4; a composite passes a round with chance 1/4 at most."""
     while True:
-        n = (1 << bits - 1) + secrets.randbelow(1 << bits - 1) | 1
+        n = (1 << bits - 1) + secrets.randbelow(1 << bits - 1) | 3
         if math.gcd(n, _small_primes()) == 1 and not any(_witness(2 + secrets.randbelow(n - 3), n) for _ in range(rounds)):
             return n
 
@@ -119,29 +121,81 @@ class PublicKey:
         square = self.n * self.n
         return (1 + message * self.n) * pow(r, self.n, square) % square
 
+    def encrypt_all(self, messages: Sequence[int]) -> list[int]:
+        """As encrypt, for many messages: what hides each is a random power from _powers, in a few products."""
+        if not all(0 <= m < self.n for m in messages):
+            raise ValueError("a message isn't in the range of plain texts")
+        tables, n, square = _powers(self.n), self.n, self.n * self.n
+        places = np.frombuffer(secrets.token_bytes(2 * len(tables) * len(messages)), np.uint16).reshape(len(tables), -1) & len(tables[0]) - 1
+        out = [1 + m * n for m in messages]
+        for table, each in zip(tables, places.tolist(), strict=True):
+            out = [c * table[k] % square for c, k in zip(out, each, strict=True)]
+        return out
+
     def add(self, a: int, b: int) -> int:
         return a * b % (self.n * self.n)
 
+    def add_plain(self, a: int, message: int) -> int:
+        return a * (1 + message % self.n * self.n) % (self.n * self.n)
+
     def times(self, a: int, factor: int) -> int:
         return pow(a, factor, self.n * self.n)
 
 
+#: Bytes that the tables of _powers may take.
+POWERS_BYTES = 16_000_000
+
+
+@lru_cache(2)
+def _powers(n: int) -> list[list[int]]:
+    """Tables of which one entry each, multiplied, is h ** (n x) modulo n squared for a random x of half as many bits as n.
+
+    h is minus a random square (Damgard, Jurik and Nielsen): for primes that are 3 modulo 4 such powers
+    hide a message as r ** n does. A table has the powers of one digit of x; each process has an h of its own.
+    """
+    square, bits = n * n, n.bit_length() // 2
+    width = next(w for w in range(13, 0, -1) if w == 1 or -(-bits // w) * (square.bit_length() // 8 + 40 << w) <= POWERS_BYTES)
+    while math.gcd(root := secrets.randbelow(n - 1) + 1, n) != 1:
+        pass
+    step, out = pow(-root * root % n, n, square), []
+    for _ in range(-(-bits // width)):
+        powers = [1]
+        for _ in range((1 << width) - 1):
+            powers.append(powers[-1] * step % square)
+        step = powers[-1] * step % square
+        out.append(powers)
+    return out
+
+
+def _inverses(numbers: Sequence[int], modulus: int) -> list[int]:
+    """All inverses for one, and three products each."""
+    before = [1]
+    for x in numbers:
+        before.append(before[-1] * x % modulus)
+    rest, out = pow(before[-1], -1, modulus), [0] * len(numbers)
+    for k in reversed(range(len(numbers))):
+        out[k] = rest * before[k] % modulus
+        rest = rest * numbers[k] % modulus
+    return out
+
+
 @dataclass(frozen=True)
 class PrivateKey:
     public: PublicKey
     p: int
     q: int
 
+    @cached_property
+    def _units(self) -> tuple[tuple[int, int], tuple[int, int], int]:
+        """What decrypt needs besides the cipher: each prime with the inverse of its unit, and q's inverse modulo p."""
+        unit = lambda prime: (pow(1 + self.public.n, prime - 1, prime * prime) - 1) // prime
+        return (self.p, pow(unit(self.p), -1, self.p)), (self.q, pow(unit(self.q), -1, self.q)), pow(self.q, -1, self.p)
+
     def decrypt(self, cipher: int) -> int:
         """Modulo each prime's square, then joined by the Chinese remainder theorem."""
-
-        def half(prime: int) -> int:
-            part = (pow(cipher, prime - 1, prime * prime) - 1) // prime
-            unit = (pow(1 + self.public.n, prime - 1, prime * prime) - 1) // prime
-            return part * pow(unit, -1, prime) % prime
-
-        a, b = half(self.p), half(self.q)
-        return (b + (a - b) * pow(self.q, -1, self.p) % self.p * self.q) % self.public.n
+        *halves, back = self._units
+        a, b = ((pow(cipher % (prime * prime), prime - 1, prime * prime) - 1) // prime * unit % prime for prime, unit in halves)
+        return (b + (a - b) * back % self.p * self.q) % self.public.n
 
 
 def key_pair(bits: int = 2048) -> tuple[PublicKey, PrivateKey]:
@@ -180,6 +234,23 @@ class Comparison:
         answer, key = self.sign(question), self.public
         return key.add(key.encrypt(1), key.times(answer, -1)) if turned else answer
 
+    def greater_all(self, xs: Sequence[int], ys: Sequence[int]) -> list[int]:
+        """As greater, for many x, and y that the cloud knows in the clear."""
+        key, square, top = self.public, self.public.n**2, 1 << (self.mask_bits - 1)
+        odd = [key.add_plain(x * x % square, -2 * y - 1) for x, y in zip(xs, ys, strict=True)]
+        turned = [bool(secrets.randbits(1)) for _ in xs]
+        turn = lambda ciphers: [i if t else c for c, i, t in zip(ciphers, _inverses(ciphers, square), turned, strict=True)]
+        factors = [top | secrets.randbits(self.mask_bits - 1) for _ in xs]
+        offsets = key.encrypt_all([secrets.randbelow(f) for f in factors])
+        questions = [pow(c, f, square) * o % square for c, f, o in zip(turn(odd), factors, offsets, strict=True)]
+        answers = self.signs(questions)
+        return [key.add_plain(a, 1) if t else a for a, t in zip(turn(answers), turned, strict=True)]
+
+    def signs(self, questions: Sequence[int]) -> list[int]:
+        """The key holder's answers: as sign."""
+        self.calls += len(questions)
+        return self.public.encrypt_all([int(self._private.decrypt(q) <= self.public.n // 2) for q in questions])
+
 
 def homomorphic_sums(rows: DataFrame, groups: list[str], flag: str, public: PublicKey) -> DataFrame:
     """groups and cipher (decimal digits): the sum of each group's flags, which are encrypted in the tasks that hold them."""
@@ -187,12 +258,18 @@ def homomorphic_sums(rows: DataFrame, groups: list[str], flag: str, public: Publ
 
     def encrypt(batches):
         for pdf in batches:
-            yield pdf[groups].assign(cipher=[str(PublicKey(n).encrypt(int(x))) for x in pdf[flag]])
+            yield pdf[groups].assign(cipher=list(map(str, PublicKey(n).encrypt_all([int(x) for x in pdf[flag]]))))
 
     kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups)
     return cipher_sums(rows.select(*groups, flag).mapInPandas(encrypt, f"{kinds}, cipher string"), groups, public)
 
 
+def _multiplied(held: dict, keys: Iterable, ciphers: Iterable[int], square: int) -> None:
+    """Multiplies each cipher into what is held of its key."""
+    for key, c in zip(keys, ciphers, strict=True):
+        held[key] = held[key] * c % square if key in held else c
+
+
 def cipher_sums(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFrame:
     """groups and the product of their ciphers, which encrypts the sum.
 
@@ -206,8 +283,7 @@ def cipher_sums(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFr
 
         held: dict[tuple, int] = {}
         for pdf in batches:
-            for *key, cipher in pdf[[*groups, "cipher"]].itertuples(index=False):
-                held[tuple(key)] = held.get(tuple(key), 1) * int(cipher) % square
+            _multiplied(held, zip(*(pdf[g] for g in groups), strict=True), map(int, pdf["cipher"]), square)
         yield pd.DataFrame([(*k, str(v)) for k, v in held.items()], columns=[*groups, "cipher"])
 
     def across(pdf):
@@ -227,6 +303,14 @@ def hashed_tid(secret: bytes, tid: str) -> bytes:
     return hmac.digest(secret, tid.encode(), "sha256")
 
 
+def hashed_column(secret: bytes, tid: Column) -> Column:
+    """hashed_tid by functions of the engine: the hash of the padded key and of the hash of the padded key and tid."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    sha = lambda *c: F.unhex(F.sha2(F.concat(*c), 256))
+    return sha(outer, sha(inner, tid.cast("binary")))
+
+
 def check_pattern(owner: int, threshold: int, width: int = 3) -> tuple[set[frozenset], set[frozenset], list[set[str]]]:
     """Itemsets over fresh items that must be found frequent, one that must not, and the rows that make them so: each set of one item less, threshold + 1 times."""
     if threshold < 0 or not 2 <= width <= 4:
@@ -308,16 +392,24 @@ class Owner:
         return {tuple(sorted(s)) for p in self.frequent | self.infrequent for n in range(1, len(p) + 1) for s in itertools.combinations(p, n)}
 
 
+def item_counts(wide: DataFrame) -> dict[Item, int]:
+    """The rows of each item that occurs; as many entries as public items at most."""
+    from .counts import histogram
+
+    return {(r["attr"], r["value"]): r["n"] for r in histogram(wide).collect()}
+
+
 def item_name(item: Item) -> str:
     return f"item:{item[0]}:{item[1]}"
 
 
-def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Mapping[int, Sequence[int]], secret: bytes, public: PublicKey, threshold: int, anonymity: int = 2, width: int = 3) -> Owner:
+def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Mapping[int, Sequence[int]], secret: bytes, public: PublicKey, threshold: int, anonymity: int = 2, width: int = 3, frequency: Mapping[Item, int] | None = None) -> Owner:
     """The rows that an owner sends to the cloud: htid, labels and the encrypted flag.
 
     Real rows and check rows have flag 1; padding rows, with which every item's frequency equals that of
     at least anonymity - 1 others, have flag 0. Items go by keyed labels, rows by a keyed hash of their
     id: real ones by the same in all owners' tables, added ones in a name space of the owner's own.
+    frequency, of the owner's items, saves a pass over the rows. An item outside the domain is an error.
     """
     spark, n, salt = wide.sparkSession, public.n, secrets.token_bytes(32)
     public_items = [item_name((a, v)) for a in attrs for v in domain[a]]
@@ -327,9 +419,12 @@ def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Map
     copies = spark.createDataFrame([(k, list(r)) for k, r in enumerate(made)], "part int, items array<string>")
     checks = copies.select(F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("copy"), "part", "items")
     checks = checks.select(F.concat_ws(":", F.lit(f"check:{owner}"), "part", "copy").alias("id"), "items")
-    universe = spark.createDataFrame([(x,) for x in sorted({*public_items, *itertools.chain.from_iterable(made)})], "item string")
-    seen = real.select("items").union(checks.select("items")).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    padded = padding_table(universe.join(seen, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("frequency")), anonymity)
+    if frequency is None:
+        frequency = item_counts(wide.select("tid", *(f"a{a}" for a in attrs)))
+    universe = dict.fromkeys([*public_items, *itertools.chain.from_iterable(made)], 0)
+    universe.update((item_name((a, v)), frequency.get((a, v), 0)) for a in attrs for v in domain[a])
+    universe.update(Counter(itertools.chain.from_iterable(rows)))
+    padded = padding_table(spark.createDataFrame(sorted(universe.items()), "item string, frequency bigint"), anonymity)
     held = [(r["item"], r["frequency"], r["class"], r["deficit"]) for r in padded.collect()]  # a row for each public item
     padding = padding_rows(spark.createDataFrame(held, "item string, frequency bigint, class bigint, deficit bigint"))
     padding = padding.select(F.concat_ws(":", F.lit(f"padding:{owner}"), F.col("level").cast("string")).alias("id"), "items")
@@ -339,14 +434,24 @@ def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Map
     by_item = {item: label for label, item in names.items()}
     rows = real.withColumn("flag", F.lit(1)).union(checks.withColumn("flag", F.lit(1))).union(padding.withColumn("flag", F.lit(0)))
 
+    items, labels = (list(x) for x in zip(*sorted(by_item.items()), strict=True))
+    sent = rows.select(F.lit(owner).alias("owner"), hashed_column(secret, F.col("id")).alias("htid"), "items", F.col("flag").cast("int").alias("flag"))
+
     def disguise(batches):
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for pdf in batches:
-            yield pd.DataFrame({
-                "owner": owner, "htid": [hashed_tid(secret, x) for x in pdf["id"]], "labels": [sorted(by_item[i] for i in x) for x in pdf["items"]],
-                "cipher": [str(PublicKey(n).encrypt(int(x))) for x in pdf["flag"]],
-            })
+        for batch in batches:
+            held = batch.column(2)
+            places = pc.index_in(held.flatten(), pa.array(items))
+            if places.null_count:
+                raise ValueError("a row has an item that isn't public")
+            own = pa.array(labels).take(places)
+            ciphers = PublicKey(n).encrypt_all(batch.column(3).to_pylist())
+            sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), own), pa.array(list(map(str, ciphers)))], ["owner", "htid", "labels", "cipher"])
+
+    records = sent.mapInArrow(disguise, "owner int, htid binary, labels array<string>, cipher string").withColumn("labels", F.array_sort("labels"))
 
     def relabelled(sets: set[frozenset]) -> set[frozenset]:
         return {frozenset(by_item[x] for x in s) for s in sets}
@@ -355,7 +460,7 @@ def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Map
     for _, _, group, _ in held:
         sizes[group] = sizes.get(group, 0) + 1
     info = {"owner": owner, "verification_rows": len(made) * (threshold + 1), "fictitious_rows": max((d for *_, d in held), default=0), "smallest_class": min(sizes.values(), default=0)}
-    return Owner(rows.mapInPandas(disguise, "owner int, htid binary, labels array<string>, cipher string"), names, relabelled(frequent), relabelled(infrequent), info)
+    return Owner(records, names, relabelled(frequent), relabelled(infrequent), info)
 
 
 def label_of(owner: int, item: str, salt: bytes) -> str:
@@ -376,31 +481,55 @@ def cloud_mine(records: Sequence[DataFrame], asked: Sequence[tuple[str, ...]], l
     """Encrypted supports of itemsets of labels, from rows of labels and encrypted flags alone.
 
     A row counts where every owner of the itemset's labels says that it is real: the encrypted flags are
-    added, and their sum compared with the number of owners less one. Rows are joined on their hashed
-    ids; what is gathered for a row and an itemset is one flag for each owner, and sums pass on one
-    number for each itemset and task. threshold is encrypted.
+    added, and their sum compared with the number of owners less one. A record meets an owner's part of
+    an itemset by the part's first label. Flags of itemsets of one owner are added in the task that meets
+    them; of the others, one flag for each owner is gathered by hashed id. Sums pass on one number for
+    each itemset and task. threshold is encrypted.
     """
     spark, public = records[0].sparkSession, compare.public
-    involved = [len({label_owner[x] for x in labels}) for labels in asked]
-    table = spark.createDataFrame([(k, x, len(labels), involved[k]) for k, labels in enumerate(asked) for x in labels], "candidate int, label string, size int, owners int")
+    square, parts = public.n * public.n, []
+    for k, labels in enumerate(asked):
+        by_owner: dict[int, list[str]] = {}
+        for x in labels:
+            by_owner.setdefault(label_owner[x], []).append(x)
+        parts += [(k, len(by_owner), who, own[0], own[1:]) for who, own in by_owner.items()]
+    table = spark.createDataFrame(parts, "candidate int, owners int, owner int, label string, others array<string>")
     cells = None
     for one in records:
         cells = one if cells is None else cells.union(one)
-    cells = cells.select("owner", "htid", "cipher", F.explode("labels").alias("label")).join(F.broadcast(table), "label")  # as many rows as were asked for
-    met = cells.groupBy("candidate", "size", "owners", "htid").agg(F.count(F.lit(1)).alias("have"), F.collect_set(F.struct("owner", "cipher")).alias("flags"))
-    met = met.where("have = size").select("candidate", "owners", F.transform("flags", lambda x: x["cipher"]).alias("flags"))
+    cells = cells.select("owner", "htid", "cipher", "labels", F.explode("labels").alias("label")).join(F.broadcast(table), ["owner", "label"])  # as many rows as were asked for
+    cells = cells.where(F.size(F.array_except("others", "labels")) == 0).select("candidate", "owners", "htid", "cipher")
+
+    def alone(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, held = ["candidate", "owners", "htid", "cipher"], {}
+        for batch in batches:
+            one = pc.equal(batch.column(1), 1)
+            rest = batch.filter(pc.invert(one))
+            if rest.num_rows:
+                yield rest
+            _multiplied(held, batch.filter(one).column(0).to_pylist(), map(int, batch.filter(one).column(3).to_pylist()), square)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([1] * len(held), pa.int32()), pa.nulls(len(held), pa.binary()), pa.array(list(map(str, held.values())), pa.string())], names)
+
+    met = cells.mapInArrow(alone, "candidate int, owners int, htid binary, cipher string")
+    met = met.groupBy("candidate", "owners", "htid").agg(F.collect_list("cipher").alias("flags")).where("owners = 1 or size(flags) = owners")
 
     def indicators(batches):
-        for pdf in batches:
-            out = []
-            for owners, flags in zip(pdf["owners"], pdf["flags"], strict=True):
-                total = 1
-                for c in flags:
-                    total = public.add(total, int(c))
-                out.append(str(total if owners == 1 else compare.greater(total, public.encrypt(int(owners) - 1))))
-            yield pdf[["candidate"]].assign(cipher=out)
-
-    sums = cipher_sums(met.mapInPandas(indicators, "candidate int, cipher string"), ["candidate"], public)
+        import pyarrow as pa
+
+        held: dict[int, int] = {}
+        for batch in batches:
+            which, owners, flags = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            totals = [math.prod(map(int, some)) % square for some in flags]
+            joint = [k for k, n in enumerate(owners) if n > 1]
+            for k, c in zip(joint, compare.greater_all([totals[k] for k in joint], [owners[k] - 1 for k in joint]), strict=True):
+                totals[k] = c
+            _multiplied(held, which, totals, square)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(map(str, held.values())), pa.string())], ["candidate", "cipher"])
+
+    sums = cipher_sums(met.mapInArrow(indicators, "candidate int, cipher string"), ["candidate"], public)
     found = {r["candidate"]: int(r["cipher"]) for r in sums.collect()}
     out = []
     for k, labels in enumerate(asked):
@@ -435,19 +564,20 @@ def encrypted_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapp
     (cloud_mine), and what comes back is opened and checked (open_replies). Correctness only: the roles
     share a process, and one pattern for each owner doesn't find every omission.
     """
-    from .encode import domain_map
-
-    domain = domain or domain_map(wide)
+    frequency = item_counts(wide)  # one pass for the domain, all owners' padding and the number of rows
+    if domain is None:
+        domain = {a: sorted(v for at, v in frequency if at == a) for a in sorted(owner)}
+    rows = sum(n for (a, _), n in frequency.items() if a == min(owner))
     public, private = key_pair(bits)
     secret = secrets.token_bytes(32)
     parts: dict[int, list[int]] = {}
     for attr, who in sorted(owner.items()):
         parts.setdefault(who, []).append(attr)
-    owners = [prepare_owner(wide, who, attrs, domain, secret, public, threshold, anonymity) for who, attrs in sorted(parts.items())]
+    owners = [prepare_owner(wide, who, attrs, domain, secret, public, threshold, anonymity, frequency=frequency) for who, attrs in sorted(parts.items())]
     label_owner = {label: who for who, o in zip(sorted(parts), owners, strict=True) for label in o.names}
     of_item = {item: label for o in owners for label, item in o.names.items()}
     asked = {tuple(sorted(of_item[item_name(i)] for i in c)) for c in candidates}.union(*(o.asked for o in owners))
-    bound = max(wide.count() + sum(o.info["verification_rows"] + o.info["fictitious_rows"] for o in owners), threshold, 1)
+    bound = max(rows + sum(o.info["verification_rows"] + o.info["fictitious_rows"] for o in owners), threshold, 1)
     compare = Comparison(public, private, bound, min(128, bits // 4))
     replies = cloud_mine([o.records for o in owners], sorted(asked), label_owner, compare, public.encrypt(threshold))
     supports, checks = open_replies(replies, owners, private, threshold)

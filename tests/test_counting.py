@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 from dataclasses import replace
 
@@ -213,6 +214,36 @@ def test_a_tampered_answer_is_refused(spark):
             circuits.open_replies(wrong, owners, private, 1)
 
 
+def test_many_flags_and_comparisons_at_once(spark):
+    """As one by one, at a fraction of the time; the engine's keyed hash is that of the library."""
+    public, private = circuits.key_pair(256)
+    messages = [0, 1, public.n - 1, *range(2, 9)]
+    ciphers = public.encrypt_all(messages)
+    assert list(map(private.decrypt, ciphers)) == messages and len(set(public.encrypt_all([1] * 50))) == 50 and public.encrypt_all([]) == []
+    with pytest.raises(ValueError):
+        public.encrypt_all([public.n])
+    compare = circuits.Comparison(public, private, 100, 64)
+    pairs = [(3, 2), (2, 2), (1, 2), (100, 0), (0, 100)] * 4
+    assert list(map(private.decrypt, compare.greater_all(public.encrypt_all([x for x, _ in pairs]), [y for _, y in pairs]))) == [int(x > y) for x, y in pairs]
+    assert compare.calls == len(pairs) and compare.greater_all([], []) == []
+    began = time.perf_counter()
+    for _ in range(2000):
+        public.encrypt(1)
+    single, began = time.perf_counter() - began, time.perf_counter()
+    public.encrypt_all([1] * 2000)
+    assert time.perf_counter() - began < single / 3
+    ids = spark.createDataFrame([("real:1",), ("check:0:é",), ("",)], "id string")
+    for secret in (b"secret", bytes(range(100))):
+        assert all(bytes(r.h) == circuits.hashed_tid(secret, r.id) for r in ids.withColumn("h", circuits.hashed_column(secret, F.col("id"))).collect())
+
+
+def test_owners_refuse_items_that_are_not_public(spark):
+    wide = table(spark, [[0, 0], [0, 1], [1, 1]])
+    public, _ = circuits.key_pair(256)
+    with pytest.raises(Exception, match="isn't public"):
+        circuits.prepare_owner(wide, 0, [0], {0: [0]}, b"secret", public, 1).records.collect()
+
+
 def test_circuits_guard_their_payload(spark):
     wide = table(spark, [[0, 0, 0], [0, 0, 1], [0, 1, 1], [0, 1, 1]])
     domain, owner = {0: [0], 1: [0, 1], 2: [0, 1]}, {0: 0, 1: 1, 2: 1}
