@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, oracle, packing, quality, rules, sharding, substrings, tokens, wavelet
+from . import chat, decontam, jaccard, lines, oracle, packing, pieces, quality, rules, sharding, substrings, tokens, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,8 +93,16 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def model() -> pieces.PieceBpe:
+        return pieces.piece_bpe(tokenizer_file("piece_bpe_32k.model"))
+
+    encoded = pieces.encode_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.digests(pieces.decode_ids(encoded.select("doc_id", "ids"), model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op6_passages, op7_tokens, op8_lines, op9_chat, op10_rules)
+    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op6_passages, op7_tokens, op8_lines, op9_chat, op10_rules, op11_pieces)
 }
 #: The others have no SQL form: tests compare them with brute force, a round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
