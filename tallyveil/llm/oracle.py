@@ -59,4 +59,21 @@ b as (select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_word
     + 16 * (n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines)::bigint + 32 * (100 * n_same > 20 * n_words)::bigint + 64 * (100 * n_upper > 50 * n_letters)::bigint failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 base_failed, failed = 0 kept, failed from b"""
 
-ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_chat": CHAT, "op10_rules": RULES}
+def _grams(n: int) -> str:
+    return f"select lang, {n} size, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) phrase from p"
+
+
+PHRASES = rf"""
+with p as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') w from (select coalesce(lang, 'und') lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) piece from documents)),
+f as materialized (select lang, size, phrase, count(*)::hugeint a, string_split(phrase, ' ') w from ({" union all ".join(map(_grams, range(1, 5)))}) group by all having count(*) >= 30),
+cut as (select lang, phrase, a, k, array_to_string(w[1 : k], ' ') x, array_to_string(w[k + 1 :], ' ') y from (select *, unnest(range(1, size)) k from f)),
+scored as (select cut.lang, cut.phrase, cut.a, k, x.a l, y.a r, (2000000 * cut.a) // (x.a + y.a) score from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y
+    qualify row_number() over (partition by cut.lang, cut.phrase order by score, k) = 1),
+part as (select lang, a, size, w, s, unnest(range(1, size - s + 2)) pos from (select *, unnest(range(2, size)) s from f where size > 2)),
+cover as (select lang, array_to_string(w[pos : pos + s - 1], ' ') phrase, max(a) longer from part group by all),
+words as (select lang, sum(len(w)) n from p group by lang)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from scored left join cover using (lang, phrase) join words using (lang) where longer is null or 100 * longer < 80 * a qualify rank <= 2000"""
+
+ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_chat": CHAT, "op10_rules": RULES, "op12_phrases": PHRASES}
