@@ -76,4 +76,22 @@ words as (select lang, sum(len(w)) n from p group by lang)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n::bigint n, score::bigint score
 from scored left join cover using (lang, phrase) join words using (lang) where longer is null or 100 * longer < 80 * a qualify rank <= 2000"""
 
-ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_chat": CHAT, "op10_rules": RULES, "op12_phrases": PHRASES}
+def _crc(start: str, byte: str) -> str:
+    """One byte of a CRC-32, bit by bit."""
+    return f"list_reduce([xor({start}, {byte}), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+
+
+TRIE = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+a as materialized (select conv_id, list(sha256(strlen(role) || ':' || role || text) order by turn nulls first, role, text) keys, list(strlen(text) order by turn nulls first, role, text) sizes from t group by conv_id),
+h as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda x, c: {_crc("x", "c")}), 4294967295) % 9 h from a),
+r as materialized (select h.conv_id, list_concat(coalesce(b.keys, [])[1 : h], h.keys[h + 1 :]) keys, list_concat(coalesce(b.sizes, [])[1 : h], h.sizes[h + 1 :]) sizes from h left join a b on b.conv_id = h.conv_id - h.conv_id % 5),
+d as materialized (select conv_id, d, array_to_string(keys[1 : d], '') k, array_to_string(keys[1 : d - 1], '') up, coalesce(sizes[d], 0) size, d = len(keys) ends from (select *, unnest(range(0, len(keys) + 1)) d from r)),
+n as materialized (select k, any_value(up) up, d, min(conv_id) conv_id, count(*) n_convs, any_value(size) size, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) ends_sha256 from d group by k, d),
+c as (select up, d - 1 d, count(*) n from n where d > 0 group by all),
+s as (select n.*, coalesce(c.n, 0) n_children from n left join c on c.up = n.k and c.d = n.d),
+above as (select left(k, (64 * e)::bigint) k, e d, count(*) filter (n_children = 0) n_leaves, sum((n_convs - 1) * size) saved from (select *, unnest(range(0, d + 1)) e from s) group by all)
+select s.conv_id, s.d::bigint depth, p.conv_id parent_conv_id, s.n_convs, s.n_children, above.n_leaves, above.saved::bigint saved_tokens, s.ends_sha256
+from s join above on above.k = s.k and above.d = s.d left join s p on p.k = s.up and p.d = s.d - 1"""
+
+ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op8_lines": LINES, "op9_chat": CHAT, "op10_rules": RULES, "op12_phrases": PHRASES, "op13_turn_trie": TRIE}

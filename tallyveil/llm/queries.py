@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lines, oracle, packing, phrases, pieces, quality, rules, sharding, substrings, tokens, wavelet
+from . import chat, decontam, jaccard, lines, oracle, packing, phrases, pieces, quality, rules, sharding, substrings, tokens, turntrie, wavelet
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -105,8 +105,13 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents"), least=30, top=2000)
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turntrie.prefix_trie(turntrie.rebuilt(turntrie.turn_arrays(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op6_passages, op7_tokens, op8_lines, op9_chat, op10_rules, op11_pieces, op12_phrases)
+    f.__name__: f for f in (op1_pack, op2_jaccard, op3_decontaminate, op4_quality, op5_shard, op6_passages, op7_tokens, op8_lines, op9_chat, op10_rules, op11_pieces, op12_phrases, op13_turn_trie)
 }
 #: The others have no SQL form: tests compare them with brute force, a round trip or held-out labels.
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
