@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,8 @@ from .store import fresh, materialise
 
 #: Runs of characters that aren't ASCII separators, in lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words that a block of a text starts; a text's windows are made block by block.
-BLOCK = 2048
-#: Most windows that are sent to every executor; more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Words at a window's start that are looked up before anything is made of the window, and bits of the filter they are looked up in.
+ANCHOR, BITS = 3, 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -36,50 +36,67 @@ def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame
     return w.select(F.concat_ws(" ", F.slice("w", F.col("at"), F.col("n"))).alias("window"), "n", "item_id").distinct()
 
 
+def _anchor(hashes: Column, at: Column | int, size: int) -> Column:
+    """A number for `size` words, given their hashes, from place `at` on."""
+    return F.pmod(F.xxhash64(*(F.get(hashes, at + F.lit(k)) for k in range(size))), F.lit(BITS))
+
+
+def _filters(windows: DataFrame) -> dict[int, tuple[list[int], Column]]:
+    """For each number of words that windows start with: the windows' lengths, and bits that their first words set.
+
+    A filter has BITS bits, however many windows there are, and is a constant of the plan. With very many windows
+    more places pass, and are then compared.
+    """
+    w = F.split("window", " ")
+    rows = windows.select("n", F.least("n", F.lit(ANCHOR)).alias("size"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"))
+    bit = F.coalesce(*(F.when(F.col("size") == a, _anchor(F.col("h"), F.lit(0), a)) for a in range(1, ANCHOR + 1)))
+    rows = rows.select("n", "size", F.shiftright(bit, 6).alias("at"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("bit"))
+    set_bits = rows.groupBy("size", "at").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"), F.collect_set("n").alias("n"))
+    found: dict[int, tuple[set[int], list[int]]] = {}
+    for r in set_bits.collect():  # ANCHOR * BITS / 64 rows at most
+        lengths, bits = found.setdefault(r["size"], (set(), [0] * (BITS // 64)))
+        lengths.update(r["n"])
+        bits[r["at"]] = r["bits"]
+    return {a: (sorted(n), F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")) for a, (n, bits) in sorted(found.items())}
+
+
+def _passes(size: int, bits: Column) -> Callable[[Column], Column]:
+    """Whether the filter has the words at a place of an array of words' numbers h."""
+
+    def test(at: Column) -> Column:
+        bit = _anchor(F.col("h"), at, size)
+        return F.call_function("getbit", F.get(bits, F.shiftright(bit, 6).cast("int")), (bit % 64).cast("int")) == 1
+
+    return test
+
+
+def _windows_at(lengths: list[int]) -> Callable[[Column], Column]:
+    """The windows of these lengths that start at a place of an array of words w."""
+
+    def made(at: Column) -> Column:
+        each = (F.when(at + n <= F.size("w"), F.struct(at.alias("pos"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice("w", at + 1, F.lit(n))).alias("window"))) for n in lengths)
+        return F.array_compact(F.array(*each))
+
+    return made
+
+
 def scan(docs: DataFrame, windows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, n_words, pos, n, window: a row for every place where a window occurs, and one with pos null for every document.
+    """keys, n_words, pos, n, window: a row for every place that may start a window, and one with pos null for every document.
 
-    Texts are read once: each word starts a row, rows look up their windows, and only those that found
-    one, or that a document begins with, go on. The windows are broadcast after they are counted and
-    found to be at most BROADCAST_WINDOWS; beyond that the same join shuffles. A match of hashes only
-    counts after the words are compared.
+    Each word becomes a number; the numbers of the first words at a place are looked up in a filter, and only of the places
+    that pass are the words put together, to be compared with the windows. Texts are read once, and a text's arrays hold some
+    bytes for each of its words.
     """
-    known = windows.select("n", "window").distinct()
-    sizes = {r["n"]: r["c"] for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row for each window length
-    lengths = sorted(sizes) or [1]
-    most = lengths[-1]
-    parts = F.split("window", " ")
-    hashed = F.coalesce(*(F.when(F.col("n") == n, F.xxhash64(*(parts[k] for k in range(n)))) for n in lengths))
-    known = known.select(F.col("n").alias("_n"), F.col("window").alias("_window"), hashed.alias("_hash"))
-    if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-
-    w = docs.select(*keys, words(F.col(text)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)), F.lit(BLOCK))
-    blocks = F.transform(starts, lambda at: F.slice("w", at, F.lit(BLOCK + most - 1)))
-    b = w.select(*keys, "n_words", F.posexplode(blocks).alias("block", "w"))
-    shifted = b.select(*keys, "n_words", "block", *(F.slice("w", F.lit(k + 1), F.lit(BLOCK)).alias(f"w{k}") for k in range(most)))
-    zipped = shifted.select(*keys, "n_words", "block", F.posexplode_outer(F.arrays_zip(*(f"w{k}" for k in range(most)))).alias("at", "z"))
-    pos = F.col("block") * BLOCK + F.coalesce("at", F.lit(0))
-    rows = zipped.select(*keys, "n_words", pos.alias("pos"), *(F.col(f"z.w{k}").alias(f"w{k}") for k in range(most)))
-
-    def hash_of(n: int) -> Column:
-        return F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*(f"w{k}" for k in range(n))))
-
-    if len(lengths) == 1:
-        rows, said = rows.withColumn("n", F.lit(most)).withColumn("hash", hash_of(most)), F.concat_ws(" ", *(f"w{k}" for k in range(most)))
-    else:
-        each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), hash_of(n).alias("hash")) for n in lengths)))
-        rows = rows.select("*", each.alias("x")).select("*", "x.n", "x.hash").drop("x")
-        said = F.coalesce(*(F.when(F.col("n") == n, F.concat_ws(" ", *(f"w{k}" for k in range(n)))) for n in lengths))
-    joined = rows.join(known, F.col("hash") == F.col("_hash"), "left")
-    same = F.coalesce((F.col("_n") == F.col("n")) & (F.col("_window") == said), F.lit(False))
-    first = (F.col("pos") == 0) & (F.col("n") == lengths[0])
-    out = joined.where(first | same).select(*keys, "n_words", "pos", "n", F.when(same, F.col("_window")).alias("window"))
-    # A first word that also starts a window stands for its document and for the window.
-    both = F.array_compact(F.array(F.when(F.col("window").isNotNull(), F.col("pos")), F.when((F.col("pos") == 0) & (F.col("n") == lengths[0]), F.lit(-1))))
-    out = out.select(*keys, "n_words", F.explode(both).alias("pos"), "n", "window")
-    return out.select(*keys, "n_words", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), "n", F.when(F.col("pos") >= 0, F.col("window")).alias("window"))
+    filters = _filters(windows)
+    kind = "array<struct<pos:int,n:int,window:string>>"
+    w = docs.select(*keys, words(F.col(text)).alias("w"))
+    rows = w.select(*keys, F.size("w").cast("long").alias("n_words"), "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    found = [F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("window")))]
+    for size, (lengths, bits) in filters.items():
+        places = F.filter(F.sequence(F.lit(0), F.size("w") - size), _passes(size, bits))
+        some = F.flatten(F.transform(places, _windows_at(lengths))).cast(kind)
+        found.append(F.when(F.size("w") >= size, some).otherwise(F.array().cast(kind)))
+    return rows.select(*keys, "n_words", F.explode(F.concat(*found)).alias("x")).select(*keys, "n_words", "x.pos", "x.n", "x.window")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -94,9 +111,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_text"), F.col(text).alias("_t"))
     keys = ["doc_id", "_text"]
-    windows = item_windows(items, item_id, item_text, n)
-    found = materialise(scan(base, windows, keys, "_t"), "windows")
-    hits = found.where("pos is not null").select(*keys, "pos", "n", "window").distinct()
+    windows = materialise(item_windows(items, item_id, item_text, n), "items")
+    known = windows.select("n", "window").distinct()
+    found = materialise(scan(base, known, keys, "_t"), "windows")
+    # The words themselves are compared: a join of what passed the filter, broadcast only if the engine sees that the windows are few.
+    hits = found.where("pos is not null").select(*keys, "pos", "n", "window").join(known, ["n", "window"], "left_semi").distinct()
     by_pos = Window.partitionBy(*keys).orderBy("pos", "n")
     end = F.col("pos") + F.col("n")
     seen = F.max(end).over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
