@@ -167,14 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
     Labels other than 0 and 1, null ids and ids without a document are left out. The sample is the
     first rows by a hash of the id, the same at every size of the corpus; only it is sent to the
-    executors (as a broadcast, bounded by `most`) and only its statistics come to the driver: at most
-    4 * most rows, should many of the sample's ids be there several times.
+    executors (as a broadcast, bounded by `most`), and only its statistics come to the driver, one row for
+    an id: of several texts or labels that an id has, the one whose text has the least hash, then the least label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
-    table = _measured(rows.select("_doc", "_text", "_label"), "label", "int").limit(4 * most).toPandas()
+    order = F.struct(F.xxhash64("_text").alias("hash"), F.col("_label").alias("label"))
+    tagged = rows.select("_doc", "_text", F.struct(F.col("_doc").alias("id"), order.alias("order")).alias("tag"))
+    measured = _measured(tagged, "tag", tagged.schema["tag"].dataType.simpleString())
+    one = measured.groupBy("tag.id").agg(F.min_by(F.struct(*FEATURES), F.col("tag.order")).alias("x"), F.min("tag.order")["label"].alias("label"))
+    table = one.select("label", "x.*").toPandas()
     table = table.sort_values(list(table.columns), kind="stable")
     return fit(table[list(FEATURES)].to_numpy(np.float32), table["label"].to_numpy(float))
 
