@@ -55,8 +55,8 @@ def tokenize(docs: DataFrame, encoder, end_id: int, capacity: int, doc_id: str =
 GAP, DOC, PLACED, FREE_GAP, FREE_DOC = range(5)
 RUNS = ["kind", "value", "first", "n", "seq", "per", "offset", "part", "at"]
 SCHEMA = "kind int, value int, first long, n long, seq long, per int, offset int, part int, at long"
-#: Runs that a part of the table has, about.
-PART_RUNS = 4096
+#: Runs that a part of the range-sorted table has, about. Every round sweeps the parts, then between them, however many there are.
+PART_RUNS = 256
 #: Windows of sizes: the k-th has those of which k but not k + 1 fill a sequence, the last all smaller ones.
 WINDOWS = 8
 
@@ -177,17 +177,6 @@ def open_sequences(runs, low: int, k: int, capacity: int, part: int, base: int)
         yield (GAP, room, seq, 1, 0, 0, 0, 0, 0)
 
 
-def match_and_open(runs, low: int, k: int, capacity: int, base: int) -> Iterator[tuple]:
-    """match and then open_sequences, for a table of one part: no gap elsewhere could hold what is left."""
-    kept = []
-    for row in match(runs, low, capacity, 0):
-        if row[0] == PLACED:
-            yield row
-        else:
-            kept.append((row[0] if row[0] < PLACED else GAP if row[0] == FREE_GAP else DOC, *row[1:4], 0, 0, 0, 0, 0))
-    yield from open_sequences(sorted(kept, key=lambda x: (-x[1], x[0], x[2])), low, k, capacity, 0, base)
-
-
 def assign(free: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """From (part, free gaps, free documents), parts of high values first: which gaps go to which documents.
 
@@ -260,8 +249,8 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
     by rank, and they meet by what they were dealt. Then the gaps are updated, and the round repeats
     until no gap holds a document of the window. What is left opens sequences: k for each in the k-th
     window, and in the last as many as its tokens need at least. Every round places a document or opens
-    a sequence for one, and a gap of a window is taken k times at most, so that rounds are few (about a
-    dozen for a table of one part) and don't grow with the documents. Each round's table is written; a
+    a sequence for one, and a gap of a window is taken k times at most, so that rounds are few (some
+    twenty tables for a capacity of 2048) and don't grow with the documents. Each round's table is written; a
     lost executor costs a reread.
     """
     spark, written = docs.sparkSession, []
@@ -281,7 +270,7 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
 
     def stepped(state: DataFrame, step, parts: int) -> tuple[DataFrame, dict]:
         """One pass of step over the range-sorted runs."""
-        sorted_runs = (state.coalesce(1) if parts == 1 else state.repartitionByRange(parts, F.desc("value"))).sortWithinPartitions(F.desc("value"), "kind", "first")
+        sorted_runs = state.repartitionByRange(parts, F.desc("value")).sortWithinPartitions(F.desc("value"), "kind", "first")
 
         def run(batches) -> Iterator:
             from pyspark import TaskContext
@@ -290,11 +279,13 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
 
         return write(sorted_runs.mapInArrow(run, SCHEMA), "round")
 
-    def between(swept: DataFrame) -> tuple[DataFrame, dict]:
-        """What the parts have left meets by rank."""
+    def between(swept: DataFrame, told: dict) -> tuple[DataFrame, dict]:
+        """What the parts have left meets by rank; where no part has gaps for documents of a lower one, nothing changes."""
         left = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name)
         free = swept.where(F.col("kind") >= FREE_GAP).groupBy("part").agg(left(FREE_GAP, "gaps"), left(FREE_DOC, "docs"))
         dealt = assign(sorted(tuple(r) for r in free.collect()))  # a row for each part
+        if not dealt:
+            return swept, told
         cut = swept.where(F.col("kind") != PLACED).mapInArrow(lambda batches: iter([_batch(list(_dealt(_runs(batches), dealt)))]), SCHEMA)
         met = cut.repartition("part").sortWithinPartitions("part", "at")
         return write(met.mapInArrow(lambda batches: iter([_batch(list(_joined(_runs(batches), capacity)))]), SCHEMA), "met")
@@ -305,14 +296,9 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
         while (smallest := told[f"smallest{k - 1}"]) is not None:
             if len(written) > most:
                 raise RuntimeError("the rounds don't come to an end")
-            parts, base = max(1, -(-told["runs"] // PART_RUNS)), len(written) << 48
-            if parts == 1 and low:
-                opened, told = stepped(state, lambda runs, part: match_and_open(runs, low, k, capacity, base), 1)
-                state = opened.where(F.col("kind") != PLACED)
-            elif (told["largest"] or 0) >= smallest:
-                swept, told = stepped(state, lambda runs, part: match(runs, low, capacity, part), parts)
-                if parts > 1:
-                    swept, told = between(swept)
+            parts, base = -(-told["runs"] // PART_RUNS), len(written) << 48
+            if (told["largest"] or 0) >= smallest:
+                swept, told = between(*stepped(state, lambda runs, part: match(runs, low, capacity, part), parts))
                 kind = F.when(F.col("kind") == FREE_GAP, GAP).when(F.col("kind") == FREE_DOC, DOC).otherwise(F.col("kind"))
                 state = swept.where(F.col("kind") != PLACED).withColumn("kind", kind)
             elif low:
