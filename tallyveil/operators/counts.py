@@ -6,16 +6,15 @@ from collections.abc import Sequence
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import OTHER, Item, Itemset
+from . import bitmaps
 from .encode import attributes, to_long
 
 #: Conditional sums of one aggregate; more go to the next one, so that code generation holds.
 SUMS = 200
-#: Candidate itemsets that one pass over collapsed rows tries.
-TRIED = 20_000
 
 
 def matches(itemset: Itemset) -> Column:
@@ -119,13 +118,12 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
     """The k itemsets of most support among all of min_size to max_size, ties by the itemset; and counters.
 
     One pass counts items. Only items at or above the support of the k-th itemset found so far can be
-    part of the answer (those at it stay, for ties), so the next pass maps each row to the bits of its
-    frequent items and counts equal rows with partial sums; how many are left depends on how many
-    combinations of frequent items occur. Larger itemsets are counted on those, level by level, each
-    level keeping only what reaches the floor, which rises as the answer fills. A row meets a candidate
-    by an equal join on a frequent itemset that it has, one item shorter, and a test of one bit.
+    part of the answer (those at it stay, for ties), so the next pass packs each block of rows to bitmaps of its
+    frequent items. Larger itemsets are tried level by level in the tasks, as items after the frequent itemsets
+    of the level before (`bitmaps`), and their supports are summed; only those that reach the floor come back, which
+    rises as the answer fills, and go out again as the next level's prefixes: about k of them, and ties. Levels below
+    min_size give no floor, and are passed within the tasks.
     """
-    spark = wide.sparkSession
     counts: dict[Item, int] = {(a, v): 0 for a, vs in (domain or {}).items() for v in vs}
     counts |= {(r["attr"], r["value"]): r["n"] for r in histogram(wide).collect()}  # a row for each public value
     if allowed is not None:
@@ -145,30 +143,22 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
     items = sorted((i for i, n in counts.items() if n >= first_floor), key=lambda i: (-counts[i], i))
     visited = len(counts)
     if max_size > 1 and items:
-        rows = _collapsed(wide, items)
-        level: list[tuple[int, ...]] = [(j,) for j in range(len(items))]
-        held = _holders(rows, len(items))
-        for size in range(2, max_size + 1):
-            # An itemset is tried if its parts of one item less are all frequent.
-            frequent = set(level)
-            tried = [
-                s + (j,) for s in level for j in range(s[-1] + 1, len(items))
-                if all(items[j][0] != items[i][0] for i in s) and (size == 2 or all(s[:d] + s[d + 1 :] + (j,) in frequent for d in range(size - 1)))
-            ]
-            visited += len(tried)
-            before = {s: c for c, s in enumerate(level)}
-            level = []
-            for at in range(0, len(tried), TRIED):
-                some = tried[at : at + TRIED]
-                counted = [(some[c], n) for c, n in _count(held, _extensions(spark, some, before))]
-                if size >= min_size:
-                    keep([(tuple(sorted(items[j] for j in s)), n) for s, n in counted if n >= floor()])
-                level += [s for s, n in counted if n >= floor() and n]
+        packed = bitmaps.blocks(wide, items)
+        level: list[tuple[int, ...]] = [(j,) for j in range(len(items))] if min_size <= 2 else [()]
+        for size in range(max(2, min_size), max_size + 1):
+            visited += bitmaps.tried(items, level, size)
+            table = bitmaps.level_supports(packed, items, level, size).where(F.col("n") >= floor()).cache()
+            # The new floor is that of the k best of this level and those before; what reaches it comes to the driver.
+            best = [(tuple(r["members"]), r["n"]) for r in table.orderBy(F.desc("n")).limit(k).collect()]
+            reached = sorted([n for _, n in found] + [n for _, n in best], reverse=True)
+            floor_now = reached[k - 1] if len(reached) >= k else 0
+            more = [(tuple(r["members"]), r["n"]) for r in table.where(F.col("n") >= floor_now).collect()]
+            table.unpersist()
+            keep([(tuple(sorted(items[j] for j in s)), n) for s, n in more])
+            level = [s for s, n in more if n >= floor()]
             if not level:
                 break
-            if size < max_size:
-                held = _extended(held, _extensions(spark, level, before))
-        rows.unpersist()
+        packed.unpersist()
     cutoff = found[-1][1] if found else None
     return found, {
         "exact": True, "returned_count": len(found), "singleton_count": len(counts), "initial_support_floor": first_floor,
@@ -176,45 +166,6 @@ def top_itemsets(wide: DataFrame, k: int, max_size: int = 4, min_size: int = 1,
     }
 
 
-def _collapsed(wide: DataFrame, items: Sequence[Item]) -> DataFrame:
-    """mask0, mask1, ... (60 items each) and n: rows by the frequent items that they have."""
-    words = []
-    for at in range(0, len(items), 60):
-        word = F.lit(0).cast("bigint")
-        for bit, (a, v) in enumerate(items[at : at + 60]):
-            word = word + F.when(F.col(f"a{a}") == F.lit(v), F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        words.append(word.alias(f"mask{at // 60}"))
-    return wide.select(*words).groupBy(*(f"mask{k}" for k in range(len(words)))).agg(F.count(F.lit(1)).alias("n")).cache()
-
-
-def _holders(rows: DataFrame, items: int) -> DataFrame:
-    """masks, n and c: a row for each frequent item c of a collapsed row."""
-    masks = F.array(*(c for c in rows.columns if c != "n"))
-    return rows.select(masks.alias("masks"), "n", F.explode(F.sequence(F.lit(0), F.lit(items - 1))).alias("c")).where(_bit(F.floor(F.col("c") / 60).cast("int"), F.col("c") % 60))
-
-
-def _bit(word: Column, bit: Column) -> Column:
-    """Whether a row has the item of this place."""
-    return F.call_function("getbit", F.get("masks", word), bit.cast("int")) == 1
-
-
-def _extensions(spark: SparkSession, sets: Sequence[tuple[int, ...]], before: dict[tuple[int, ...], int]) -> DataFrame:
-    """p, word, bit, c: each itemset's number, that of the one without its last item, and where that item's bit is."""
-    return spark.createDataFrame([(before[s[:-1]], s[-1] // 60, s[-1] % 60, c) for c, s in enumerate(sets)], "p int, word int, bit int, c int")
-
-
-def _extended(held: DataFrame, more: DataFrame) -> DataFrame:
-    """masks, n and c for the itemsets of more. They are broadcast: as many as a level keeps, or TRIED."""
-    rows = held.select("masks", "n", F.col("c").alias("p"))
-    return rows.join(F.broadcast(more), "p").where(_bit(F.col("word"), F.col("bit"))).select("masks", "n", "c")
-
-
-def _count(held: DataFrame, tried: DataFrame) -> list[tuple[int, int]]:
-    """(candidate, support) for candidates with support."""
-    sums = _extended(held, tried).groupBy("c").agg(F.sum("n").alias("n"))
-    return [(r["c"], r["n"]) for r in sums.collect()]
-
-
 def universe(domain: dict[int, list[int]], max_size: int, limit: int) -> list[Itemset]:
     """All itemsets of public values up to max_size, or an error where they are more than limit."""
     from itertools import product

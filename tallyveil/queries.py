@@ -590,6 +590,11 @@ def _(spark, d):
     return _top_table(spark, counts.top_itemsets(views.lineitem_view(spark, d), 15, 2)[0])
 
 
+@query("k3_exact_topk_lineitem_4", _LINES + oracle.itemset_counts(4, "histogram") + " select t as itemset, n support from sets order by n desc, k limit 15")
+def _(spark, d):
+    return _top_table(spark, counts.top_itemsets(views.lineitem_view(spark, d), 15, 4)[0])
+
+
 _EVENT_CELLS = "with ev as materialized (select event_id tid, (dense_rank() over (order by event_type) - 1)::bigint a0, hour(ts) // 6 a1, isodow(ts) - 1 a2, user_id % 8 a3, " + oracle.below("value", "edge.e") + f"::bigint a4 from events, (select {oracle.inner_edges('value', 'events')} e) edge), cells as materialized (" + " union all ".join(f"select tid, {k} attr, a{k} as value from ev" for k in range(5)) + "), histogram as (select attr, value, count(*) n from cells group by all), "
 
 
