@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.functions import itemsets, prf
-from tallyveil.operators import circuits, counts, encode, partition
+from tallyveil.operators import bitmaps, circuits, counts, encode, partition, sketch
 from tallyveil.sources import files
 
 
@@ -335,3 +335,41 @@ def test_suite(spark, tmp_path):
     assert done.rows == 50_000 and files.read_coded(spark, str(tmp_path / "domain_4"), 24).count() == 50_000
     report = counts.group_report(files.generate(spark, 3000, 8, 4, 4, 0.9, 0.0, 5), [a // 4 for a in range(8)]).first()
     assert report.within_nmi > 0.3 > 0.05 > report.across_nmi and report.entropy_bits > 1.9
+
+
+def test_bitmaps_by_blocks(spark):
+    """Blocks of any size, prefixes in any number: the same supports as counting rows; what is tried is counted without being made."""
+    rng = np.random.default_rng(12)
+    rows = rng.integers(0, 3, (333, 4))
+    items = [(a, v) for a in range(4) for v in range(3)]
+    want = brute(rows, 4)
+    for block in (1, 50, 1 << 16):
+        packed = bitmaps.blocks(table(spark, rows).repartition(3), items, block)
+        for size in (2, 3):
+            singles = bitmaps.level_supports(packed, items, [()], size).collect()
+            assert {tuple(sorted(items[k] for k in r.members)): r.n for r in singles} == {s: n for s, n in want.items() if len(s) == size}
+        some = [(0, 4), (0, 5), (3, 6)]
+        found = bitmaps.level_supports(packed, items, some, 3).collect()
+        assert {tuple(r.members) for r in found} == {(*p, j) for p in some for j in range(p[-1] + 1, 12) if items[j][0] not in {items[i][0] for i in p} and {(p[0], j), (p[1], j)} <= set(some)}
+        packed.unpersist()
+    assert bitmaps.tried(items, [()], 3) == sum(len(s) == 3 for s in itertools.chain.from_iterable(itertools.combinations(items, r) for r in (3,)) if len({a for a, _ in s}) == 3)
+    assert bitmaps.tried(items, [(0,), (3,)], 2) == 9 + 6
+    assert bitmaps.level_supports(bitmaps.blocks(table(spark, rows).limit(0), items), items, [()], 2).count() == 0
+
+
+def test_top_itemsets_of_an_empty_table(spark):
+    assert counts.top_itemsets(table(spark, [[0, 1]]).limit(0), 3, 2, domain={0: [0], 1: [1]})[0] == [(((0, 0),), 0), (((1, 1),), 0)]
+
+
+def test_sketches_of_many_partitions_shuffle_few_rows(spark):
+    """500 partitions: at most keys x sqrt(partitions) x 2 rows are shuffled, and the arrays are those of one partition."""
+    wide = spark.range(0, 4000, 1, 500).select(F.col("id").alias("tid"), (F.col("id") % 3).alias("a0"))
+    members = [F.col("a0") == 1, F.col("a0") == 2, F.lit(False)]
+    one = sketch.clean_sketches(wide.coalesce(1), members, 64, 5)
+    sc = spark.sparkContext
+    sc.setJobGroup("fold", "fold")
+    assert np.array_equal(sketch.clean_sketches(wide, members, 64, 5), one) and not one[2].any() and one[0].max() > 5
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("fold") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s) is not None}
+    assert 0 < sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 3 * 500**0.5 * 2
