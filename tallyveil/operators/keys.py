@@ -132,11 +132,9 @@ def report_keys(candidates: Sequence[Candidate], attrs: Sequence[int], mode: str
             for i in p:
                 use[(i,)] += weight / len(p)
             use[p] += weight * (len(p) - 1)
-    rank = lambda p: (-use[p], -value[p], p)
-    chosen = sorted(needed, key=rank)[:limit]
-    chosen += sorted(joint, key=rank)[: max(limit - len(chosen), 0)]
-    chosen += sorted(singles - set(chosen), key=rank)[: max(limit - len(chosen), 0)]
-    return sorted(chosen)
+    # Items that a candidate needs alone come first, then joint keys, then other items.
+    kind = {key: 0 if key in needed else 1 if len(key) > 1 else 2 for key in singles | set(joint)}
+    return sorted(sorted(kind, key=lambda p: (kind[p], -use[p], -value[p], p))[:limit])
 
 
 def category_keys(candidates: Sequence[Candidate], attrs: Sequence[int], domain: Mapping[int, Sequence[int]], estimator: str) -> list[Itemset]:
