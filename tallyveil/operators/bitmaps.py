@@ -19,7 +19,7 @@ AT_ONCE = 256
 
 
 def blocks(wide: DataFrame, items: Sequence[Item], block: int = BLOCK) -> DataFrame:
-    """bits: a row for each block of rows, with the bitmap of every item one after the other; each padded to whole 64-bit words.
+    """n, bits: a row for each block of rows (at most `block`, n of them), with the bitmap of every item one after the other; each padded to whole 64-bit words.
 
     An item costs a bit a row, so the table is far smaller than the coded one. It is kept, for every level reads it.
     """
@@ -29,25 +29,27 @@ def blocks(wide: DataFrame, items: Sequence[Item], block: int = BLOCK) -> DataFr
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        held: list = []
-
         def packed(values: list[np.ndarray]):
             n = len(values[0])
             out = np.zeros((len(items), -(-n // 64) * 8), np.uint8)
             for k, (a, v) in enumerate(items):
                 bits = np.packbits(values[used.index(a)] == v)
                 out[k, : len(bits)] = bits
-            return pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["n", "bits"])
 
+        held, rows_held = [np.zeros(0, np.int64) for _ in used], 0
         for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= block:
-                yield packed([np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(len(used))])
-                held = []
-        if sum(b.num_rows for b in held):
-            yield packed([np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(len(used))])
+            held = [np.concatenate((x, batch.column(c).to_numpy(zero_copy_only=False))) for c, x in enumerate(held)]
+            rows_held += batch.num_rows
+            at = 0
+            while rows_held - at >= block:
+                yield packed([x[at : at + block] for x in held])
+                at += block
+            held, rows_held = [x[at:] for x in held], rows_held - at
+        if rows_held:
+            yield packed(held)
 
-    return rows.mapInArrow(run, "bits binary").persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.mapInArrow(run, "n int, bits binary").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _extensions(prefix: tuple[int, ...], attrs: Sequence[int], frequent: set[tuple[int, ...]] | None) -> list[int]:
@@ -126,7 +128,7 @@ def level_supports(packed: DataFrame, items: Sequence[Item], prefixes: Sequence[
                         yield out()
         yield out()
 
-    return packed.mapInArrow(run, "members array<int>, n bigint").groupBy("members").agg(F.sum("n").alias("n"))
+    return packed.select("bits").mapInArrow(run, "members array<int>, n bigint").groupBy("members").agg(F.sum("n").alias("n"))
 
 
 def tried(items: Sequence[Item], prefixes: Sequence[tuple[int, ...]], size: int) -> int:

@@ -7,7 +7,6 @@ import hmac
 import itertools
 import math
 import secrets
-from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -21,17 +20,59 @@ from ..functions.itemsets import Item, Itemset
 # Boolean circuits
 
 
-def circuit_supports(wide: DataFrame, items: Sequence[Item], itemsets: Sequence[Itemset]) -> DataFrame:
+#: Words of a bit-sliced counter: each of its bits is a lane that counts rows of its own.
+LANES = 64
+
+
+def _sliced_add(counter: list[np.ndarray], bit: np.ndarray) -> None:
+    """A bit more for every lane of a counter whose k-th slice holds the k-th digits: half adders from the lowest digit on."""
+    for k, digit in enumerate(counter):
+        counter[k], bit = digit ^ bit, digit & bit
+        if not bit.any():
+            return
+    counter.append(bit)
+
+
+def circuit_supports(wide: DataFrame, items: Sequence[Item], itemsets: Sequence[Itemset], block: int = 1 << 16) -> DataFrame:
     """candidate, support, and how many gates the circuit takes: and, or, not, xor.
 
     For each row and candidate the circuit tests q -> t over all public items (a NOT, an OR and an AND
-    each) and adds the bit to a counter, lowest digit first (an XOR and an AND a digit). In the clear
-    the test is a conjunction, and the numbers of gates follow from the sizes alone.
+    each) and adds the bit to a counter, lowest digit first (an XOR and an AND a digit). The gates are evaluated in
+    the tasks, on blocks of at most `block` rows packed to bitmaps, 64 rows a word; a task hands on what its counters read.
+    The numbers of gates are those of one circuit a row, with digits for all rows.
     """
-    from .counts import support_table
+    from .bitmaps import blocks
+
+    asked = [[i in set(s) for i in items] for s in itemsets]
+    if any(set(s) - set(items) for s in itemsets):
+        raise ValueError("an itemset has an item that isn't public")
 
-    rows = wide.agg(F.count(F.lit(1)).alias("rows"))
-    out = support_table(wide, itemsets).crossJoin(F.broadcast(rows))
+    def run(batches):
+        import pyarrow as pa
+
+        counters: list[list[np.ndarray]] = [[] for _ in asked]
+        rows = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n, packed = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                rows += n
+                has = np.frombuffer(packed, np.uint64).reshape(len(items), -1)
+                there = np.zeros(-(-has.shape[1] // LANES) * LANES, np.uint64)  # a bit for each row that is there, and none for the padding
+                there.view(np.uint8)[: -(-n // 8)] = np.packbits(np.ones(n, np.uint8))
+                for counter, q in zip(counters, asked, strict=True):
+                    holds = there.copy()
+                    for wanted, t in zip(q, has, strict=True):
+                        not_asked = np.uint64(0) if wanted else ~np.uint64(0)
+                        holds[: len(t)] &= not_asked | t
+                    for chunk in holds.reshape(-1, LANES):
+                        _sliced_add(counter, chunk)
+        sums = [sum(int(np.bitwise_count(digit).sum()) << k for k, digit in enumerate(c)) for c in counters]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(sums)), -1], pa.int32()), pa.array([*sums, rows], pa.int64())], ["candidate", "support"])
+
+    packed = blocks(wide, items, block)
+    counted = packed.select("n", "bits").mapInArrow(run, "candidate int, support bigint").groupBy("candidate").agg(F.sum("support").alias("support"))
+    rows = counted.where("candidate = -1").select(F.col("support").alias("rows"))
+    out = counted.where("candidate >= 0").crossJoin(F.broadcast(rows))  # one row
     digits = F.ceil(F.log2(F.col("rows").cast("double") + 1)).cast("bigint")
     tests = F.col("rows") * len(items)
     return out.select(
@@ -209,45 +250,39 @@ def key_pair(bits: int = 2048) -> tuple[PublicKey, PrivateKey]:
 
 
 class Comparison:
-    """Encrypted x > y of bounded numbers: who decrypts sees only 2 (x - y) - 1 with a random sign, factor and offset."""
+    """Encrypted comparison of bounded numbers; who decrypts sees random signs only."""
 
     def __init__(self, public: PublicKey, private: PrivateKey, bound: int, mask_bits: int = 128):
         if bound < 1 or mask_bits < 32 or (2 * bound + 2) << mask_bits >= public.n // 2:
             raise ValueError("numbers or masks are too large for the key")
         self.public, self._private, self.mask_bits, self.calls = public, private, mask_bits, 0
 
-    def masked(self, x: int, y: int) -> tuple[int, bool]:
-        """The cloud's question, and whether its sign was turned, which the cloud keeps to itself."""
-        key = self.public
-        odd = key.add(key.times(key.add(x, key.times(y, -1)), 2), key.encrypt(key.n - 1))
-        turned = bool(secrets.randbits(1))
-        factor = 1 << (self.mask_bits - 1) | secrets.randbits(self.mask_bits - 1)
-        return key.add(key.times(key.times(odd, -1) if turned else odd, factor), key.encrypt(secrets.randbelow(factor))), turned
+    def greater_all(self, xs: Sequence[int], ys: Sequence[int]) -> list[int]:
+        """An encrypted 1 for each x > y, of encrypted x and of y that the cloud knows in the clear."""
+        return self._positive([self.public.add_plain(self.public.times(x, 2), -2 * y - 1) for x, y in zip(xs, ys, strict=True)])
 
-    def sign(self, question: int) -> int:
-        """The key holder's answer: an encrypted 1 where the question is positive."""
-        self.calls += 1
-        return self.public.encrypt(int(self._private.decrypt(question) <= self.public.n // 2))
+    def over(self, xs: Sequence[int], threshold: int) -> list[int]:
+        """An encrypted 1 for each encrypted x over a threshold that is encrypted too."""
+        less = self.public.add_plain(self.public.times(threshold, -2), -1)
+        return self._positive([self.public.add(self.public.times(x, 2), less) for x in xs])
 
-    def greater(self, x: int, y: int) -> int:
-        question, turned = self.masked(x, y)
-        answer, key = self.sign(question), self.public
-        return key.add(key.encrypt(1), key.times(answer, -1)) if turned else answer
+    def _positive(self, odd: Sequence[int]) -> list[int]:
+        """An encrypted 1 for each positive number 2 (x - y) - 1, which is never 0.
 
-    def greater_all(self, xs: Sequence[int], ys: Sequence[int]) -> list[int]:
-        """As greater, for many x, and y that the cloud knows in the clear."""
+        The cloud turns the sign by a coin of its own, stretches the number by a random factor and adds less than that, so
+        that nothing but a random sign is left; where it turned the sign, it turns the answer back. All are done
+        together, as inverses and powers cost far less in bulk.
+        """
         key, square, top = self.public, self.public.n**2, 1 << (self.mask_bits - 1)
-        odd = [key.add_plain(x * x % square, -2 * y - 1) for x, y in zip(xs, ys, strict=True)]
-        turned = [bool(secrets.randbits(1)) for _ in xs]
+        turned = [bool(secrets.randbits(1)) for _ in odd]
         turn = lambda ciphers: [i if t else c for c, i, t in zip(ciphers, _inverses(ciphers, square), turned, strict=True)]
-        factors = [top | secrets.randbits(self.mask_bits - 1) for _ in xs]
+        factors = [top | secrets.randbits(self.mask_bits - 1) for _ in odd]
         offsets = key.encrypt_all([secrets.randbelow(f) for f in factors])
-        questions = [pow(c, f, square) * o % square for c, f, o in zip(turn(odd), factors, offsets, strict=True)]
-        answers = self.signs(questions)
+        answers = self.signs([pow(c, f, square) * o % square for c, f, o in zip(turn(odd), factors, offsets, strict=True)])
         return [key.add_plain(a, 1) if t else a for a, t in zip(turn(answers), turned, strict=True)]
 
     def signs(self, questions: Sequence[int]) -> list[int]:
-        """The key holder's answers: as sign."""
+        """The key holder's answers: an encrypted 1 for each positive question."""
         self.calls += len(questions)
         return self.public.encrypt_all([int(self._private.decrypt(q) <= self.public.n // 2) for q in questions])
 
@@ -311,19 +346,42 @@ def hashed_column(secret: bytes, tid: Column) -> Column:
     return sha(outer, sha(inner, tid.cast("binary")))
 
 
-def check_pattern(owner: int, threshold: int, width: int = 3) -> tuple[set[frozenset], set[frozenset], list[set[str]]]:
-    """Itemsets over fresh items that must be found frequent, one that must not, and the rows that make them so: each set of one item less, threshold + 1 times."""
-    if threshold < 0 or not 2 <= width <= 4:
-        raise ValueError("a threshold of 0 or more and a width of 2 to 4 are needed")
-    whole = frozenset(f"check:{owner}:{secrets.token_hex(16)}" for _ in range(width))
-    parts = {whole - {x} for x in whole}
-    return parts, {whole}, [set(p) for p in sorted(parts, key=sorted) for _ in range(threshold + 1)]
+@dataclass(frozen=True)
+class Border:
+    """An owner's check: items of its own, found together in no row, while any all but one of them share more rows than the threshold."""
+
+    items: tuple[str, ...]
+    threshold: int
+
+    @classmethod
+    def of(cls, owner: int, threshold: int, width: int = 3) -> Border:
+        if width not in (2, 3, 4) or threshold < 0:
+            raise ValueError("borders have 2 to 4 items and a threshold that isn't negative")
+        return cls(tuple(f"check:{owner}:{k}:{secrets.token_hex(16)}" for k in range(width)), threshold)
+
+    @property
+    def rows(self) -> list[tuple[str, ...]]:
+        """The distinct rows, each of which is sent threshold + 1 times."""
+        return list(itertools.combinations(self.items, len(self.items) - 1))
+
+    @property
+    def frequent(self) -> set[frozenset]:
+        return set(map(frozenset, self.rows))
+
+    @property
+    def infrequent(self) -> set[frozenset]:
+        return {frozenset(self.items)}
+
+    def item_counts(self) -> dict[str, int]:
+        """An item is in every row but the one that leaves it out."""
+        return dict.fromkeys(self.items, (len(self.items) - 1) * (self.threshold + 1))
 
 
 def check_answer(frequent: set[frozenset], infrequent: set[frozenset], returned: set[frozenset]) -> dict[str, int | bool]:
-    needed = {frozenset(s) for f in frequent for size in range(1, len(f) + 1) for s in itertools.combinations(sorted(f), size)}
-    missing, inserted = needed - returned, infrequent & returned
-    return {"passed": not missing and not inserted, "required": len(needed), "missing": len(missing), "inserted": len(inserted)}
+    """What an answer lacks of the frequent sets and all that they contain, and which infrequent sets it has."""
+    below = {frozenset(s) for f in frequent for size in range(len(f)) for s in itertools.combinations(sorted(f), size + 1)}
+    lacks, has = len(below - returned), len(infrequent & returned)
+    return {"passed": lacks + has == 0, "required": len(below), "missing": lacks, "inserted": has}
 
 
 def padding_table(frequencies: DataFrame, anonymity: int) -> DataFrame:
@@ -413,17 +471,16 @@ def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Map
     """
     spark, n, salt = wide.sparkSession, public.n, secrets.token_bytes(32)
     public_items = [item_name((a, v)) for a in attrs for v in domain[a]]
-    frequent, infrequent, rows = check_pattern(owner, threshold, width)
-    made = sorted({tuple(sorted(r)) for r in rows})
+    border = Border.of(owner, threshold, width)
+    made = border.rows
     real = wide.select(F.concat(F.lit("real:"), F.col("tid").cast("string")).alias("id"), F.array(*(F.concat(F.lit(f"item:{a}:"), F.col(f"a{a}").cast("string")) for a in attrs)).alias("items"))
     copies = spark.createDataFrame([(k, list(r)) for k, r in enumerate(made)], "part int, items array<string>")
     checks = copies.select(F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("copy"), "part", "items")
     checks = checks.select(F.concat_ws(":", F.lit(f"check:{owner}"), "part", "copy").alias("id"), "items")
     if frequency is None:
         frequency = item_counts(wide.select("tid", *(f"a{a}" for a in attrs)))
-    universe = dict.fromkeys([*public_items, *itertools.chain.from_iterable(made)], 0)
+    universe = dict.fromkeys(public_items, 0) | border.item_counts()
     universe.update((item_name((a, v)), frequency.get((a, v), 0)) for a in attrs for v in domain[a])
-    universe.update(Counter(itertools.chain.from_iterable(rows)))
     padded = padding_table(spark.createDataFrame(sorted(universe.items()), "item string, frequency bigint"), anonymity)
     held = [(r["item"], r["frequency"], r["class"], r["deficit"]) for r in padded.collect()]  # a row for each public item
     padding = padding_rows(spark.createDataFrame(held, "item string, frequency bigint, class bigint, deficit bigint"))
@@ -460,7 +517,7 @@ def prepare_owner(wide: DataFrame, owner: int, attrs: Sequence[int], domain: Map
     for _, _, group, _ in held:
         sizes[group] = sizes.get(group, 0) + 1
     info = {"owner": owner, "verification_rows": len(made) * (threshold + 1), "fictitious_rows": max((d for *_, d in held), default=0), "smallest_class": min(sizes.values(), default=0)}
-    return Owner(records, names, relabelled(frequent), relabelled(infrequent), info)
+    return Owner(records, names, relabelled(border.frequent), relabelled(border.infrequent), info)
 
 
 def label_of(owner: int, item: str, salt: bytes) -> str:
@@ -531,11 +588,8 @@ def cloud_mine(records: Sequence[DataFrame], asked: Sequence[tuple[str, ...]], l
 
     sums = cipher_sums(met.mapInArrow(indicators, "candidate int, cipher string"), ["candidate"], public)
     found = {r["candidate"]: int(r["cipher"]) for r in sums.collect()}
-    out = []
-    for k, labels in enumerate(asked):
-        support = found.get(k) or public.encrypt(0)
-        out.append(Reply(labels, support, compare.greater(support, threshold)))
-    return out
+    totals = [found.get(k) or public.encrypt(0) for k in range(len(asked))]
+    return [Reply(*reply) for reply in zip(asked, totals, compare.over(totals, threshold), strict=True)]
 
 
 def open_replies(replies: Sequence[Reply], owners: Sequence[Owner], private: PrivateKey, threshold: int) -> tuple[dict[Itemset, int], list[dict]]:
@@ -605,18 +659,17 @@ def block_rows(rows: int, items: int, candidates: int, most: int) -> int:
 def circuit_mining(wide: DataFrame, candidates: Sequence[Itemset], owner: Mapping[int, int], domain: Mapping[int, Sequence[int]], threshold: int, most_gib: float = 4.0) -> tuple[dict[Itemset, int], dict]:
     """Supports of candidates as the Boolean circuits count them, with the gates that they take.
 
-    Rows are encrypted block by block, as many at once as most_gib holds beside the queries and the
-    counters, which go on from block to block; it is refused where not even one row fits. payload_bytes
-    is that of all rows, block_bytes what is held at once. The comparisons with the threshold go
-    through their circuit and must agree with the counts. In the clear (no native library) blocks are
-    a part of the account only: no gate depends on them, and all rows are counted in one pass.
+    Rows go through the circuits block by block (circuit_supports), as many at once as most_gib would hold as ciphertexts
+    beside the queries and the counters; it is refused where not even one row fits. payload_bytes
+    is what all rows would take, block_bytes what is held at once. The comparisons with the threshold go
+    through their circuit and must agree with the counts. Gates are evaluated on bits in the clear: no library encrypts them.
     """
     rows, items = wide.count(), [(a, v) for a in sorted(domain) for v in domain[a]]
     payload = payload_bytes(rows, len(items), len(candidates))
     block = block_rows(rows, len(items), len(candidates), int(most_gib * (1 << 30)))
     if rows and not block:
         raise ValueError(f"{payload} bytes of ciphertext, and with one row at a time still over the limit of {most_gib:g} GiB")
-    found = {r["candidate"]: r for r in circuit_supports(wide, items, candidates).collect()}
+    found = {r["candidate"]: r for r in circuit_supports(wide, items, candidates, max(1, min(block, 1 << 16))).collect()}
     supports = {c: found[k]["support"] for k, c in enumerate(candidates)}
     digits = max(rows, threshold).bit_length() or 1
     binary = lambda x: [int(b) for b in f"{x:0{digits}b}"]

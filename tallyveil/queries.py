@@ -1463,8 +1463,8 @@ def _(spark, d):
     public, private = circuits.key_pair(256)
     compare = circuits.Comparison(public, private, 1000, 64)
     rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()  # a fixed table of 25 rows
-    out = [(r["n_nationkey"], private.decrypt(compare.greater(public.encrypt(r["n_nationkey"]), public.encrypt(r["n_regionkey"])))) for r in rows]
-    return spark.createDataFrame(out, "n_nationkey int, greater int")
+    answers = compare.greater_all(public.encrypt_all([r["n_nationkey"] for r in rows]), [r["n_regionkey"] for r in rows])
+    return spark.createDataFrame([(r["n_nationkey"], private.decrypt(x)) for r, x in zip(rows, answers, strict=True)], "n_nationkey int, greater int")
 
 
 @query("cr7_border_checks", "select c as answer, i::int as owner, c = 'whole' as passed, 6 as required, (c = 'one missing')::int missing, (c = 'one too many')::int inserted from range(4) t(i), (values ('whole'), ('one missing'), ('one too many')) u(c)")
@@ -1472,9 +1472,10 @@ def _(spark, d):
     """What an owner says of the cloud's answer: as it is, without an itemset that is frequent, and with one that isn't."""
     rows = []
     for owner in range(CLIENTS):
-        good, bad, made = circuits.check_pattern(owner, 3)
+        border = circuits.Border.of(owner, 3)
+        good, bad, made = border.frequent, border.infrequent, border.rows * (border.threshold + 1)
         sets = {frozenset(s) for p in good | bad for n in range(1, len(p) + 1) for s in itertools.combinations(sorted(p), n)}
-        whole = {s for s in sets if sum(s <= r for r in made) > 3}
+        whole = {s for s in sets if sum(s <= set(r) for r in made) > border.threshold}
         for answer, returned in (("whole", whole), ("one missing", whole - {min(good, key=sorted)}), ("one too many", whole | bad)):
             found = circuits.check_answer(good, bad, returned)
             rows.append((answer, owner, found["passed"], found["required"], found["missing"], found["inserted"]))

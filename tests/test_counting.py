@@ -157,13 +157,26 @@ def test_circuits():
         assert circuits.add_circuit(bits(a), 1) == bits((a + 1) % 64)
 
 
+def test_circuits_are_evaluated_on_packed_rows(spark):
+    """Gates on bitmaps count what counting rows counts, for blocks of any size, and what the circuit of one row says."""
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 2, (700, 4))
+    wide, items = table(spark, rows).repartition(3), [(a, v) for a in range(4) for v in range(2)]
+    some = [((0, 1),), ((0, 1), (2, 0)), ((0, 0), (1, 1), (3, 1)), ((0, 0), (0, 1))]
+    for block in (1, 7, 64, 1 << 16):
+        found = {some[r.candidate]: r.support for r in circuits.circuit_supports(wide, items, some, block).collect()}
+        assert found == {s: sum(circuits.subset_circuit([i in s for i in items], [int(r[a] == v) for a, v in items]) for r in rows) for s in some}
+    with pytest.raises(ValueError, match="isn't public"):
+        circuits.circuit_supports(wide, items, [((9, 9),)])
+
+
 def test_homomorphic_encryption(spark):
     public, private = circuits.key_pair(256)
     total = public.add(public.encrypt(20), public.encrypt(22))
     assert private.decrypt(total) == 42 and private.decrypt(public.times(total, -1)) == public.n - 42
     compare = circuits.Comparison(public, private, 100, 64)
     for x, y in [(3, 2), (2, 2), (1, 2), (100, 0)]:
-        assert private.decrypt(compare.greater(public.encrypt(x), public.encrypt(y))) == int(x > y)
+        assert private.decrypt(compare.greater_all([public.encrypt(x)], [y])[0]) == int(x > y)
     with pytest.raises(ValueError):
         circuits.Comparison(public, private, 100, 250)
 
@@ -175,7 +188,9 @@ def test_encrypted_mining_and_tampering(spark):
     assert supports == counts.supports(wide, some) and info["smallest_class"] >= 2
     assert all(c["passed"] and c["required"] == 6 for c in info["checks"]) and len(info["checks"]) == 2
     assert all(o["verification_rows"] == 6 and o["smallest_class"] >= 2 for o in info["owners"])
-    good, bad, rows = circuits.check_pattern(0, 2)
+    border = circuits.Border.of(0, 2)
+    good, bad, rows = border.frequent, border.infrequent, [set(r) for r in border.rows for _ in range(3)]
+    assert border.item_counts() == Counter(x for r in rows for x in r)
     sets = {frozenset(s) for g in good for n in (1, 2) for s in itertools.combinations(sorted(g), n)}
     assert circuits.check_answer(good, bad, sets)["passed"]
     assert not circuits.check_answer(good, bad, sets - {next(iter(good))})["passed"]
