@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation
@@ -57,6 +59,8 @@ RUNS = ["kind", "value", "first", "n", "seq", "per", "offset", "part", "at"]
 SCHEMA = "kind int, value int, first long, n long, seq long, per int, offset int, part int, at long"
 #: Runs that a part of the range-sorted table has, about. Every round sweeps the parts, then between them, however many there are.
 PART_RUNS = 256
+#: Ends that ranges of values are chosen from.
+QUANTILES = 63
 #: Windows of sizes: the k-th has those of which k but not k + 1 fill a sequence, the last all smaller ones.
 WINDOWS = 8
 
@@ -224,10 +228,7 @@ def _dealt(runs, dealt: list[tuple]) -> Iterator[tuple]:
 def _joined(runs, capacity: int) -> Iterator[tuple]:
     """Runs of deals, sorted by deal and place, gaps and documents merged by rank: one document for each gap."""
     waiting: dict[int, list[list[int]]] = {FREE_GAP: [], FREE_DOC: []}
-    for kind, value, first, n, _, _, _, deal, _ in runs:
-        if deal < 0:
-            yield (kind, value, first, n, 0, 0, 0, 0, 0)
-            continue
+    for kind, value, first, n, *_ in runs:
         waiting[kind].append([value, first, n])
         gaps, docs = waiting[FREE_GAP], waiting[FREE_DOC]
         while gaps and docs:
@@ -243,7 +244,7 @@ def _joined(runs, capacity: int) -> Iterator[tuple]:
 def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame]:
     """Places documents, a table (length, n), into sequences; returns the tables that hold the placements.
 
-    Both documents and gaps are runs of equal values, range-sorted together. Sizes are taken window by
+    Both documents and gaps are runs of equal values, sorted together in ranges of values. Sizes are taken window by
     window from the largest. A round is a number of successor sweeps in every part of the table (match),
     then one between parts: the driver gets how many gaps and documents each part has left, assigns them
     by rank, and they meet by what they were dealt. Then the gaps are updated, and the round repeats
@@ -258,7 +259,7 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
     gap, doc = F.col("kind").isin(GAP, FREE_GAP), F.col("kind").isin(DOC, FREE_DOC)
     over = [doc & (F.col("value") > low) for low in lows]
     totals = [
-        F.count_if(F.col("kind") != PLACED).alias("runs"), F.max(F.when(gap, F.col("value"))).alias("largest"), F.count_if(doc).alias("docs"), F.sum(F.when(doc, F.col("value") * F.col("n"))).alias("tokens"),
+        F.count_if(F.col("kind") != PLACED).alias("runs"), F.max(F.when(gap, F.col("value"))).alias("largest"), F.percentile_approx(F.when(F.col("kind") != PLACED, F.col("value")), [k / (QUANTILES + 1) for k in range(1, QUANTILES + 1)], 1000).alias("quantiles"), F.count_if(doc).alias("docs"), F.sum(F.when(doc, F.col("value") * F.col("n"))).alias("tokens"),
         *(F.min(F.when(x, F.col("value"))).alias(f"smallest{k}") for k, x in enumerate(over)),
     ]
 
@@ -268,14 +269,19 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
         written.append(materialise(table.observe(seen, *totals), name))
         return written[-1], seen.get
 
-    def stepped(state: DataFrame, step, parts: int) -> tuple[DataFrame, dict]:
-        """One pass of step over the range-sorted runs."""
-        sorted_runs = state.repartitionByRange(parts, F.desc("value")).sortWithinPartitions(F.desc("value"), "kind", "first")
+    def stepped(state: DataFrame, step, told: dict) -> tuple[DataFrame, dict]:
+        """One pass of step over each part: ranges of values with about as many runs, the largest first, and in them runs in order.
 
-        def run(batches) -> Iterator:
-            from pyspark import TaskContext
+        The ranges' ends are quantiles of the table as it was written, so that a part is the same rows however many tasks there are.
+        """
+        parts = min(-(-told["runs"] // PART_RUNS), QUANTILES + 1)
+        ends = sorted({told["quantiles"][k * (QUANTILES + 1) // parts - 1] for k in range(1, parts)})
+        of = sum((F.when(F.col("value") < x, 1).otherwise(0) for x in ends), F.lit(0))
+        sorted_runs = state.withColumn("part", of.cast("int")).select(RUNS).repartition(len(ends) + 1, "part").sortWithinPartitions("part", F.desc("value"), "kind", "first")
 
-            yield _batch(list(step(_runs(batches), TaskContext.get().partitionId())))
+        def run(batches) -> Iterator:
+            for part, runs in groupby(_runs(batches), itemgetter(RUNS.index("part"))):
+                yield _batch(list(step(runs, part)))
 
         return write(sorted_runs.mapInArrow(run, SCHEMA), "round")
 
@@ -287,8 +293,9 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
         if not dealt:
             return swept, told
         cut = swept.where(F.col("kind") != PLACED).mapInArrow(lambda batches: iter([_batch(list(_dealt(_runs(batches), dealt)))]), SCHEMA)
-        met = cut.repartition("part").sortWithinPartitions("part", "at")
-        return write(met.mapInArrow(lambda batches: iter([_batch(list(_joined(_runs(batches), capacity)))]), SCHEMA), "met")
+        met = cut.where("part >= 0").repartition("part").sortWithinPartitions("part", "at")
+        met = met.mapInArrow(lambda batches: iter([_batch(list(_joined(_runs(batches), capacity)))]), SCHEMA)
+        return write(met.union(cut.where("part < 0")), "met")
 
     start = docs.select(F.lit(DOC).alias("kind"), F.col("length").cast("int").alias("value"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), *(F.lit(0).cast(t).alias(c) for c, t in zip(RUNS[4:], ("long", "int", "int", "int", "long"), strict=True)))
     state, told = write(start.coalesce(1), "runs")
@@ -296,13 +303,13 @@ def rounds(docs: DataFrame, capacity: int, most: int = 10_000) -> list[DataFrame
         while (smallest := told[f"smallest{k - 1}"]) is not None:
             if len(written) > most:
                 raise RuntimeError("the rounds don't come to an end")
-            parts, base = -(-told["runs"] // PART_RUNS), len(written) << 48
+            base = len(written) << 48
             if (told["largest"] or 0) >= smallest:
-                swept, told = between(*stepped(state, lambda runs, part: match(runs, low, capacity, part), parts))
+                swept, told = between(*stepped(state, lambda runs, part: match(runs, low, capacity, part), told))
                 kind = F.when(F.col("kind") == FREE_GAP, GAP).when(F.col("kind") == FREE_DOC, DOC).otherwise(F.col("kind"))
                 state = swept.where(F.col("kind") != PLACED).withColumn("kind", kind)
             elif low:
-                opened, told = stepped(state, lambda runs, part: open_sequences(runs, low, k, capacity, part, base), parts)
+                opened, told = stepped(state, lambda runs, part: open_sequences(runs, low, k, capacity, part, base), told)
                 state = opened.where(F.col("kind") != PLACED)
             else:
                 n = -(-told["tokens"] // capacity)
