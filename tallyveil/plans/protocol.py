@@ -7,18 +7,19 @@ import math
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.itemsets import Item, Itemset
 from ..operators import binning, budget, counts, encode, keys, metrics, partition, randomizer, sketch, wire
 from ..operators.candidates import Candidate, collect_candidates, enough, frequent_items, joint_first_candidates, ranked_candidates
-from ..operators.estimate import Estimate, Search, blocks_of, estimate_candidates
-from .config import TWO_ROUND, Config, Protocol
+from ..operators.estimate import Case, Estimate, Search, blocks_of, estimate_tables, jobs, ranked, sizes_table
+from .config import METHODS, TWO_ROUND, Config, Protocol
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,49 @@ def prepare(wide: DataFrame, config: Config) -> Owned:
     return Owned(wide, domain, tuple(partition.deal(partition.order_of(count, d.partition_seed if shuffled else None), sizes)))
 
 
+class Scans:
+    """What runs over one coded table share: its histogram, rows, exact tops and supports don't depend on budgets, splits, estimators or seeds.
+
+    Each is read from the table once, however many runs ask for it. The histogram and the number of rows stay tables, for a
+    run only takes noisy ones of them.
+    """
+
+    def __init__(self, owned: Owned):
+        self.owned, self.held = owned, []
+        self._tops: dict[tuple, list] = {}
+        self._supports: dict[Itemset, int] = {}
+
+    def _kept(self, table: DataFrame) -> DataFrame:
+        self.held.append(table.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    @cached_property
+    def histogram(self) -> DataFrame:
+        spark = self.owned.wide.sparkSession
+        domain = spark.createDataFrame([(a, v) for a, vs in self.owned.domain.items() for v in vs], "attr int, value bigint")
+        return self._kept(counts.full_histogram(self.owned.wide, domain))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self._kept(self.owned.wide.agg(F.count(F.lit(1)).alias("n")))
+
+    def top(self, p: Protocol) -> list[tuple[Itemset, int]]:
+        asked = (p.k, p.max_size, p.min_size)
+        if asked not in self._tops:
+            self._tops[asked] = counts.top_itemsets(self.owned.wide, *asked, domain=self.owned.domain)[0]
+            self._supports |= dict(self._tops[asked])
+        return self._tops[asked]
+
+    def supports(self, itemsets: Sequence[Itemset]) -> dict[Itemset, int]:
+        if more := sorted({i for i in itemsets if i not in self._supports}):
+            self._supports |= counts.supports(self.owned.wide, more)
+        return {i: self._supports[i] for i in itemsets}
+
+    def release(self) -> None:
+        for table in self.held:
+            table.unpersist()
+
+
 @dataclass(frozen=True)
 class FirstRound:
     noisy: dict[Item, float]
@@ -75,8 +119,8 @@ class FirstRound:
     candidates: list[Candidate]
 
 
-def _noisy_n(owned: Owned, epsilon_n: float, seed: int) -> float:
-    rows = owned.wide.agg(F.count(F.lit(1)).alias("n"))
+def _noisy_n(owned: Owned, epsilon_n: float, seed: int, scans: Scans | None = None) -> float:
+    rows = (scans or Scans(owned)).rows
     return randomizer.mean_rows(randomizer.noisy_rows(rows, len(owned.parts), epsilon_n, seed)).first()["noisy_n"]
 
 
@@ -94,23 +138,30 @@ def _choose(spark: SparkSession, table: DataFrame, n: float, p: Protocol, check:
     return held, found
 
 
-def first_round(owned: Owned, p: Protocol, epsilon_counts: float, epsilon_n: float, check: bool = True) -> FirstRound:
+def first_round(owned: Owned, p: Protocol, epsilon_counts: float, epsilon_n: float, check: bool = True, scans: Scans | None = None) -> FirstRound:
     """Noisy histograms and row number, and the candidates they make. Both epsilons are one client's."""
-    spark = owned.wide.sparkSession
-    domain = spark.createDataFrame([(a, v) for a, vs in owned.domain.items() for v in vs], "attr int, value bigint")
-    histogram = counts.full_histogram(owned.wide, domain)
-    table = randomizer.first_histogram(histogram, owned.owners(), epsilon_counts, p.seed, p.report_limit)
+    spark, scans = owned.wide.sparkSession, scans or Scans(owned)
+    table = randomizer.first_histogram(scans.histogram, owned.owners(), epsilon_counts, p.seed, p.report_limit)
     rows = [(r["attr"], r["value"], r["noisy"]) for r in table.collect()]  # public values: the protocol's own message
     held = spark.createDataFrame(rows, "attr int, value bigint, noisy double")
-    n = _noisy_n(owned, epsilon_n, p.seed)
+    n = _noisy_n(owned, epsilon_n, p.seed, scans)
     pool, candidates = _choose(spark, held, n, p, check)
     return FirstRound({(a, v): x for a, v, x in rows}, held, n, pool, candidates)
 
 
-def second_round(owned: Owned, first: FirstRound, p: Protocol, mode: str, epsilon: float, delta: float, plan: binning.Plan | None = None) -> list[sketch.Report]:
-    """Every client's sketches for its keys; all of them from one pass over the rows. epsilon and delta are one client's."""
+@dataclass(frozen=True)
+class Wanted:
+    """A report that a client is to make: what is public of it, and which rows are its members (`what` names them)."""
+
+    asked: sketch.Asked
+    what: tuple
+    members: Column
+
+
+def wanted_reports(owned: Owned, first: FirstRound, p: Protocol, mode: str, epsilon: float, delta: float, plan: binning.Plan | None = None) -> list[Wanted]:
+    """Every client's keys of the second round, with their budgets and noise. epsilon and delta are one client's."""
     category, complement = p.estimator in ("fm_full", "fm_other"), p.estimator in ("fm", "fm_inverse")
-    wanted: list[tuple[int, Itemset, tuple[float, float], object]] = []
+    out: list[Wanted] = []
     members = binning.members(plan) if plan else {}
     for client, attrs in enumerate(owned.parts):
         limit = p.k if p.upload_limit is None else p.upload_limit
@@ -124,24 +175,30 @@ def second_round(owned: Owned, first: FirstRound, p: Protocol, mode: str, epsilo
         targets = keys.target_values(first.candidates, attrs)
         for key in chosen:
             if category:
-                truth = counts.matches_category(key[0], sorted(targets[key[0][0]]))
+                others = tuple(sorted(targets[key[0][0]]))
+                what, truth = ("category", key, others), counts.matches_category(key[0], others)
             elif plan:
-                truth = counts.matches_bins(key, members)
+                what, truth = ("bins", tuple((a, tuple(members[a, b])) for a, b in key)), counts.matches_bins(key, members)
             else:
-                truth = ~counts.matches(key) if complement else counts.matches(key)
-            wanted.append((client, key, shares[key], truth))
-    if not wanted:
-        return []
-    clean = sketch.clean_sketches(owned.wide, [w[3] for w in wanted], p.m, p.seed, p.gamma)
-    out = []
-    for (client, key, (eps, dlt), _), ranks in zip(wanted, clean, strict=True):
-        shared = f"{mode}_bin_{p.bins}" if plan else _shared(mode, key)
-        seed = sketch.report_seed(p.seed, client, p.estimator, shared, key)
-        used = not (mode == keys.DUMMY and len(key) > 1)
-        out.append(sketch.release(client, key, ranks, eps, dlt, p.gamma, seed, complement, used))
+                what, truth = ("all", key, complement), ~counts.matches(key) if complement else counts.matches(key)
+            shared = f"{mode}_bin_{p.bins}" if plan else _shared(mode, key)
+            seed = sketch.report_seed(p.seed, client, p.estimator, shared, key)
+            used = not (mode == keys.DUMMY and len(key) > 1)
+            asked = sketch.Asked(client, key, *shares[key], *sketch.parameters(*shares[key], p.m, p.gamma), seed, complement, used)
+            out.append(Wanted(asked, what, truth))
     return out
 
 
+def released(owned: Owned, wanted: Sequence[Wanted], m: int, seed: int, gamma: float) -> DataFrame:
+    """report (place in wanted) and alpha: all reports from one pass over the rows; rows that several reports are about are sketched once."""
+    members: dict[tuple, Column] = {}
+    for w in wanted:
+        members.setdefault(w.what, w.members)
+    place = {what: k for k, what in enumerate(members)}
+    clean = sketch.folded_sketches(owned.wide, list(members.values()), m, seed, gamma)
+    return sketch.released_table(clean, [(place[w.what], w.asked) for w in wanted], gamma)
+
+
 def _shared(mode: str, key: Itemset) -> str:
     """The mode whose noise a key uses, so that modes differ by their keys and not by chance."""
     if len(key) == 1 and mode in (keys.LOCAL_TOP, keys.MIXED, keys.BINNED, keys.PROTECTED, keys.COVER):
@@ -149,10 +206,20 @@ def _shared(mode: str, key: Itemset) -> str:
     return keys.MIXED if mode in (keys.COVER, keys.DUMMY) else mode
 
 
-def two_round(owned: Owned, p: Protocol, mode: str) -> tuple[list[Estimate], dict]:
-    """Histogram round, then sketches and estimates."""
+@dataclass(frozen=True)
+class Run:
+    """A two-round method after its first round."""
+
+    p: Protocol
+    mode: str
+    first: FirstRound
+    plan: binning.Plan | None
+    wanted: list[Wanted]
+
+
+def open_run(owned: Owned, p: Protocol, mode: str, scans: Scans) -> Run:
     shares = budget.phases(p.epsilon, p.delta, len(owned.parts), p.phase1_ratio, p.noisy_n_ratio)
-    first = first_round(owned, p, shares["epsilon_counts"], shares["epsilon_n"])
+    first = first_round(owned, p, shares["epsilon_counts"], shares["epsilon_n"], scans=scans)
     plan = None
     if mode in (keys.BINNED, keys.PROTECTED):
         scores: dict[Item, float] = {}
@@ -160,13 +227,41 @@ def two_round(owned: Owned, p: Protocol, mode: str) -> tuple[list[Estimate], dic
             for i in c.itemset:
                 scores[i] = max(c.score, scores.get(i, 0.0))
         plan = binning.protected_plan(owned.domain, first.noisy, p.bins, scores) if mode == keys.PROTECTED else binning.quantile_plan(owned.domain, first.noisy, p.bins)
-    reports = second_round(owned, first, p, mode, shares["epsilon_reports"], shares["delta_reports"], plan)
-    found = estimate_candidates(first.candidates, reports, owned.owner, first.n, mode, p.estimator, Search(p.gamma, p.step, p.points), plan, first.noisy)
-    return found, {"noisy_n": first.n, "candidate_count": len(first.candidates), "report_keys": len(reports), **account(owned, reports, p), "communication_bytes": communication(owned, first, reports, p, plan)}
+    return Run(p, mode, first, plan, wanted_reports(owned, first, p, mode, shares["epsilon_reports"], shares["delta_reports"], plan))
+
+
+def close_runs(owned: Owned, runs: Sequence[Run]) -> list[tuple[list[Estimate], dict]]:
+    """The second round and the estimates of all runs: one pass over the rows for all that share ranks, and one estimation by candidate."""
+    out: dict[int, tuple[list[Estimate], dict]] = {}
+    groups: dict[tuple, list[int]] = {}
+    for k, run in enumerate(runs):
+        groups.setdefault((run.p.m, run.p.seed, run.p.gamma), []).append(k)
+    for shared, some in groups.items():
+        cases, todo, wanted = [], [], []
+        for run in (runs[k] for k in some):
+            asked = [w.asked for w in run.wanted]
+            cases.append(Case(asked, run.first.n, run.p.estimator, Search(run.p.gamma, run.p.step, run.p.points), len(wanted)))
+            todo.append(jobs(run.first.candidates, asked, owned.owner, run.mode, run.p.estimator, run.plan))
+            wanted += run.wanted
+        alphas = released(owned, wanted, *shared).persist(StorageLevel.MEMORY_AND_DISK) if wanted else None
+        values = estimate_tables(alphas, cases, todo) if wanted else [[] for _ in some]
+        if wanted:
+            alphas.unpersist()
+        for k, jobs_of, found in zip(some, todo, values, strict=True):
+            run, asked = runs[k], [w.asked for w in runs[k].wanted]
+            best = ranked(jobs_of if wanted else [], found, run.first.candidates, run.mode, run.plan, run.first.noisy)
+            told = {"noisy_n": run.first.n, "candidate_count": len(run.first.candidates), "report_keys": len(asked)}
+            out[k] = best, told | account(owned, asked, run.p) | {"communication_bytes": communication(owned, run.first, asked, run.p, run.plan)}
+    return [out[k] for k in range(len(runs))]
+
+
+def two_round(owned: Owned, p: Protocol, mode: str, scans: Scans | None = None) -> tuple[list[Estimate], dict]:
+    """Histogram round, then sketches and estimates."""
+    return close_runs(owned, [open_run(owned, p, mode, scans or Scans(owned))])[0]
 
 
-def account(owned: Owned, reports: Sequence[sketch.Report], p: Protocol) -> dict:
-    by: dict[int, list[sketch.Report]] = {}
+def account(owned: Owned, reports: Sequence[sketch.Asked], p: Protocol) -> dict:
+    by: dict[int, list[sketch.Asked]] = {}
     for r in reports:
         by.setdefault(r.client, []).append(r)
     limits = {c: budget.group_bound([r.key for r in some]) for c, some in by.items()}
@@ -174,7 +269,7 @@ def account(owned: Owned, reports: Sequence[sketch.Report], p: Protocol) -> dict
     return {"alpha_rdp_epsilon": budget.overlap_account(p.m, p.delta, limits, coordinates)["rdp_epsilon"], "formal_end_to_end_dp": False}
 
 
-def communication(owned: Owned, first: FirstRound, reports: Sequence[sketch.Report], p: Protocol, plan: binning.Plan | None = None) -> int:
+def communication(owned: Owned, first: FirstRound, reports: Sequence[sketch.Asked], p: Protocol, plan: binning.Plan | None = None) -> int:
     clients = len(owned.parts)
     up1 = sum(wire.text_bytes(f"client_{c}") + 3 * wire.F64 + wire.U32 for c in range(clients)) + len(first.noisy) * (wire.U32 + wire.I64 + wire.F64)
     down = clients * (wire.U32 + sum(wire.itemset_bytes(len(c.itemset)) for c in first.candidates))
@@ -208,24 +303,29 @@ def randomized(owned: Owned, p: Protocol) -> tuple[list[Estimate], dict]:
     return sorted(found, key=lambda e: (-e.estimate, e.itemset)), {"noisy_n": n, "candidate_count": len(candidates), "report_keys": len(share), "communication_bytes": size}
 
 
-def one_round(owned: Owned, p: Protocol, method: str) -> tuple[list[Estimate], dict]:
+def one_round(owned: Owned, p: Protocol, method: str, scans: Scans | None = None) -> tuple[list[Estimate], dict]:
     """Either noisy histograms alone, or sketches of all public local itemsets without asking anything before."""
     clients, spark = len(owned.parts), owned.wide.sparkSession
     if method == "First-round":
-        first = first_round(owned, p, p.epsilon * 0.9 / clients, p.epsilon * 0.1 / clients, False)
+        first = first_round(owned, p, p.epsilon * 0.9 / clients, p.epsilon * 0.1 / clients, False, scans)
         found = sorted((Estimate(c.itemset, c.guess, c.guess) for c in first.candidates), key=lambda e: (-e.estimate, e.itemset))
         return found, {"noisy_n": first.n, "candidate_count": len(first.candidates), "report_keys": 0}
-    n = _noisy_n(owned, p.epsilon * 0.05 / clients, p.seed)
+    n = _noisy_n(owned, p.epsilon * 0.05 / clients, p.seed, scans)
     wide_open = [Candidate(k, 0.0, 0.0) for attrs in owned.parts for k in keys.public_keys(owned.domain, attrs, 1 if method == "Items-only" else 3)]
     asked = FirstRound({}, owned.wide.limit(0), 1.0, [], wide_open)
     all_keys = replace(p, upload_limit=0, mixed_weight=4.0, estimator="map")
-    reports = second_round(owned, asked, all_keys, keys.MIXED, p.epsilon * 0.95 / clients, p.delta / clients)
-    noisy = [(*r.key[0], sketch.marginal_map(r.alpha, r.phantoms, r.floor, n, p.gamma, p.step, p.points)) for r in reports if len(r.key) == 1]
-    _, candidates = _choose(spark, spark.createDataFrame(noisy, "attr int, value bigint, noisy double"), n, p, False)
+    wanted = wanted_reports(owned, asked, all_keys, keys.MIXED, p.epsilon * 0.95 / clients, p.delta / clients)
+    reports, search = [w.asked for w in wanted], Search(p.gamma, p.step, p.points)
+    alphas = released(owned, wanted, p.m, p.seed, p.gamma).persist(StorageLevel.MEMORY_AND_DISK)
+    single = [Case([replace(r, used=len(r.key) == 1) for r in reports], n, "map", search)]
+    noisy = [(*reports[r["report"]].key[0], r["size"]) for r in sizes_table(alphas, single).collect()]  # a size for each public value
+    _, candidates = _choose(spark, spark.createDataFrame(sorted(noisy), "attr int, value bigint, noisy double"), n, p, False)
     owner = owned.owner
     needed = {(c, tuple(i for i in x.itemset if owner[i[0]] == c)) for x in candidates for c in range(clients)} | {(owner[i[0]], (i,)) for x in candidates for i in x.itemset}
-    used = [r for r in reports if (r.client, r.key) in needed]
-    found = estimate_candidates(candidates, used, owner, n, keys.MIXED, "map", Search(p.gamma, p.step, p.points))
+    used = [replace(r, used=(r.client, r.key) in needed) for r in reports]
+    todo = jobs(candidates, used, owner, keys.MIXED, "map")
+    found = ranked(todo, estimate_tables(alphas, [Case(used, n, "map", search)], [todo])[0], candidates, keys.MIXED)
+    alphas.unpersist()
     return found, {"noisy_n": n, "candidate_count": len(candidates), "report_keys": len(reports), **account(owned, reports, p)}
 
 
@@ -240,22 +340,22 @@ def central(owned: Owned, p: Protocol) -> list[Estimate]:
     return sorted(found, key=lambda e: (-e.estimate, e.itemset))
 
 
-def run_method(owned: Owned, p: Protocol, method: str) -> tuple[list[Estimate], dict]:
+def run_method(owned: Owned, p: Protocol, method: str, scans: Scans | None = None) -> tuple[list[Estimate], dict]:
     if method in TWO_ROUND:
         estimator, mode = TWO_ROUND[method]
-        return two_round(owned, replace(p, estimator=estimator, modes=(mode,)), mode)
+        return two_round(owned, replace(p, estimator=estimator, modes=(mode,)), mode, scans)
     if method == "FO":
         return randomized(owned, p)
     if method in ("First-round", "Second-round", "Items-only"):
-        return one_round(owned, p, method)
+        return one_round(owned, p, method, scans)
     raise ValueError(f"unknown method {method}")
 
 
-def audit(owned: Owned, found: Sequence[Estimate], p: Protocol) -> dict[str, float]:
+def audit(owned: Owned, found: Sequence[Estimate], p: Protocol, scans: Scans | None = None) -> dict[str, float]:
     """Metrics against the exact top k of all legal itemsets, not of the candidates alone."""
-    spark, rows = owned.wide.sparkSession, owned.wide.count()
-    top, _ = counts.top_itemsets(owned.wide, p.k, p.max_size, p.min_size, domain=owned.domain)
-    truth = dict(top) | counts.supports(owned.wide, [e.itemset for e in found])
+    spark, scans = owned.wide.sparkSession, scans or Scans(owned)
+    rows, top = scans.rows.first()["n"], scans.top(p)
+    truth = dict(top) | scans.supports([e.itemset for e in found])
     kind = "itemset array<struct<attr:int,value:bigint>>"
     t = spark.createDataFrame([(list(i), n) for i, n in truth.items()], f"{kind}, support bigint")
     e = spark.createDataFrame([(list(x.itemset), float(x.estimate)) for x in found], f"{kind}, estimate double")
@@ -263,31 +363,62 @@ def audit(owned: Owned, found: Sequence[Estimate], p: Protocol) -> dict[str, flo
     return out | {"mse": out["rmse"] ** 2, "frequency_mse": out["rmse"] ** 2 / rows**2}
 
 
+def run_cases(wide: DataFrame, cases: Sequence[tuple[Config, str]], *, dataset: str = "custom") -> list[dict]:
+    """Audited runs (configuration and method) over one table, as flat rows in their order.
+
+    Cases with the same settings of their data share one coded table and its scans: one histogram, one pass for the sketches
+    of all two-round methods that share m, seed and gamma, whatever their budgets, splits and estimators, one
+    estimation of all their candidates, one exact top for each k and sizes, and one count of everything that was found. The
+    other methods read rows of their own. total_seconds is an equal share of what its group's methods took.
+    """
+    groups: dict[object, list[int]] = {}
+    for k, (c, method) in enumerate(cases):
+        c.check()
+        if method not in METHODS:
+            raise ValueError(f"unknown method {method}")
+        groups.setdefault(c.data, []).append(k)
+    out: dict[int, dict] = {}
+    for some in groups.values():
+        owned = prepare(wide, cases[some[0]][0])
+        owned = replace(owned, wide=owned.wide.persist(StorageLevel.MEMORY_AND_DISK))
+        scans = Scans(owned)
+        try:
+            began = time.perf_counter()
+            fused = [k for k in some if cases[k][1] in TWO_ROUND]
+            runs = []
+            for k in fused:
+                (estimator, mode), p = TWO_ROUND[cases[k][1]], cases[k][0].protocol
+                runs.append(open_run(owned, replace(p, estimator=estimator, modes=(mode,)), mode, scans))
+            found = dict(zip(fused, close_runs(owned, runs), strict=True))
+            found |= {k: run_method(owned, cases[k][0].protocol, cases[k][1], scans) for k in some if k not in found}
+            seconds = (time.perf_counter() - began) / len(some)
+            for p in {(c.k, c.max_size, c.min_size): c for c in (cases[k][0].protocol for k in some)}.values():
+                scans.top(p)
+            scans.supports(sorted({e.itemset for best, _ in found.values() for e in best}))
+            for k in some:
+                (best, info), p = found[k], cases[k][0].protocol
+                out[k] = {
+                    "dataset": dataset, "axis": "default", "value": 1.0, "seed": p.seed, "method": cases[k][1], "k": p.k, "epsilon": float(p.epsilon),
+                    "clients": len(owned.parts), "total_seconds": seconds, "result_kind": "measured", "evaluation_scope": "global_exact",
+                    **audit(owned, best, p, scans), **{x: v for x, v in info.items() if not isinstance(v, (dict, bool))},
+                }
+        finally:
+            scans.release()
+            owned.wide.unpersist()
+    return [out[k] for k in range(len(cases))]
+
+
 def run_case(wide: DataFrame, config: Config, method: str, *, dataset: str = "custom", axis: str = "default", value: float = 1.0) -> dict:
     """One audited run as a flat row."""
-    config.check()
-    p = config.protocol
-    owned = prepare(wide, config)
-    owned = replace(owned, wide=owned.wide.persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        began = time.perf_counter()
-        found, info = run_method(owned, p, method)
-        seconds = time.perf_counter() - began
-        scores = audit(owned, found, p)
-    finally:
-        owned.wide.unpersist()
-    flat = {k: v for k, v in info.items() if not isinstance(v, (dict, bool))}
-    return {
-        "dataset": dataset, "axis": axis, "value": float(value), "seed": p.seed, "method": method, "k": p.k, "epsilon": float(p.epsilon),
-        "clients": len(owned.parts), "total_seconds": seconds, "result_kind": "measured", "evaluation_scope": "global_exact", **scores, **flat,
-    }
+    return run_cases(wide, [(config, method)], dataset=dataset)[0] | {"axis": axis, "value": float(value)}
 
 
 def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Sequence[int], methods: Sequence[str] | None = None, seeds: Sequence[int] = (2026,), folder: str | None = None, dataset: str = "custom", names: Sequence[str] | None = None, values: Sequence[float] | None = None) -> list[dict]:
     """Runs every point of the numbered sweeps and returns their rows.
 
     tables is one table, called dataset, or several by name; of those an axis takes names, or its own.
-    A configuration that several axes share is run once and counts for each of them. With a folder, each
+    A configuration that several axes share is run once and counts for each of them; those that share their data are run
+    together (run_cases). With a folder, each
     row is kept under its axis, table, value, seed and method: one that was run before with the same
     identity is read back, and one of another identity there is an error. status.json says of each axis
     that it is complete, and with how many rows.
@@ -300,24 +431,24 @@ def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Se
     todo = points(base, numbers, seeds, names, values, methods)
     if missing := {x.table for x in todo} - set(tables):
         raise KeyError(f"tables that the sweeps need and that aren't given: {sorted(missing)}")
-    rows: list[dict] = []
-    ran: dict[tuple[str, str, Config], dict] = {}
-    written: dict[str, int] = {}
-    for x in todo:
-        home = f"experiment{x.number:02d}_{x.axis}"
-        for method in x.methods:
-            who = identity(x.config, method, x.axis, x.value, x.table)
-            place = f"{folder}/{home}/{x.table}/value_{x.value:g}/seed_{x.seed}/{method}.json"
-            row = reuse(place, who) if folder else None
-            if row is None:
-                key = (x.table, method, x.config)
-                if key not in ran:
-                    ran[key] = run_case(tables[x.table], x.config, method, dataset=x.table)
-                row = ran[key] | {"axis": x.axis, "value": x.value}
+    points_of = [(x, m, identity(x.config, m, x.axis, x.value, x.table)) for x in todo for m in x.methods]
+    place = lambda x, m: f"{folder}/experiment{x.number:02d}_{x.axis}/{x.table}/value_{x.value:g}/seed_{x.seed}/{m}.json"
+    known = [reuse(place(x, m), who) if folder else None for x, m, who in points_of]
+    missing_of: dict[tuple[str, object], dict[tuple[Config, str], None]] = {}
+    for (x, m, _), row in zip(points_of, known, strict=True):
+        if row is None:
+            missing_of.setdefault((x.table, x.config.data), {})[x.config, m] = None
+    for (table, _), cases in missing_of.items():  # what shares its data is run together, and kept before the next
+        ran = dict(zip(cases, run_cases(tables[table], list(cases), dataset=table), strict=True))
+        for k, (x, m, who) in enumerate(points_of):
+            if known[k] is None and x.table == table and (x.config, m) in ran:
+                known[k] = ran[x.config, m] | {"axis": x.axis, "value": x.value}
                 if folder:
-                    store(place, who, row)
-            rows.append(row)
-            written[home] = written.get(home, 0) + 1
+                    store(place(x, m), who, known[k])
+    rows, written = list(known), {}
+    for x, _, _ in points_of:
+        home = f"experiment{x.number:02d}_{x.axis}"
+        written[home] = written.get(home, 0) + 1
     for home, n in written.items() if folder else ():
         write_json(f"{folder}/{home}/status.json", {"status": "complete", "runs": n, "datasets": sorted({x.table for x in todo if home.endswith(x.axis)})})
     return rows

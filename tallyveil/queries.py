@@ -842,12 +842,31 @@ def _(spark, d):
     return binning.even_bins_table(_domain(_orders(spark, d)), 4)
 
 
-@query("k12_mass_bins")
+def _mass_sql(rows: str, bins: str, most: int) -> str:
+    """CTEs that end in placed (attr, value, bin): mass_bins of rows (attr, value, n); `bins`, at most `most`, is an expression of rows' columns and m, the values of an attribute."""
+    steps = [
+        f"p as (select attr, value, row_number() over o i, sum(greatest(n, 0)) over o c, count(*) over a m, sum(greatest(n, 0)) over a total, least({bins}, count(*) over a) b from {rows} window o as (partition by attr order by value rows unbounded preceding), a as (partition by attr))",
+        "e0 as (select distinct attr, 0 i, 0.0::double c from p)",
+    ]
+    for k in range(1, most):
+        share = f"e.c + (p.total - e.c) / (p.b - {k - 1})"
+        steps.append(f"e{k} as (select p.attr, p.i, p.c from p join e{k - 1} e on p.attr = e.attr where p.b > {k} and p.i > e.i and p.i <= p.m - (p.b - {k}) qualify row_number() over (partition by p.attr order by abs(p.c - ({share})), p.i) = 1)")
+    ends = " union all ".join(f"select attr, i from e{k}" for k in range(1, most))
+    steps.append(f"placed as (select p.attr, p.value, case when any_value(total) > 0 then count(e.i) else any_value((p.i - 1) * b // m) end::bigint bin from p left join ({ends}) e on e.attr = p.attr and e.i < p.i group by p.attr, p.value)")
+    return ", ".join(steps)
+
+
+@query("k12_mass_bins", on_orders("select attr::int attr, value, bin from placed", _NOISY, _mass_sql("noisy", "4", 4)))
 def _(spark, d):
     return binning.quantile_plan_table(_noisy(spark, d)[1], 4)
 
 
-@query("q3_protected_bins")
+_ALONE = """ranked as (select n.attr, n.value, n.n, coalesce(score, 0) > 0 as good, row_number() over (partition by n.attr order by greatest(coalesce(score, 0), 0) desc, n.n desc, n.value) place, count(*) over (partition by n.attr) size
+    from noisy n left join (select k[1].attr attr, k[1].value as value, score from best where len(k) = 1) s on s.attr = n.attr and s.value = n.value),
+    alone as (select *, size <= 4 or good and place <= 2 as single from ranked), tail as (select *, (select count(*) from alone x where x.attr = alone.attr and x.single) taken from alone where not single)"""
+
+
+@query("q3_protected_bins", on_orders("select attr::int attr, value, (dense_rank() over (partition by attr order by low) - 1)::bigint bin from (select attr, value, min(value) over (partition by attr, bin) low from (select attr, value, bin from placed union all select attr, value, -1 - value from alone where single))", _NOISY, *_candidate_ctes(**_POOL), _ALONE, _mass_sql("tail", "4 - taken", 4)))
 def _(spark, d):
     wide, table, best = _noisy_candidates(spark, d)
     scores = {c.itemset[0]: c.score for c in candidates.collect_candidates(best) if len(c.itemset) == 1}
@@ -1445,6 +1464,18 @@ def _(spark, d):
     return spark.createDataFrame([(k, str(v)) for k, v in row.items()], "field string, value string")
 
 
+#: Budgets, splits, seeds and methods of the registered sweep.
+_SWEPT = [(config.Config(protocol=config.Protocol(m=256, epsilon=e, phase1_ratio=split, seed=seed)), method) for e, split, seed in ((4.0, 0.5, SEED), (8.0, 0.3, SEED), (8.0, 0.5, SEED + 1)) for method in ("MAP-M", "IE-Other", "First-round")]
+
+
+@query("w4_fused_sweep")
+def _(spark, d):
+    """Nine audited runs over the orders from shared scans: one histogram, a pass of sketches for each seed, one exact top."""
+    rows = protocol.run_cases(_orders(spark, d), _SWEPT, dataset="orders")
+    shown = [(r["method"], r["epsilon"], c.protocol.phase1_ratio, r["seed"], r["candidate_count"], r["report_keys"], *(round(float(r[x]), 9) for x in ("f1", "ncr", "rmse"))) for r, (c, _) in zip(rows, _SWEPT, strict=True)]
+    return spark.createDataFrame(shown, "method string, epsilon double, phase1_ratio double, seed int, candidate_count int, report_keys int, f1 double, ncr double, rmse double")
+
+
 _ENCRYPTED = on_orders("select b.t as itemset, coalesce(s.n, 0) support from best b left join sets s on s.t = b.t", *_candidate_ctes(2, 8), oracle.itemset_counts(2, "pool"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil import queries
-from tallyveil.operators import binning, budget, candidates, counts, keys, metrics, randomizer, sketch, wire
+from tallyveil.operators import binning, budget, candidates, counts, estimate, keys, metrics, randomizer, sketch, wire
 from tallyveil.operators.candidates import Candidate
 from tallyveil.operators.estimate import blocks_of, estimate_candidates
 from tallyveil.plans import config, protocol
@@ -353,8 +354,8 @@ def test_sweeps_resume(spark, tmp_path, monkeypatch):
     wide = files.toy(spark, 300)
     base = config.Config(config.Data(clients=2), config.Protocol(k=2, m=16, epsilon=30.0, max_size=2))
     ran = []
-    whole = protocol.run_case
-    monkeypatch.setattr(protocol, "run_case", lambda *a, **k: (ran.append(a), whole(*a, **k))[1])
+    whole = protocol.run_cases
+    monkeypatch.setattr(protocol, "run_cases", lambda wide, cases, **k: (ran.extend(cases), whole(wide, cases, **k))[1])
     run = lambda **how: protocol.sweep(wide, base, [3, 11], ["First-round"], folder=str(tmp_path), **how)
     first = run()
     assert [(r["axis"], r["value"]) for r in first] == [("clients", 2.0), ("clients", 4.0), ("clients", 8.0), ("mechanism", 1.0)]
@@ -371,6 +372,53 @@ def test_sweeps_resume(spark, tmp_path, monkeypatch):
     assert {r["dataset"] for r in rows} == {"A", "B"} and len(rows) == 2
 
 
+def test_a_fused_sweep_is_its_cases_one_by_one(spark, monkeypatch):
+    """The same rows as run_case case by case, from one histogram, one pass of sketches for each seed, one exact top and one count of supports."""
+    wide = files.toy(spark, 400)
+    data = config.Data(clients=2)
+    case = lambda method, **p: (config.Config(data, config.Protocol(k=4, m=32, max_size=2, **p)), method)
+    cases = [case("MAP-M", epsilon=30.0), case("IE-Full", epsilon=9.0), case("First-round", epsilon=30.0), case("MAP-S", epsilon=30.0, phase1_ratio=0.3), case("MAP-L", epsilon=20.0, seed=7), case("Items-only", epsilon=40.0)]
+    rest = lambda rows: [{k: v for k, v in r.items() if k != "total_seconds"} for r in rows]
+    want = rest(protocol.run_case(wide, c, m) for c, m in cases)
+    calls = Counter()
+
+    def counted(module, name):
+        whole = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: (calls.update([name]), whole(*a, **k))[1])
+
+    for name in ("full_histogram", "top_itemsets", "supports"):
+        counted(counts, name)
+    counted(sketch, "folded_sketches")
+    counted(protocol, "prepare")
+    assert rest(protocol.run_cases(wide, cases)) == want
+    assert calls == {"prepare": 1, "full_histogram": 1, "folded_sketches": 3, "top_itemsets": 1, "supports": 1}  # two seeds, and Items-only has its own keys
+    with pytest.raises(ValueError, match="unknown method"):
+        protocol.run_cases(wide, [case("no such method")])
+
+
+def test_estimates_by_candidate_are_those_of_reports_at_hand(spark):
+    """Released tables and estimates in the tasks give what the same reports give one by one; two runs in one table don't mix."""
+    rng = np.random.default_rng(5)
+    wide = table(spark, rng.integers(0, 2, (500, 4)) | (rng.random((500, 1)) < 0.4))
+    keys_of = [((0, 1),), ((1, 1),), ((0, 1), (1, 1)), ((2, 1),), ((3, 1),)]
+    runs = [[sketch.Asked(int(k[0][0] > 1), k, e, 1e-5, *sketch.parameters(e, 1e-5, 64), 100 + at) for at, k in enumerate(keys_of)] for e in (60.0, 12.0)]
+    clean = sketch.folded_sketches(wide, [counts.matches(k) for k in keys_of], 64, 3)
+    twice = [(k, a) for r in runs for k, a in enumerate(r)]
+    alphas = sketch.released_table(clean, twice, 1.0)
+    ranks = sketch.clean_sketches(wide, [counts.matches(k) for k in keys_of], 64, 3)
+    some = [Candidate(((0, 1),), 0.9, 1.0), Candidate(((0, 1), (1, 1)), 0.5, 6.0), Candidate(((0, 1), (1, 1), (2, 1)), 0.4, 2.0), Candidate(((2, 1), (3, 1)), 0.4, 2.0), Candidate(((2, 0),), 0.1, 1.0)]
+    owner = {0: 0, 1: 0, 2: 1, 3: 1}
+    for estimator in ("map", "map_no_frechet", "map_bounds_only", "fm_other"):
+        cases = [estimate.Case(r, 500.0, estimator, estimate.Search(), run * len(keys_of)) for run, r in enumerate(runs)]
+        todo = [estimate.jobs(some, r, owner, keys.MIXED, estimator) for r in runs]
+        found = estimate.estimate_tables(alphas, cases, todo)
+        for r, jobs, values in zip(runs, todo, found, strict=True):
+            reports = [sketch.release(a.client, a.key, x, a.epsilon, a.delta, 1.0, a.seed) for a, x in zip(r, ranks, strict=True)]
+            want = estimate_candidates(some, reports, owner, 500.0, keys.MIXED, estimator)
+            assert estimate.ranked(jobs, values, some, keys.MIXED) == want and len(want) >= 4
+    assert found[0] != found[1]
+
+
 def test_only_measured_rows_are_drawn(spark):
     runs = spark.createDataFrame([("d", "k", 5.0, "m", s, 0.5 + s / 10, 2.0**20, "measured") for s in (1, 2)], "dataset string, axis string, value double, method string, seed int, f1 double, communication_bytes double, result_kind string")
     found = metrics.plot_series(metrics.summarize(runs, ["f1", "communication_bytes"]))
