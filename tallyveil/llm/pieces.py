@@ -20,12 +20,36 @@ SPACE = "▁"
 SHORT, MOST_UNITS = 48, 1 << 17
 #: Pairs of pieces of which it is remembered whether they stay side by side.
 MOST_PAIRS = 1 << 20
+#: Characters from which a unit's tables are packed.
+LONG = 4096
+#: No shorter piece; -1 is a place where no piece of several characters starts.
+NONE = -2
 
 
 def _packed(i: int) -> bytes:
     return i.to_bytes(4, "little")
 
 
+def _units(pieces: list[str]) -> re.Pattern:
+    """What texts fall apart into without changing a piece: between two characters that are neighbours in no piece nothing is ever joined.
+
+    A unit is space marks, then characters that letters don't go on to in any piece, then letters (and characters that they
+    do go on to). Characters that are in no longer piece stand apart. If a piece goes on from another character to a space mark,
+    a text is one unit.
+    """
+    pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    if any(x[1] == SPACE != x[0] for x in pairs):
+        return re.compile("(?s).+")
+    joined = {c for p in pieces for c in p if c != SPACE}
+    letters = {c for c in joined if c.isalpha()}
+    while more := {y for x, y in pairs if x in letters and y not in letters}:
+        letters |= more
+    of = lambda some: "[" + "".join(map(re.escape, sorted(some))) + "]"
+    a, p = (of(x) if x else "(?!)" for x in (letters, joined - letters))
+    alone = "[^" + "".join(map(re.escape, sorted(joined | {SPACE}))) + "]"
+    return re.compile(f"{SPACE}*{p}*{a}+|{SPACE}*{p}+|{SPACE}+|{alone}+")
+
+
 class PieceBpe:
     """A BPE model of the sentencepiece library.
 
@@ -58,17 +82,16 @@ class PieceBpe:
         self.out = [_packed(self.ids[p]) for p in self.pieces]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for k, p in enumerate(self.pieces):
-            self.automaton.add_word(p, k)
+            if len(p) > 1:  # a single character is looked up where nothing longer starts
+                self.automaton.add_word(p, k)
         self.automaton.make_automaton()
-        #: For each piece the next shorter one that starts it, at last a single character; -1 after that.
-        self.shorter = [-1] * len(self.pieces)
+        #: For each piece the next shorter one that starts it, at last a single character; NONE after that.
+        self.shorter = [NONE] * len(self.pieces)
         for k, p in enumerate(self.pieces[:]):
             if len(p) > 1:
                 start = next(n for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in self.number)
                 self.shorter[k] = self._character(p[0]) if start == 1 else self.number[p[:start]]
-        #: Where no piece goes on from another character to a space mark, texts fall apart before the marks.
-        inner = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.cut = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.cut = _units([p for p in self.ids if len(p) > 1])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
@@ -80,7 +103,7 @@ class PieceBpe:
             k = self.number[c] = len(self.pieces)
             self.pieces.append(c)
             self.sizes.append(1)
-            self.shorter.append(-1)
+            self.shorter.append(NONE)
             self.out.append(b"".join(self.bytes[b] for b in c.encode()))
         return k
 
@@ -109,21 +132,21 @@ class PieceBpe:
 
     def unit_ids(self, unit: str) -> bytes:
         """The ids of a unit of text."""
-        sizes, shorter, pairs, n = self.sizes, self.shorter, self.pairs, len(unit)
-        longest = array("i", [-1]) * n
+        sizes, shorter, pairs, numbers, n = self.sizes, self.shorter, self.pairs, self.number, len(unit)
+        longest = [-1] * n if n < LONG else array("i", [-1]) * n
         for end, k in self.automaton.iter(unit):  # of one place, the longest match comes last
             longest[end - sizes[k] + 1] = k
-        failed, back = bytearray(n // 8 + 1), False
-        taken = array("i")
-        at, last, k = 0, -1, -2
+        failed: bytearray | None = None  # a bit for each place that can't be reached
+        taken = [] if n < LONG else array("i")
+        at, last, k = 0, -1, longest[0]
         while at < n:
-            if k == -2:
-                k = longest[at]
+            if k == -1:
+                k = numbers.get(unit[at], -1)
                 if k < 0:
                     k = self._character(unit[at])
             while k >= 0:
                 end = at + sizes[k]
-                if not (back and failed[end >> 3] >> (end & 7) & 1):
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     fits = pairs.get(last << 24 | k)
@@ -132,10 +155,11 @@ class PieceBpe:
                 k = shorter[k]
             if k >= 0:
                 taken.append(k)
-                at, last, k = end, k, -2
+                at, last, k = end, k, longest[end] if end < n else -1
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                back = True
                 k = taken.pop()
                 at -= sizes[k]
                 k, last = shorter[k], taken[-1] if taken else -1
