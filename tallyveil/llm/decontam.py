@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .store import fresh, materialise
 
-#: Runs of characters that aren't ASCII separators, in lower-cased text.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of ASCII separators between words, in lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words at a window's start that are looked up before anything is made of the window, and bits of the filter they are looked up in.
 ANCHOR, BITS = 3, 1 << 20
 
@@ -21,10 +21,11 @@ def words(text: Column) -> Column:
     The text's UTF-8 bytes are taken as Latin-1 characters and lower-cased, which is far quicker than
     translate. Besides A-Z that moves the first bytes C0-DE of longer characters to E0-FE, the same way
     for every text; how many bytes from 80 to BF follow still tells such characters apart, so that two
-    words are equal after it exactly if they are equal after A-Z are lower-cased.
+    words are equal after it exactly if they are equal after A-Z are lower-cased. Texts are split between words, as
+    extracting all matches of a pattern copies the text once for each word.
     """
     latin = F.decode(F.coalesce(text, F.lit("")).cast("binary"), "ISO-8859-1")
-    return F.regexp_extract_all(F.lower(latin), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(latin), BETWEEN), "")
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
