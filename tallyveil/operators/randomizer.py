@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prf import laplace, uniform
+from ..functions.prf import laplace, tag
 from .encode import attributes
 
 
@@ -19,10 +22,24 @@ def parameters(epsilon: float) -> tuple[float, float]:
     return 0.5, 1.0 / (math.exp(epsilon) + 1.0)
 
 
-def bit(truth: Column, epsilon: float, *parts: Column | str | int) -> Column:
-    """A keyed random bit of a row."""
-    p, q = parameters(epsilon)
-    return (uniform(*parts) < F.when(truth, F.lit(p)).otherwise(F.lit(q))).cast("int")
+#: Uniform numbers that one digest gives: 13 hex digits each.
+CUTS, DIGITS = 4, 13
+
+
+def digest(seed: int, name: str, block: Column | int, *row: Column | str | int) -> Column:
+    """The digest that bits CUTS * block to CUTS * block + CUTS - 1 of a row are cut from."""
+    return F.sha2(tag(seed, name, *row[:-1], block, row[-1]), 256)
+
+
+def cut_bit(digests: Column, place: Column | int, truth: Column, epsilon: float) -> Column:
+    """The keyed random bit at a place: whether the digest's digits there, as a number in (0, 1), are below the chance of a one.
+
+    A number (d + 0.5) / 16 ** DIGITS is below a chance exactly if d is below a whole number, so that digits are compared as text.
+    """
+    below = [F.lit(f"{math.ceil(Fraction(x) * 16**DIGITS - Fraction(1, 2)):0{DIGITS}x}") for x in parameters(epsilon)]
+    cut = place % CUTS
+    digits = F.substring(digests, 1 + DIGITS * cut, DIGITS) if isinstance(cut, int) else F.substr(digests, 1 + F.lit(DIGITS) * cut, F.lit(DIGITS))
+    return (digits < F.when(truth, below[0]).otherwise(below[1])).cast("int")
 
 
 def debiased(total: Column, rows: Column, epsilon: float) -> Column:
@@ -37,15 +54,18 @@ SUMS = 200
 def column_sums(wide: DataFrame, domain: Mapping[int, Sequence[int]], epsilon: float | Mapping[int, float], seed: int) -> DataFrame:
     """attr, value, ones, rows: sums of every row's bits over each attribute's public values; bits are made in the sum and never stored.
 
-    One pass over the rows makes SUMS of them, whatever attributes they are of. epsilon may differ by attribute.
+    One pass over the rows makes SUMS of them, whatever attributes they are of. epsilon may differ by attribute. A value's
+    bit goes by its place among the attribute's public values, CUTS of them to a digest of the row.
     """
-    cells = [(a, v) for a in attributes(wide) for v in domain[a]]
+    cells = [(a, k, v) for a in attributes(wide) for k, v in enumerate(domain[a])]
     budget = epsilon if isinstance(epsilon, Mapping) else dict.fromkeys(domain, epsilon)
     out = None
     for at in range(0, len(cells), SUMS):
         some = cells[at : at + SUMS]
-        sums = wide.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(bit(F.col(f"a{a}") == v, budget[a], seed, "oue", a, v, F.col("tid"))).alias(f"s{k}") for k, (a, v) in enumerate(some)))
-        each = (F.struct(F.lit(a).alias("attr"), F.lit(v).cast("bigint").alias("value"), F.coalesce(f"s{k}", F.lit(0)).alias("ones")) for k, (a, v) in enumerate(some))
+        blocks = sorted({(a, k // CUTS) for a, k, _ in some})
+        rows = wide.select(*(f"a{a}" for a in sorted({a for a, _ in blocks})), *(digest(seed, "oue", b, a, F.col("tid")).alias(f"d{a}_{b}") for a, b in blocks))
+        sums = rows.agg(F.count(F.lit(1)).alias("rows"), *(F.sum(cut_bit(F.col(f"d{a}_{k // CUTS}"), k, F.col(f"a{a}") == v, budget[a])).alias(f"s{n}") for n, (a, k, v) in enumerate(some)))
+        each = (F.struct(F.lit(a).alias("attr"), F.lit(v).cast("bigint").alias("value"), F.coalesce(f"s{n}", F.lit(0)).alias("ones")) for n, (a, _, v) in enumerate(some))
         one = sums.select(F.explode(F.array(*each)).alias("x"), "rows").select("x.*", "rows")
         out = one if out is None else out.union(one)
     return out
@@ -72,15 +92,21 @@ def first_round(wide: DataFrame, domain: Mapping[int, Sequence[int]], owners: Da
     return out.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
-def intersection(wide: DataFrame, blocks: Sequence[tuple[Column, float, str]], n: float, seed: int) -> Column:
-    """An aggregate: the sum over rows of the product of debiased bits of all blocks (truth, epsilon, name), clipped to [0, n]; 0 without blocks."""
-    if not blocks:
-        return F.lit(0.0)
-    product = F.lit(1.0)
-    for truth, epsilon, name in blocks:
-        p, q = parameters(epsilon)
-        product = product * ((bit(truth, epsilon, seed, name, F.col("tid")) - F.lit(q)) / F.lit(p - q))
-    return F.least(F.greatest(F.coalesce(F.sum(product), F.lit(0.0)), F.lit(0.0)), F.lit(float(n)))
+def intersections(wide: DataFrame, sets: Sequence[Sequence[tuple[Column, float, str]]], n: float, seed: int) -> DataFrame:
+    """One row: e0, e1, ..., for each set of blocks (truth, epsilon, name) the sum over rows of the product of its debiased bits, clipped to [0, n]; 0 without blocks.
+
+    A block that several sets have is one bit of a row. Bits go by their names' place in order, CUTS of them to a digest.
+    """
+    blocks = {name: (truth, epsilon) for some in sets for truth, epsilon, name in some}
+    place = {name: k for k, name in enumerate(sorted(blocks))}
+    rows = wide.select("*", *(digest(seed, "bits", b, F.col("tid")).alias(f"_d{b}") for b in range(-(-len(place) // CUTS))))
+    values = []
+    for name, k in place.items():
+        (truth, epsilon), (p, q) = blocks[name], parameters(blocks[name][1])
+        values.append(((cut_bit(F.col(f"_d{k // CUTS}"), k, truth, epsilon) - F.lit(q)) / F.lit(p - q)).alias(f"b{k}"))
+    product = lambda some: reduce(mul, (F.col(f"b{place[name]}") for _, _, name in some))
+    sums = (F.sum(product(some)) if some else F.lit(0.0) for some in sets)
+    return rows.select(*values).agg(F.lit(0).alias("_"), *(F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(float(n))).alias(f"e{k}") for k, x in enumerate(sums))).drop("_")
 
 
 def central_estimates(supports: DataFrame, epsilon: float, candidates: int, n: float, seed: int) -> DataFrame:

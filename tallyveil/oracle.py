@@ -43,6 +43,11 @@ def uniform(tag: str) -> str:
     return f"((('0x' || substr(sha256({tag}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
 
 
+def uniform_cut(tag: str, place: str) -> str:
+    """The number in (0, 1) at a place of the digest of a tag: four of them, of 13 hex digits each."""
+    return f"((('0x' || substr(sha256({tag}), 1 + 13 * (({place}) % 4), 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
 def laplace(scale: str, tag: str) -> str:
     u = f"({uniform(tag)} - 0.5)"
     return f"(-({scale}) * sign({u}) * ln(1.0 - 2.0 * abs({u})))"

@@ -292,11 +292,8 @@ def randomized(owned: Owned, p: Protocol) -> tuple[list[Estimate], dict]:
         chosen = keys.report_keys(candidates, attrs, keys.MIXED, limit=limit, noisy=noisy, n=n)
         share |= {(client, k): p.epsilon * (1 - p.phase1_ratio) / clients / len(chosen) for k in chosen}
     usable = [(c, b) for c in candidates if (b := blocks_of(c.itemset, owned.owner, keys.MIXED, set(share))) is not None]
-    sums = []
-    for _, blocks in usable:
-        parts = [(counts.matches(b), share[owned.owner[b[0][0]], b], f"{owned.owner[b[0][0]]}:{b}") for b in blocks]
-        sums.append(randomizer.intersection(owned.wide, parts, n, p.seed))
-    row = owned.wide.agg(*(s.alias(f"e{k}") for k, s in enumerate(sums))).first() if sums else {}
+    sets = [[(counts.matches(b), share[owned.owner[b[0][0]], b], f"{owned.owner[b[0][0]]}:{b}") for b in blocks] for _, blocks in usable]
+    row = randomizer.intersections(owned.wide, sets, n, p.seed).first()
     found = [Estimate(c.itemset, row[f"e{k}"], c.guess, b) for k, (c, b) in enumerate(usable)]
     total = owned.wide.count()
     size = wire.randomizer_bytes(total * len(rows), total * len(share), clients, [c.itemset for c in candidates], len(rows))

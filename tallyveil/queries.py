@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import itemsets, prf
 from .operators import binning, budget, candidates, circuits, counts, encode, estimate, keys, metrics, partition, randomizer, sketch, wire
-from .oracle import laplace, name, on_orders, splitmix, tag, uniform
+from .oracle import laplace, name, on_orders, splitmix, tag, uniform, uniform_cut
 from .plans import config, protocol
 from .sources import files, views
 from .sources.views import read
@@ -454,7 +454,7 @@ _EVENT_BITS = "with e as (select event_type, dense_rank() over (order by event_t
 
 def _oue_sql() -> str:
     p, q = randomizer.parameters(1.0)
-    one = uniform(tag("3", "'oue'", "0", "val", "tid"))
+    one = uniform_cut(tag("3", "'oue'", "0", "val // 4", "tid"), "val")
     return f"{_EVENT_BITS}, b as (select val, ({one} < case when v = val then {p!r}::double else {q!r}::double end)::int b from e, range(5) t(val)) select val::bigint as value, sum(b)::bigint ones, round_even((sum(b) - count(*) * {q!r}::double) / {p - q!r}::double, 6)::double estimate from b group by val"
 
 
@@ -469,7 +469,7 @@ def _(spark, d):
 
 def _bits_sql() -> str:
     p, q = randomizer.parameters(2.0)
-    return on_orders(f"select 0 attr, val::bigint as value, sum(({uniform(tag('4', chr(39) + 'oue' + chr(39), '0', 'val', 'tid'))} < case when a0 = val then {p!r}::double else {q!r}::double end)::int)::bigint ones from ord, range(3) t(val) group by val")
+    return on_orders(f"select 0 attr, val::bigint as value, sum(({uniform_cut(tag('4', chr(39) + 'oue' + chr(39), '0', 'val // 4', 'tid'), 'val')} < case when a0 = val then {p!r}::double else {q!r}::double end)::int)::bigint ones from ord, range(3) t(val) group by val")
 
 
 @query("a10_unary_sums", _bits_sql())
@@ -480,9 +480,9 @@ def _(spark, d):
 
 def _intersection_sql() -> str:
     parts = []
-    for a, v, eps, n in ((0, 2, 6.0, "x"), (5, 3, 6.0, "y")):
+    for place, (a, v, eps) in enumerate(((0, 2, 6.0), (5, 3, 6.0))):
         p, q = randomizer.parameters(eps)
-        u = uniform(tag("8", f"'{n}'", "tid"))
+        u = uniform_cut(tag("8", "'bits'", "0", "tid"), str(place))
         parts.append(f"((({u} < case when a{a} = {v} then {p!r}::double else {q!r}::double end)::int - {q!r}::double) / {p - q!r}::double)")
     return on_orders(f"select round_even(least(greatest(sum({' * '.join(parts)}), 0), count(*)), 6)::double estimate from ord")
 
@@ -491,14 +491,33 @@ def _intersection_sql() -> str:
 def _(spark, d):
     blocks = [(counts.matches(((0, 2),)), 6.0, "x"), (counts.matches(((5, 3),)), 6.0, "y")]
     wide = _orders(spark, d)
-    return wide.agg(_round(randomizer.intersection(None, blocks, wide.count(), 8)).alias("estimate"))
+    return randomizer.intersections(wide, [blocks], wide.count(), 8).select(_round("e0").alias("estimate"))
+
+
+def _estimates_sql() -> str:
+    p, q = randomizer.parameters(4.0)
+    x = f"((({uniform_cut(tag('9', chr(39) + 'bits' + chr(39), 'place // 4', 'tid'), 'place')} < case when c.value = i.value then {p!r}::double else {q!r}::double end)::int - {q!r}::double) / {p - q!r}::double)"
+    items = "items as (select attr, value, row_number() over (order by printf('%02d=%04d', attr, value)) - 1 place from (select distinct x.attr attr, x.value as value from (select unnest(k) x from best)))"
+    bits = f"bits as materialized (select i.attr, i.value, tid, {x} x from items i join cells c on c.attr = i.attr)"
+    products = "products as (select t, tid, product(b.x) y from (select t, unnest(k) i from best) a join bits b on b.attr = a.i.attr and b.value = a.i.value group by t, tid)"
+    return on_orders("select t as itemset, round_even(least(greatest(sum(y), 0), count(*)), 6)::double estimate from products group by t", *_candidate_ctes(2, 20), items, bits, products)
+
+
+@query("n14_unary_estimates", _estimates_sql())
+def _(spark, d):
+    wide, best = _some_candidates(spark, d, 2, 20)
+    found = candidates.collect_candidates(best)
+    sets = [[(counts.matches((i,)), 4.0, f"{i[0]:02d}={i[1]:04d}") for i in c.itemset] for c in found]
+    row = randomizer.intersections(wide, sets, wide.count(), 9).first()
+    rows = [(itemsets.text(c.itemset), row[f"e{k}"]) for k, c in enumerate(found)]
+    return spark.createDataFrame(rows, "itemset string, estimate double").withColumn("estimate", _round("estimate"))
 
 
 def _unary_first_sql() -> str:
     share = 2.0 / CLIENTS / 2
     p, q = randomizer.parameters(share)
-    bit = f"({uniform(tag(str(SEED), chr(39) + 'oue' + chr(39), 'h.attr', 'h.value', 'tid'))} < case when c.value = h.value then {p!r}::double else {q!r}::double end)::int"
-    sums = f"select h.attr, h.value, least(greatest((sum({bit}) - count(*) * {q!r}::double) / {p - q!r}::double, 0), count(*)) x from cells c join histogram h on h.attr = c.attr group by h.attr, h.value"
+    bit = f"({uniform_cut(tag(str(SEED), chr(39) + 'oue' + chr(39), 'h.attr', 'h.place // 4', 'tid'), 'h.place')} < case when c.value = h.value then {p!r}::double else {q!r}::double end)::int"
+    sums = f"select h.attr, h.value, least(greatest((sum({bit}) - count(*) * {q!r}::double) / {p - q!r}::double, 0), count(*)) x from cells c join (select *, row_number() over (partition by attr order by value) - 1 place from histogram) h on h.attr = c.attr group by h.attr, h.value"
     return on_orders(f"select client::int client, attr, value, round_even(x, 6)::double noisy from (select attr // 2 client, attr, value, x, row_number() over (partition by attr // 2 order by x desc, attr, value) r from ({sums})) where r <= 15")
 
 
@@ -1399,20 +1418,21 @@ def _(spark, d):
     return _orders(spark, d).agg(F.count_if(counts.matches(((0, 2), (3, 1), (5, 3)))).alias("support"))
 
 
-def _bit_sql(truth: str, epsilon: float, *parts: str) -> str:
+def _bit_sql(truth: str, epsilon: float, place: str, *parts: str) -> str:
     p, q = randomizer.parameters(epsilon)
-    return f"({uniform(tag(*parts))} < case when {truth} then {p!r}::double else {q!r}::double end)::int"
+    return f"({uniform_cut(tag(*parts), place)} < case when {truth} then {p!r}::double else {q!r}::double end)::int"
 
 
-@query("n9_unary_bits", on_orders(f"select tid, val::int as value, {_bit_sql('a3 = val', 1.5, '6', chr(39) + 'oue' + chr(39), '3', 'val', 'tid')} bit from ord, range(5) t(val)"))
+@query("n9_unary_bits", on_orders(f"select tid, val::int as value, {_bit_sql('a3 = val', 1.5, 'val', '6', chr(39) + 'oue' + chr(39), '3', 'val // 4', 'tid')} bit from ord, range(5) t(val)"))
 def _(spark, d):
     cells = _orders(spark, d).select("tid", "a3", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("value"))
-    return cells.select("tid", "value", randomizer.bit(F.col("a3") == F.col("value"), 1.5, 6, "oue", 3, F.col("value"), F.col("tid")).alias("bit"))
+    digests = randomizer.digest(6, "oue", F.floor(F.col("value") / randomizer.CUTS), 3, F.col("tid"))
+    return cells.select("tid", "value", randomizer.cut_bit(digests, F.col("value"), F.col("a3") == F.col("value"), 1.5).alias("bit"))
 
 
-@query("n11_membership_bits", on_orders(f"select tid, {_bit_sql('a0 = 2 and a5 = 3', 2.0, '6', chr(39) + 'pair' + chr(39), 'tid')} bit from ord"))
+@query("n11_membership_bits", on_orders(f"select tid, {_bit_sql('a0 = 2 and a5 = 3', 2.0, '0', '6', chr(39) + 'pair' + chr(39), '0', 'tid')} bit from ord"))
 def _(spark, d):
-    return _orders(spark, d).select("tid", randomizer.bit(counts.matches(((0, 2), (5, 3))), 2.0, 6, "pair", F.col("tid")).alias("bit"))
+    return _orders(spark, d).select("tid", randomizer.cut_bit(randomizer.digest(6, "pair", 0, F.col("tid")), 0, counts.matches(((0, 2), (5, 3))), 2.0).alias("bit"))
 
 
 #: Observed ranks and intersection sizes at which probabilities are shown; sets of 60 and 50, 9 phantoms each, floor 2.

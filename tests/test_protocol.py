@@ -221,8 +221,8 @@ def test_unary_encoding(spark):
         assert abs(r["n"] - 5000) < 600
     wide = spark.range(40000).select(F.col("id").alias("tid"), (F.col("id") < 22000).cast("int").alias("a0"), ((F.col("id") >= 10000) & (F.col("id") < 30000)).cast("int").alias("a1"))
     blocks = [(F.col("a0") == 1, 6.0, "x"), (F.col("a1") == 1, 6.0, "y")]
-    assert abs(wide.agg(randomizer.intersection(wide, blocks, 40000, 8)).first()[0] - 12000) < 900
-    assert wide.agg(randomizer.intersection(wide, [], 40000, 8)).first()[0] == 0
+    both = randomizer.intersections(wide, [blocks, [], blocks[:1]], 40000, 8).first()
+    assert abs(both.e0 - 12000) < 900 and both.e1 == 0 and abs(both.e2 - 22000) < 900
 
 
 # metrics
