@@ -53,15 +53,15 @@ def chunk(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _chunked(batches) -> Iterator:
-    """doc_id, _row, and of each chunk its digest, length and number of words that start in it."""
+    """doc_id, _row, and of each chunk the two halves of its 128-bit digest, its length and the number of words that start in it."""
     import pyarrow as pa
     import xxhash
 
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for batch in slices(batches):
         texts = as_bytes(batch.column(2))
         for a, b in groups(texts):
-            lists: tuple[list, list, list] = ([], [], [])
+            lists: tuple[list, ...] = ([], [], [], [])
             for text, cuts in zip(texts[a:b], chunk(texts[a:b]), strict=True):
                 ends = cuts.tolist()
                 view = memoryview(text)
@@ -71,14 +71,14 @@ def _chunked(batches) -> Iterator:
                         spans[0] = (0, ends[2])
                     if spans[-1][1] - spans[-1][0] <= REACH:
                         spans[-1] = (ends[-3], ends[-1])
-                codes = np.fromiter((digest(view[x:y]) for x, y in spans), np.uint64, len(spans)).view(np.int64)
+                codes = np.frombuffer(b"".join(digest(view[x:y]) for x, y in spans), np.int64).reshape(-1, 2)
                 space = SPACES[np.frombuffer(text, np.uint8)]
                 word = ~space & np.concatenate(([True], space))[: len(space)]
                 counts = np.add.reduceat(word, cuts[:-1], dtype=np.int32) if len(text) else np.zeros(0, np.int32)
-                for held, values in zip(lists, (codes, np.diff(cuts).astype(np.int32), counts), strict=True):
+                for held, values in zip(lists, (codes[:, 0], codes[:, 1], np.diff(cuts).astype(np.int32), counts), strict=True):
                     held.append(values)
-            columns = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *columns], ["doc_id", "_row", "digests", "sizes", "words"])
+            columns = [pa.array(x, pa.list_(k)) for x, k in zip(lists, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *columns], ["doc_id", "_row", "digests", "halves", "sizes", "words"])
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,17 +93,18 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, doc_id: s
     null id is last; null and empty texts have no passages; a very long text is chunked whole; extra
     columns are ignored, whatever their names; an empty table gives none.
 
-    Texts are chunked once; a row with its chunks' digests is written for each document. Digests are
+    Chunks count as equal if their digests of 128 bits are. Texts are chunked once; a row with its chunks' digests is written for each document. Digests are
     counted with partial sums; those of several documents are written and joined back to the chunks,
     where Spark splits a digest that very many documents have.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("_row"), F.col(text).cast("string").alias("_text"))
-    chunks = materialise(rows.mapInArrow(_chunked, f"doc_id {kind}, _row long, digests array<long>, sizes array<int>, words array<int>"), "chunks")
-    digests = chunks.select("doc_id", "_row", F.explode(F.array_distinct("digests")).alias("digest"))
-    counted = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("_row").alias("a"), F.max("_row").alias("b"))
-    repeated = materialise(counted.where("a != b").select("digest", "first"), "repeated")
-    places = chunks.select("_row", F.posexplode("digests").alias("place", "digest")).join(repeated, "digest")
+    chunks = materialise(rows.mapInArrow(_chunked, f"doc_id {kind}, _row long, digests array<long>, halves array<long>, sizes array<int>, words array<int>"), "chunks")
+    both = F.arrays_zip(F.col("digests").alias("digest"), F.col("halves").alias("half"))
+    digests = chunks.select("doc_id", "_row", F.explode(F.array_distinct(both)).alias("x")).select("doc_id", "_row", "x.*")
+    counted = digests.groupBy("digest", "half").agg(F.min("doc_id").alias("first"), F.min("_row").alias("a"), F.max("_row").alias("b"))
+    repeated = materialise(counted.where("a != b").select("digest", "half", "first"), "repeated")
+    places = chunks.select("_row", F.posexplode(both).alias("place", "x")).select("_row", "place", "x.*").join(repeated, ["digest", "half"])
     places = places.groupBy("_row").agg(F.collect_set(F.struct("place", "first")).alias("places"))
 
     def run(batches) -> Iterator:
