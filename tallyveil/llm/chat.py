@@ -106,12 +106,18 @@ def read_back(formatted: DataFrame, examples: DataFrame) -> DataFrame:
 
     Turns are cut at the template's marks and unescaped. The loss is what lies under the examples'
     masks, unescaped, whatever they say: a mask that is wrong by a byte gives another text.
-    formatted_chars is the length of all examples, each with its whole context.
+    formatted_chars is the length of all examples, each with its whole context: characters are counted in the body as it was
+    read, turn by turn, and an example has those of the turns up to where it ends. One that ends inside a turn has none.
     """
     mask = F.struct("example", "target", "loss_start", "loss_end")
-    masks = examples.groupBy(F.col("conv_id").alias("_conv")).agg(F.array_sort(F.collect_list(mask)).alias("masks"), F.sum("chars").alias("formatted_chars"))
+    masks = examples.groupBy(F.col("conv_id").alias("_conv")).agg(F.array_sort(F.collect_list(mask)).alias("masks"))
     parts = F.split(F.col("body").cast("string"), END)
     parts = F.slice(parts, 1, F.size(parts) - 1)
+    so_far = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = formatted.select(F.col("conv_id").alias("of"), F.posexplode(parts).alias("at", "part"))
+    ends = ends.select("of", F.sum(F.octet_length("part") + len(END)).over(so_far).alias("bytes"), F.sum(F.char_length("part") + len(END)).over(so_far).alias("length"))
+    told = examples.join(ends, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("size") == F.col("bytes")), "left")
+    told = told.groupBy(F.col("conv_id").alias("_told")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("formatted_chars"))
 
     def turn(part: Column) -> Column:
         at = F.regexp_instr(part, F.lit(r"(?<!\\)(?:\\\\)*: "))
@@ -124,5 +130,5 @@ def read_back(formatted: DataFrame, examples: DataFrame) -> DataFrame:
 
     shown = F.filter("masks", lambda m: m["target"].isNotNull())
     loss = F.transform(shown, lambda m: unescape(_cut(F.col("body"), m["loss_start"], m["loss_end"]).cast("string")))
-    joined = formatted.select("conv_id", "body").join(masks, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    joined = formatted.select("conv_id", "body").join(masks, F.col("conv_id").eqNullSafe(F.col("_conv"))).join(told, F.col("conv_id").eqNullSafe(F.col("_told")))
     return joined.select("conv_id", F.transform(parts, turn).alias("turns"), loss.alias("loss"), "formatted_chars")

@@ -428,6 +428,64 @@ def test_chunks_do_not_depend_on_neighbours(texts):
         assert (np.diff(cuts)[1:-1] > substrings.REACH).all()
 
 
+def test_passages_against_brute_force(spark):
+    """Chunks cut byte by byte and compared by their bytes give the same passages."""
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "d", "épsilon", "zeta", "eta", "\n", "iota,", "kappa"]
+    some = lambda n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
+    shared = [some(70), some(55), some(30)]
+    texts = [" ".join(some(rng.randrange(0, 60)) if rng.random() < 0.6 else rng.choice(shared) for _ in range(rng.randrange(1, 5))) for _ in range(40)] + ["", None, "x" * 900, shared[0], shared[0], some(900)]
+    cover, reach = substrings.COVER, substrings.REACH
+    gear = [int(x) >> 32 for x in textscan.BYTE]
+
+    def chunks(t):
+        pad = bytes(cover + 2 * reach)
+        buf, hashes = pad + t + pad, []
+        for i in range(len(buf)):
+            h = sum(gear[buf[i - k]] << 2 * k for k in range(cover) if i >= k) & 0xFFFFFFFF
+            hashes.append((h ^ h >> 15) * 0x9E3779B1 & 0xFFFFFFFF)
+        first = len(pad)
+        cuts = [i + 1 - first for i in range(first, first + len(t) - 1) if hashes[i] > max(hashes[i - reach : i]) and hashes[i] >= max(hashes[i + 1 : i + reach + 1])]
+        ends = [0, *cuts, len(t)] if t else [0]
+        spans = list(zip(ends, ends[1:]))
+        said = [t[a:b] for a, b in spans]
+        if len(spans) > 1:  # a short first or last chunk counts with its neighbour
+            if spans[0][1] <= reach:
+                said[0] = t[: ends[2]]
+            if spans[-1][1] - spans[-1][0] <= reach:
+                said[-1] = t[ends[-3] :]
+        return spans, said
+
+    raw = [(t or "").encode() for t in texts]
+    cut = [chunks(t) for t in raw]
+    owners = defaultdict(dict)
+    for d, (_, said) in enumerate(cut):
+        for x in said:
+            owners[x].setdefault(texts[d], d)
+    where = {x: min(d for d, (_, said) in enumerate(cut) if x in said) for x in owners}
+    rows = {x: len({d for d, (_, said) in enumerate(cut) if x in said}) for x in owners}
+    want = set()
+    for d, (spans, said) in enumerate(cut):
+        starts = {m.start() for m in re.finditer(rb"(?<![^ \t-\r])[^ \t-\r]", raw[d])}
+        count = [sum(a <= i < b for i in starts) for a, b in spans]
+        k = 0
+        while k < len(spans):
+            j = k
+            while j < len(spans) and rows[said[j]] > 1:
+                j += 1
+            if sum(count[k:j]) >= substrings.LEAST_WORDS:
+                i = k
+                while i < j:
+                    e = i
+                    while e < j and where[said[e]] == where[said[i]]:
+                        e += 1
+                    want.add((d, spans[i][0], spans[e - 1][1], sum(count[i:e]), where[said[i]], where[said[i]] == d))
+                    i = e
+            k = max(j, k + 1)
+    found = {tuple(r) for r in substrings.repeated_passages(docs_of(spark, texts)).select("doc_id", "start", "end", "n_words", "first_doc_id", "is_first").collect()}
+    assert found == want and len(want) > 20
+
+
 def test_repeated_passages(spark, texts):
     rng = random.Random(5)
     pool = [w for t in texts.values() for w in (t or "").split()]
