@@ -19,6 +19,7 @@ from ..functions.itemsets import Item, Itemset
 from ..operators import binning, budget, counts, encode, keys, metrics, partition, randomizer, sketch, wire
 from ..operators.candidates import Candidate, collect_candidates, enough, frequent_items, joint_first_candidates, ranked_candidates
 from ..operators.estimate import Case, Estimate, Search, blocks_of, estimate_tables, jobs, ranked, sizes_table
+from ..sources.results import ResultTable
 from .config import METHODS, TWO_ROUND, Config, Protocol
 
 
@@ -410,7 +411,7 @@ def run_case(wide: DataFrame, config: Config, method: str, *, dataset: str = "cu
     return run_cases(wide, [(config, method)], dataset=dataset)[0] | {"axis": axis, "value": float(value)}
 
 
-def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Sequence[int], methods: Sequence[str] | None = None, seeds: Sequence[int] = (2026,), folder: str | None = None, dataset: str = "custom", names: Sequence[str] | None = None, values: Sequence[float] | None = None) -> list[dict]:
+def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Sequence[int], methods: Sequence[str] | None = None, seeds: Sequence[int] = (2026,), folder: str | None = None, dataset: str = "custom", names: Sequence[str] | None = None, values: Sequence[float] | None = None, results: ResultTable | None = None) -> list[dict]:
     """Runs every point of the numbered sweeps and returns their rows.
 
     tables is one table, called dataset, or several by name; of those an axis takes names, or its own.
@@ -418,7 +419,8 @@ def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Se
     together (run_cases). With a folder, each
     row is kept under its axis, table, value, seed and method: one that was run before with the same
     identity is read back, and one of another identity there is an error. status.json says of each axis
-    that it is complete, and with how many rows.
+    that it is complete, and with how many rows. A result table does the same on a shared folder, a batch for each group
+    of runs that share their data: a run that was killed goes on after the last batch.
     """
     from ..sources.files import reuse, store, write_json
     from .config import identity, points
@@ -431,17 +433,24 @@ def sweep(tables: DataFrame | Mapping[str, DataFrame], base: Config, numbers: Se
     points_of = [(x, m, identity(x.config, m, x.axis, x.value, x.table)) for x in todo for m in x.methods]
     place = lambda x, m: f"{folder}/experiment{x.number:02d}_{x.axis}/{x.table}/value_{x.value:g}/seed_{x.seed}/{m}.json"
     known = [reuse(place(x, m), who) if folder else None for x, m, who in points_of]
+    spot = lambda x, m: f"experiment{x.number:02d}_{x.axis}/{x.table}/value_{x.value:g}/seed_{x.seed}/{m}"
+    if results is not None:
+        held = results.reuse({spot(x, m): who for x, m, who in points_of})
+        known = [row if row is not None else held.get(spot(x, m)) for row, (x, m, _) in zip(known, points_of, strict=True)]
     missing_of: dict[tuple[str, object], dict[tuple[Config, str], None]] = {}
     for (x, m, _), row in zip(points_of, known, strict=True):
         if row is None:
             missing_of.setdefault((x.table, x.config.data), {})[x.config, m] = None
     for (table, _), cases in missing_of.items():  # what shares its data is run together, and kept before the next
         ran = dict(zip(cases, run_cases(tables[table], list(cases), dataset=table), strict=True))
-        for k, (x, m, who) in enumerate(points_of):
-            if known[k] is None and x.table == table and (x.config, m) in ran:
-                known[k] = ran[x.config, m] | {"axis": x.axis, "value": x.value}
-                if folder:
-                    store(place(x, m), who, known[k])
+        new = [k for k, (x, m, _) in enumerate(points_of) if known[k] is None and x.table == table and (x.config, m) in ran]
+        for k in new:
+            x, m, who = points_of[k]
+            known[k] = ran[x.config, m] | {"axis": x.axis, "value": x.value}
+            if folder:
+                store(place(x, m), who, known[k])
+        if results is not None:
+            results.commit([(f"experiment{x.number:02d}_{x.axis}", spot(x, m), who, known[k]) for k in new for x, m, who in [points_of[k]]])
     rows, written = list(known), {}
     for x, _, _ in points_of:
         home = f"experiment{x.number:02d}_{x.axis}"

@@ -15,6 +15,7 @@ from tallyveil.operators.candidates import Candidate
 from tallyveil.operators.estimate import blocks_of, estimate_candidates
 from tallyveil.plans import config, protocol
 from tallyveil.sources import files
+from tallyveil.sources.results import ResultTable
 from tallyveil.streaming import incremental
 
 ITEMSET = "itemset array<struct<attr:int,value:bigint>>"
@@ -372,6 +373,50 @@ def test_sweeps_resume(spark, tmp_path, monkeypatch):
     assert {r["dataset"] for r in rows} == {"A", "B"} and len(rows) == 2
 
 
+def test_a_killed_sweep_goes_on_from_its_table(spark, tmp_path, monkeypatch):
+    """Committed batches are kept, rows without a marker don't count, another identity is refused, and no file but the table's is written."""
+    wide = files.toy(spark, 300)
+    base = config.Config(config.Data(clients=2), config.Protocol(k=2, m=16, epsilon=30.0, max_size=2))
+    kept = ResultTable(spark, str(tmp_path / "results"))
+    whole, ran = protocol.run_cases, []
+
+    def dies(wide, cases, **k):
+        if len(ran) == 2:
+            raise KeyboardInterrupt
+        ran.append(cases)
+        return whole(wide, cases, **k)
+
+    run = lambda c=base: protocol.sweep(wide, c, [3, 11], ["First-round"], results=kept)
+    monkeypatch.setattr(protocol, "run_cases", dies)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    assert len(ran) == 2 and kept.committed().count() >= 2
+    lost = kept.committed().first()
+    kept._write([(lost["group"], "experiment03_clients/custom/value_8/seed_2026/First-round", "f" * 64, "never marked", "{}")])
+    monkeypatch.setattr(protocol, "run_cases", lambda wide, cases, **k: (ran.append(cases), whole(wide, cases, **k))[1])
+    first = run()
+    assert [(r["axis"], r["value"]) for r in first] == [("clients", 2.0), ("clients", 4.0), ("clients", 8.0), ("mechanism", 1.0)] and len(ran) == 3
+    assert run() == first and len(ran) == 3
+    other = ResultTable(spark, str(tmp_path / "results"))
+    assert protocol.sweep(wide, base, [3, 11], ["First-round"], results=other) == first and len(ran) == 3
+    with pytest.raises(ValueError, match="another configuration"):
+        run(replace(base, protocol=replace(base.protocol, m=32)))
+    assert {p.name for p in tmp_path.iterdir()} == {"results"}
+
+
+def test_two_hills_are_searched_in_full():
+    """Scores with several hills are tried at every size; one hill takes few scores."""
+    sizes, asked = np.arange(2000.0), []
+
+    def two(x):
+        asked.append(len(x))
+        return np.maximum(-np.abs(x - 300) / 50, 3 - np.abs(x - 1493) / 2)
+
+    assert sketch._first_max(sizes, two) == 1493
+    asked.clear()
+    assert sketch._first_max(sizes, lambda x: (asked.append(len(x)), -np.abs(x - 700))[1]) == 700 and sum(asked) < 200
+
+
 def test_a_fused_sweep_is_its_cases_one_by_one(spark, monkeypatch):
     """The same rows as run_case case by case, from one histogram, one pass of sketches for each seed, one exact top and one count of supports."""
     wide = files.toy(spark, 400)
