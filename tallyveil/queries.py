@@ -14,7 +14,7 @@ from .functions import itemsets, prf
 from .operators import binning, budget, candidates, circuits, counts, encode, estimate, keys, metrics, partition, randomizer, sketch, wire
 from .oracle import laplace, name, on_orders, splitmix, tag, uniform, uniform_cut
 from .plans import config, protocol
-from .sources import files, views
+from .sources import archives, files, views
 from .sources.views import read
 from .streaming import incremental
 
@@ -1410,6 +1410,18 @@ def _(spark, d):
     return incremental.run_to_table(incremental.sketch(_event_stream(spark, d), members, 8, SEED), _stream_folder(spark))
 
 
+@query("s8_archive_members", "select event_type, count(*) n, count(distinct user_id) users, sum(event_id)::bigint ids, round_even(sum(value), 6)::double total from events group by event_type")
+def _(spark, d):
+    """The events table written to ZIP archives of many CSV members, and read again as a table."""
+    import uuid
+
+    folder = f"{_stream_folder(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    columns = [("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double")]
+    archives.write_archives(read(spark, d, "events").select(*(name for name, _ in columns)), folder, 2000)
+    back = archives.read_archives(spark, folder, columns, partition_bytes=1 << 20)
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.sum("event_id").alias("ids"), _round(F.sum("value")).alias("total"))
+
+
 # Single supports, bits, probabilities and checks
 
 
