@@ -6,6 +6,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,35 +15,45 @@ from pyspark.sql import functions as F
 from .store import materialise, new_path
 from .textscan import groups, slices
 
-MAGIC = b"TVWM1\n"
+MAGIC = b"TVWM2\n"
 #: Bits between two counts of the rank directory.
 STEP = 512
-#: Tokens that a shard holds before it is closed; a longer document is a shard of its own.
-SHARD_TOKENS = 1 << 19
+#: Bytes of a plane that are compressed together; a multiple of STEP bits.
+BLOCK_BYTES = 1 << 16
+#: Tokens that a shard holds before it is closed (32 MB of planes of 16 bits); a longer document is a shard of its own.
+SHARD_TOKENS = 1 << 24
 #: Files that a task reads, while that doesn't need more tasks than MOST_TASKS.
-FILES_PER_TASK, MOST_TASKS = 8, 20_000
+FILES_PER_TASK, MOST_TASKS = 1, 20_000
 
 
 class Plane:
-    """A bit string with rank and select."""
+    """A bit string with rank and select: its bytes, and how many ones there are in each STEP bits."""
 
     def __init__(self, packed: np.ndarray, size: int):
-        self.packed, self.size = packed, size
         words = np.zeros(-(-max(size, 1) // STEP) * STEP // 8, np.uint8)
         words[: len(packed)] = packed
-        per = np.bitwise_count(words.view(np.uint64)).reshape(-1, STEP // 64).sum(1, dtype=np.int64)
-        self.before = np.concatenate(([0], np.cumsum(per)))
+        self._set(size, np.bitwise_count(words.view(np.uint64)).reshape(-1, STEP // 64).sum(1, dtype=np.int64))
+        self.packed = packed
+
+    def _set(self, size: int, per: np.ndarray) -> None:
+        self.size, self.per = size, per
+        self.before = np.concatenate(([0], np.cumsum(per, dtype=np.int64)))
         self.zeros = size - int(self.before[-1])
 
+    def _bytes(self, first: int, last: int) -> np.ndarray:
+        return self.packed[first:last]
+
     def bit(self, i: int) -> int:
-        return int(self.packed[i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self._bytes(i >> 3, (i >> 3) + 1)[0]) >> (7 - (i & 7)) & 1
 
     def rank1(self, i: int) -> int:
         """Ones before place i."""
         block = i // STEP
-        at = block * STEP // 8
-        whole = self.packed[at : i >> 3]
-        part = int(self.packed[i >> 3]) >> (8 - (i & 7)) if i & 7 else 0
+        if not i % STEP:
+            return int(self.before[block])
+        held = self._bytes(block * STEP // 8, (i + 7) >> 3)
+        whole = held[: (i >> 3) - block * STEP // 8]
+        part = int(held[-1]) >> (8 - (i & 7)) if i & 7 else 0
         return int(self.before[block]) + int(np.bitwise_count(whole).sum()) + part.bit_count()
 
     def rank0(self, i: int) -> int:
@@ -52,11 +63,25 @@ class Plane:
         """Place of the k-th (from 0) one or zero."""
         ones = self.before if one else np.arange(len(self.before)) * STEP - self.before
         block = int(np.searchsorted(ones, k, "right")) - 1
-        bits = np.unpackbits(self.packed[block * STEP // 8 : (block + 1) * STEP // 8])[: self.size - block * STEP]
+        bits = np.unpackbits(self._bytes(block * STEP // 8, (block + 1) * STEP // 8))[: self.size - block * STEP]
         return block * STEP + int(np.flatnonzero(bits == one)[k - int(ones[block])])
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.size).view(bool)
+        return np.unpackbits(self._bytes(0, -(-self.size // 8)), count=self.size).view(bool)
+
+
+class StoredPlane(Plane):
+    """A plane of a file: the counts are read as a whole, the bits block by block where they are asked for."""
+
+    def __init__(self, size: int, counts: bytes, blocks: list[tuple[int, int]], fetch):
+        self._set(size, np.frombuffer(counts, "<u2").astype(np.int64))
+        self.blocks, self.fetch = blocks, fetch
+
+    def _bytes(self, first: int, last: int) -> np.ndarray:
+        last = min(last, -(-self.size // 8))
+        held = [np.frombuffer(self.fetch(*self.blocks[k]), np.uint8) for k in range(first // BLOCK_BYTES, -(-last // BLOCK_BYTES))]
+        start = first // BLOCK_BYTES * BLOCK_BYTES
+        return (held[0] if len(held) == 1 else np.concatenate(held or [np.zeros(0, np.uint8)]))[first - start : last - start]
 
 
 class WaveletMatrix:
@@ -121,30 +146,66 @@ class WaveletMatrix:
 
 
 def encode_shard(doc_ids: list, lengths: list[int], values: np.ndarray, width: int) -> bytes:
-    """A file: magic, length of the head, head as JSON, then lengths and planes, each compressed with zstandard."""
+    """A file: magic, length of the head, head as JSON, then the parts that it names, each compressed with zstandard.
+
+    Parts are the documents' lengths and ids, and for each plane its rank directory (ones in each STEP bits) and its bits in blocks
+    of BLOCK_BYTES, so that a lookup reads the directories and a block a plane.
+    """
     import zstandard
 
-    z = zstandard.ZstdCompressor(level=1)
-    parts = [z.compress(np.array(lengths, "<i8").tobytes()), z.compress(json.dumps(doc_ids).encode())]
-    parts += [z.compress(p.packed.tobytes()) for p in WaveletMatrix.build(values, width).planes]
-    head = json.dumps({"tokens": len(values), "width": width, "parts": [len(p) for p in parts]}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
+    z, body, at = zstandard.ZstdCompressor(level=1), [], 0
+
+    def put(data: bytes) -> tuple[int, int]:
+        nonlocal at
+        body.append(z.compress(data))
+        at += len(body[-1])
+        return at - len(body[-1]), len(body[-1])
+
+    head: dict = {"tokens": len(values), "width": width, "lengths": put(np.array(lengths, "<i8").tobytes()), "ids": put(json.dumps(doc_ids).encode()), "planes": []}
+    for p in WaveletMatrix.build(values, width).planes:
+        raw = p.packed.tobytes()
+        head["planes"].append({"counts": put(p.per.astype("<u2").tobytes()), "blocks": [put(raw[k : k + BLOCK_BYTES]) for k in range(0, len(raw), BLOCK_BYTES)]})
+    said = json.dumps(head).encode()
+    return MAGIC + struct.pack("<I", len(said)) + said + b"".join(body)
+
+
+class TokenFile:
+    """A token file that is read in pieces: `read(first, size)` gives bytes of it. A few blocks are kept."""
+
+    def __init__(self, read, keep: int = 64):
+        import zstandard
+
+        start = read(0, len(MAGIC) + 4)
+        if start[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token file")
+        n = struct.unpack("<I", start[len(MAGIC) :])[0]
+        base = len(start) + n
+        self.head, unzip = json.loads(read(len(start), n)), zstandard.ZstdDecompressor()
+        self.fetch = lru_cache(keep)(lambda at, size: unzip.decompress(read(base + at, size)))
+
+    def ids(self) -> list:
+        return json.loads(self.fetch(*self.head["ids"]))
+
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self.fetch(*self.head["lengths"]), "<i8")
+
+    @cached_property
+    def matrix(self) -> WaveletMatrix:
+        size = self.head["tokens"]
+        return WaveletMatrix([StoredPlane(size, self.fetch(*p["counts"]), [tuple(x) for x in p["blocks"]], self.fetch) for p in self.head["planes"]], size)
 
 
 def decode_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
-    """Document ids, their numbers of tokens, and the matrix."""
-    import zstandard
+    """Document ids, their numbers of tokens, and the matrix, of a file that is at hand as a whole."""
+    found = TokenFile(lambda at, size: data[at : at + size], 1)
+    return found.ids(), found.lengths(), found.matrix
 
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token file")
-    at = len(MAGIC) + 4
-    n = struct.unpack("<I", data[len(MAGIC) : at])[0]
-    head, at, z, parts = json.loads(data[at : at + n]), at + n, zstandard.ZstdDecompressor(), []
-    for size in head["parts"]:
-        parts.append(z.decompress(data[at : at + size]))
-        at += size
-    planes = [Plane(np.frombuffer(p, np.uint8), head["tokens"]) for p in parts[2:]]
-    return json.loads(parts[1]), np.frombuffer(parts[0], "<i8"), WaveletMatrix(planes, head["tokens"])
+
+def open_file(path: str) -> TokenFile:
+    """A token file for lookups, read where it lies: its head, its directories, and then a block a plane and lookup."""
+    files, name = _open(path)
+    f = files.open_input_file(name)
+    return TokenFile(lambda at, size: f.read_at(size, at))
 
 
 def _open(path: str):
@@ -170,6 +231,8 @@ def write_tokens(docs: DataFrame, encoder, folder: str, width: int, end_id: int,
     files before.
     """
 
+    most = SHARD_TOKENS
+
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
@@ -196,7 +259,7 @@ def write_tokens(docs: DataFrame, encoder, folder: str, width: int, end_id: int,
             texts, keys = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for a, b in groups([t for t in texts], 1 << 18):
                 for key, x in zip(keys[a:b], words.encode(texts[a:b]), strict=True):
-                    if held and size + len(x) // 4 >= SHARD_TOKENS:
+                    if held and size + len(x) // 4 >= most:
                         close()
                         size = 0
                     ids.append(key)
@@ -209,7 +272,8 @@ def write_tokens(docs: DataFrame, encoder, folder: str, width: int, end_id: int,
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "shard", "path", "docs", "tokens"])
 
     rows = docs.select(doc_id, F.col(text).cast("string").alias("_text"))
-    ordered = rows.repartitionByRange(F.col(doc_id)).sortWithinPartitions(F.col(doc_id), F.xxhash64("_text"))
+    order = [F.col(doc_id), F.xxhash64("_text")]  # rows of one id, or without one, may lie in several tasks
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = materialise(ordered.mapInArrow(run, "part int, shard int, path string, docs long, tokens long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("_n"))  # a row for each task

@@ -544,6 +544,31 @@ def test_wavelet_matrix():
     assert m.count(50000) == 0 and wavelet.WaveletMatrix.build(v[:0], 16).values().size == 0
 
 
+def test_lookups_read_a_few_blocks(tmp_path):
+    """A lookup reads the head, the directories and a block a plane, wherever it is, and says what the values say."""
+    rng = np.random.default_rng(3)
+    v = np.minimum(rng.zipf(1.3, 3_000_000), 50_000).astype(np.uint32)
+    data = wavelet.encode_shard([1], [len(v)], v, 16)
+    (tmp_path / "a.wm").write_bytes(data)
+    for path in (str(tmp_path / "a.wm"), f"file://{tmp_path}/a.wm"):
+        assert wavelet.open_file(path).ids() == [1] and wavelet.open_file(path).matrix.access(77) == v[77]
+    read = []
+    found = wavelet.TokenFile(lambda at, size: (read.append(size), data[at : at + size])[1])
+    assert found.matrix.access(2_345_678) == v[2_345_678] and sum(read) < len(data) / 2
+    directories, n = found.matrix, len(read)
+    assert directories.access(2_345_679) == v[2_345_679] and len(read) <= n + 16
+    for i in rng.integers(0, len(v), 30).tolist():
+        assert directories.access(i) == v[i]
+    for x in (1, 2, 77, 50_000):
+        places = np.flatnonzero(v == x)
+        assert directories.count(x) == len(places) and directories.count(x, 1000, 2_000_001) == ((places >= 1000) & (places < 2_000_001)).sum()
+        for k in (0, len(places) // 2, len(places) - 1):
+            assert directories.occurrence(x, k) == places[k]
+    assert np.array_equal(directories.values(), v)
+    with pytest.raises(ValueError):
+        wavelet.TokenFile(lambda at, size: b"x" * size)
+
+
 def test_token_files_round_trip(spark, texts, monkeypatch):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", 3000)
     rows = [(k, t) for k, t in enumerate([*ODD, *list(texts.values())[:60]])]
