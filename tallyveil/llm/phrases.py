@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -165,24 +166,44 @@ def _answers(reports: DataFrame, least: int) -> DataFrame:
     return reports.groupBy("slice").applyInArrow(run, "slice int, shard bigint, cells binary")
 
 
-def _patterns(windows: _Windows, text: bytes, heavy: np.ndarray, slices: int) -> tuple[list[str], int]:
+class _Heavy:
+    """Cells of the sketch in which phrases may reach the bound: a filter of two places a cell.
+
+    A cell that passes by chance is no harm: its phrases are counted, and stay under the bound, as their bound is under it.
+    """
+
+    PLACES = 1 << 23
+
+    def __init__(self, cells: np.ndarray):
+        self.bits = np.zeros(self.PLACES, bool)
+        for at in self._at(cells):
+            self.bits[at] = True
+
+    def _at(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = mix(cells)
+        return x & np.uint64(self.PLACES - 1), x >> np.uint64(32) & np.uint64(self.PLACES - 1)
+
+    def has(self, cells: np.ndarray) -> np.ndarray:
+        first, second = self._at(cells)
+        return self.bits[first] & self.bits[second]
+
+
+def _patterns(windows: _Windows, text: bytes, heavy: _Heavy, slices: int) -> tuple[list[str], int]:
     """The distinct phrases of a shard whose cells are heavy, and how often they occur together."""
     hashes, first, size = windows.all()
     part, cell = _places(hashes, slices)
-    keys = part << np.uint64(32) | cell
-    at = np.searchsorted(heavy, keys)
-    kept = heavy[np.minimum(at, len(heavy) - 1)] == keys
+    kept = heavy.has(part << np.uint64(32) | cell)
     hashes, first, size = hashes[kept], first[kept], size[kept]
     _, one = np.unique(hashes, return_index=True)
     starts, ends = windows.starts[first[one]], windows.ends[first[one] + size[one] - 1]
     return [text[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], len(hashes)
 
 
-def _every_pattern(windows: _Windows, text: bytes, heavy: np.ndarray, slices: int) -> list[str]:
+def _every_pattern(windows: _Windows, text: bytes, heavy: _Heavy, slices: int) -> list[str]:
     """The same from the texts of all occurrences: for a shard where two phrases share a hash."""
     hashes, first, size = windows.all()
     part, cell = _places(hashes, slices)
-    kept = np.flatnonzero(np.isin(part << np.uint64(32) | cell, heavy))
+    kept = np.flatnonzero(heavy.has(part << np.uint64(32) | cell))
     return sorted({text[windows.starts[first[i]] : windows.ends[first[i] + size[i] - 1]].decode() for i in kept})
 
 
@@ -198,7 +219,7 @@ def scan(text: str, phrases: list[str]) -> np.ndarray:
             held += len(phrases[at]) + 2
             at += 1
         automaton.make_automaton()
-        found = np.fromiter((k for _, k in automaton.iter(text)), np.int64)
+        found = np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64)
         counts[first:at] = np.bincount(found - first, minlength=at - first)
     return counts
 
@@ -215,8 +236,7 @@ def _counted(texts: DataFrame, answers: DataFrame, slices: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, text, parts, cells = (batch.column(c)[k].as_py() for c in range(4))
-                heavy = np.concatenate([_unpack(c).astype(np.uint64) | np.uint64(s << 32) for s, c in zip(parts, cells, strict=True)])
-                heavy.sort()
+                heavy = _Heavy(np.concatenate([_unpack(c).astype(np.uint64) | np.uint64(s << 32) for s, c in zip(parts, cells, strict=True)]))
                 windows = _Windows(lang, text)
                 phrases, occurrences = _patterns(windows, text, heavy, slices)
                 said = text.decode()

@@ -82,7 +82,7 @@ def test_phrases_of_one_hash_are_told_apart():
     text = b" a b \n c d "
     windows = phrases._Windows("en", text)
     windows.hashes = [np.zeros(len(h), np.uint64) + np.uint64(5) for h in windows.hashes]
-    heavy = np.array([5], np.uint64)
+    heavy = phrases._Heavy(np.array([5], np.uint64))
     few, occurrences = phrases._patterns(windows, text, heavy, 1)
     assert occurrences == 6 and phrases.scan(text.decode(), few).sum() < 6
     assert phrases._every_pattern(windows, text, heavy, 1) == ["a", "a b", "b", "c", "c d", "d"]
