@@ -721,6 +721,56 @@ def test_trees_learn_and_flatten():
     assert np.allclose(quality.fit(x[:0], y[:0]).score(x[:3]), 0.5)
 
 
+def test_trees_split_as_brute_force(seed=4):
+    """Every node of two boosted trees has the feature and cut of most gain among all of them, tried one by one; leaves and gradients by hand."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(300, 3)), 1).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > 0.1) ^ (rng.random(300) < 0.1)).astype(float)
+    model = quality.fit(x, y, trees=2, depth=3, rate=0.3, bins=256, ridge=1.0, least=10)
+    total = np.full(len(y), model.base)
+    assert model.base == pytest.approx(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    for t in range(2):
+        p = 1 / (1 + np.exp(-total))
+        grad, hess = p - y, p * (1 - p)
+        rows = {0: np.ones(len(y), bool)}
+        for node in range(7):
+            inside, best = rows[node], (1e-9, None)
+            value = lambda some: grad[some].sum() ** 2 / (hess[some].sum() + 1.0)
+            for f in range(3):
+                for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 257)[1:-1]).astype(np.float32)):
+                    left, right = inside & (x[:, f] <= cut), inside & (x[:, f] > cut)
+                    if min(left.sum(), right.sum()) >= 10:
+                        best = max(best, (value(left) + value(right) - value(inside), (f, cut)), key=lambda b: b[0])
+            f, cut = model.feature[t, node], model.cut[t, node]
+            left, right = inside & (x[:, f] <= cut), inside & (x[:, f] > cut)
+            if best[1] is None:
+                assert np.isinf(cut)
+            else:
+                assert value(left) + value(right) - value(inside) == pytest.approx(best[0], rel=1e-9)
+            rows[2 * node + 1], rows[2 * node + 2] = left, right
+        for k in range(8):
+            some = rows[7 + k]
+            assert model.leaf[t, k] == pytest.approx(-0.3 * grad[some].sum() / (hess[some].sum() + 1.0))
+            total[some] += model.leaf[t, k]
+
+
+def test_one_row_an_id_is_learned_from(spark, monkeypatch):
+    """Ids that are there many times, with other texts or labels, give one row each, the same in any order; the bound holds."""
+    texts = [f"some words {k} " * (k % 7 + 1) for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, f"copy {j}") for j in range(500)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0), (3, 1), (5, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x, y)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for some in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+        quality.train(some, labels)
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert all(len(y) == len(ids) for _, y in seen)
+    assert all(np.array_equal(seen[0][0], x) and np.array_equal(seen[0][1], y) for x, y in seen)
+    quality.train(docs, labels, most=10)
+    assert len(seen[-1][1]) <= 10
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
