@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import discard, materialise
-from .textscan import Scan, mix
+from .textscan import BASE, Scan, mix
 
 #: Words of the longest phrase, and the share (in per cent) of a phrase's count from which a longer one covers it.
 LONGEST, COVERED = 4, 80
@@ -91,14 +91,16 @@ class _Windows:
         stop = scan.buf[self.starts] == 10 if len(self.starts) else np.zeros(0, bool)
         stop &= self.ends - self.starts == 1
         stops = np.concatenate(([0], np.cumsum(stop)))
-        salt = np.uint64(zlib.crc32(lang.encode()) << 32 | 0x5BD1E995)
+        salt = zlib.crc32(lang.encode()) << 32
         self.first, self.hashes, self.size = [], [], []
-        for n in range(1, LONGEST + 1):
-            found, at = scan.windows(hashes, n)
-            inside = stops[at + n] == stops[at]
-            self.first.append(at[inside])
-            self.hashes.append(mix(found[inside] ^ salt))
-            self.size.append(np.full(len(self.first[-1]), n))
+        total = hashes
+        for n in range(1, LONGEST + 1):  # a phrase's hash is that of the words before its last one, moved on, and the last one's
+            if n > 1:
+                total = total[:-1] * np.uint64(BASE) + hashes[n - 1 :]
+            at = np.flatnonzero(stops[n:] == stops[:-n])
+            self.first.append(at)
+            self.hashes.append(mix(total[at] ^ np.uint64(salt | n)))
+            self.size.append(np.full(len(at), n, np.int8))
 
     def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.concatenate(self.hashes), np.concatenate(self.first), np.concatenate(self.size)
@@ -194,7 +196,8 @@ def _patterns(windows: _Windows, text: bytes, heavy: _Heavy, slices: int) -> tup
     part, cell = _places(hashes, slices)
     kept = heavy.has(part << np.uint64(32) | cell)
     hashes, first, size = hashes[kept], first[kept], size[kept]
-    _, one = np.unique(hashes, return_index=True)
+    order = np.argsort(hashes)
+    one = order[np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[:1]]))]
     starts, ends = windows.starts[first[one]], windows.ends[first[one] + size[one] - 1]
     return [text[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], len(hashes)
 
