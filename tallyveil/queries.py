@@ -764,7 +764,12 @@ query(
     ),
 )(_key_query(keys.RAW_PARTS, limit=3))
 query("r6_mixed_keys", on_orders(f"select client::int client, {_TEXT('k')} as key from mixed where r <= 6", *_KEYS, _MIXED))(_key_query(keys.MIXED, limit=6))
-query("r7_cover_keys")(_key_query(keys.COVER, limit=6))
+_COVER = """uses as (select client, [x] key, w / len(part) use, len(part) = 1 needed from (select client, part, w, unnest(part) x from (select client, part, greatest(guess, 0) / (select count(*) from ord) w from owned))
+    union all select client, part, greatest(guess, 0) / (select count(*) from ord) * (len(part) - 1), false from owned where len(part) > 1),
+cover as (select client, key, sum(use) use, bool_or(needed) needed from uses group by client, key),
+guessed as (select c.client, key, product(least(n, total) / total) part from (select client, key, unnest(key) x from cover) c, noisy, (select count(*)::double total from ord) where noisy.attr = x.attr and noisy.value = x.value group by c.client, key),
+placed as (select client, key, row_number() over (partition by client order by case when needed then 0 when len(key) > 1 then 1 else 2 end, use desc, part desc, key) r from cover join guessed using (client, key))"""
+query("r7_cover_keys", on_orders(f"select client::int client, {_TEXT('key')} as key from placed where r <= 6", *_KEYS, _COVER))(_key_query(keys.COVER, limit=6))
 
 
 @query("r8_category_keys", on_orders("select distinct client::int client, '{a' || attr || '=' || v || '}' as key from (select client, x.attr attr, x.value::varchar v from (select client, unnest(part) x from owned) union all select client, x.attr, 'OTHER' from (select client, unnest(part) x from owned))", *_KEYS))
