@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,34 @@ def sketch(wide: DataFrame, members: Mapping[str, Column], m: int, seed: int, ga
         return cells.select("key", "j", geometric_rank(F.col("tid"), F.col("j"), seed, gamma).alias("rank")).groupBy("key", "j").agg(F.max("rank").alias("rank"))
 
 
-def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its last table. For small results: the memory sink keeps them on the driver."""
-    name = f"stream_{uuid.uuid4().hex[:8]}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, folder: str, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there, keeps its state and its tables under folder/name, and returns what they say.
+
+    Each batch's table is written as a whole under the batch's number. A run that was killed, or comes later with more rows, goes
+    on from the state, and a batch that is done again replaces its own table: nothing is lost or doubled. In mode complete the
+    last table holds all; in mode append all tables together do. The folder must be one that all executors share.
+    """
+    spark, home = stream.sparkSession, f"{folder.rstrip('/')}/{name}"
+
+    def put(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{home}/tables/batch={batch}")
+
+    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").foreachBatch(put).trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    try:
+        tables = spark.read.schema(f"{_fields(stream)}, batch bigint").parquet(f"{home}/tables")
+    except AnalysisException:  # not one row has ever come
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        last = tables.agg(F.max("batch")).first()[0]
+        tables = tables.where(F.col("batch") == F.lit(last))
+    return tables.drop("batch")
+
+
+def _fields(table: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+
+
+def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream once, under a name of its own."""
+    return run_to_files(stream, checkpoint, f"stream_{uuid.uuid4().hex[:8]}", mode)

@@ -486,6 +486,32 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, got.select("key", "j", "rank").collect())) == sorted(map(tuple, want.select("key", "j", "rank").collect()))
 
 
+def test_a_killed_stream_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    """A run that dies after a table was written but before the batch was done, a later run with more rows, and one with nothing new."""
+    wide = table(spark, np.random.default_rng(1).integers(0, 3, (120, 2)))
+    wide.where("tid < 80").repartition(4).write.parquet(str(tmp_path / "in"))
+    count = lambda: incremental.histogram(incremental.source(spark, wide, str(tmp_path / "in")))
+    writer = type(wide.write)
+    whole, tables = writer.parquet, []
+
+    def dies(self, path, *a, **k):
+        whole(self, path, *a, **k)
+        tables.append(path)
+        if len(tables) == 3:
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(writer, "parquet", dies)
+    with pytest.raises(Exception, match="killed"):
+        incremental.run_to_files(count(), str(tmp_path), "h")
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, **k: (tables.append(path), whole(self, path, *a, **k))[1])
+    rows = lambda df: sorted(map(tuple, df.select("attr", "value", "n").collect()))
+    assert rows(incremental.run_to_files(count(), str(tmp_path), "h")) == rows(counts.histogram(wide.where("tid < 80")))
+    assert tables[2] == tables[3] and len(tables) == 5  # the third batch was done again, in its own place
+    wide.where("tid >= 80").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert rows(incremental.run_to_files(count(), str(tmp_path), "h")) == rows(counts.histogram(wide))
+    assert rows(incremental.run_to_files(count(), str(tmp_path), "h")) == rows(counts.histogram(wide))
+
+
 def test_registry():
     import __spark_entry__ as entry
 
