@@ -18,6 +18,8 @@ from .textscan import groups, slices
 MAGIC = b"TVWM2\n"
 #: Bits between two counts of the rank directory.
 STEP = 512
+#: Places that values are dealt back to at once.
+STRETCH = 1 << 16
 #: Bytes of a plane that are compressed together; a multiple of STEP bits.
 BLOCK_BYTES = 1 << 16
 #: Tokens that a shard holds before it is closed (32 MB of planes of 16 bits); a longer document is a shard of its own.
@@ -100,13 +102,18 @@ class WaveletMatrix:
         return cls(planes, len(values))
 
     def values(self) -> np.ndarray:
-        """All values, from the lowest plane up: what a plane's zeros and ones became is dealt back to their places."""
+        """All values, from the lowest plane up: what a plane's zeros and ones became is dealt back to their places, a stretch at a time that fits a cache."""
         width = len(self.planes)
         now = np.zeros(self.size, np.uint16 if width <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
             bit, back = plane.bits(), np.empty_like(now)
             now[plane.zeros :] |= now.dtype.type(1 << shift)
-            back[np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit)))] = now
+            zero, one = 0, plane.zeros
+            for at in range(0, self.size, STRETCH):
+                some, part = bit[at : at + STRETCH], back[at : at + STRETCH]
+                ones, zeros = np.flatnonzero(some), np.flatnonzero(~some)
+                part[zeros], part[ones] = now[zero : zero + len(zeros)], now[one : one + len(ones)]
+                zero, one = zero + len(zeros), one + len(ones)
             now = back
         return now
 
