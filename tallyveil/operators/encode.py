@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,14 @@ INLINE_DOMAIN = 256
 SLICES = 64
 
 
+def slice_of(x: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the sorted cuts a value is above, and first: by halving, so that a value meets log2 of them and not all."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(x > cuts[middle], slice_of(x, cuts[middle + 1 :], first + middle + 1)).otherwise(slice_of(x, cuts[:middle], first))
+
+
 def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[float]]], sets: Sequence[Column] = ()) -> tuple[list[list[float]], list[list]]:
     """Exact quantiles with linear interpolation of several columns ([] without values), and the sorted different values of others.
 
@@ -35,8 +44,8 @@ def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[Column, Sequence[fl
         return [], values
     cells = []
     for k in range(len(wanted)):
-        cuts = sorted(set(first[f"c{k}"] or []))
-        cells.append(F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), sum(((F.col(f"x{k}") > c).cast("int") for c in cuts), F.lit(0)).alias("slice")))
+        cuts = sorted(set(first[f"c{k}"] or []), key=lambda c: (math.isnan(c), c))
+        cells.append(F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), slice_of(F.col(f"x{k}"), cuts).alias("slice")))
     cells = base.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null")
     sizes = {(r["k"], r["slice"]): r["count"] for r in cells.groupBy("k", "slice").count().collect()}
     totals = [sum(n for (j, _), n in sizes.items() if j == k) for k in range(len(wanted))]
