@@ -1326,9 +1326,10 @@ def _(spark, d):
 @query("cr2_packed_operations", on_orders("with o as (select b.t, x.attr // 2 owner from (select t, unnest(k) x from best) b group by all), w as (select attr // 2 owner, count(*) items from histogram group by attr // 2), r as (select count(*) n, ceil(log2(count(*) + 1.0))::bigint width from ord) select t as itemset, (sum(items) * any_value(n))::bigint not_gates, (sum(items) * any_value(n))::bigint or_gates, ((sum(items) + count(*) - 1 + any_value(width)) * any_value(n))::bigint and_gates, (any_value(width) * any_value(n))::bigint xor_gates from o join w using (owner), r group by t", *_candidate_ctes(2, 20)))
 def _(spark, d):
     wide, best = _some_candidates(spark, d, 2, 20)
-    items = {c: sum(len(v) for a, v in encode.domain_map(wide).items() if a in PARTS[c]) for c in range(CLIENTS)}
+    domain, n = encode.domain_map(wide), wide.count()
+    items = {c: sum(len(domain[a]) for a in PARTS[c]) for c in range(CLIENTS)}
     found = candidates.collect_candidates(best)
-    rows = [(itemsets.text(c.itemset), *circuits.packed_operations(wide.count(), c.itemset, partition.owner_map(PARTS), items)) for c in found]
+    rows = [(itemsets.text(c.itemset), *circuits.packed_operations(n, c.itemset, partition.owner_map(PARTS), items)) for c in found]
     return spark.createDataFrame(rows, "itemset string, not_gates bigint, or_gates bigint, and_gates bigint, xor_gates bigint")
 
 

@@ -6,10 +6,20 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil import queries
 from tallyveil.operators import encode
 from tallyveil.sources import views
 
 
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
 def test_customers_are_not_broadcast(spark, sf):
     plan = views.orders_raw(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [o_custkey" in plan
@@ -57,3 +67,10 @@ def test_slices_meet_few_cuts():
         return most
 
     assert depth(str(encode.slice_of(F.col("x"), [float(c) for c in range(63)]))) == 6
+
+
+def test_packed_operations_scan_a_few_times(spark, sf):
+    views.orders_view(spark, sf)
+    rows, jobs = _jobs(spark, "packed", lambda: queries.QUERIES["cr2_packed_operations"](spark, sf).collect())
+    assert len(rows) == 20
+    assert jobs <= 24
