@@ -2,12 +2,15 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyveil import queries
-from tallyveil.operators import encode
+from tallyveil.functions.prf import geometric_rank_array
+from tallyveil.operators import encode, sketch
 from tallyveil.sources import views
 
 
@@ -74,3 +77,18 @@ def test_packed_operations_scan_a_few_times(spark, sf):
     rows, jobs = _jobs(spark, "packed", lambda: queries.QUERIES["cr2_packed_operations"](spark, sf).collect())
     assert len(rows) == 20
     assert jobs <= 24
+
+
+def test_ranks_of_a_batch_take_little_memory():
+    rng = np.random.default_rng(7)
+    ids, has, best = rng.integers(0, 1 << 40, 10_000), rng.random((10_000, 5)) < 0.3, np.zeros((5, 256), np.uint16)
+    has[:, 4] = False
+    tracemalloc.start()
+    sketch.fold_ranks(best, ids, has, 2026, 1.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20  # 2 million ranks at once took more than 40 MB
+    every = geometric_rank_array(ids, np.arange(256), 2026, 1.0)
+    for k in range(4):
+        assert (best[k] == every[has[:, k]].max(0)).all()
+    assert not best[4].any()
