@@ -84,7 +84,8 @@ def orders_view(spark: SparkSession, folder: str) -> DataFrame:
         if files.exists(place):
             return spark.read.schema(_wide_schema(8)).parquet(_written[key])
     raw, scratch = _stored(read_from.drop("o_custkey", "c_custkey", "c_nationkey", "n_nationkey"), "orders_raw")
-    coded, _written[key] = _stored(_orders_coded(raw, folder), "orders_view")
+    # Equal files, two for each core: tasks over the view are as many as the cores, however few files the join left.
+    coded, _written[key] = _stored(_orders_coded(raw, folder).repartition(2 * spark.sparkContext.defaultParallelism, "tid"), "orders_view")
     files, place = _place(spark, scratch)
     files.delete(place, True)
     return coded
