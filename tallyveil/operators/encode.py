@@ -245,12 +245,29 @@ def tuple_ranks(wide: DataFrame, cells: Sequence[str], rank: str) -> DataFrame:
     return start.withColumnRenamed("_start", rank)
 
 
+#: Different tuples of merged attributes that are ranked on the driver and sent to the tasks; more are ranked and joined in the cluster.
+MOST_TUPLES = 1 << 16
+
+
 def merge_features(wide: DataFrame, groups: Sequence[Sequence[int]]) -> DataFrame:
-    """One column for each group of attributes: the rank of the row's values among the different tuples."""
+    """One column for each group of attributes: the rank of the row's values among the different tuples.
+
+    One pass finds the tuples of all groups. They are the merged public domains, mostly few, and then rows are neither shuffled nor
+    read again for each group.
+    """
+    width = max(map(len, groups))
+    cells = [[F.col(f"a{a}").cast("bigint").alias(f"c{k}") for k, a in enumerate(g)] + [F.lit(None).cast("bigint").alias(f"c{k}") for k in range(len(g), width)] for g in groups]
+    tuples = wide.select(F.explode(F.array(*(F.struct(F.lit(g).alias("g"), *c) for g, c in enumerate(cells)))).alias("t")).select("t.*").distinct()
+    found = tuples.limit(MOST_TUPLES + 1).collect()
     out = wide
     for g, members in enumerate(groups):
-        cells = [f"a{a}" for a in members]
-        out = out.join(tuple_ranks(wide, cells, f"m{g}"), cells)
+        names = [f"a{a}" for a in members]
+        if len(found) > MOST_TUPLES:
+            ranks = tuple_ranks(wide, names, f"m{g}")
+        else:
+            some = sorted((tuple(r[1 : 1 + len(members)]) for r in found if r["g"] == g), key=lambda t: [(v is not None, v or 0) for v in t])
+            ranks = F.broadcast(wide.sparkSession.createDataFrame([(*t, k) for k, t in enumerate(some)], ", ".join(f"{c} bigint" for c in (*names, f"m{g}"))))
+        out = out.join(ranks, names)
     return out.select("tid", *(F.col(f"m{g}").alias(f"a{g}") for g in range(len(groups))))
 
 
@@ -266,8 +283,8 @@ SAMPLE_SLICES = 1 << 16
 def sample_rows(wide: DataFrame, n: int, seed: int | None) -> DataFrame:
     """n rows, uniformly by a keyed hash of tid; without a seed the first n by tid.
 
-    Rows are counted by slices of the hash: all slices before the one where the n-th row lies are
-    taken as they are, and only that one is ordered.
+    Rows are counted by slices of the hash, and only the slice where the n-th row lies is ordered. That row bounds the sample, so
+    that a scan of the sample is one of the table.
     """
     if seed is None:
         return wide.orderBy("tid").limit(n)
@@ -281,7 +298,13 @@ def sample_rows(wide: DataFrame, n: int, seed: int | None) -> DataFrame:
         left -= size
     else:
         return wide
-    return wide.where(piece < last).union(wide.where(piece == last).orderBy(u, "tid").limit(left))
+    if not left:
+        return wide.where(piece < last)
+    ordered = wide.where(piece == last).select(u.alias("u"), "tid").orderBy("u", "tid").limit(left + 1)
+    over, end = ordered.orderBy(F.desc("u"), F.desc("tid")).limit(2).collect()
+    if over == end:  # rows with one tid on both sides of the bound
+        return wide.where(piece < last).union(wide.where(piece == last).orderBy(u, "tid").limit(left))
+    return wide.where((u < F.lit(end["u"])) | ((u == F.lit(end["u"])) & (F.col("tid") <= F.lit(end["tid"]))))
 
 
 def sample_share(wide: DataFrame, ratio: float, seed: int | None) -> DataFrame:

@@ -92,3 +92,27 @@ def test_ranks_of_a_batch_take_little_memory():
     for k in range(4):
         assert (best[k] == every[has[:, k]].max(0)).all()
     assert not best[4].any()
+
+
+def test_transforms_scan_the_rows_once(spark, sf):
+    views.orders_view(spark, sf)
+    plan = queries.QUERIES["t11_transform_chain"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1  # it was read some twenty times, for each level of each group's tuples
+    assert "Exchange hashpartitioning" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_merged_features_of_few_and_many_tuples(spark, monkeypatch, most):
+    monkeypatch.setattr(encode, "MOST_TUPLES", most)
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(-2, 3), rng.randrange(4), rng.randrange(2)) for k in range(200)]
+    wide = spark.createDataFrame(rows, "tid bigint, a0 bigint, a1 bigint, a2 bigint")
+    places = [{t: k for k, t in enumerate(sorted({tuple(r[1 + a] for a in g) for r in rows}))} for g in ((2, 0), (1,))]
+    found = {r["tid"]: (r["a0"], r["a1"]) for r in encode.merge_features(wide, [[2, 0], [1]]).collect()}
+    assert found == {t: (places[0][c, a], places[1][b,]) for t, a, b, c in rows}
+
+
+def test_samples_take_their_number_whatever_ids_repeat(spark):
+    wide = spark.createDataFrame([(k // 7,) for k in range(140)], "tid bigint")
+    for n in (1, 7, 10, 70, 139, 140, 150):
+        assert encode.sample_rows(wide, n, 3).count() == min(n, 140)
