@@ -116,3 +116,21 @@ def test_samples_take_their_number_whatever_ids_repeat(spark):
     wide = spark.createDataFrame([(k // 7,) for k in range(140)], "tid bigint")
     for n in (1, 7, 10, 70, 139, 140, 150):
         assert encode.sample_rows(wide, n, 3).count() == min(n, 140)
+
+
+def _python_in_a_row(df):
+    """The most Python steps that the tasks of one stage pass rows through."""
+    most = now = 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        now = 0 if "Exchange" in line else now + ("MapInArrow" in line)
+        most = max(most, now)
+    return most
+
+
+def test_sketches_keep_one_python_process_a_core(spark):
+    wide = spark.createDataFrame([(k, k % 3) for k in range(90)], "tid bigint, a0 bigint")
+    clean = sketch.folded_sketches(wide, [F.col("a0") == 0, F.col("a0") == 1], 16, 5)
+    assert _python_in_a_row(clean) == 1  # folding and opening were two
+    alphas = sketch.released_table(clean, [(k, sketch.Asked(0, ((0, k),), 1.0, 1e-5, 9.0, 2.0, 7)) for k in (0, 1)], 1.0)
+    assert _python_in_a_row(alphas) == 1  # and adding the noise a third
+    assert alphas.count() == 2
