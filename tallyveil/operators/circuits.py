@@ -321,6 +321,14 @@ def cipher_sums(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFr
             _multiplied(held, zip(*(pdf[g] for g in groups), strict=True), map(int, pdf["cipher"]), square)
         yield pd.DataFrame([(*k, str(v)) for k, v in held.items()], columns=[*groups, "cipher"])
 
+    kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups)
+    return _total_ciphers(rows.mapInPandas(within, f"{kinds}, cipher string"), groups, public)
+
+
+def _total_ciphers(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFrame:
+    """The product of each group's ciphers, of which every task has handed on one already."""
+    square = public.n * public.n
+
     def across(pdf):
         product = 1
         for c in pdf["cipher"]:
@@ -328,7 +336,7 @@ def cipher_sums(rows: DataFrame, groups: list[str], public: PublicKey) -> DataFr
         return pdf.iloc[:1].assign(cipher=str(product))
 
     kinds = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups)
-    return rows.mapInPandas(within, f"{kinds}, cipher string").groupBy(*groups).applyInPandas(across, f"{kinds}, cipher string")
+    return rows.groupBy(*groups).applyInPandas(across, f"{kinds}, cipher string")
 
 
 # Disguised transactions
@@ -570,7 +578,9 @@ def cloud_mine(records: Sequence[DataFrame], asked: Sequence[tuple[str, ...]], l
             _multiplied(held, batch.filter(one).column(0).to_pylist(), map(int, batch.filter(one).column(3).to_pylist()), square)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([1] * len(held), pa.int32()), pa.nulls(len(held), pa.binary()), pa.array(list(map(str, held.values())), pa.string())], names)
 
-    met = cells.mapInArrow(alone, "candidate int, owners int, htid binary, cipher string")
+    # Comparisons are work of the processor: several even parts for each core, which aren't joined again however few bytes they have.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = cells.mapInArrow(alone, "candidate int, owners int, htid binary, cipher string").repartition(tasks, "candidate", "owners", "htid")
     met = met.groupBy("candidate", "owners", "htid").agg(F.collect_list("cipher").alias("flags")).where("owners = 1 or size(flags) = owners")
 
     def indicators(batches):
@@ -586,7 +596,7 @@ def cloud_mine(records: Sequence[DataFrame], asked: Sequence[tuple[str, ...]], l
             _multiplied(held, which, totals, square)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(map(str, held.values())), pa.string())], ["candidate", "cipher"])
 
-    sums = cipher_sums(met.mapInArrow(indicators, "candidate int, cipher string"), ["candidate"], public)
+    sums = _total_ciphers(met.mapInArrow(indicators, "candidate int, cipher string"), ["candidate"], public)
     found = {r["candidate"]: int(r["cipher"]) for r in sums.collect()}
     totals = [found.get(k) or public.encrypt(0) for k in range(len(asked))]
     return [Reply(*reply) for reply in zip(asked, totals, compare.over(totals, threshold), strict=True)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyveil import queries
 from tallyveil.functions.prf import geometric_rank_array
-from tallyveil.operators import encode, sketch
+from tallyveil.operators import circuits, encode, sketch
 from tallyveil.sources import views
 
 
@@ -134,3 +134,13 @@ def test_sketches_keep_one_python_process_a_core(spark):
     alphas = sketch.released_table(clean, [(k, sketch.Asked(0, ((0, k),), 1.0, 1e-5, 9.0, 2.0, 7)) for k in (0, 1)], 1.0)
     assert _python_in_a_row(alphas) == 1  # and adding the noise a third
     assert alphas.count() == 2
+
+
+def test_comparisons_are_dealt_evenly_over_the_cores(spark, monkeypatch):
+    seen, total = [], circuits._total_ciphers
+    monkeypatch.setattr(circuits, "_total_ciphers", lambda rows, *more: seen.append(rows) or total(rows, *more))
+    wide = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "tid bigint, a0 bigint, a1 bigint")
+    found, _ = circuits.encrypted_mining(wide, [((0, 1), (1, 1)), ((0, 0), (1, 1))], {0: 0, 1: 1}, 2, bits=256)
+    assert found == {((0, 1), (1, 1)): 6, ((0, 0), (1, 1)): 0}
+    parts = 4 * spark.sparkContext.defaultParallelism  # they were joined again by their bytes
+    assert f", {parts}), REPARTITION_BY_NUM" in seen[0]._jdf.queryExecution().executedPlan().toString()
