@@ -27,12 +27,12 @@ class View:
         return self.raw.select(self.tid.cast("bigint").alias("tid"), *(c.cast("bigint").alias(f"a{k}") for k, c in enumerate(self.coded)))
 
 
-#: Coders that were fitted in a session, by application, folder and view: public tables are coded once.
-_fitted: dict[tuple[str, str, str], tuple[list[Categories], list[Deciles]]] = {}
+#: Coders that were fitted in a session, by application, folder, view and the files that were read: public tables are coded once.
+_fitted: dict[tuple, tuple[list[Categories], list[Deciles]]] = {}
 
 
 def _coders(raw: DataFrame, folder: str, view: str, categories: list[Column], numbers: list[tuple[Column, str]]) -> tuple[list[Categories], list[Deciles]]:
-    key = (raw.sparkSession.sparkContext.applicationId, folder, view)
+    key = (raw.sparkSession.sparkContext.applicationId, folder, view, _files(raw))
     if key not in _fitted:
         _fitted[key] = fit_coders(raw, categories, numbers)
     return _fitted[key]
@@ -50,11 +50,21 @@ def _shared(spark: SparkSession) -> str:
     return (found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
+def _place(spark: SparkSession, path) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def _files(df: DataFrame) -> tuple:
+    """Path, length and time of each file that a table is read from: one that was written over counts as another."""
+    spark, out = df.sparkSession, []
+    for path in sorted(df.inputFiles()):
+        files, place = _place(spark, spark._jvm.java.net.URI(path))
+        status = files.getFileStatus(place)
+        out.append((path, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The table written to the shared folder and read back, and its path."""
     path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -75,10 +85,10 @@ def orders_view(spark: SparkSession, folder: str) -> DataFrame:
     """Status, priority, segment, region, year, quarter, price decile, balance decile.
 
     Joined and coded once in a session, in the folder that all executors share: methods scan the view many times. Files that
-    came or went since, and a folder that was cleared, have it made anew.
+    came, went or were written over since, and a folder that was cleared, have it made anew, with coders of its own.
     """
     read_from = orders_raw(spark, folder)
-    key = (spark.sparkContext.applicationId, folder, "orders", tuple(sorted(read_from.inputFiles())))
+    key = (spark.sparkContext.applicationId, folder, "orders", _files(read_from))
     if key in _written:
         files, place = _place(spark, f"{_written[key]}/_SUCCESS")
         if files.exists(place):

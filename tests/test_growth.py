@@ -5,6 +5,8 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,62 @@ def test_comparisons_are_dealt_evenly_over_the_cores(spark, monkeypatch):
     assert found == {((0, 1), (1, 1)): 6, ((0, 0), (1, 1)): 0}
     parts = 4 * spark.sparkContext.defaultParallelism  # they were joined again by their bytes
     assert f", {parts}), REPARTITION_BY_NUM" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_view_of_files_written_over_has_coders_of_its_own(spark, sf, tmp_path):
+    def put(folder, orders):
+        for table in ("orders", "customer", "nation"):
+            found = orders if table == "orders" else pq.read_table(f"{sf}/{table}.parquet")
+            pq.write_table(found, f"{folder}/{table}.parquet")
+
+    folder, other = tmp_path / "with space", tmp_path / "other"
+    folder.mkdir(), other.mkdir()
+    held = pq.read_table(f"{sf}/orders.parquet")
+    put(folder, held)
+    before = sorted(views.orders_view(spark, str(folder)).collect())
+    states = pa.array(["A" + s for s in held["o_orderstatus"].to_pylist()])
+    changed = held.set_column(held.column_names.index("o_orderstatus"), "o_orderstatus", states).slice(0, held.num_rows // 2)
+    put(folder, changed)
+    put(other, changed)
+    spark.catalog.refreshByPath(str(folder))
+    after = sorted(views.orders_view(spark, str(folder)).collect())
+    assert after == sorted(views.orders_view(spark, str(other)).collect())
+    assert len(after) == len(before) // 2
+
+
+@pytest.fixture(scope="session")
+def sizes(spark, sf, tmp_path_factory):
+    """Folders of the smallest tables, and of 30 times their orders and customers with shifted keys; their views are there."""
+    out = []
+    for times in (1, 30):
+        folder = tmp_path_factory.mktemp(f"x{times}")
+        for table, names in (("orders", ("o_orderkey", "o_custkey")), ("customer", ("c_custkey",)), ("nation", ())):
+            more = views.read(spark, sf, table)
+            if names:
+                more = more.crossJoin(spark.range(times).withColumnRenamed("id", "_k"))
+                more = more.withColumns({c: F.col(c) + F.col("_k") * 1_000_000 for c in names}).drop("_k")
+            more.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        views.orders_view(spark, str(folder))
+        out.append(str(folder))
+    return out
+
+
+def _sent_and_read(spark, name, folder):
+    """Bytes of results that the driver got, and rows that were read from files."""
+    spark.sparkContext.setJobGroup(folder + name, name)
+    try:
+        queries.QUERIES[name](spark, folder).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told, stages = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    ids = {s for j in told.getJobIdsForGroup(folder + name) for s in told.getJobInfo(j).stageIds}
+    done = [stages.lastStageAttempt(s) for s in sorted(ids)]
+    return sum(s.resultSize() for s in done), sum(s.inputRecords() for s in done)
+
+
+@pytest.mark.parametrize("name, scans", [("b8_overlap_account", 2)])
+def test_queries_over_orders_send_no_more_of_more_rows(spark, sizes, name, scans):
+    (few, _), (many, read) = (_sent_and_read(spark, name, folder) for folder in sizes)
+    assert many < 1.1 * few + 20_000  # customers were sent through the driver by each scan
+    rows = views.read(spark, sizes[1], "orders").count()
+    assert read <= scans * rows + 9  # and each scan read and joined customers, too; a row comes of what is counted without reading
