@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 from functools import reduce
-from operator import mul
+from itertools import combinations
+from operator import and_, mul
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.prf import laplace, tag
 from .encode import attributes
@@ -96,17 +99,35 @@ def intersections(wide: DataFrame, sets: Sequence[Sequence[tuple[Column, float,
     """One row: e0, e1, ..., for each set of blocks (truth, epsilon, name) the sum over rows of the product of its debiased bits, clipped to [0, n]; 0 without blocks.
 
     A block that several sets have is one bit of a row. Bits go by their names' place in order, CUTS of them to a digest.
+    A product has as many values as the bits of its few blocks have patterns, so that the sum is weighed counts of rows: whole
+    numbers, which are the same however rows are dealt to tasks, as a sum of the products themselves isn't.
     """
     blocks = {name: (truth, epsilon) for some in sets for truth, epsilon, name in some}
     place = {name: k for k, name in enumerate(sorted(blocks))}
-    rows = wide.select("*", *(digest(seed, "bits", b, F.col("tid")).alias(f"_d{b}") for b in range(-(-len(place) // CUTS))))
-    values = []
+    digests = wide.select("*", *(digest(seed, "bits", b, F.col("tid")).alias(f"_d{b}") for b in range(-(-len(place) // CUTS))))
+    rows = digests.select(*((cut_bit(F.col(f"_d{k // CUTS}"), k, *blocks[name]) == 1).alias(f"b{k}") for name, k in place.items()))
+    used = [Counter(place[name] for _, _, name in some) for some in sets]
+    asked = sorted({t for some in used for t in _subsets(sorted(some))})
+    ones: dict[tuple[int, ...], int] = {}  # rows whose bits at the places are all ones
+    for at in range(0, len(asked), SUMS):
+        row = rows.agg(*(F.count_if(reduce(and_, (F.col(f"b{k}") for k in t), F.lit(True))).alias(f"s{i}") for i, t in enumerate(asked[at : at + SUMS]))).first()
+        ones |= dict(zip(asked[at : at + SUMS], row, strict=True))
+    values = {}  # of a debiased bit that is zero, and one
     for name, k in place.items():
-        (truth, epsilon), (p, q) = blocks[name], parameters(blocks[name][1])
-        values.append(((cut_bit(F.col(f"_d{k // CUTS}"), k, truth, epsilon) - F.lit(q)) / F.lit(p - q)).alias(f"b{k}"))
-    product = lambda some: reduce(mul, (F.col(f"b{place[name]}") for _, _, name in some))
-    sums = (F.sum(product(some)) if some else F.lit(0.0) for some in sets)
-    return rows.select(*values).agg(F.lit(0).alias("_"), *(F.least(F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)), F.lit(float(n))).alias(f"e{k}") for k, x in enumerate(sums))).drop("_")
+        p, q = map(Fraction, parameters(blocks[name][1]))
+        values[k] = (-q / (p - q), (1 - q) / (p - q))
+    found = []
+    for some in used:
+        total = Fraction(0)
+        for t in _subsets(sorted(some)) if some else ():
+            low = {k: values[k][0] ** times for k, times in some.items()}
+            total += ones[t] * reduce(mul, (values[k][1] ** times - low[k] if k in t else low[k] for k, times in some.items()))
+        found.append(float(min(max(total, Fraction(0)), Fraction(n))))
+    return wide.sparkSession.createDataFrame([tuple(found)], StructType([StructField(f"e{k}", DoubleType()) for k in range(len(found))]))
+
+
+def _subsets(places: Sequence[int]) -> list[tuple[int, ...]]:
+    return [t for size in range(len(places) + 1) for t in combinations(places, size)]
 
 
 def central_estimates(supports: DataFrame, epsilon: float, candidates: int, n: float, seed: int) -> DataFrame:

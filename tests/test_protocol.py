@@ -4,6 +4,7 @@ import json
 import math
 from collections import Counter
 from dataclasses import replace
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -226,6 +227,20 @@ def test_unary_encoding(spark):
     assert abs(both.e0 - 12000) < 900 and both.e1 == 0 and abs(both.e2 - 22000) < 900
 
 
+def test_unary_intersections_are_the_same_however_rows_are_dealt(spark):
+    wide = spark.range(5000).select(F.col("id").alias("tid"), (F.col("id") % 3).alias("a0"), (F.col("id") % 5).alias("a1"))
+    blocks = [(F.col("a0") == 1, 0.3, "x"), (F.col("a1") < 3, 0.7, "y"), (F.col("a0") < 2, 0.4, "z")]
+    sets = [blocks, blocks[1:], [], [blocks[0], blocks[0]]]
+    found = {tuple(randomizer.intersections(wide.repartition(n, "tid"), sets, 10**9, 8).first()) for n in (1, 3, 7)}
+    assert len(found) == 1  # sums of products differed in their last digits
+    digest = randomizer.digest(8, "bits", 0, F.col("tid"))
+    rows = wide.select(*(randomizer.cut_bit(digest, k, t, e).alias(name) for k, (t, e, name) in enumerate(blocks))).collect()
+    for some, x in zip(sets, found.pop(), strict=True):
+        cells = [(name, *map(Fraction, randomizer.parameters(e))) for _, e, name in some]
+        exact = sum(math.prod((r[name] - q) / (p - q) for name, p, q in cells) for r in rows) if some else 0
+        assert x == float(min(max(exact, 0), 10**9))
+
+
 # metrics
 
 
