@@ -199,7 +199,7 @@ def _sent_and_read(spark, name, folder):
     return sum(s.resultSize() for s in done), sum(s.inputRecords() for s in done)
 
 
-@pytest.mark.parametrize("name, scans", [("b8_overlap_account", 2), ("m2_fo", 4), ("r1_single_keys", 2)])
+@pytest.mark.parametrize("name, scans", [("b8_overlap_account", 2), ("m2_fo", 4), ("r1_single_keys", 2), ("v7_encrypted_supports_match", 9)])
 def test_queries_over_orders_send_no_more_of_more_rows(spark, sizes, name, scans):
     (few, _), (many, read) = (_sent_and_read(spark, name, folder) for folder in sizes)
     assert many < 1.1 * few + 20_000  # customers were sent through the driver by each scan
