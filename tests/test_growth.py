@@ -207,7 +207,7 @@ def test_queries_over_orders_send_no_more_of_more_rows(spark, sizes, name, scans
     assert read <= scans * rows + 9  # and each scan read and joined customers, too; a row comes of what is counted without reading
 
 
-@pytest.mark.parametrize("name", ["v7_encrypted_supports_match"])
+@pytest.mark.parametrize("name", ["v7_encrypted_supports_match", "r1_single_keys"])
 def test_first_query_over_orders_sends_no_more_of_more_rows(spark, sizes, monkeypatch, name):
     """As above, with the making of the view, which a session's first query does."""
     for held in ("_written", "_fitted"):
